@@ -118,3 +118,203 @@ SELECT query_id, hit_rank, chunk_key, name, source, round(rrf_score, 9) AS rrf_s
   JOIN c USING (chunk_key)""",
 }
 ORACLE["RET_2_keyword_postings"] = ORACLE["RET_2_keyword_search"]
+
+# --- call graph ------------------------------------------------------------
+
+PART_EDGES = """
+pe AS (SELECT DISTINCT 'parts' AS repo_id, src::VARCHAR AS src_name, dst::VARCHAR AS dst_name
+  FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey
+      ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)"""
+EDGES = """
+e AS (SELECT repo_id, chunk_key, name AS src_name, unnest(calls) AS dst_name,
+  unnest(range(len(calls))) AS pos FROM c)"""
+
+
+def _counts(edges: str) -> str:
+    return (f"\nn AS (SELECT repo_id, dst_name AS name, count(*) AS inbound FROM {edges} "
+            f"WHERE dst_name NOT IN {_in(M.BUILTIN_NAMES)} GROUP BY ALL)")
+
+
+COUNTS = _counts("e")
+TOP = """
+topf AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY inbound DESC, name)
+  AS rank FROM n QUALIFY rank <= 5)"""
+FIRST = """
+f AS (SELECT repo_id, name, arg_min(file_rel_path, chunk_key) AS file_rel_path,
+  arg_min(file_rel_path || ':' || start_line, chunk_key) AS place,
+  arg_min(calls, chunk_key) AS calls FROM c GROUP BY ALL)"""
+ENTRY = f"""
+ep0 AS (SELECT c.repo_id, c.name, c.chunk_key, c.file_rel_path,
+    CASE WHEN lower(regexp_extract(file_rel_path, '[^/]*$')) IN {_in(M.ENTRY_FILES)}
+           OR c.name IN {_in(M.ENTRY_FUNCTIONS)} THEN 1
+         WHEN coalesce(inbound, 0) = 0 AND len(calls) > 0 THEN 2 END AS signal
+  FROM c LEFT JOIN n USING (repo_id, name)),
+ep1 AS (SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY chunk_key) AS o
+  FROM ep0 WHERE signal IS NOT NULL QUALIFY o = 1),
+ep AS (SELECT repo_id, name, chunk_key, file_rel_path, signal, row_number() OVER (
+    PARTITION BY repo_id ORDER BY signal, chunk_key) AS rank FROM ep1 QUALIFY rank <= 3)"""
+SCORE = """
+sc AS (SELECT c.repo_id, c.chunk_key, c.name, c.file_rel_path, coalesce(inbound, 0) AS inbound,
+    coalesce(inbound, 0) + 0.5::DOUBLE * len(calls) AS score
+  FROM c LEFT JOIN n USING (repo_id, name))"""
+SELECTED = """
+so AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, chunk_key) AS rn
+  FROM sc),
+p1 AS (
+  SELECT r.repo_id, coalesce(list(ep.name ORDER BY rank) FILTER (rank > 0), []) AS names,
+    coalesce(list(ep.file_rel_path ORDER BY rank) FILTER (rank > 0), []) AS files,
+    coalesce(list(ep.chunk_key ORDER BY rank) FILTER (rank > 0), []) AS keys
+  FROM (SELECT DISTINCT repo_id FROM c) r LEFT JOIN ep USING (repo_id) GROUP BY ALL
+  UNION ALL
+  SELECT repo_id, list_append(names, pick.name), list_append(files, pick.file),
+    list_append(keys, pick.key) FROM (
+    SELECT p1.repo_id, names, files, keys, min({'rn': rn, 'name': name,
+        'file': file_rel_path, 'key': chunk_key}) AS pick
+    FROM p1 JOIN so ON so.repo_id = p1.repo_id AND len(names) < 8
+      AND NOT list_contains(names, so.name) AND NOT list_contains(files, so.file_rel_path)
+    GROUP BY ALL)),
+p2 AS (
+  SELECT repo_id, names, files, keys FROM p1 QUALIFY row_number() OVER (
+    PARTITION BY repo_id ORDER BY len(names) DESC) = 1
+  UNION ALL
+  SELECT repo_id, list_append(names, pick.name), list_append(files, pick.file),
+    list_append(keys, pick.key) FROM (
+    SELECT p2.repo_id, names, files, keys, min({'rn': rn, 'name': name,
+        'file': file_rel_path, 'key': chunk_key}) AS pick
+    FROM p2 JOIN so ON so.repo_id = p2.repo_id AND len(names) < 8
+      AND NOT list_contains(names, so.name)
+    GROUP BY ALL)),
+sel AS (SELECT repo_id, unnest(names) AS name, unnest(files) AS file_rel_path,
+    unnest(keys) AS chunk_key, unnest(range(1, len(keys) + 1)) AS pos
+  FROM (SELECT * FROM p2 QUALIFY row_number() OVER (
+    PARTITION BY repo_id ORDER BY len(names) DESC) = 1))"""
+
+
+def trace_sql(symbols: str, depth: int = 3, cap: int = 20) -> str:
+    """Level-by-level breadth-first search with position paths."""
+    out = [FIRST, """
+fe AS MATERIALIZED (SELECT repo_id, name AS src, unnest(calls) AS dst,
+  unnest(range(len(calls))) AS pos FROM f)""", f"""
+sym AS ({symbols})""", """
+v0 AS (SELECT s.repo_id, symbol, symbol AS name, []::BIGINT[] AS path, 0 AS depth,
+  NULL::VARCHAR AS parent, 0::BIGINT AS ord FROM sym s
+  JOIN f ON f.repo_id = s.repo_id AND f.name = s.symbol)"""]
+    for d in range(1, depth + 1):
+        out.append(f"""
+k{d} AS MATERIALIZED (SELECT v.repo_id, v.symbol, fe.dst AS name,
+    min({{'path': list_append(v.path, fe.pos), 'parent': v.name}}) AS b
+  FROM v{d - 1} v JOIN fe ON fe.repo_id = v.repo_id AND fe.src = v.name
+  WHERE v.depth = {d - 1} AND NOT EXISTS (SELECT 1 FROM v{d - 1} o WHERE o.repo_id = v.repo_id
+    AND o.symbol = v.symbol AND o.name = fe.dst) GROUP BY ALL)""")
+        out.append(f"""
+v{d} AS MATERIALIZED (SELECT * FROM v{d - 1} UNION ALL
+  SELECT * FROM (SELECT repo_id, symbol, name, b.path, {d} AS depth, b.parent,
+    (SELECT count(*) FROM v{d - 1} o WHERE o.repo_id = k.repo_id AND o.symbol = k.symbol)
+      + row_number() OVER (PARTITION BY repo_id, symbol ORDER BY b.path) - 1 AS ord
+    FROM k{d} k) WHERE ord < {cap})""")
+    out.append(f"""
+nodes AS MATERIALIZED (SELECT v.*, f.name IS NOT NULL AS is_indexed, f.place,
+    coalesce(v.depth >= {depth} AND len(f.calls) > 0, false) AS is_truncated
+  FROM v{depth} v LEFT JOIN f USING (repo_id, name))""")
+    out.append(f"""
+le AS MATERIALIZED (SELECT u.repo_id, u.symbol, u.name AS parent, u.ord AS uord, fe.dst AS child, fe.pos,
+    w.ord AS vord, w.parent AS vparent
+  FROM nodes u JOIN fe ON fe.repo_id = u.repo_id AND fe.src = u.name
+  LEFT JOIN nodes w ON w.repo_id = u.repo_id AND w.symbol = u.symbol AND w.name = fe.dst
+  WHERE u.depth < {depth}),
+stop AS MATERIALIZED (SELECT repo_id, symbol, min((uord, pos)) AS at FROM le WHERE vord IS NULL GROUP BY ALL),
+te AS MATERIALIZED (SELECT le.repo_id, le.symbol, le.parent, le.uord, child, pos, vord,
+    CASE WHEN vord <= uord THEN 1 WHEN vparent = le.parent THEN 0 ELSE 2 END AS mark
+  FROM le LEFT JOIN stop USING (repo_id, symbol)
+  WHERE vord IS NOT NULL AND (vord <= uord OR vparent = le.parent
+    OR stop.at IS NULL OR (uord, pos) < stop.at))""")
+    return ",".join(out)
+
+
+TREE = """
+ent AS MATERIALIZED (SELECT repo_id, symbol, uord, mark, pos, mark = 0 AS is_node,
+    CASE WHEN mark = 0 THEN vord END AS vord,
+    CASE WHEN mark = 0 THEN child ELSE child || ' [already visited]' END AS label FROM te
+  UNION ALL
+  SELECT repo_id, symbol, ord, 9, 0, false, NULL, '[truncated — use --depth to go deeper]'
+  FROM nodes WHERE is_truncated),
+sib AS MATERIALIZED (SELECT ent.* EXCLUDE (label), CASE WHEN is_node THEN label || '  [' ||
+      CASE WHEN w.is_indexed THEN w.place ELSE 'not indexed' END || ']' ELSE label END AS label,
+    row_number() OVER (PARTITION BY ent.repo_id, ent.symbol, uord ORDER BY mark, pos) AS i,
+    count(*) OVER (PARTITION BY ent.repo_id, ent.symbol, uord) AS m
+  FROM ent LEFT JOIN nodes w ON w.repo_id = ent.repo_id AND w.symbol = ent.symbol AND w.ord = ent.vord),
+ln AS (
+  SELECT repo_id, symbol, vord, [i] AS path,
+    CASE WHEN i = m THEN '    ' ELSE '│   ' END AS indent,
+    CASE WHEN is_node THEN '' ELSE '    ' END
+      || CASE WHEN i = m THEN '└── ' ELSE '├── ' END || label AS line
+  FROM sib WHERE uord = 0
+  UNION ALL
+  SELECT s.repo_id, s.symbol, s.vord, list_append(ln.path, s.i),
+    ln.indent || CASE WHEN s.i = s.m THEN '    ' ELSE '│   ' END,
+    ln.indent || CASE WHEN s.i = s.m THEN '└── ' ELSE '├── ' END || s.label
+  FROM ln JOIN sib s ON s.repo_id = ln.repo_id AND s.symbol = ln.symbol AND s.uord = ln.vord),
+tree AS (SELECT n.repo_id, n.symbol, concat_ws(chr(10), n.name || '  [' || n.place || ']',
+    l.body) AS tree
+  FROM nodes n LEFT JOIN (SELECT repo_id, symbol, string_agg(line, chr(10) ORDER BY path) AS body
+    FROM ln GROUP BY ALL) l USING (repo_id, symbol) WHERE ord = 0)"""
+NAMES = "SELECT DISTINCT repo_id, name AS symbol FROM c"
+CALLED = "SELECT DISTINCT repo_id, dst_name AS symbol FROM e"
+PREVIEW = """array_to_string(string_split(source, chr(10))[1:20], chr(10))
+  || CASE WHEN len(string_split(source, chr(10))) > 20
+     THEN chr(10) || '... (' || (len(string_split(source, chr(10))) - 20) || ' more lines)' ELSE '' END"""
+
+
+def rec(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",".join(parts)
+
+
+_g = (CHUNKS, EDGES, COUNTS)
+ORACLE |= {
+    "GRF_1_call_edges": with_(CHUNKS, EDGES) + "\nSELECT * FROM e",
+    "GRF_2_inbound_counts": with_(*_g) + "\nSELECT * FROM n",
+    "GRF_2_inbound_counts_parts": with_(PART_EDGES, _counts("pe")) + "\nSELECT * FROM n",
+    "GRF_3_top_functions": with_(*_g, TOP) + "\nSELECT * FROM topf",
+    "GRF_3_top_functions_parts": with_(PART_EDGES, _counts("pe"), TOP)
+    + "\nSELECT * FROM topf",
+    "GRF_4_callee_files": with_(*_g, FIRST) + """
+SELECT n.repo_id, n.name, n.inbound, coalesce(f.file_rel_path, 'unknown') AS file_rel_path
+FROM n LEFT JOIN f USING (repo_id, name)""",
+    "GRF_5_entry_points": with_(*_g, ENTRY) + "\nSELECT * FROM ep",
+    "GRF_6_structural_score": with_(*_g, SCORE) + "\nSELECT * FROM sc",
+    "GRF_7_diverse_selection": rec(*_g, ENTRY, SCORE, SELECTED) + "\nSELECT * FROM sel",
+    "GRF_8_forward_trace_nodes": with_(CHUNKS, trace_sql(NAMES)) + """
+SELECT repo_id, symbol, name, parent, is_indexed, is_truncated, ord, depth::BIGINT AS depth
+FROM nodes""",
+    "GRF_8_forward_trace_edges": with_(CHUNKS, trace_sql(NAMES)) + """
+SELECT repo_id, symbol, parent, child, mark > 0 AS already_visited, pos FROM te""",
+    "GRF_9_backward_trace": with_(CHUNKS, EDGES) + """
+SELECT c.repo_id, e.dst_name AS symbol, c.chunk_key, c.name, c.file_rel_path, c.start_line
+FROM e JOIN c USING (repo_id, chunk_key)
+WHERE EXISTS (SELECT 1 FROM c d WHERE d.repo_id = e.repo_id AND d.name = e.dst_name)""",
+    "GRF_10_trace_tree": rec(CHUNKS, trace_sql(NAMES), TREE) + "\nSELECT * FROM tree",
+    "GRF_11_trace_bundle": rec(CHUNKS, EDGES, trace_sql(CALLED), TREE) + """
+, back AS (SELECT repo_id, dst_name AS symbol, count(*) AS n_callers FROM e GROUP BY ALL),
+vis AS (SELECT repo_id, symbol, count(*) AS visited_count FROM nodes GROUP BY ALL)
+SELECT s.repo_id, s.symbol, coalesce(visited_count, 0) AS visited_count,
+  stop.at IS NOT NULL AS is_truncated, tree IS NULL AS not_found,
+  coalesce(tree, 'Symbol ''' || s.symbol || ''' not found in index.') AS tree,
+  CASE WHEN tree IS NULL THEN 0 ELSE n_callers END AS n_callers,
+  CASE WHEN tree IS NULL THEN '''' || s.symbol || ''' was not found in the index.' END AS error
+FROM sym s LEFT JOIN tree USING (repo_id, symbol) LEFT JOIN vis USING (repo_id, symbol)
+LEFT JOIN stop USING (repo_id, symbol) LEFT JOIN back USING (repo_id, symbol)""",
+    "GRF_12_tour_evidence": rec(*_g, TOP, FIRST, ENTRY, SCORE, SELECTED) + f"""
+SELECT r.repo_id, 'REPO: ' || r.repo_id || chr(10) || 'SCOPE: full repo' || chr(10) || 'FILES: '
+  || (SELECT count(DISTINCT file_rel_path) FROM sel WHERE sel.repo_id = r.repo_id)
+  || chr(10) || chr(10) || 'TOP FUNCTIONS BY INBOUND REFERENCES:' || chr(10)
+  || (SELECT string_agg('  ' || t.name || ' (' || coalesce(f.file_rel_path, 'unknown')
+        || ') — called by ' || inbound || ' functions', chr(10) ORDER BY rank)
+      FROM topf t LEFT JOIN f USING (repo_id, name) WHERE t.repo_id = r.repo_id)
+  || chr(10) || chr(10) || 'SELECTED CHUNKS:' || chr(10)
+  || (SELECT string_agg(chr(10) || '[' || pos || '] ' || c.name || ' (' || node_type || ') — '
+        || c.file_rel_path || ':' || start_line || '-' || end_line || chr(10)
+        || CASE WHEN docstring <> '' THEN 'Docstring: ' || docstring[1:200] || chr(10) ELSE '' END
+        || {PREVIEW} || chr(10) || '---', chr(10) ORDER BY pos)
+      FROM sel JOIN c USING (repo_id, chunk_key) WHERE sel.repo_id = r.repo_id) AS evidence
+FROM (SELECT DISTINCT repo_id FROM c) r""",
+}

@@ -103,3 +103,120 @@ def RET_8_hybrid_retrieve(spark, sf) -> DataFrame:
         "query_id", F.col("hit_rank").cast("long").alias("hit_rank"), "chunk_key",
         "name", "source", _r9("rrf_score").alias("rrf_score"),
         _r9("rerank_score").alias("rerank_score"))
+
+
+# --- call graph ------------------------------------------------------------
+
+def _long(*names):
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+@query
+def GRF_1_call_edges(spark, sf) -> DataFrame:
+    return graph.call_edges(V.chunks(spark, sf)).select(
+        "repo_id", "chunk_key", "src_name", "dst_name", *_long("pos"))
+
+
+def _counts(spark, sf):
+    return graph.inbound_counts(graph.call_edges(V.chunks(spark, sf)))
+
+
+@query
+def GRF_2_inbound_counts(spark, sf) -> DataFrame:
+    return _counts(spark, sf)
+
+
+@query
+def GRF_2_inbound_counts_parts(spark, sf) -> DataFrame:
+    return graph.inbound_counts(V.part_edges(spark, sf))
+
+
+@query
+def GRF_3_top_functions(spark, sf) -> DataFrame:
+    return graph.top_functions(_counts(spark, sf)).select(
+        "repo_id", "name", "inbound", *_long("rank"))
+
+
+@query
+def GRF_3_top_functions_parts(spark, sf) -> DataFrame:
+    return graph.top_functions(graph.inbound_counts(V.part_edges(spark, sf))).select(
+        "repo_id", "name", "inbound", *_long("rank"))
+
+
+@query
+def GRF_4_callee_files(spark, sf) -> DataFrame:
+    """Every called name with the file it resolves to."""
+    return graph.resolve_files(_counts(spark, sf), V.chunks(spark, sf))
+
+
+@query
+def GRF_5_entry_points(spark, sf) -> DataFrame:
+    c = V.chunks(spark, sf)
+    return graph.entry_points(c, _counts(spark, sf)).select(
+        "repo_id", "chunk_key", "name", "file_rel_path", *_long("signal", "rank"))
+
+
+@query
+def GRF_6_structural_score(spark, sf) -> DataFrame:
+    return graph.structural_score(V.chunks(spark, sf), _counts(spark, sf))
+
+
+def _selected(spark, sf):
+    c, counts = V.chunks(spark, sf), _counts(spark, sf)
+    return graph.select_representatives(
+        graph.structural_score(c, counts), graph.entry_points(c, counts))
+
+
+@query
+def GRF_7_diverse_selection(spark, sf) -> DataFrame:
+    return _selected(spark, sf).select(
+        "repo_id", "chunk_key", "name", "file_rel_path", *_long("pos"))
+
+
+def _state(spark, sf):
+    c = V.chunks(spark, sf)
+    symbols = c.select("repo_id", F.col("name").alias("symbol")).distinct()
+    return trace.forward_state(symbols, c)
+
+
+@query
+def GRF_8_forward_trace_nodes(spark, sf) -> DataFrame:
+    return trace.trace_nodes(_state(spark, sf)).select(
+        "repo_id", "symbol", "name", "parent", "is_indexed", "is_truncated",
+        *_long("ord", "depth"))
+
+
+@query
+def GRF_8_forward_trace_edges(spark, sf) -> DataFrame:
+    return trace.trace_edges(_state(spark, sf)).select(
+        "repo_id", "symbol", "parent", "child", "already_visited", *_long("pos"))
+
+
+@query
+def GRF_9_backward_trace(spark, sf) -> DataFrame:
+    c = V.chunks(spark, sf)
+    symbols = c.select("repo_id", F.col("name").alias("symbol")).distinct()
+    return graph.callers(symbols, graph.call_edges(c), c).select(
+        "repo_id", "symbol", "chunk_key", "name", "file_rel_path", *_long("start_line"))
+
+
+@query
+def GRF_10_trace_tree(spark, sf) -> DataFrame:
+    return trace.trace_tree(_state(spark, sf))
+
+
+@query
+def GRF_11_trace_bundle(spark, sf) -> DataFrame:
+    """Traces every called name, indexed or not."""
+    c = V.chunks(spark, sf)
+    e = graph.call_edges(c)
+    symbols = e.select("repo_id", F.col("dst_name").alias("symbol")).distinct()
+    return trace.run_trace(symbols, c, e).select(
+        "repo_id", "symbol", "tree", "is_truncated", "not_found", "n_callers", "error",
+        *_long("visited_count"))
+
+
+@query
+def GRF_12_tour_evidence(spark, sf) -> DataFrame:
+    from sparklode.plans.tour import tour
+    return tour(V.chunks(spark, sf)).evidence

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparklode import model as M
 from sparklode.functions import text as X
+from sparklode.functions.storage import spread
 
 # A document becomes one chunk; its file name is picked by doc_id modulo 5.
 FILE_NAMES = ["util.py", "core.ts", "view.jsx", "Index.js", "main.py"]
@@ -22,7 +23,7 @@ def _word(x):
 
 
 def chunks(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     names = F.array(*[F.lit(n) for n in FILE_NAMES])
     lines = F.split("text", "\n")
     rel = F.concat("source", F.lit("/"), F.element_at(
@@ -51,7 +52,7 @@ def chunks(spark, sf) -> DataFrame:
 def vectors(spark, sf) -> DataFrame:
     """Chunk vectors: vec_id is the doc_id of the chunk it belongs to."""
     keys = chunks(spark, sf).select("doc_id", "chunk_key")
-    return (table(spark, sf, "embeddings")
+    return (spread(table(spark, sf, "embeddings"))
             .join(keys, F.col("vec_id") == F.col("doc_id"))
             .select("chunk_key", "embedding"))
 

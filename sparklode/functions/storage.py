@@ -29,3 +29,18 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/sparklode/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_ROWS = 200_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads a small stored table over all cores before heavy per-row work.
+
+    A table of few rows often is one file and so one task. Counting a stored
+    table reads footers only; a large one is left in its own partitions, since
+    shuffling a corpus would cost more than it gives.
+    """
+    if df.count() > SMALL_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

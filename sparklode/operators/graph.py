@@ -112,28 +112,26 @@ def select_representatives(scored: DataFrame, entries: DataFrame,
                        "file_rel_path")).alias("o"))
     deep = rank_rows(deep, ["o"], 2 * cap, "r", within=("repo_id",))
 
-    def row(stage, neg, key, file):
-        return F.struct(F.lit(stage).alias("stage"), neg.cast("double").alias("neg"),
-                        key.alias("chunk_key"), F.col("name").alias("name"),
-                        file.alias("file_rel_path"))
+    def gather(rows, stage, neg, key, file, name):
+        c = F.struct(neg.cast("double").alias("neg"), key.alias("chunk_key"),
+                     F.col("name").alias("name"), file.alias("file_rel_path"),
+                     F.lit(stage).alias("stage"))
+        return rows.groupBy("repo_id").agg(F.array_sort(F.collect_list(c)).alias(name))
 
     o = F.col("o")
-    rows = (entries.select("repo_id", row(0, F.col("rank"), F.col("chunk_key"),
-                                          F.col("file_rel_path")).alias("c"))
-            .unionByName(wide.select("repo_id", row(
-                1, o["neg"], o["chunk_key"], F.col("file_rel_path")).alias("c")))
-            .unionByName(deep.select("repo_id", row(
-                2, o["neg"], o["chunk_key"], o["file_rel_path"]).alias("c"))))
-    per_repo = rows.groupBy("repo_id").agg(
-        F.array_sort(F.collect_list("c")).alias("c"))
+    per_repo = gather(deep, 2, o["neg"], o["chunk_key"], o["file_rel_path"], "deep").join(
+        gather(wide, 1, o["neg"], o["chunk_key"], F.col("file_rel_path"), "wide"),
+        "repo_id").join(
+        gather(entries, 0, F.col("rank"), F.col("chunk_key"), F.col("file_rel_path"),
+               "entry"), "repo_id", "left")
 
     def blocked(picked, c):
         return F.exists(picked, lambda p: (p["name"] == c["name"]) | (
             (c["stage"] == 1) & (p["file_rel_path"] == c["file_rel_path"])))
 
     picked = F.aggregate(
-        F.filter("c", lambda c: c["stage"] > 0),
-        F.filter("c", lambda c: c["stage"] == 0),
+        F.concat("wide", "deep"),
+        F.coalesce("entry", F.slice("deep", 1, 0)),
         lambda acc, c: F.when((F.size(acc) < cap) & ~blocked(acc, c),
                               F.array_append(acc, c)).otherwise(acc))
     return (per_repo

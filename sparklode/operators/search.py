@@ -9,7 +9,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sparklode import model as M
@@ -118,24 +117,27 @@ def _keyword_block(block, chunks, n):
         for t in tokens:
             per = uses.setdefault(t, {})
             per[q] = per.get(q, 0) + 1
-    plan = [(t, np.array(list(per)), np.array(list(per.values()), np.int32)[:, None])
-            for t, per in sorted(uses.items())]
+    tokens = list(uses)
+    asked = [(np.array(list(per)), np.array(list(per.values()), np.int32)[:, None])
+             for per in uses.values()]
     names = ["query_id", "chunk_key", "neg"]
-    shared = block.sparkSession.sparkContext.broadcast((ids, plan, q_repo))
+    shared = block.sparkSession.sparkContext.broadcast((ids, tokens, asked, q_repo))
 
     def scan(batches):
-        ids, plan, q_repo = shared.value
+        ids, tokens, asked, q_repo = shared.value
         best = PartialTopN(len(ids), n)
-        step = best.rows_per_step()
+        contained = _substring_finder(tokens)
+        step = min(best.rows_per_step(), max(256, 64_000_000 // max(1, len(tokens))))
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
-                texts = b.column(1)
+                found = np.zeros((len(tokens), b.num_rows), dtype=bool)
+                for j, text in enumerate(b.column(1).to_pylist()):
+                    found[contained(text), j] = True
                 counts = np.zeros((len(ids), b.num_rows), dtype=np.int32)
-                for token, qs, times in plan:
-                    found = pc.match_substring(texts, token).to_numpy(
-                        zero_copy_only=False)
-                    counts[qs] += times * found[None, :]
+                for t in np.nonzero(found.any(axis=1))[0]:
+                    qs, times = asked[t]
+                    counts[qs] += times * found[t][None, :]
                 score = np.where(counts > 0, -counts.astype(np.float64), np.inf)
                 if q_repo is not None:
                     score[~_repo_mask(q_repo, b.column(2))] = np.inf
@@ -149,6 +151,21 @@ def _keyword_block(block, chunks, n):
     return usable.select(*fields).mapInArrow(scan, _partial_schema(block, "neg"))
 
 
+def _substring_finder(tokens: list[str]):
+    """text -> indexes of the tokens it contains, in one pass where possible."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: [i for i, t in enumerate(tokens) if t in text]
+    if not tokens:
+        return lambda text: []
+    automaton = ahocorasick.Automaton()
+    for i, t in enumerate(tokens):
+        automaton.add_word(t, i)
+    automaton.make_automaton()
+    return lambda text: [i for _, i in automaton.iter(text)]
+
+
 SALTS = 16
 
 
@@ -200,12 +217,10 @@ def rrf(ranked: list[tuple[DataFrame, str]], k: int = M.RRF_K) -> DataFrame:
     ``ranked``: (DataFrame with query_id, chunk_key and a rank column, its name).
     Result: query_id, chunk_key, rrf_score, ranks (one per list, NULL if absent).
     """
-    lists = [df.select("query_id", "chunk_key", F.lit(i).alias("list"),
-                       F.col(rank).alias("rank"))
+    lists = [df.select("query_id", "chunk_key", F.col(rank).alias(f"rank_{i}"))
              for i, (df, rank) in enumerate(ranked)]
-    merged = _union(lists).groupBy("query_id", "chunk_key").agg(*[
-        F.min(F.when(F.col("list") == i, F.col("rank"))).alias(f"rank_{i}")
-        for i in range(len(ranked))])
+    # The lists are already hashed by query_id, which this join can use as it is.
+    merged = reduce(lambda a, b: a.join(b, ["query_id", "chunk_key"], "full"), lists)
     score = reduce(lambda a, b: a + b, [
         F.coalesce(1.0 / (k + F.col(f"rank_{i}")), F.lit(0.0))
         for i in range(len(ranked))])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparklode import model as M
 from sparklode.functions import paths
+from sparklode.functions.storage import materialize
 from sparklode.operators.graph import callers, first_chunks
 
 _NODE = ("struct<ord:int,name:string,depth:int,parent:int,pos:int,found:boolean,"
@@ -61,31 +62,30 @@ def _look_up(state: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
 def _advance(state: DataFrame, depth: int, max_nodes: int) -> DataFrame:
     """Adds the unvisited callees of the nodes at ``depth``, in queue order.
 
-    ``stop``: the (ord, pos) of the first callee that no longer fitted.
+    ``array_except`` keeps first occurrences in order, which is the order in
+    which a queue would visit them. ``stop``: the (ord, pos) of the first
+    callee that no longer fitted.
     """
     front = F.filter("nodes", lambda n: (n["depth"] == depth) & n["found"])
     queue = F.flatten(F.transform(front, lambda n: F.transform(
-        n["calls"], lambda c, i: F.struct(n["ord"].alias("parent"),
-                                          i.alias("pos"), c.alias("name")))))
-
-    def visit(acc, c):
-        known = F.exists(acc["nodes"], lambda n: n["name"] == c["name"])
-        fits = F.size(acc["nodes"]) < max_nodes
-        added = F.array_append(acc["nodes"], _node(
-            F.size(acc["nodes"]), c["name"], depth + 1, c["parent"], c["pos"]))
-        return F.struct(
-            F.when(known | ~fits | acc["stop"].isNotNull(), acc["nodes"])
-            .otherwise(added).alias("nodes"),
-            F.when(acc["stop"].isNull() & ~known & ~fits,
-                   F.struct(c["parent"].alias("ord"), c["pos"].alias("pos")))
-            .otherwise(acc["stop"]).alias("stop"))
-
-    start = F.struct(F.col("nodes"), F.col("stop"))
-    # A search that stopped on an earlier level visits nothing more.
-    folded = F.when(F.col("stop").isNull(), F.aggregate(queue, start, visit)
-                    ).otherwise(start)
-    return state.select("repo_id", "symbol", folded.alias("s")).select(
-        "repo_id", "symbol", "s.nodes", "s.stop")
+        n["calls"], lambda c, i: F.struct(n["ord"].alias("ord"), i.alias("pos"),
+                                          c.alias("name")))))
+    s = state.withColumns({"queue": queue,
+                           "seen": F.transform("nodes", lambda n: n["name"])})
+    s = s.withColumn("flat", F.transform("queue", lambda q: q["name"]))
+    s = s.withColumn("fresh", F.array_except("flat", "seen"))
+    room = F.lit(max_nodes) - F.size("nodes")
+
+    def source(name):
+        return F.get("queue", F.array_position("flat", name).cast("int") - 1)
+
+    added = F.transform(F.slice("fresh", F.lit(1), room), lambda name, i: _node(
+        F.size("nodes") + i, name, depth + 1, source(name)["ord"], source(name)["pos"]))
+    left = source(F.get("fresh", room))
+    stop = F.coalesce("stop", F.when(F.size("fresh") > room, F.struct(
+        left["ord"].alias("ord"), left["pos"].alias("pos"))))
+    return s.select("repo_id", "symbol", F.concat("nodes", added).alias("nodes"),
+                    stop.alias("stop"))
 
 
 def forward_state(symbols: DataFrame, chunks: DataFrame,
@@ -105,12 +105,14 @@ def forward_state(symbols: DataFrame, chunks: DataFrame,
         state = _look_up(state, facts, depth)
         if depth < max_depth:
             state = _advance(state, depth, max_nodes)
-    root_found = F.element_at("nodes", 1)["found"]
+    root_found = F.get("nodes", F.lit(0))["found"]
     empty = F.array().cast(f"array<{_NODE}>")
-    return state.select(
+    # Nodes, edges, tree and summary all read the state: written out once, it
+    # is searched once.
+    return materialize(state.select(
         "repo_id", "symbol",
         F.when(root_found, F.col("nodes")).otherwise(empty).alias("nodes"),
-        "stop", (~root_found).alias("not_found"), F.lit(max_depth).alias("max_depth"))
+        "stop", (~root_found).alias("not_found"), F.lit(max_depth).alias("max_depth")))
 
 
 def trace_nodes(state: DataFrame) -> DataFrame:
@@ -119,8 +121,8 @@ def trace_nodes(state: DataFrame) -> DataFrame:
         "repo_id", "symbol", "max_depth", F.explode("nodes").alias("n"), "nodes"
     ).select(
         "repo_id", "symbol", "n.ord", "n.name", "n.depth",
-        F.when(F.col("n.parent").isNotNull(), F.element_at(
-            "nodes", F.col("n.parent") + 1)["name"]).alias("parent"),
+        F.when(F.col("n.parent").isNotNull(), F.get(
+            "nodes", F.col("n.parent"))["name"]).alias("parent"),
         F.col("n.found").alias("is_indexed"), F.col("n.place").alias("place"),
         _cut_off(F.col("n"), F.col("max_depth")).alias("is_truncated"))
 
@@ -136,26 +138,31 @@ def _cut_off(n, max_depth) -> Column:
 
 
 def _edges(state: DataFrame) -> DataFrame:
-    """Adds ``edges``: every child shown under an expanded node.
+    """Adds ``edges``: every child shown under an expanded node, in order.
 
     mark 0: tree edge; 1: child was visited when its caller was expanded;
     2: child was visited between that moment and its turn in the queue.
     """
+    s = state.withColumn("seen", F.transform("nodes", lambda n: n["name"]))
+
     def of(n):
         def edge(c, i):
-            child = F.element_at(F.filter("nodes", lambda m: m["name"] == c), 1)
-            tree = (child["parent"] == n["ord"]) & (child["pos"] == i)
-            early = child["ord"] <= n["ord"]
-            before_stop = F.col("stop").isNull() | (
-                F.struct(n["ord"].alias("ord"), i.alias("pos")) < F.col("stop"))
-            mark = (F.when(child.isNull(), -1).when(early, 1).when(tree, 0)
-                    .when(before_stop, 2).otherwise(-1))
+            at = F.array_position("seen", c).cast("int") - 1
+            child = F.get("nodes", at)
+            mark = (F.when(at <= n["ord"], 1)
+                    .when((child["parent"] == n["ord"]) & (child["pos"] == i), 0)
+                    .when(F.col("stop").isNull() | (F.struct(
+                        n["ord"].alias("ord"), i.alias("pos")) < F.col("stop")), 2)
+                    .otherwise(-1))
             return F.struct(n["ord"].alias("parent"), mark.alias("mark"),
-                            i.alias("pos"), c.alias("name"))
-        return F.filter(F.transform(n["calls"], edge), lambda e: e["mark"] >= 0)
+                            i.alias("pos"), c.alias("name"), at.alias("child"))
+        known = F.filter(F.transform(n["calls"], lambda c, i: F.struct(
+            c.alias("c"), i.alias("i"))), lambda x: F.array_contains("seen", x["c"]))
+        return F.filter(F.transform(known, lambda x: edge(x["c"], x["i"])),
+                        lambda e: e["mark"] >= 0)
 
     expanded = F.filter("nodes", lambda n: n["found"] & (n["depth"] < F.col("max_depth")))
-    return state.withColumn("edges", F.flatten(F.transform(expanded, of)))
+    return s.withColumn("edges", F.flatten(F.transform(expanded, of)))
 
 
 def trace_edges(state: DataFrame) -> DataFrame:
@@ -163,7 +170,7 @@ def trace_edges(state: DataFrame) -> DataFrame:
     return (_edges(state)
             .select("repo_id", "symbol", "nodes", F.explode("edges").alias("e"))
             .select("repo_id", "symbol",
-                    F.element_at("nodes", F.col("e.parent") + 1)["name"].alias("parent"),
+                    F.get("nodes", F.col("e.parent"))["name"].alias("parent"),
                     F.col("e.name").alias("child"), "e.pos",
                     (F.col("e.mark") > 0).alias("already_visited")))
 
@@ -172,69 +179,60 @@ def trace_tree(state: DataFrame) -> DataFrame:
     """The trace as an indented text tree: repo_id, symbol, tree.
 
     Every line gets the path of its sibling positions; sorting the lines of a
-    root by that path is the pre-order. All of it happens inside the one row.
+    root by that path is the pre-order. Callers come before their callees and
+    tree children appear in visiting order, so one pass over the lines knows
+    path and indent of every caller. All of it happens inside the one row.
     """
     s = _edges(state).where(~F.col("not_found"))
-    hint = "[truncated — use --depth to go deeper]"
-
-    def shown(n):
-        """Children of a node in display order, as (name, child ord or NULL)."""
-        kids = F.filter("edges", lambda e: (e["parent"] == n["ord"]) & (e["mark"] == 0))
-        marks = F.array_sort(F.filter(
-            "edges", lambda e: (e["parent"] == n["ord"]) & (e["mark"] > 0)))
-        return F.concat(
-            F.transform(kids, lambda e: F.struct(
-                e["name"].alias("text"), F.lit(True).alias("is_node"))),
-            F.transform(marks, lambda e: F.struct(
-                F.concat(e["name"], F.lit(" [already visited]")).alias("text"),
-                F.lit(False).alias("is_node"))),
-            F.when(_cut_off(n, F.col("max_depth")), F.array(F.struct(
-                F.lit(hint).alias("text"), F.lit(False).alias("is_node"))))
-            .otherwise(F.array().cast("array<struct<text:string,is_node:boolean>>")))
 
     def label(n):
         return F.concat(n["name"], F.lit("  ["), F.when(
             n["found"], n["place"]).otherwise("not indexed"), F.lit("]"))
 
-    line = "struct<path:array<int>,text:string>"
-    home = "struct<name:string,path:array<int>,indent:string,mark_indent:string>"
+    shown = F.transform("edges", lambda e: F.struct(
+        e["parent"].alias("parent"), e["mark"].alias("mark"), e["pos"].alias("pos"),
+        F.when(e["mark"] == 0, label(F.get("nodes", e["child"])))
+        .otherwise(F.concat(e["name"], F.lit(" [already visited]"))).alias("text")))
+    hints = F.transform(
+        F.filter("nodes", lambda n: _cut_off(n, F.col("max_depth"))),
+        lambda n: F.struct(
+            n["ord"].alias("parent"), F.lit(9).alias("mark"), F.lit(0).alias("pos"),
+            F.lit("[truncated — use --depth to go deeper]").alias("text")))
+    s = s.withColumn("lines", F.array_sort(F.concat(shown, hints)))
+    s = s.withColumn("lines", F.transform("lines", lambda x, i: F.struct(
+        x["parent"].alias("parent"), (x["mark"] == 0).alias("is_node"),
+        x["text"].alias("text"),
+        F.coalesce(F.get("lines", i + 1)["parent"] != x["parent"], F.lit(True))
+        .alias("last"))))
+
+    line = "array<struct<path:array<int>,text:string>>"
+    home = "array<struct<path:array<int>,indent:string,mark_indent:string>>"
     start = F.struct(
-        F.array().cast(f"array<{line}>").alias("lines"),
-        F.array(F.struct(
-            F.element_at("nodes", 1)["name"].alias("name"),
-            F.array().cast("array<int>").alias("path"), F.lit("").alias("indent"),
-            F.lit("    ").alias("mark_indent"))).cast(f"array<{home}>").alias("homes"))
-
-    def draw(acc, n):
-        here = F.element_at(F.filter(acc["homes"], lambda h: h["name"] == n["name"]), 1)
-        kids = shown(n)
-        last = F.size(kids) - 1
-
-        def path(i):
-            return F.array_append(here["path"], i.cast("int"))
-
-        def child_label(name):
-            return label(F.element_at(F.filter("nodes", lambda m: m["name"] == name), 1))
-
-        lines = F.transform(kids, lambda k, i: F.struct(
-            path(i).alias("path"),
-            F.concat(F.when(k["is_node"], here["indent"]).otherwise(here["mark_indent"]),
-                     F.when(i == last, "└── ").otherwise("├── "),
-                     F.when(k["is_node"], child_label(k["text"])).otherwise(k["text"])
-                     ).alias("text")))
-        deeper = F.transform(kids, lambda k, i: F.concat(
-            here["indent"], F.when(i == last, "    ").otherwise("│   ")))
-        homes = F.filter(F.transform(kids, lambda k, i: F.struct(
-            F.when(k["is_node"], k["text"]).alias("name"), path(i).alias("path"),
-            F.element_at(deeper, i + 1).alias("indent"),
-            F.element_at(deeper, i + 1).alias("mark_indent"))),
-            lambda h: h["name"].isNotNull())
-        return F.struct(F.concat(acc["lines"], lines).alias("lines"),
-                        F.concat(acc["homes"], homes).alias("homes"))
-
-    drawn = F.aggregate("nodes", start, draw)
-    text = F.concat_ws("\n", label(F.element_at("nodes", 1)), F.transform(
-        F.array_sort(drawn["lines"]), lambda x: x["text"]))
+        F.array().cast(line).alias("lines"),
+        F.array(F.struct(F.array().cast("array<int>").alias("path"),
+                         F.lit("").alias("indent"),
+                         F.lit("    ").alias("mark_indent"))).cast(home).alias("homes"),
+        F.lit(-1).alias("parent"), F.lit(0).alias("i"))
+
+    def draw(acc, x):
+        here = F.get(acc["homes"], x["parent"])
+        i = F.when(x["parent"] == acc["parent"], acc["i"] + 1).otherwise(1)
+        path = F.array_append(here["path"], i)
+        text = F.concat(
+            F.when(x["is_node"], here["indent"]).otherwise(here["mark_indent"]),
+            F.when(x["last"], "└── ").otherwise("├── "), x["text"])
+        indent = F.concat(here["indent"], F.when(x["last"], "    ").otherwise("│   "))
+        return F.struct(
+            F.array_append(acc["lines"], F.struct(
+                path.alias("path"), text.alias("text"))).alias("lines"),
+            F.when(x["is_node"], F.array_append(acc["homes"], F.struct(
+                path.alias("path"), indent.alias("indent"),
+                indent.alias("mark_indent")))).otherwise(acc["homes"]).alias("homes"),
+            x["parent"].alias("parent"), i.alias("i"))
+
+    drawn = F.aggregate("lines", start, draw, lambda acc: acc["lines"])
+    text = F.concat_ws("\n", label(F.get("nodes", F.lit(0))), F.transform(
+        F.array_sort(drawn), lambda x: x["text"]))
     return s.select("repo_id", "symbol", text.alias("tree"))
 
 
