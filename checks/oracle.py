@@ -318,3 +318,183 @@ SELECT r.repo_id, 'REPO: ' || r.repo_id || chr(10) || 'SCOPE: full repo' || chr(
       FROM sel JOIN c USING (repo_id, chunk_key) WHERE sel.repo_id = r.repo_id) AS evidence
 FROM (SELECT DISTINCT repo_id FROM c) r""",
 }
+
+# --- paths, reports, incremental index -------------------------------------
+
+from checks.views import DIRS, NAMES  # noqa: E402
+
+PATHS = f"""
+p AS (SELECT doc_id, lang, n_chars * 100 AS length, {_list(DIRS)}[(doc_id % 8) + 1] || '/'
+    || {_list(NAMES)}[((doc_id // 8) % 9) + 1] AS rel FROM documents),
+pp AS (SELECT *, '/r/' || lang || '/' || rel AS path, string_split(rel, '/') AS parts,
+    regexp_extract(rel, '^(?:.*/)?\\.*[^/.][^/]*?(\\.[^./]+)$', 1) AS suffix,
+    regexp_extract(rel, '[^/]*$') AS file FROM p),
+ps AS (SELECT *, list_slice(parts, 1, len(parts) - 1) AS dirs,
+    file[1:length(file) - length(suffix)] AS stem FROM pp)"""
+HITS = """
+h AS (SELECT t.conv_id AS query_id, c.*, (t.conv_id + t.turn) * 37 % 100 / 100.0::DOUBLE AS rerank_score,
+    row_number() OVER (PARTITION BY t.conv_id ORDER BY (t.conv_id + t.turn) * 37 % 100 DESC,
+      c.chunk_key) AS hit_rank
+  FROM conversations t JOIN c ON c.doc_id = t.conv_id + t.turn)"""
+CONV = """
+cq AS (SELECT conv_id AS query_id, coalesce(string_agg(text, ' ' ORDER BY turn)
+    FILTER (role = 'user'), '') AS question FROM conversations GROUP BY conv_id)"""
+RESP = """
+resp AS (SELECT query_id, string_agg(['**Answer:** ', '**how it works:** ',
+      '**Where to look next:** ', ''][least(k, 4)] || text || ' [' || turn || ']',
+      chr(10) ORDER BY turn) || chr(10) || '  Citations:' || chr(10) || '[1] somewhere' AS response
+  FROM (SELECT conv_id AS query_id, turn, text, row_number() OVER (
+      PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant')
+  GROUP BY query_id)"""
+STRIPPED = """
+ans AS (SELECT query_id, CASE WHEN regexp_matches(response, '(?im)^[ \\t]*citations')
+  THEN regexp_replace(regexp_replace(response, '(?ims)^[ \\t]*citations.*\\z', ''), '\\s+\\z', '')
+  ELSE response END AS answer FROM resp)"""
+LABELLED = """
+lb AS (SELECT * EXCLUDE (doc_id), '[' || hit_rank || ']' AS label FROM h WHERE hit_rank <= 8),
+cit AS (SELECT lb.* FROM lb JOIN resp USING (query_id) WHERE contains(response, label))"""
+
+
+def section(text: str, start: str, header: str, end: str) -> str:
+    after = f"regexp_extract({text}, '{start}{header}(.*)\\z', 1)"
+    return (f"CASE WHEN regexp_matches({text}, '{start}{header}') THEN regexp_replace("
+            f"regexp_replace({after}, '{end}', ''), '\\A\\s+|\\s+\\z', '', 'g') END")
+
+
+def answer_part(key: str) -> str:
+    heads = "|".join(M.ANSWER_HEADERS.values())
+    return section("answer", r"(?is)\A.*", rf"\*\*{M.ANSWER_HEADERS[key]}:\*\*",
+                   rf"(?is)\*\*(?:{heads}):\*\*.*\z")
+
+
+def briefing_part(key: str) -> str:
+    heads = "|".join(M.BRIEFING_HEADERS.values())
+    return section("briefing", r"(?ims)\A(?:.*^)?", rf"{M.BRIEFING_HEADERS[key]}[ \t]*$",
+                   rf"(?ims)^(?:{heads})[ \t]*$.*\z")
+
+
+FILES = """
+fl AS (SELECT lang AS repo_id, '/' || lang || '/' || source || '/doc_' || doc_id || '.py' AS file_path,
+  text, doc_id, strlen(text) AS length FROM documents),
+oh AS (SELECT repo_id, file_path, sha256(text || CASE WHEN toxic = 1 THEN 'x' ELSE '' END) AS sha256
+    FROM fl JOIN labels USING (doc_id)
+  UNION ALL SELECT 'en', '/en/pages/p_' || page_id || '.js', sha256(html) FROM pages),
+ch AS (SELECT fl.repo_id, fl.file_path, sha256(text) AS sha256, CASE WHEN oh.sha256 IS NULL THEN 'new'
+    WHEN oh.sha256 = sha256(text) THEN 'unchanged' ELSE 'changed' END AS status, length
+  FROM fl LEFT JOIN oh USING (repo_id, file_path)),
+gone AS (SELECT repo_id, file_path FROM oh ANTI JOIN fl USING (repo_id, file_path)),
+stale AS (SELECT repo_id, file_path FROM ch WHERE status <> 'unchanged'
+  UNION ALL SELECT * FROM gone),
+kept AS (SELECT repo_id, file_path, unnest([1, 9]) AS start_line FROM oh
+  ANTI JOIN stale USING (repo_id, file_path))"""
+LABELS_OF = """coalesce((SELECT string_agg(label, ',' ORDER BY hit_rank) FROM cit
+    WHERE cit.query_id = cq.query_id), '')"""
+
+ORACLE |= {
+    "FLT_1_ignored_dirs": with_(PATHS) + f"""
+SELECT doc_id, rel FROM ps WHERE len(list_filter(dirs,
+  lambda d: d IN {_in(M.IGNORED_DIRS)} OR starts_with(d, '.'))) = 0""",
+    "FLT_2_test_code": with_(PATHS) + f"""
+SELECT doc_id, rel FROM ps WHERE len(list_filter(dirs, lambda d: lower(d) IN {_in(M.TEST_DIRS)})) = 0
+  AND NOT starts_with(stem, 'test_') AND NOT suffix(stem, '_test')""",
+    "FLT_3_extensions": with_(PATHS) + f"""
+SELECT doc_id, rel FROM ps WHERE suffix IN {_in(M.SOURCE_EXTENSIONS)}""",
+    "FLT_4_file_size": with_(PATHS) + "\nSELECT doc_id, rel FROM ps WHERE length <= 512000",
+    "FLT_5_path_prefix": with_(PATHS) + "\nSELECT doc_id, rel FROM ps WHERE starts_with(lower(rel), 'src')",
+    "PRJ_1_relative_path": with_(PATHS) + """
+SELECT doc_id, CASE WHEN starts_with(path, '/r/en/') THEN path[7:] ELSE path END AS rel_en FROM ps""",
+    "PRJ_2_display_path": with_(PATHS) + """
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN rel ELSE parts[-2] || '/' || parts[-1] END AS display FROM ps""",
+    "PRJ_3_search_text": with_(CHUNKS) + "\nSELECT chunk_key, search_text FROM c",
+    "PRJ_4_language": with_(PATHS) + """
+SELECT doc_id, CASE lower(suffix) WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript'
+  WHEN '.tsx' THEN 'tsx' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' END AS language
+FROM ps""",
+    "PRJ_5_confidence": with_(CHUNKS, HITS) + """
+SELECT query_id, CASE WHEN rerank_score >= 0.4 THEN 'high' WHEN rerank_score >= 0.05
+  THEN 'medium' ELSE 'low' END AS confidence FROM h WHERE hit_rank = 1""",
+    "PRJ_6_keyword_tokens": with_(QUESTIONS) + f"""
+SELECT query_id, array_to_string({tokens('question', 2)}, '|') AS tokens FROM q""",
+    "PRJ_7_rerank_tokens": with_(QUESTIONS) + f"""
+SELECT query_id, array_to_string({tokens('question', 1)}, '|') AS tokens FROM q""",
+    "SNK_2_hit_report": with_(CHUNKS, HITS, CONV) + """
+SELECT cq.query_id, coalesce(string_agg('── Result ' || hit_rank || ' ──────────────────────────────'
+  || chr(10) || 'File:     ' || file_rel_path || chr(10) || 'Function: ' || name || '  (lines '
+  || start_line || '–' || end_line || ')' || chr(10) || 'Score:    ' || printf('%.4f', rerank_score)
+  || chr(10) || chr(10) || source || chr(10), chr(10) ORDER BY hit_rank), 'No results found.') AS report
+FROM cq LEFT JOIN h USING (query_id) GROUP BY cq.query_id""",
+    "TXT_1_prompts": with_(CHUNKS, HITS, CONV) + """
+SELECT query_id, string_agg('CHUNK [' || hit_rank || ']' || chr(10) || 'File: ' || file_rel_path
+  || '  Lines: ' || start_line || '-' || end_line || chr(10) || 'Function: '
+  || coalesce(parent_class || '.', '') || name || chr(10) || '---' || chr(10) || source,
+  chr(10) || chr(10) ORDER BY hit_rank) || chr(10) || chr(10) || 'QUESTION: ' || any_value(question)
+  || chr(10) || chr(10) || 'ANSWER (cite chunks inline using [1], [2] etc.):' AS prompt
+FROM h JOIN cq USING (query_id) WHERE hit_rank <= 8 GROUP BY query_id""",
+    "TXT_2_caution": with_(CHUNKS, HITS) + """
+SELECT query_id, rerank_score AS top_score, rerank_score < 0.4 AS needs_caution FROM h WHERE hit_rank = 1""",
+    "TXT_3_citations": with_(CHUNKS, HITS, RESP, LABELLED) + """
+SELECT query_id, label, file_rel_path, name, parent_class, is_truncated, start_line, end_line FROM cit""",
+    "TXT_4_strip_citations": with_(RESP, STRIPPED) + "\nSELECT query_id, answer FROM ans",
+    "TXT_5_answer_sections": with_(RESP, STRIPPED) + f"""
+SELECT query_id, coalesce({answer_part('answer')}, answer) AS answer,
+  {answer_part('how_it_works')} AS how_it_works, {answer_part('where_to_look')} AS where_to_look FROM ans""",
+    "TXT_6_briefing_sections": "WITH br AS (SELECT conv_id AS query_id, string_agg("
+    + "coalesce(CASE WHEN conv_id % 2 = 0 THEN lower(hd) ELSE hd END || '  ' || chr(10), '') || text,"
+    + " chr(10) ORDER BY turn) AS briefing FROM (SELECT *, "
+    + _list(M.BRIEFING_HEADERS.values()) + "[row_number() OVER (PARTITION BY conv_id ORDER BY turn)] AS hd"
+    + " FROM conversations) GROUP BY conv_id) SELECT query_id, "
+    + ", ".join(f"{briefing_part(k)} AS {k}" for k in M.BRIEFING_HEADERS) + " FROM br",
+    "TXT_7_narration_input": rec(CHUNKS, EDGES, trace_sql(NAMES), TREE) + """
+, cl AS (SELECT e.repo_id, e.dst_name AS symbol, c.chunk_key, c.name, c.file_rel_path, c.start_line,
+    row_number() OVER (PARTITION BY e.repo_id, e.dst_name ORDER BY c.chunk_key) AS r
+  FROM e JOIN c USING (repo_id, chunk_key) QUALIFY r <= 5),
+cs AS (SELECT repo_id, symbol, string_agg('  ' || name || '  [' || file_rel_path || ':' || start_line
+    || ']', chr(10) ORDER BY r) AS body FROM cl GROUP BY ALL)
+SELECT repo_id, symbol, 'SYMBOL: ' || symbol || chr(10) || chr(10) || 'FORWARD CALL TREE:' || chr(10)
+  || tree || chr(10) || chr(10) || 'CALLERS OF ' || symbol || ':' || chr(10)
+  || coalesce(body, '  (no callers found in index)') AS context
+FROM tree LEFT JOIN cs USING (repo_id, symbol)""",
+    "TXT_8_answer_records": with_(CHUNKS, HITS, CONV, RESP, STRIPPED, LABELLED) + f"""
+, u AS (SELECT query_id, count(*) AS chunks_used FROM lb GROUP BY ALL),
+t AS (SELECT query_id, rerank_score FROM h WHERE hit_rank = 1)
+SELECT query_id, coalesce(chunks_used, 0) AS chunks_used,
+  CASE WHEN chunks_used IS NULL THEN 'No relevant code found for this query.'
+    ELSE coalesce(answer, '') END AS answer,
+  CASE WHEN chunks_used IS NOT NULL THEN {answer_part('how_it_works')} END AS how_it_works,
+  CASE WHEN chunks_used IS NULL THEN 'low' WHEN rerank_score >= 0.4 THEN 'high'
+    WHEN rerank_score >= 0.05 THEN 'medium' ELSE 'low' END AS confidence, {LABELS_OF} AS labels
+FROM cq LEFT JOIN u USING (query_id) LEFT JOIN t USING (query_id) LEFT JOIN ans USING (query_id)""",
+    "TXT_9_cited_order": with_(CHUNKS, HITS, RESP, LABELLED) + """
+, l AS (SELECT query_id, name, min(hit_rank) AS label_no FROM cit GROUP BY ALL)
+SELECT query_id, chunk_key, label_no, row_number() OVER (PARTITION BY query_id
+  ORDER BY label_no NULLS LAST, hit_rank) AS position FROM h LEFT JOIN l USING (query_id, name)""",
+    "TXT_10_label_mentions": with_(RESP, STRIPPED) + """
+SELECT query_id, label_no, count(*) AS mentions FROM (SELECT query_id,
+  unnest(regexp_extract_all(answer, '\\[(\\d+)\\]', 1)) AS label_no FROM ans) GROUP BY ALL""",
+    "SRC_2_content_hash": with_(FILES) + "\nSELECT file_path, sha256(text) AS sha256 FROM fl",
+    "SRC_3_metadata_scan": with_(CHUNKS) + """
+SELECT chunk_key, file_rel_path, node_type, name, parent_class, len(calls) AS n_calls, start_line,
+  end_line FROM c WHERE starts_with(lower(file_rel_path), 'src1')""",
+    "INC_1_change_detection": with_(FILES) + "\nSELECT repo_id, file_path, status FROM ch",
+    "INC_1_forced": with_(FILES) + """
+SELECT repo_id, file_path, replace(status, 'un', '') AS status FROM ch""",
+    "INC_2_kept_chunks": with_(FILES) + "\nSELECT * FROM kept",
+    "INC_3_new_hashes": with_(FILES) + """
+SELECT repo_id, file_path, sha256 FROM oh ANTI JOIN stale USING (repo_id, file_path)
+UNION ALL SELECT repo_id, file_path, sha256 FROM ch WHERE status <> 'unchanged'""",
+    "INC_4_orphans": with_(FILES) + "\nSELECT * FROM gone",
+    "INC_5_index_stats": with_(FILES) + """
+, a AS (SELECT repo_id, count(*) AS total_files, count_if(status <> 'unchanged') AS indexed,
+    count_if(status = 'unchanged') AS skipped FROM ch GROUP BY ALL),
+b AS (SELECT repo_id, count(*) AS cleaned FROM gone GROUP BY ALL)
+SELECT repo_id, coalesce(total_files, 0) AS total_files, coalesce(indexed, 0) AS indexed,
+  coalesce(skipped, 0) AS skipped, coalesce(indexed, 0) * 2 AS total_chunks,
+  coalesce(cleaned, 0) AS cleaned, 0 AS errors FROM a FULL JOIN b USING (repo_id)""",
+    "INC_6_error_rows": with_(FILES) + """
+SELECT repo_id, file_path, file_path || ': content is not UTF-8' AS error FROM ch WHERE length % 2 = 1""",
+    "INC_7_batched_embedding": with_(CHUNKS) + """
+SELECT chunk_key, length(search_text) AS chars, length(search_text) - length(replace(search_text, ' ', ''))
+  AS blanks, length(search_text) - length(replace(search_text, chr(10), '')) AS breaks FROM c""",
+    "SNK_1_chunk_snapshot": with_(FILES) + """
+SELECT * FROM kept UNION ALL SELECT repo_id, file_path, unnest([2, 5]) FROM ch WHERE status <> 'unchanged'""",
+}

@@ -1,12 +1,15 @@
 """The registered queries: one callable (spark, sf_dir) -> DataFrame per operator."""
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from checks import views as V
-from sparklode import model as M
 from sparklode.functions import paths, text as X
-from sparklode.operators import graph, search, trace
+from sparklode.functions.storage import graph_facts, materialize, shared_dir
+from sparklode.operators import graph, incremental as inc, report, search, trace
 from sparklode.plans.retrieve import retrieve
+from sparklode.sources import snapshots
 
 QUERIES: dict = {}
 
@@ -151,8 +154,9 @@ def GRF_4_callee_files(spark, sf) -> DataFrame:
 
 @query
 def GRF_5_entry_points(spark, sf) -> DataFrame:
-    c = V.chunks(spark, sf)
-    return graph.entry_points(c, _counts(spark, sf)).select(
+    c = graph_facts(V.chunks(spark, sf))
+    counts = graph.inbound_counts(graph.call_edges(c))
+    return graph.entry_points(c, counts).select(
         "repo_id", "chunk_key", "name", "file_rel_path", *_long("signal", "rank"))
 
 
@@ -162,7 +166,8 @@ def GRF_6_structural_score(spark, sf) -> DataFrame:
 
 
 def _selected(spark, sf):
-    c, counts = V.chunks(spark, sf), _counts(spark, sf)
+    c = graph_facts(V.chunks(spark, sf))
+    counts = graph.inbound_counts(graph.call_edges(c))
     return graph.select_representatives(
         graph.structural_score(c, counts), graph.entry_points(c, counts))
 
@@ -174,7 +179,7 @@ def GRF_7_diverse_selection(spark, sf) -> DataFrame:
 
 
 def _state(spark, sf):
-    c = V.chunks(spark, sf)
+    c = graph_facts(V.chunks(spark, sf))
     symbols = c.select("repo_id", F.col("name").alias("symbol")).distinct()
     return trace.forward_state(symbols, c)
 
@@ -194,7 +199,7 @@ def GRF_8_forward_trace_edges(spark, sf) -> DataFrame:
 
 @query
 def GRF_9_backward_trace(spark, sf) -> DataFrame:
-    c = V.chunks(spark, sf)
+    c = graph_facts(V.chunks(spark, sf))
     symbols = c.select("repo_id", F.col("name").alias("symbol")).distinct()
     return graph.callers(symbols, graph.call_edges(c), c).select(
         "repo_id", "symbol", "chunk_key", "name", "file_rel_path", *_long("start_line"))
@@ -208,7 +213,7 @@ def GRF_10_trace_tree(spark, sf) -> DataFrame:
 @query
 def GRF_11_trace_bundle(spark, sf) -> DataFrame:
     """Traces every called name, indexed or not."""
-    c = V.chunks(spark, sf)
+    c = graph_facts(V.chunks(spark, sf))
     e = graph.call_edges(c)
     symbols = e.select("repo_id", F.col("dst_name").alias("symbol")).distinct()
     return trace.run_trace(symbols, c, e).select(
@@ -220,3 +225,257 @@ def GRF_11_trace_bundle(spark, sf) -> DataFrame:
 def GRF_12_tour_evidence(spark, sf) -> DataFrame:
     from sparklode.plans.tour import tour
     return tour(V.chunks(spark, sf)).evidence
+
+
+# --- paths and scalar text -------------------------------------------------
+
+def _paths(spark, sf, keep=None):
+    p = V.listed_paths(spark, sf)
+    return (p if keep is None else p.where(keep)).select("doc_id", "rel")
+
+
+@query
+def FLT_1_ignored_dirs(spark, sf) -> DataFrame:
+    return _paths(spark, sf, ~paths.in_ignored_dir("rel"))
+
+
+@query
+def FLT_2_test_code(spark, sf) -> DataFrame:
+    return _paths(spark, sf, ~paths.is_test_code("rel"))
+
+
+@query
+def FLT_3_extensions(spark, sf) -> DataFrame:
+    return _paths(spark, sf, paths.has_source_extension("rel"))
+
+
+@query
+def FLT_4_file_size(spark, sf) -> DataFrame:
+    return _paths(spark, sf, paths.within_size("length"))
+
+
+@query
+def FLT_5_path_prefix(spark, sf) -> DataFrame:
+    return _paths(spark, sf, paths.under_prefix(F.col("rel"), "SRC/"))
+
+
+@query
+def PRJ_1_relative_path(spark, sf) -> DataFrame:
+    return V.listed_paths(spark, sf).select(
+        "doc_id", paths.relative_path("path", "/r/en").alias("rel_en"))
+
+
+@query
+def PRJ_2_display_path(spark, sf) -> DataFrame:
+    p = V.listed_paths(spark, sf).withColumn(
+        "shown", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), "rel")).otherwise(" "))
+    return p.select("doc_id", paths.display_path("shown", "path").alias("display"))
+
+
+@query
+def PRJ_3_search_text(spark, sf) -> DataFrame:
+    return V.chunks(spark, sf).select("chunk_key", "search_text")
+
+
+@query
+def PRJ_4_language(spark, sf) -> DataFrame:
+    return V.listed_paths(spark, sf).select(
+        "doc_id", paths.language("rel").alias("language"))
+
+
+@query
+def PRJ_5_confidence(spark, sf) -> DataFrame:
+    return V.hits(spark, sf).where("hit_rank = 1").select(
+        "query_id", X.confidence(F.col("rerank_score")).alias("confidence"))
+
+
+@query
+def PRJ_6_keyword_tokens(spark, sf) -> DataFrame:
+    return V.queries(spark, sf).select("query_id", F.concat_ws(
+        "|", X.question_tokens("question", 2)).alias("tokens"))
+
+
+@query
+def PRJ_7_rerank_tokens(spark, sf) -> DataFrame:
+    return V.queries(spark, sf).select("query_id", F.concat_ws(
+        "|", X.question_tokens("question", 1)).alias("tokens"))
+
+
+# --- prompts, answers, reports ---------------------------------------------
+
+@query
+def SNK_2_hit_report(spark, sf) -> DataFrame:
+    return report.format_hits(V.conv_questions(spark, sf), V.hits(spark, sf))
+
+
+@query
+def TXT_1_prompts(spark, sf) -> DataFrame:
+    return report.assemble_prompts(report.labelled_chunks(V.hits(spark, sf)),
+                                   V.conv_questions(spark, sf))
+
+
+@query
+def TXT_2_caution(spark, sf) -> DataFrame:
+    return report.caution_flags(V.hits(spark, sf)).select(
+        "query_id", "top_score", "needs_caution")
+
+
+def _citations(spark, sf):
+    return report.citations(report.labelled_chunks(V.hits(spark, sf)),
+                            V.responses(spark, sf))
+
+
+@query
+def TXT_3_citations(spark, sf) -> DataFrame:
+    return _citations(spark, sf).select(
+        "query_id", "label", "file_rel_path", "name", "parent_class", "is_truncated",
+        *_long("start_line", "end_line"))
+
+
+@query
+def TXT_4_strip_citations(spark, sf) -> DataFrame:
+    return V.responses(spark, sf).select(
+        "query_id", report.strip_citations("response").alias("answer"))
+
+
+@query
+def TXT_5_answer_sections(spark, sf) -> DataFrame:
+    return V.responses(spark, sf).select(
+        "query_id", report.answer_sections(report.strip_citations("response")).alias("s")
+    ).select("query_id", "s.*")
+
+
+@query
+def TXT_6_briefing_sections(spark, sf) -> DataFrame:
+    return V.briefings(spark, sf).select(
+        "query_id", report.briefing_sections("briefing").alias("s")).select("query_id", "s.*")
+
+
+@query
+def TXT_7_narration_input(spark, sf) -> DataFrame:
+    c = graph_facts(V.chunks(spark, sf))
+    symbols = c.select("repo_id", F.col("name").alias("symbol")).distinct()
+    trees = trace.trace_tree(trace.forward_state(symbols, c))
+    return report.narration_inputs(trees, graph.callers(symbols, graph.call_edges(c), c))
+
+
+@query
+def TXT_8_answer_records(spark, sf) -> DataFrame:
+    out = report.answer_records(V.conv_questions(spark, sf), V.hits(spark, sf),
+                                V.responses(spark, sf))
+    return out.select(
+        "query_id", "answer", "sections.how_it_works", "chunks_used", "confidence",
+        F.concat_ws(",", F.transform("citations", lambda c: c["label"])).alias("labels"))
+
+
+@query
+def TXT_9_cited_order(spark, sf) -> DataFrame:
+    return report.display_order(V.hits(spark, sf), _citations(spark, sf)).select(
+        "query_id", "chunk_key", *_long("label_no", "position"))
+
+
+@query
+def TXT_10_label_mentions(spark, sf) -> DataFrame:
+    return report.label_mentions(V.responses(spark, sf).select(
+        "query_id", report.strip_citations("response").alias("answer")))
+
+
+# --- incremental index -----------------------------------------------------
+
+def _changes(spark, sf, force=False):
+    return inc.detect_changes(V.files(spark, sf), V.old_hashes(spark, sf), force)
+
+
+def _gone(spark, sf):
+    return inc.orphans(V.old_hashes(spark, sf), V.files(spark, sf))
+
+
+@query
+def SRC_2_content_hash(spark, sf) -> DataFrame:
+    return inc.content_hash(V.files(spark, sf)).select("file_path", "sha256")
+
+
+@query
+def SRC_3_metadata_scan(spark, sf) -> DataFrame:
+    """Metadata columns of the chunks under a path scope; no vectors, no text."""
+    c = V.chunks(spark, sf)
+    return c.where(paths.under_prefix(F.col("file_rel_path"), "src1")).select(
+        "chunk_key", "file_rel_path", "node_type", "name", "parent_class",
+        F.size("calls").cast("long").alias("n_calls"), *_long("start_line", "end_line"))
+
+
+@query
+def INC_1_change_detection(spark, sf) -> DataFrame:
+    return _changes(spark, sf).select("repo_id", "file_path", "status")
+
+
+@query
+def INC_1_forced(spark, sf) -> DataFrame:
+    return _changes(spark, sf, force=True).select("repo_id", "file_path", "status")
+
+
+@query
+def INC_2_kept_chunks(spark, sf) -> DataFrame:
+    return inc.kept_chunks(V.old_chunks(spark, sf), _changes(spark, sf), _gone(spark, sf)
+                           ).select("repo_id", "file_path", *_long("start_line"))
+
+
+@query
+def INC_3_new_hashes(spark, sf) -> DataFrame:
+    return inc.new_hashes(V.old_hashes(spark, sf), _changes(spark, sf), _gone(spark, sf))
+
+
+@query
+def INC_4_orphans(spark, sf) -> DataFrame:
+    return _gone(spark, sf)
+
+
+@query
+def INC_5_index_stats(spark, sf) -> DataFrame:
+    changes = _changes(spark, sf)
+    made = inc.to_index(changes).select("repo_id", F.explode(F.array(F.lit(1), F.lit(9))))
+    return inc.index_stats(changes, made, _gone(spark, sf))
+
+
+def _broken(spark, sf):
+    """Documents of odd byte length get one invalid byte at the end."""
+    bad = F.col("length") % 2 == 1
+    return V.files(spark, sf).withColumn("content", F.when(bad, F.concat(
+        "content", F.unhex(F.lit("FF")))).otherwise(F.col("content")))
+
+
+@query
+def INC_6_error_rows(spark, sf) -> DataFrame:
+    return inc.errors(inc.detect_changes(_broken(spark, sf), V.old_hashes(spark, sf)))
+
+
+def _shape(texts):
+    return [[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in texts]
+
+
+@query
+def INC_7_batched_embedding(spark, sf) -> DataFrame:
+    """Injected embedder: characters, blanks and line ends of each text."""
+    return inc.embed(V.chunks(spark, sf), _shape).select(
+        "chunk_key", *[F.col("embedding")[i].cast("long").alias(n)
+                       for i, n in enumerate(("chars", "blanks", "breaks"))])
+
+
+@query
+def INC_7_hashing_embedding(spark, sf) -> DataFrame:
+    e = inc.embed_hashing(V.chunks(spark, sf))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return e.select("chunk_key", F.round(norm, 4).alias("norm"))
+
+
+@query
+def SNK_1_chunk_snapshot(spark, sf) -> DataFrame:
+    """Kept chunks plus new ones, written as a version, published, read back."""
+    changes = materialize(_changes(spark, sf))
+    kept = inc.kept_chunks(V.old_chunks(spark, sf), changes, _gone(spark, sf))
+    new = inc.to_index(changes).select("repo_id", "file_path", F.explode(
+        F.array(F.lit(2), F.lit(5))).alias("start_line"))
+    base = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    snapshots.publish(spark, base, snapshots.write_snapshot(kept.unionByName(new), base))
+    return snapshots.current_snapshot(spark, base).select(
+        F.col("repo_id").cast("string").alias("repo_id"), "file_path", *_long("start_line"))

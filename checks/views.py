@@ -77,3 +77,104 @@ def part_edges(spark, sf) -> DataFrame:
     return steps.select(F.lit("parts").alias("repo_id"),
                         F.col("src").cast("string").alias("src_name"),
                         F.col("dst").cast("string").alias("dst_name"))
+
+
+# Path predicates: directories and file names are combined by doc_id.
+DIRS = ["src/pkg", "tests", ".git/hooks", "web/node_modules/x", "lib/Spec", "app/.hidden",
+        "SRC2/core", "e2e/deep"]
+NAMES = ["test_a.py", "b_test.py", "main.py", "a.test.ts", "b.TSX", "c.jsx", "Makefile",
+         ".py", "d.tar.js"]
+
+
+def listed_paths(spark, sf) -> DataFrame:
+    """One path per document, with a made-up size derived from its length."""
+    dirs, names = (F.array(*[F.lit(x) for x in xs]) for xs in (DIRS, NAMES))
+    rel = F.concat(F.get(dirs, F.pmod("doc_id", F.lit(8)).cast("int")), F.lit("/"),
+                   F.get(names, F.pmod(F.floor(F.col("doc_id") / 8), F.lit(9)).cast("int")))
+    return table(spark, sf, "documents").select(
+        "doc_id", rel.alias("rel"), F.concat(F.lit("/r/"), "lang", F.lit("/"), rel).alias("path"),
+        F.concat(F.lit("/r/"), "lang").alias("root"), "lang",
+        (F.col("n_chars") * 100).alias("length"))
+
+
+def hits(spark, sf) -> DataFrame:
+    """Ranked hits per conversation: turn t of conversation c hits document c + t."""
+    turns = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("query_id"), (F.col("conv_id") + F.col("turn")).alias("doc_id"))
+    from sparklode.operators.topk import rank_rows
+    score = (F.pmod(F.col("doc_id") * 37, F.lit(100)) / F.lit(100.0))
+    h = turns.join(chunks(spark, sf), "doc_id").withColumn("rerank_score", score)
+    return rank_rows(h, [F.desc("rerank_score"), "chunk_key"], None, "hit_rank")
+
+
+def _joined(rows, order, text, sep, name):
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(
+        F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))),
+        lambda r: r["t"]), sep).alias(name))
+
+
+def conv_questions(spark, sf) -> DataFrame:
+    """Every conversation; its question is the text of its user turns."""
+    c = table(spark, sf, "conversations").withColumnRenamed("conv_id", "query_id")
+    asked = _joined(c.where("role = 'user'"), "turn", F.col("text"), " ", "question")
+    return c.select("query_id").distinct().join(asked, "query_id", "left").select(
+        "query_id", F.coalesce("question", F.lit("")).alias("question"))
+
+
+def responses(spark, sf) -> DataFrame:
+    """Assistant turns with section headers, [n] marks and a CITATIONS block."""
+    from pyspark.sql import Window
+    c = (table(spark, sf, "conversations").where("role = 'assistant'")
+         .withColumnRenamed("conv_id", "query_id")
+         .withColumn("k", F.row_number().over(
+             Window.partitionBy("query_id").orderBy("turn"))))
+    head = (F.when(F.col("k") == 1, "**Answer:** ").when(F.col("k") == 2, "**how it works:** ")
+            .when(F.col("k") == 3, "**Where to look next:** ").otherwise(""))
+    text = F.concat(head, "text", F.lit(" ["), F.col("turn").cast("string"), F.lit("]"))
+    body = _joined(c, "turn", text, "\n", "body")
+    return body.select("query_id", F.concat(
+        "body", F.lit("\n  Citations:\n[1] somewhere")).alias("response"))
+
+
+def briefings(spark, sf) -> DataFrame:
+    """All turns of a conversation, the first five under briefing headers."""
+    from pyspark.sql import Window
+    heads = F.array(*[F.lit(h) for h in M.BRIEFING_HEADERS.values()])
+    c = (table(spark, sf, "conversations").withColumnRenamed("conv_id", "query_id")
+         .withColumn("k", F.row_number().over(
+             Window.partitionBy("query_id").orderBy("turn"))))
+    head = F.get(heads, F.col("k") - 1)
+    head = F.when(F.col("query_id") % 2 == 0, F.lower(head)).otherwise(head)
+    text = F.concat(F.coalesce(F.concat(head, F.lit("  \n")), F.lit("")), "text")
+    return _joined(c, "turn", text, "\n", "briefing")
+
+
+def files(spark, sf) -> DataFrame:
+    """Every document as a source file."""
+    path = F.concat(F.lit("/"), "lang", F.lit("/"), "source", F.lit("/doc_"),
+                    F.col("doc_id").cast("string"), F.lit(".py"))
+    return spread(table(spark, sf, "documents")).select(
+        F.col("lang").alias("repo_id"), path.alias("file_path"),
+        F.expr("substring(concat('/', source, '/doc_', doc_id, '.py'), 2)").alias("file_rel_path"),
+        F.octet_length("text").cast("long").alias("length"),
+        F.col("text").cast("binary").alias("content"), "doc_id")
+
+
+def old_hashes(spark, sf) -> DataFrame:
+    """Stored hashes: labelled documents (toxic ones with other content), and pages
+    as files that no longer exist."""
+    f = files(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+    old = F.when(F.col("toxic") == 1, F.concat(F.col("content"), F.lit("x").cast("binary"))
+                 ).otherwise(F.col("content"))
+    known = f.select("repo_id", "file_path", F.sha2(old, 256).alias("sha256"))
+    pages = table(spark, sf, "pages").select(
+        F.lit("en").alias("repo_id"),
+        F.concat(F.lit("/en/pages/p_"), F.col("page_id").cast("string"), F.lit(".js")).alias("file_path"),
+        F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+    return known.unionByName(pages)
+
+
+def old_chunks(spark, sf) -> DataFrame:
+    """Two stored chunks for every stored file."""
+    return old_hashes(spark, sf).select(
+        "repo_id", "file_path", F.explode(F.array(F.lit(1), F.lit(9))).alias("start_line"))

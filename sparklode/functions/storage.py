@@ -31,6 +31,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def graph_facts(chunks: DataFrame) -> DataFrame:
+    """The narrow part of a chunk table that structure operators read, stored.
+
+    Structure plans read these columns up to eight times; without texts the
+    table is a small part of the corpus.
+    """
+    return materialize(chunks.select(
+        "repo_id", "chunk_key", "file_path", "file_rel_path", "node_type", "name",
+        "start_line", "end_line", "calls"))
+
+
 SMALL_ROWS = 200_000
 
 
