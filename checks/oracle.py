@@ -321,11 +321,11 @@ FROM (SELECT DISTINCT repo_id FROM c) r""",
 
 # --- paths, reports, incremental index -------------------------------------
 
-from checks.views import DIRS, NAMES  # noqa: E402
+from checks.views import DIRS, NAMES as LEAVES  # noqa: E402
 
 PATHS = f"""
 p AS (SELECT doc_id, lang, n_chars * 100 AS length, {_list(DIRS)}[(doc_id % 8) + 1] || '/'
-    || {_list(NAMES)}[((doc_id // 8) % 9) + 1] AS rel FROM documents),
+    || {_list(LEAVES)}[((doc_id // 8) % 9) + 1] AS rel FROM documents),
 pp AS (SELECT *, '/r/' || lang || '/' || rel AS path, string_split(rel, '/') AS parts,
     regexp_extract(rel, '^(?:.*/)?\\.*[^/.][^/]*?(\\.[^./]+)$', 1) AS suffix,
     regexp_extract(rel, '[^/]*$') AS file FROM p),
@@ -498,3 +498,78 @@ SELECT chunk_key, length(search_text) AS chars, length(search_text) - length(rep
     "SNK_1_chunk_snapshot": with_(FILES) + """
 SELECT * FROM kept UNION ALL SELECT repo_id, file_path, unnest([2, 5]) FROM ch WHERE status <> 'unchanged'""",
 }
+
+# --- segmentation: expected rows follow from how the sources are made ------
+
+CODE = f"""
+cd AS (SELECT doc_id, lang, source, '/' || lang || '/' || source || '/doc_' || doc_id AS stem,
+    list_transform(string_split(text, {NL}),
+      lambda x: trim(regexp_replace(x, '[^A-Za-z0-9 ]+', ' ', 'g'))) AS lines FROM documents),
+cl AS (SELECT doc_id, stem, len(lines) AS m, line, i,
+    'w_' || coalesce(regexp_extract_all(line, '[A-Za-z]{{3,}}')[1], 'none') AS a,
+    'w_' || coalesce(regexp_extract_all(line, '[A-Za-z]{{3,}}')[-1], 'none') AS b
+  FROM (SELECT *, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM cd)),
+py AS (SELECT stem || '.py' AS file_path, 'Doc_' || doc_id AS name, 'class_definition' AS node_type,
+    1 AS start_line, 1 AS def_line, 1 + 6 * len(lines) AS end_line, NULL AS parent_class,
+    lines[1] AS docstring, doc_id, -1 AS i FROM cd
+  UNION ALL SELECT stem || '.py', 'fn_' || i, 'function_definition', 3 + 6 * i, 4 + 6 * i, 7 + 6 * i,
+    'Doc_' || doc_id, line, doc_id, i FROM cl),
+js AS (SELECT stem || '.ts' AS file_path, 'Doc_' || doc_id AS name, 'class' AS node_type,
+    2 AS start_line, 3 + 4 * len(lines) - 1 AS end_line, NULL AS parent_class, '' AS calls FROM cd
+  UNION ALL SELECT stem || '.ts', 'fn_' || i, 'function', 3 + 4 * i, 5 + 4 * i, 'Doc_' || doc_id,
+    CASE WHEN a = b THEN a ELSE a || ',' || b END FROM cl
+  UNION ALL SELECT stem || '.ts', 'arrow_' || doc_id, 'function', 3 + 4 * m, 3 + 4 * m, NULL, a
+    FROM cl WHERE i = 0)"""
+BODY = """
+fnsrc AS (SELECT doc_id, i, '@mark(' || i || ')' || chr(10) || '    def fn_' || i || '(self, a="def no():"):'
+    || chr(10) || '        ''''''' || line || '''''''' || chr(10) || '        ' || a || '(' || b || '())'
+    || chr(10) || '        return x  # call_' || i || '()' AS src FROM cl),
+psrc AS (SELECT doc_id, i, src FROM fnsrc UNION ALL
+  SELECT doc_id, -1, 'class Doc_' || doc_id || ':' || chr(10) || '    \"\"\"' || any_value(lines[1]) || '\"\"\"'
+    || chr(10) || string_agg('    ' || src, chr(10) || chr(10) ORDER BY i) FROM fnsrc JOIN cd USING (doc_id)
+  GROUP BY doc_id)"""
+TOKENS = r"'\w+|[^\w\s]'"
+
+ORACLE |= {
+    "CHK_1_python_definitions": with_(CODE) + """
+SELECT file_path, name, node_type, start_line, end_line FROM py""",
+    "CHK_2_decorators": with_(CODE) + """
+SELECT file_path, name, start_line AS first, def_line FROM py""",
+    "CHK_3_js_definitions": with_(CODE) + """
+SELECT file_path, name, node_type, start_line, end_line FROM js""",
+    "CHK_4_parent_class": with_(CODE) + """
+SELECT file_path, name, parent_class FROM py UNION ALL SELECT file_path, name, parent_class FROM js""",
+    "CHK_5_call_names": with_(CODE) + """
+SELECT file_path, name, calls FROM js
+UNION ALL SELECT stem || '.py', 'fn_' || i, CASE WHEN a = b THEN a WHEN a < b THEN a || ',' || b
+  ELSE b || ',' || a END FROM cl
+UNION ALL SELECT stem || '.py', 'Doc_' || doc_id, 'mark,' || string_agg(DISTINCT w, ',' ORDER BY w)
+FROM (SELECT doc_id, stem, unnest([a, b]) AS w FROM cl) GROUP BY stem, doc_id""",
+    "CHK_6_docstrings": with_(CODE) + "\nSELECT file_path, name, docstring FROM py",
+    "CHK_7_token_cap": with_(CODE, BODY) + f"""
+SELECT file_path, name, len(t) > 300 AS is_truncated, least(len(t), 300) AS token_count,
+  CASE WHEN len(t) > 300 THEN regexp_extract(src, '^(?:\\s*(?:\\w+|[^\\w\\s])){{0,300}}') ELSE src END AS source
+FROM (SELECT py.file_path, py.name, p.src, regexp_extract_all(src, {TOKENS}) AS t
+  FROM py JOIN psrc p ON p.doc_id = py.doc_id AND p.i = py.i)""",
+    "CHK_8_document_segments": f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, {NL})) AS line,
+    unnest(range(1, len(string_split(text, {NL})) + 1)) AS line_no FROM documents),
+p AS (SELECT doc_id, line_no, unnest(pc) AS piece, unnest(range(len(pc))) AS j FROM (
+    SELECT *, regexp_extract_all(line, '(?:\\s*(?:\\w+|[^\\w\\s])){{1,150}}\\s*') AS pc FROM l)),
+n AS (SELECT *, len(regexp_extract_all(piece, {TOKENS})) AS n FROM p),
+s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY line_no, j
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 150 AS segment FROM n)
+SELECT doc_id, segment, min(line_no) AS start_line, max(line_no) AS end_line,
+  sum(n)::BIGINT AS token_count, string_agg(body, {NL} ORDER BY line_no) AS source
+FROM (SELECT doc_id, segment, line_no, sum(n) AS n, string_agg(piece, '' ORDER BY j) AS body
+  FROM s GROUP BY ALL) GROUP BY doc_id, segment""",
+    "CHK_9_chunk_keys": with_(CODE) + """
+SELECT file_path || ':' || start_line AS chunk_key FROM py
+UNION ALL SELECT file_path || ':' || start_line FROM js""",
+    "IDX_build_index": with_(CODE) + """
+, k AS (SELECT lang AS repo_id, doc_id IN (SELECT doc_id FROM labels) AS known, len(lines) AS m
+  FROM cd)
+SELECT repo_id, count(*) * 2 AS total_files, count(*) * 2 - count_if(known) AS indexed,
+  count_if(known) AS skipped, sum(m + 2)::BIGINT + coalesce(sum(m + 1) FILTER (NOT known), 0)::BIGINT
+  AS total_chunks, 0 AS cleaned, 0 AS errors FROM k GROUP BY repo_id""",
+}

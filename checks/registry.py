@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from checks import views as V
 from sparklode.functions import paths, text as X
-from sparklode.functions.storage import graph_facts, materialize, shared_dir
+from sparklode.functions.storage import graph_facts, materialize, shared_dir, spread
 from sparklode.operators import graph, incremental as inc, report, search, trace
+from sparklode.operators.segment import chunk_files, segment_documents
+from sparklode.operators.segment_python import python_definitions
+from sparklode.plans.index import build_index
 from sparklode.plans.retrieve import retrieve
 from sparklode.sources import snapshots
 
@@ -479,3 +482,81 @@ def SNK_1_chunk_snapshot(spark, sf) -> DataFrame:
     snapshots.publish(spark, base, snapshots.write_snapshot(kept.unionByName(new), base))
     return snapshots.current_snapshot(spark, base).select(
         F.col("repo_id").cast("string").alias("repo_id"), "file_path", *_long("start_line"))
+
+
+# --- segmentation ----------------------------------------------------------
+
+def _python(spark, sf):
+    return chunk_files(V.python_files(spark, sf))
+
+
+def _js(spark, sf):
+    return chunk_files(V.js_files(spark, sf))
+
+
+def _both(spark, sf):
+    return chunk_files(V.python_files(spark, sf).unionByName(V.js_files(spark, sf)))
+
+
+@query
+def CHK_1_python_definitions(spark, sf) -> DataFrame:
+    return _python(spark, sf).select(
+        "file_path", "name", "node_type", *_long("start_line", "end_line"))
+
+
+@query
+def CHK_2_decorators(spark, sf) -> DataFrame:
+    f = V.python_files(spark, sf).select(
+        "repo_id", "file_path", F.col("content").cast("string").alias("text"))
+    return python_definitions(f).select(
+        "file_path", "name", *_long("first", "def_line"))
+
+
+@query
+def CHK_3_js_definitions(spark, sf) -> DataFrame:
+    return _js(spark, sf).select(
+        "file_path", "name", "node_type", *_long("start_line", "end_line"))
+
+
+@query
+def CHK_4_parent_class(spark, sf) -> DataFrame:
+    return _both(spark, sf).select("file_path", "name", "parent_class")
+
+
+@query
+def CHK_5_call_names(spark, sf) -> DataFrame:
+    return _both(spark, sf).select(
+        "file_path", "name", F.concat_ws(",", "calls").alias("calls"))
+
+
+@query
+def CHK_6_docstrings(spark, sf) -> DataFrame:
+    return _python(spark, sf).select("file_path", "name", "docstring")
+
+
+@query
+def CHK_7_token_cap(spark, sf) -> DataFrame:
+    return _python(spark, sf).select(
+        "file_path", "name", "is_truncated", "source", *_long("token_count"))
+
+
+@query
+def CHK_8_document_segments(spark, sf) -> DataFrame:
+    return segment_documents(spread(V.table(spark, sf, "documents"))).select(
+        "doc_id", "source", *_long("segment", "start_line", "end_line", "token_count"))
+
+
+@query
+def CHK_9_chunk_keys(spark, sf) -> DataFrame:
+    return _both(spark, sf).select("chunk_key")
+
+
+@query
+def IDX_build_index(spark, sf) -> DataFrame:
+    """Whole index run: files whose text changed against a first version."""
+    now = V.python_files(spark, sf).unionByName(V.js_files(spark, sf))
+    known = now.join(V.old_hashes(spark, sf).select(
+        F.replace("file_path", F.lit("/pages/p_"), F.lit("/old/p_")).alias("file_path")),
+        "file_path", "left_semi").select(
+        "repo_id", "file_path", F.sha2("content", 256).alias("sha256"))
+    return build_index(now, hashes=known).stats

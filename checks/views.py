@@ -178,3 +178,52 @@ def old_chunks(spark, sf) -> DataFrame:
     """Two stored chunks for every stored file."""
     return old_hashes(spark, sf).select(
         "repo_id", "file_path", F.explode(F.array(F.lit(1), F.lit(9))).alias("start_line"))
+
+
+def _code_lines(spark, sf):
+    """Documents with their lines reduced to ASCII words, and call names from them."""
+    d = spread(table(spark, sf, "documents"))
+    clean = F.transform(F.split("text", "\n"), lambda x: F.trim(
+        F.regexp_replace(x, r"[^A-Za-z0-9 ]+", " ")))
+    return d.select("doc_id", "lang", "source", clean.alias("lines"))
+
+
+def _called(line, last: bool):
+    words = F.regexp_extract_all(line, F.lit(r"([A-Za-z]{3,})"), F.lit(1))
+    return F.concat(F.lit("w_"), F.coalesce(
+        F.get(words, F.size(words) - 1 if last else F.lit(0)), F.lit("none")))
+
+
+def python_files(spark, sf) -> DataFrame:
+    """Each document as a Python class with one decorated method per line."""
+    d = _code_lines(spark, sf)
+    methods = F.transform("lines", lambda x, i: F.concat(
+        F.format_string("    @mark(%d)\n    def fn_%d(self, a=\"def no():\"):\n        '''", i, i),
+        x, F.lit("'''\n        "), _called(x, False), F.lit("("), _called(x, True),
+        F.format_string("())\n        return x  # call_%d()\n", i)))
+    text = F.concat(F.format_string("class Doc_%d:\n    \"\"\"", "doc_id"),
+                    F.get("lines", F.lit(0)), F.lit("\"\"\"\n"), F.array_join(methods, "\n"))
+    return _as_files(d, text, ".py")
+
+
+def js_files(spark, sf) -> DataFrame:
+    """Each document as a class with one method per line, an arrow, a callback."""
+    d = _code_lines(spark, sf)
+    methods = F.transform("lines", lambda x, i: F.concat(
+        F.format_string("  fn_%d(a, b) {\n    return ", i), _called(x, False), F.lit("("),
+        _called(x, True), F.lit("(`x ${a} }`));\n  }\n")))
+    text = F.concat(
+        F.format_string("// header \"class Fake {\"\nexport class Doc_%d extends Base {\n", "doc_id"),
+        F.array_join(methods, "\n"), F.lit("\n}\n"),
+        F.format_string("const arrow_%d = (x) => { ", "doc_id"),
+        _called(F.get("lines", F.lit(0)), False),
+        F.lit("(x); };\nitems.map(function (y) { hidden(y); });\n"))
+    return _as_files(d, text, ".ts")
+
+
+def _as_files(d, text, ext):
+    rel = F.format_string("%s/doc_%d%s", "source", "doc_id", F.lit(ext))
+    return d.select(
+        F.col("lang").alias("repo_id"), F.concat(F.lit("/"), "lang", F.lit("/"), rel).alias("file_path"),
+        rel.alias("file_rel_path"), F.length(text).cast("long").alias("length"),
+        text.cast("binary").alias("content"))
