@@ -515,10 +515,10 @@ py AS (SELECT stem || '.py' AS file_path, 'Doc_' || doc_id AS name, 'class_defin
   UNION ALL SELECT stem || '.py', 'fn_' || i, 'function_definition', 3 + 6 * i, 4 + 6 * i, 7 + 6 * i,
     'Doc_' || doc_id, line, doc_id, i FROM cl),
 js AS (SELECT stem || '.ts' AS file_path, 'Doc_' || doc_id AS name, 'class' AS node_type,
-    2 AS start_line, 3 + 4 * len(lines) - 1 AS end_line, NULL AS parent_class, '' AS calls FROM cd
+    2 AS start_line, 3 + 4 * len(lines) AS end_line, NULL AS parent_class, '' AS calls FROM cd
   UNION ALL SELECT stem || '.ts', 'fn_' || i, 'function', 3 + 4 * i, 5 + 4 * i, 'Doc_' || doc_id,
     CASE WHEN a = b THEN a ELSE a || ',' || b END FROM cl
-  UNION ALL SELECT stem || '.ts', 'arrow_' || doc_id, 'function', 3 + 4 * m, 3 + 4 * m, NULL, a
+  UNION ALL SELECT stem || '.ts', 'arrow_' || doc_id, 'function', 4 + 4 * m, 4 + 4 * m, NULL, a
     FROM cl WHERE i = 0)"""
 BODY = """
 fnsrc AS (SELECT doc_id, i, '@mark(' || i || ')' || chr(10) || '    def fn_' || i || '(self, a="def no():"):'

@@ -20,7 +20,7 @@ _ARROW = rf"(?:async\s+)?(?:<[^>(]*+>\s*)?(?:{_PARAMS}{_TYPE}|{_NAME})\s*=>\s*"
 _FUNCTION = rf"(?:async\s+)?function\b\s*\*?\s*(?:{_NAME})?\s*(?:<[^>(]*+>)?\s*{_PARAMS}{_TYPE}\s*(?=\{{)"
 _BEFORE_NAME = r"(?:(?:const|let|var)\s+)?"
 _ASSIGNED = rf"{_BEFORE_NAME}{_NAME}(?:\s*:[^=;\n]*+)?\s*=(?![=>])\s*"
-_MODIFIERS = r"(?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*+\*?\s*"
+_MODIFIERS = r"(?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*+(?:\*\s*)?"
 # Words before "(...) {" or "(" that name no function.
 _RESERVED = (r"(?:if|for|while|switch|catch|with|function|return|else|do|try|new|await"
              r"|super|typeof|delete|void|throw|case|in|of|instanceof|yield|import)\b")

@@ -131,6 +131,7 @@ def test_js_class(chunks):
     rows = chunks["class.js"]
     assert [(r["name"], r["parent_class"]) for r in rows] == [
         ("Animal", None), ("constructor", "Animal"), ("speak", "Animal")]
+    assert [(r["start_line"], r["end_line"]) for r in rows] == [(1, 7), (3, 3), (4, 6)]
     assert rows[0]["calls"] == [] and rows[2]["calls"] == ["say"]
 
 
