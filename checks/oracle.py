@@ -573,3 +573,9 @@ SELECT repo_id, count(*) * 2 AS total_files, count(*) * 2 - count_if(known) AS i
   count_if(known) AS skipped, sum(m + 2)::BIGINT + coalesce(sum(m + 1) FILTER (NOT known), 0)::BIGINT
   AS total_chunks, 0 AS cleaned, 0 AS errors FROM k GROUP BY repo_id""",
 }
+
+ORACLE["SRC_1_scan_and_filter"] = with_(PATHS) + f"""
+SELECT doc_id, rel FROM ps WHERE length <= 512000 AND suffix IN {_in(M.SOURCE_EXTENSIONS)}
+  AND len(list_filter(dirs, lambda d: d IN {_in(M.IGNORED_DIRS)} OR starts_with(d, '.')
+    OR lower(d) IN {_in(M.TEST_DIRS)})) = 0
+  AND NOT starts_with(stem, 'test_') AND NOT suffix(stem, '_test')"""

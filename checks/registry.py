@@ -13,6 +13,7 @@ from sparklode.operators.segment_python import python_definitions
 from sparklode.plans.index import build_index
 from sparklode.plans.retrieve import retrieve
 from sparklode.sources import snapshots
+from sparklode.sources.corpus import scan_corpus
 
 QUERIES: dict = {}
 
@@ -560,3 +561,17 @@ def IDX_build_index(spark, sf) -> DataFrame:
         "file_path", "left_semi").select(
         "repo_id", "file_path", F.sha2("content", 256).alias("sha256"))
     return build_index(now, hashes=known).stats
+
+
+@query
+def SRC_1_corpus_scan(spark, sf) -> DataFrame:
+    """Lists the stored tables themselves as a corpus: path and size of each file."""
+    return scan_corpus(spark, sf, content=False, extensions=".parquet", max_bytes=0).select(
+        "file_rel_path", "length")
+
+
+@query
+def SRC_1_scan_and_filter(spark, sf) -> DataFrame:
+    """All corpus filters over the listed paths."""
+    p = V.listed_paths(spark, sf)
+    return p.where(paths.indexable(F.col("rel"), "length")).select("doc_id", "rel")

@@ -3,8 +3,13 @@
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+
+class NoSnapshot(LookupError):
+    """Nothing was published under this path yet."""
+
 SKEW_ROWS_PER_FILE = 1_000_000
 
 
@@ -29,6 +34,9 @@ def publish(spark: SparkSession, base: str, path: str) -> None:
 
 
 def current_snapshot(spark: SparkSession, base: str) -> DataFrame:
-    log = spark.read.parquet(f"{base}/versions_log")
+    try:
+        log = spark.read.parquet(f"{base}/versions_log")
+    except AnalysisException as e:
+        raise NoSnapshot(base) from e
     path = log.orderBy(F.desc("at"), F.desc("path")).first()["path"]
     return spark.read.parquet(path)
