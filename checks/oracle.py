@@ -523,10 +523,11 @@ js AS (SELECT stem || '.ts' AS file_path, 'Doc_' || doc_id AS name, 'class' AS n
 BODY = """
 fnsrc AS (SELECT doc_id, i, '@mark(' || i || ')' || chr(10) || '    def fn_' || i || '(self, a="def no():"):'
     || chr(10) || '        ''''''' || line || '''''''' || chr(10) || '        ' || a || '(' || b || '())'
-    || chr(10) || '        return x  # call_' || i || '()' AS src FROM cl),
+    || chr(10) || '        return x' AS src, '  # call_' || i || '()' AS note FROM cl),
 psrc AS (SELECT doc_id, i, src FROM fnsrc UNION ALL
   SELECT doc_id, -1, 'class Doc_' || doc_id || ':' || chr(10) || '    \"\"\"' || any_value(lines[1]) || '\"\"\"'
-    || chr(10) || string_agg('    ' || src, chr(10) || chr(10) ORDER BY i) FROM fnsrc JOIN cd USING (doc_id)
+    || chr(10) || string_agg('    ' || src || CASE WHEN i + 1 < len(lines) THEN note ELSE '' END,
+      chr(10) || chr(10) ORDER BY i) FROM fnsrc JOIN cd USING (doc_id)
   GROUP BY doc_id)"""
 TOKENS = r"'\w+|[^\w\s]'"
 

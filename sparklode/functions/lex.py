@@ -10,21 +10,22 @@ from pyspark.sql import Column, functions as F
 OPEN, INSIDE = "\u0002", "\u0001"
 
 # Possessive quantifiers keep long strings from deep regex recursion.
-_PY = (r"(?:\b[rRbBuUfF]{1,2})?(?:\"\"\"[\s\S]*?(?:(?<!\\)\"\"\"|\z)"
+_PREFIX = r"(?:[rRbBuUfF]{1,2})"
+_PY = (rf"(?:\b{_PREFIX})?(?:\"\"\"[\s\S]*?(?:(?<!\\)\"\"\"|\z)"
        r"|'''[\s\S]*?(?:(?<!\\)'''|\z)"
        r"|\"(?:[^\"\\\n]++|\\[\s\S])*+\"?|'(?:[^'\\\n]++|\\[\s\S])*+'?)"
-       r"|#[^\n]*+|[^\"'#rRbBuUfF]++|[\s\S]")
+       rf"|#[^\n]*+|(?:[^\"'#\w]|(?!{_PREFIX}[\"'])\w++)++|[\s\S]")
 _JS = (r"\"(?:[^\"\\\n]++|\\[\s\S])*+\"?|'(?:[^'\\\n]++|\\[\s\S])*+'?"
        r"|`(?:[^`\\]++|\\[\s\S])*+`?|//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)"
-       r"|(?<=[(,=:\[!&|?{};\n])[ \t]*+/(?:[^/\\\n\[]++|\\.|\[[^\]\n]*+\])++/[a-z]*+"
-       r"|[^\"'`/(,=:\[!&|?{};\n]++|[\s\S]")
+       r"|(?<=[(,=:\[!&|?{};\n][ \t]{0,8})/(?:[^/\\\n\[]++|\\.|\[[^\]\n]*+\])++/[a-z]*+"
+       r"|[^\"'`/]++|[\s\S]")
 
 
 def _mask(text, token_regex: str, comment: str, string: str) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(f"({token_regex})"), F.lit(1))
     return F.array_join(F.transform(tokens, lambda t: F.when(
-        t.rlike(comment), F.regexp_replace(t, r"[^\n]", " ")).when(
-        t.rlike(string), F.concat(
+        F.left(t, F.lit(2)).rlike(comment), F.regexp_replace(t, r"[^\n]", " ")).when(
+        F.left(t, F.lit(3)).rlike(string), F.concat(
             F.lit(OPEN), F.regexp_replace(F.substr(t, F.lit(2)), r"[^\n]", INSIDE))
     ).otherwise(t)), "")
 
@@ -34,4 +35,4 @@ def mask_python(text) -> Column:
 
 
 def mask_js(text) -> Column:
-    return _mask(text, _JS, r"\A/[/*]", r"\A(?:[\"'`]|[ \t]*/[^/*])")
+    return _mask(text, _JS, r"\A/[/*]", r"\A(?:[\"'`]|/[^\s=])")

@@ -28,26 +28,35 @@ _METHOD = rf"{_MODIFIERS}#?(?!{_RESERVED}){_NAME}\s*(?:<[^>(]*+>)?\s*{_PARAMS}{_
 _CLASS = rf"class\s+(?!extends\b){_NAME}[^{{}}();]*+(?=\{{)"
 _HEAD = rf"(?<![\w$.#])(?:{_CLASS}|{_ASSIGNED}(?:{_FUNCTION}|{_ARROW})|{_FUNCTION}|{_ARROW}|{_METHOD})|{_ARROW}"
 _BREAK = r"(?<![-+*/&|=?:,<>]|[-+*/&|=?:,<>] )\n(?!\s*(?:[.?:&|+*/)\]}=,<>-]|\z))"
-_MARK = (rf"{_HEAD}|[(){{}}\[\];,]|{_BREAK}"
-         rf"|(?:(?!{_HEAD}|{_BREAK})(?:{_NAME}|\d[\w$]*+|[^\w$(){{}}\[\];,\n]|\n))++|[\s\S]")
+_REST = rf"(?:{_NAME}|\d[\w$]*+|[^\w$(){{}}\[\];,\n]|\n)"
+_MARK = (rf"{_HEAD}|[(){{}}\[\];,]|{_BREAK}|(?:(?!{_HEAD}|{_BREAK}){_REST})++|[\s\S]")
+# Without arrows that return a plain expression, separators end nothing.
+_BLOCK_MARK = rf"{_HEAD}|[(){{}}\[\]]|(?:(?!{_HEAD})(?:{_REST}|[;,]))++|[\s\S]"
+_PLAIN_ARROW = r"=>\s*(?!\{)\S"
+_HEAD_TEXT = rf"\A(?:class\s+{_NAME}[\s\S]|[\s\S]*=>\s*\z|[\s\S]*{_PARAMS}{_TYPE}\s*\z)"
 _CALL = rf"(?<![\w$])(?<!\bnew )(?<!\bfunction )(?!{_RESERVED}|async\b)({_NAME})\s*(?:<[\w\s,.\[\]|]*+>)?\((?![^()]*+\)\s*\{{)"
 
 
 def js_definitions(files: DataFrame) -> DataFrame:
     """repo_id, file_path, first, last (0-based offsets), is_function, name, parent."""
-    marks = F.regexp_extract_all(lex.mask_js("text"), F.lit(f"({_MARK})"), F.lit(1))
-    t = files.select(*KEYS, F.length("text").alias("size"),
-                     F.posexplode(marks).alias("i", "t"))
+    f = files.select(*KEYS, lex.mask_js("text").alias("masked"))
+    marks = F.when(F.col("masked").rlike(_PLAIN_ARROW), F.regexp_extract_all(
+        "masked", F.lit(f"({_MARK})"), F.lit(1))).otherwise(F.regexp_extract_all(
+            "masked", F.lit(f"({_BLOCK_MARK})"), F.lit(1)))
+    t = f.select(*KEYS, F.length("masked").alias("size"),
+                 F.posexplode(marks).alias("i", "t"))
+    # Only headers and single marks keep their text in the shuffle.
+    t = t.select(*KEYS, "size", "i", F.length("t").alias("n"), F.when(
+        (F.length("t") == 1) | F.col("t").rlike(_HEAD_TEXT), F.col("t")).alias("t"))
     w = Window.partitionBy(*KEYS).orderBy("i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    one = F.length("t") == 1
+    one = F.col("n") == 1
     opens = one & F.col("t").isin("(", "[", "{")
     closes = one & F.col("t").isin(")", "]", "}")
-    head = (F.length("t") > 2) & F.col("t").rlike(
-        rf"\A(?:class\s+{_NAME}|[\s\S]*=>\s*\z|[\s\S]*{_PARAMS}{_TYPE}\s*\z)")
+    head = (F.col("n") > 1) & F.col("t").isNotNull()
     t = t.select(
-        *KEYS, "i", "size", F.when(head | one, F.col("t")).alias("t"), head.alias("is_head"),
-        F.coalesce(F.sum(F.length("t")).over(before), F.lit(0)).alias("at"),
+        *KEYS, "i", "size", "t", head.alias("is_head"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"),
         F.coalesce(F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(before),
                    F.lit(0)).alias("depth"),
         F.lead("t").over(w).alias("next"))

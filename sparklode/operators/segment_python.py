@@ -4,6 +4,8 @@ A block ends before the next statement that is not indented deeper. For every
 indentation at which a file has definitions, the statements indented at most
 that far form one ordered list, and the end of a definition is its successor
 there: a ``lead`` per (file, indentation), linear in the number of lines.
+Balanced lines deeper than every definition cannot end one; they are dropped
+before the shuffle, so mostly headers travel and never any text.
 Lines that begin inside a string, inside brackets or after a backslash are
 no statements. Decorator lines directly above belong to the definition.
 """
@@ -38,46 +40,49 @@ def _count(line: str, chars: str) -> Column:
 def python_definitions(files: DataFrame) -> DataFrame:
     """repo_id, file_path, first (with decorators), def_line, last, kind, name, parent.
 
-    ``files``: repo_id, file_path, text.
+    ``files``: repo_id, file_path, text. Blank and comment lines may still follow
+    the definition within ``last``.
     """
     masked = lex.mask_python("text")
     f = files.select(*KEYS, masked.alias("masked"))
     levels = F.array_distinct(F.transform(F.regexp_extract_all(
         "masked", F.lit(r"(?m)^([ \t]*)(?:async[ \t]+)?(?:def|class)\s"), F.lit(1)), _width))
-    f = f.select(*KEYS, "masked", levels.alias("levels")).where(F.size("levels") > 0)
-    line = f.select(*KEYS, "levels", F.posexplode(F.split("masked", "\n")).alias("i", "line"))
+    f = f.select(*KEYS, F.split("masked", "\n").alias("lines"), levels.alias("levels"))
+    line = f.where(F.size("levels") > 0).select(
+        *KEYS, "levels", F.size("lines").alias("n_lines"),
+        F.posexplode("lines").alias("i", "line"))
     line = line.select(
-        *KEYS, "levels", (F.col("i") + 1).alias("line_no"),
-        F.col("line").rlike(r"\S").alias("filled"),
-        F.col("line").startswith(lex.INSIDE).alias("inside"),
-        F.col("line").rlike(r"\\\s*$").alias("goes_on"),
+        *KEYS, "levels", "n_lines", "line", (F.col("i") + 1).alias("line_no"),
         _width(F.regexp_extract("line", r"^[ \t]*", 0)).alias("indent"),
         (_count("line", r"(\[{") - _count("line", r")\]}")).alias("delta"),
+        F.col("line").rlike(r"\\\s*$").alias("goes_on"))
+    line = line.where(
+        (F.col("delta") != 0) | F.col("goes_on")
+        | ((F.col("indent") <= F.array_max("levels")) & F.col("line").rlike(r"\S")))
+    line = line.select(
+        *KEYS, "levels", "n_lines", "line_no", "indent", "delta", "goes_on",
+        F.col("line").startswith(lex.INSIDE).alias("inside"),
         F.col("line").rlike(r"^\s*@").alias("is_decorator"),
         F.regexp_extract("line", _DEF, 1).alias("kind"),
         F.regexp_extract("line", _DEF, 2).alias("name"))
 
     w = Window.partitionBy(*KEYS).orderBy("line_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    filled_no = F.when(F.col("filled"), F.col("line_no"))
     stmt = line.select(
         "*", F.coalesce(F.sum("delta").over(before), F.lit(0)).alias("open"),
-        F.coalesce(F.lag("goes_on").over(w), F.lit(False)).alias("continues"),
-        F.max(filled_no).over(before).alias("filled_before"),
-        F.max(filled_no).over(Window.partitionBy(*KEYS)).alias("filled_last"))
-    stmt = stmt.where(F.col("filled") & ~F.col("inside") & (F.col("open") <= 0)
-                      & ~F.col("continues"))
+        F.lag(F.when(F.col("goes_on"), F.col("line_no"))).over(w).alias("goes_on_at"))
+    stmt = stmt.where(~F.col("inside") & (F.col("open") <= 0) & ~F.coalesce(
+        F.col("goes_on_at") == F.col("line_no") - 1, F.lit(False)))
     stmt = stmt.select("*", F.lead("line_no").over(w).alias("next_no"))
     stmt = stmt.select("*", F.coalesce(
         F.max(F.when(~F.col("is_decorator"), F.col("next_no"))).over(before),
         F.first("line_no").over(before), F.col("line_no")).alias("first"))
 
     per_level = stmt.select(
-        *KEYS, "line_no", "indent", "kind", "name", "first", "filled_before", "filled_last",
+        *KEYS, "line_no", "indent", "kind", "name", "first", "n_lines",
         F.explode(F.filter("levels", lambda k: k >= F.col("indent"))).alias("level"))
-    ends = per_level.withColumn("last", F.coalesce(
-        F.lead("filled_before").over(
-            Window.partitionBy(*KEYS, "level").orderBy("line_no")), "filled_last"))
+    ends = per_level.withColumn("last", F.coalesce(F.lead("line_no").over(
+        Window.partitionBy(*KEYS, "level").orderBy("line_no")) - 1, "n_lines"))
     defs = ends.where((F.col("kind") != "") & (F.col("level") == F.col("indent"))).select(
         *KEYS, "first", F.col("line_no").alias("def_line"), "last", "kind", "name",
         (F.col("kind") == "def").alias("is_function"), F.col("indent").alias("depth"))
@@ -98,15 +103,20 @@ def python_chunks(files: DataFrame) -> DataFrame:
 
     rows = f.join(found, KEYS).select(*KEYS, F.inline(F.transform("defs", lambda d: F.struct(
         d["kind"].alias("kind"), d["name"].alias("name"), d["parent"].alias("parent_class"),
-        d["first"].alias("start_line"), d["last"].alias("end_line"), F.lit(0).alias("ordinal"),
-        cut("lines", d["first"], d["last"]).alias("whole"),
+        d["first"].alias("start_line"), d["def_line"].alias("def_line"),
+        cut("lines", d["first"], d["def_line"] - 1).alias("decorators"),
         cut("lines", d["def_line"], d["last"]).alias("raw"),
-        cut("masked", d["def_line"], d["last"]).alias("masked")))))
+        F.regexp_replace(cut("masked", d["def_line"], d["last"]), r"\s+\z", "")
+        .alias("masked")))))
+    # Trailing blanks and comments are no part of a definition.
+    rows = rows.withColumn("raw", F.left("raw", F.length("masked")))
+    whole = F.concat_ws("\n", F.nullif("decorators", F.lit("")), "raw")
     return rows.select(
         *KEYS, F.when(F.col("kind") == "def", "function_definition")
         .otherwise("class_definition").alias("node_type"),
-        "name", F.regexp_replace("whole", r"\A[ \t]+|\s+\z", "").alias("source"),
-        "start_line", "end_line", "ordinal", python_calls("masked").alias("calls"),
+        "name", F.regexp_replace(whole, r"\A[ \t]+", "").alias("source"), "start_line",
+        (F.col("def_line") + F.regexp_count("masked", F.lit("\n"))).alias("end_line"),
+        F.lit(0).alias("ordinal"), python_calls("masked").alias("calls"),
         docstring("raw", "masked").alias("docstring"), "parent_class")
 
 
