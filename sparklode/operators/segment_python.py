@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sparklode.functions import lex
 from sparklode.operators.nesting import KEYS, resolve_nesting
 
-_DEF = r"(?U)^\s*(?:async\s+)?(def|class)\s+([^\W\d]\w*)"
-_CALL = r"(?U)(?<!\bdef )(?<!\bclass )(?<![\w])([^\W\d]\w*)\s*\("
-_HEADER = (r"(?U)\A\s*(?:async\s+)?(?:def|class)\s+\w+\s*(?:\[[^\]]*+\])?\s*"
+_ID = r"[\p{L}_][\p{L}\p{N}_]*+"
+_DEF = rf"^\s*(?:async\s+)?(def|class)\s+({_ID})"
+_CALL = rf"(?<![\p{{L}}\p{{N}}_])(?<!\bdef )(?<!\bclass )({_ID})\s*+\("
+_HEADER = (rf"\A\s*(?:async\s+)?(?:def|class)\s+{_ID}\s*"
+           r"(?:\[[^\]]*+\])?\s*"
            r"(?:\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\))?"
            r"\s*(?:->[^:]*+)?:\s*")
 _DOC = rf"\A{lex.OPEN}[{lex.INSIDE}\n]*(?=[ \t]*(?:\n|;|\z))"
