@@ -17,12 +17,11 @@ def chunk_files(files: DataFrame, cap: int = M.CHUNK_TOKEN_CAP) -> DataFrame:
     docstring come from the whole definition.
     """
     lang = paths.language("file_path")
-    f = files.select("repo_id", "file_path", F.col("content").cast("string").alias("text"),
-                     lang.alias("lang"))
+    f = files.select("repo_id", "file_path", "file_rel_path",
+                     F.col("content").cast("string").alias("text"), lang.alias("lang"))
     chunks = python_chunks(f.where(F.col("lang") == "python")).unionByName(
         js_chunks(f.where(F.col("lang").isin("javascript", "typescript", "tsx"))))
-    names = files.select("repo_id", "file_path", "file_rel_path")
-    return finish_chunks(chunks.join(names, ["repo_id", "file_path"]), cap)
+    return finish_chunks(chunks, cap)
 
 
 def finish_chunks(chunks: DataFrame, cap: int = M.CHUNK_TOKEN_CAP) -> DataFrame:

@@ -112,19 +112,20 @@ def js_chunks(files: DataFrame) -> DataFrame:
     found = js_definitions(files).groupBy(*KEYS).agg(F.array_sort(F.collect_list(
         F.struct("first", "last", "kind", "name",
                  F.col("parent.name").alias("parent")))).alias("defs"))
-    f = files.select(*KEYS, "text", lex.mask_js("text").alias("masked")).join(found, KEYS)
+    f = files.select(*KEYS, "file_rel_path", "text",
+                     lex.mask_js("text").alias("masked")).join(found, KEYS)
 
     def line_of(offset):
         return F.regexp_count(F.substr("text", F.lit(1), offset), F.lit("\n")) + 1
 
-    f = f.select(*KEYS, "text", "masked", F.transform("defs", lambda d: F.struct(
+    f = f.select(*KEYS, "file_rel_path", "text", "masked", F.transform("defs", lambda d: F.struct(
         d["first"].alias("first"),
         F.length(F.regexp_replace(F.substr("text", d["first"] + 1, d["last"] - d["first"] + 1),
                                   r"\s+\z", "")).alias("size"),
         d["kind"].alias("kind"), d["name"].alias("name"), d["parent"].alias("parent"),
         line_of(d["first"]).alias("line"))).alias("defs"))
     f = f.withColumn("starts", F.transform("defs", lambda d: d["line"]))
-    rows = f.select(*KEYS, F.inline(F.transform("defs", lambda d, i: F.struct(
+    rows = f.select(*KEYS, "file_rel_path", F.inline(F.transform("defs", lambda d, i: F.struct(
         d["kind"].alias("kind"), d["name"].alias("name"), d["parent"].alias("parent_class"),
         d["line"].alias("start_line"),
         (i + 1 - F.array_position("starts", d["line"])).cast("int").alias("ordinal"),
@@ -132,7 +133,7 @@ def js_chunks(files: DataFrame) -> DataFrame:
         F.substr("masked", d["first"] + 1, d["size"]).alias("masked")))))
     is_class = F.col("kind") == "class"
     return rows.select(
-        *KEYS, F.when(is_class, "class").otherwise("function").alias("node_type"), "name",
+        *KEYS, "file_rel_path", F.when(is_class, "class").otherwise("function").alias("node_type"), "name",
         "source", "start_line",
         (F.col("start_line") + F.regexp_count("source", F.lit("\n"))).alias("end_line"),
         "ordinal", F.when(is_class, F.array().cast("array<string>"))

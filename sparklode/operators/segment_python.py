@@ -97,13 +97,13 @@ def python_chunks(files: DataFrame) -> DataFrame:
         F.struct("first", "def_line", "last", "kind", "name",
                  F.col("parent.name").alias("parent")))).alias("defs"))
     # One row per file again: its lines are split once and cut per definition.
-    f = files.select(*KEYS, F.split("text", "\n").alias("lines"),
+    f = files.select(*KEYS, "file_rel_path", F.split("text", "\n").alias("lines"),
                      F.split(lex.mask_python("text"), "\n").alias("masked"))
 
     def cut(lines, a, b):
         return F.array_join(F.slice(lines, a, b - a + 1), "\n")
 
-    rows = f.join(found, KEYS).select(*KEYS, F.inline(F.transform("defs", lambda d: F.struct(
+    rows = f.join(found, KEYS).select(*KEYS, "file_rel_path", F.inline(F.transform("defs", lambda d: F.struct(
         d["kind"].alias("kind"), d["name"].alias("name"), d["parent"].alias("parent_class"),
         d["first"].alias("start_line"), d["def_line"].alias("def_line"),
         cut("lines", d["first"], d["def_line"] - 1).alias("decorators"),
@@ -114,7 +114,7 @@ def python_chunks(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("raw", F.left("raw", F.length("masked")))
     whole = F.concat_ws("\n", F.nullif("decorators", F.lit("")), "raw")
     return rows.select(
-        *KEYS, F.when(F.col("kind") == "def", "function_definition")
+        *KEYS, "file_rel_path", F.when(F.col("kind") == "def", "function_definition")
         .otherwise("class_definition").alias("node_type"),
         "name", F.regexp_replace(whole, r"\A[ \t]+", "").alias("source"), "start_line",
         (F.col("def_line") + F.regexp_count("masked", F.lit("\n"))).alias("end_line"),
