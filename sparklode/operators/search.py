@@ -166,7 +166,7 @@ def _substring_finder(tokens: list[str]):
     return lambda text: [i for _, i in automaton.iter(text)]
 
 
-SALTS = 16
+SALTS, SHORT_WORD = 16, 4
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
@@ -181,26 +181,30 @@ def keyword_topk_postings(queries: DataFrame, postings: DataFrame,
     """Same result as ``keyword_topk`` from an inverted index, equi-joins only.
 
     A token holds no white space, so it lies in a document iff it lies in one
-    of its words. Tokens meet the vocabulary on their first two characters,
-    then (token, word) pairs meet the postings on the word; postings of one hot
-    word are spread over ``SALTS`` tasks.
+    of its words. Tokens meet the vocabulary on their first three (or both)
+    characters, then (token, word) pairs meet the postings on the word. The
+    words of most documents are short ones: those are spread over ``SALTS``
+    tasks; a frequent long word is left to adaptive skew handling.
     """
     asked = (queries
              .select("query_id", F.explode(question_tokens("question")).alias("token"))
              .groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times")))
     tokens = asked.select("token").distinct().withColumn(
-        "gram", F.substring("token", 1, 2))
+        "gram", F.substring("token", 1, 3))
     vocabulary = postings.select("word").distinct()
-    grams = vocabulary.select("word", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("word") - 1),
-        lambda i: F.substring(F.col("word"), i, F.lit(2))))).alias("gram"))
+    starts = F.sequence(F.lit(1), F.length("word") - 1)
+    grams = vocabulary.select("word", F.explode(F.array_distinct(F.concat(
+        F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(2))),
+        F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(3)))))).alias("gram"))
     pairs = (tokens.join(grams, "gram")
              .where(F.col("word").contains(F.col("token")))
              .select("token", "word"))
-    salted = pairs.select("token", "word", F.explode(
-        F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    short = F.length("word") <= SHORT_WORD
+    salted = pairs.select("token", "word", F.explode(F.sequence(
+        F.lit(0), F.when(short, SALTS - 1).otherwise(0))).alias("salt"))
     hits = (postings
-            .withColumn("salt", F.pmod(F.hash("chunk_key"), F.lit(SALTS)))
+            .withColumn("salt", F.when(short, F.pmod(F.hash("chunk_key"), F.lit(SALTS)))
+                        .otherwise(0))
             .join(salted, ["word", "salt"])
             .select("token", "chunk_key").distinct())
     counts = (hits.join(asked, "token").groupBy("query_id", "chunk_key")

@@ -50,9 +50,10 @@ def python_definitions(files: DataFrame) -> DataFrame:
     levels = F.array_distinct(F.transform(F.regexp_extract_all(
         "masked", F.lit(r"(?m)^([ \t]*)(?:async[ \t]+)?(?:def|class)\s"), F.lit(1)), _width))
     f = f.select(*KEYS, F.split("masked", "\n").alias("lines"), levels.alias("levels"))
-    line = f.where(F.size("levels") > 0).select(
+    # Not a filter: it would be pushed below, and the text masked twice for it.
+    line = f.select(
         *KEYS, "levels", F.size("lines").alias("n_lines"),
-        F.posexplode("lines").alias("i", "line"))
+        F.posexplode(F.when(F.size("levels") > 0, F.col("lines"))).alias("i", "line"))
     line = line.select(
         *KEYS, "levels", "n_lines", "line", (F.col("i") + 1).alias("line_no"),
         _width(F.regexp_extract("line", r"^[ \t]*", 0)).alias("indent"),
