@@ -2,13 +2,14 @@
 
 from sparklode.llm.bpe_transducer import op3_bpe_transducer
 from sparklode.llm.license_scan import OP2_SQL, op2_license_scan
+from sparklode.llm.parity_join import OP10_SQL, op10_parity_join
 from sparklode.llm.quality_rules import OP6_SQL, op6_quality_rules
 from sparklode.llm.token_counts import op5_token_counts
 from sparklode.llm.url_rules import OP9_SQL, op9_url_rules
 
 QUERIES = {f.__name__: f for f in (
     op2_license_scan, op3_bpe_transducer, op5_token_counts, op6_quality_rules,
-    op9_url_rules)}
+    op9_url_rules, op10_parity_join)}
 
 ORACLE = {"op2_license_scan": OP2_SQL, "op6_quality_rules": OP6_SQL,
-          "op9_url_rules": OP9_SQL}
+          "op9_url_rules": OP9_SQL, "op10_parity_join": OP10_SQL}
