@@ -17,7 +17,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparklode.llm.common import encoded, slices, table
 from sparklode.llm.pretokens import splitter
@@ -316,7 +316,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep=
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(len(keep))] + arrays, names=names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("whole text")).mapInArrow(run, schema)
 
 
 def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ class Bands:
 
 
 def _features(docs: DataFrame, words: int, percent: int, text: str) -> DataFrame:
-    """doc_id, n_shingles, set_id (NULL for the empty set) and keys per row.
+    """doc_id, tag, n_shingles, set_id (NULL for the empty set) and keys per row.
 
     Within a slice only the first of equal sets carries the keys.
     """
@@ -83,8 +83,8 @@ def _features(docs: DataFrame, words: int, percent: int, text: str) -> DataFrame
 
     def run(batches):
         bands = Bands(percent)
-        for b in slices(batches, 1):
-            sets = shingle_sets(*text_buffer(b.column(1)), words)
+        for b in slices(batches, 2):
+            sets = shingle_sets(*text_buffer(b.column(2)), words)
             ids = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                    for s in sets]
             seen, keys = set(), []
@@ -93,12 +93,12 @@ def _features(docs: DataFrame, words: int, percent: int, text: str) -> DataFrame
                             else bands.keys(s).view(np.int64))
                 seen.add(i)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_id", "keys"])
+                names=["doc_id", "tag", "n_shingles", "set_id", "keys"])
 
-    return docs.select("doc_id", text).mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, set_id binary, keys array<long>")
+    return docs.select("doc_id", F.xxhash64(text).alias("tag"), text).mapInArrow(
+        run, f"doc_id {kind}, tag long, n_shingles long, set_id binary, keys array<long>")
 
 
 def _sets_of(nodes: DataFrame, docs: DataFrame, words: int, text: str) -> DataFrame:
@@ -172,12 +172,13 @@ def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
                     text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+    """doc_id, n_shingles, component_id, tag and group_id of every row.
 
     Sets of distinct ``words``-word shingles of the lower-cased text link at a Jaccard
     similarity of ``percent`` or more; component_id is the smallest doc_id reachable. NULL
     and texts without words are empty sets and link with nothing. Repeated rows are equal
-    sets. A NULL doc_id is never the smallest one while there is another. Other columns are
+    sets. ``tag`` is xxhash64 of the text, ``group_id`` numbers the components (NULL for empty
+    sets). A NULL doc_id is never the smallest one while there is another. Other columns are
     not read; an empty table gives an empty result.
     """
     rows = store(_features(docs, words, percent, text))
@@ -214,11 +215,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     smallest = known.where("component IS NOT NULL").groupBy("component").agg(
         F.min("first").alias("smallest"))
     final = store(known.join(smallest, "component", "left").select(
-        "set_id", F.coalesce("smallest", "first").alias("component_id")))
+        "set_id", F.coalesce("component", "node").alias("group_id"),
+        F.coalesce("smallest", "first").alias("component_id")))
     for done in (members, shared, classes):
         drop(done)
-    return rows.select("doc_id", "n_shingles", "set_id").join(final, "set_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return (rows.select("doc_id", "tag", "n_shingles", "set_id").join(final, "set_id", "left")
+            .select("doc_id", "n_shingles",
+                    F.coalesce("component_id", "doc_id").alias("component_id"),
+                    "tag", "group_id"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one document of each component, the one of smallest id.
+
+    A row without doc_id stays only if its component has none with one. Rows with equal id
+    and text are one document. Texts without words stay.
+    """
+    found = near_duplicates(docs, words, percent)
+    low = F.lit(-(1 << 63))
+    chosen = (found.where("group_id IS NOT NULL").groupBy("group_id")
+              .agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tag")).alias("r"))
+              .select("r.doc_id", "r.tag")
+              .unionByName(found.where("group_id IS NULL").select("doc_id", "tag"))
+              .select(F.coalesce("doc_id", low).alias("__id"), F.col("tag").alias("__tag")))
+    keyed = docs.select("*", F.coalesce("doc_id", low).alias("__id"),
+                        F.xxhash64("text").alias("__tag"))
+    return (keyed.join(chosen.distinct(), ["__id", "__tag"], "left_semi")
+            .dropDuplicates(["__id", "__tag"]).select(*docs.columns))
 
 
 def _sized(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -230,7 +253,8 @@ def _sized(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90).select(
+        "doc_id", "n_shingles", "component_id")
 
 
 OP10_SQL = r"""

@@ -211,7 +211,7 @@ def score_quality(docs: DataFrame, net: ByteNet, cut: float = CUT,
                    pa.array((scores >= cut).astype(np.int32), pa.int32())],
                 names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, "text").mapInArrow(
+    return docs.select(*keep, F.col("text").alias("whole text")).mapInArrow(
         run, kinds + "score double, predicted int")
 
 

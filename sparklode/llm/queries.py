@@ -1,5 +1,6 @@
 """One query per operator, and their SQL where SQL can express them."""
 
+import corpus_pipeline
 from sparklode.llm.bpe_transducer import op3_bpe_transducer
 from sparklode.llm.decontaminate import op8_decontaminate
 from sparklode.llm.license_scan import OP2_SQL, op2_license_scan
@@ -14,7 +15,9 @@ from sparklode.llm.url_rules import OP9_SQL, op9_url_rules
 QUERIES = {f.__name__: f for f in (
     op1_kd_shards, op2_license_scan, op3_bpe_transducer, op4_suffix_dedup,
     op5_token_counts, op6_quality_rules, op7_quality_net, op8_decontaminate,
-    op9_url_rules, op10_parity_join)}
+    op9_url_rules, op10_parity_join)} | {"pipeline": corpus_pipeline.run}
 
 ORACLE = {"op2_license_scan": OP2_SQL, "op6_quality_rules": OP6_SQL,
           "op9_url_rules": OP9_SQL, "op10_parity_join": OP10_SQL}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
