@@ -62,7 +62,7 @@ fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id,
     coalesce(1.0::DOUBLE / (60 + vrank), 0) + coalesce(1.0::DOUBLE / (60 + krank), 0) AS rrf_score
   FROM knn a FULL JOIN kw b ON a.query_id = b.query_id AND a.chunk_key = b.chunk_key)"""
 RERANKED = f"""
-pts AS (SELECT f.query_id, f.chunk_key, f.rrf_score, f.vrank, f.krank, c.name, c.calls,
+pts AS (SELECT f.query_id, c.repo_id, f.chunk_key, f.rrf_score, f.vrank, f.krank, c.name, c.calls,
     rrf_score + list_sum(list_concat([0], list_transform({tokens('q.question', 1)}, lambda t:
         CASE WHEN contains(lower(c.name), t) THEN 30 ELSE 0 END
       + CASE WHEN contains(lower(regexp_extract(c.file_path, '([^/]*)\\.[^./]*$', 1)), t) THEN 20 ELSE 0 END
@@ -74,16 +74,17 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score
     rrf_score DESC, vrank NULLS LAST, krank NULLS LAST, chunk_key) AS hit_rank FROM pts)"""
 EXPANDED = """
 top AS (SELECT * FROM rr WHERE hit_rank <= 5),
-called AS (SELECT query_id, hit_rank, unnest(calls) AS name,
+called AS (SELECT query_id, repo_id, hit_rank, unnest(calls) AS name,
     unnest(range(len(calls))) AS pos FROM top),
-wanted AS (SELECT query_id, name, min((hit_rank, pos)) AS at FROM called a
-  WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.query_id = a.query_id AND t.name = a.name)
+wanted AS (SELECT query_id, repo_id, name, min((hit_rank, pos)) AS at FROM called a
+  WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.query_id = a.query_id
+    AND t.repo_id = a.repo_id AND t.name = a.name)
   GROUP BY ALL),
-firsts AS (SELECT name, min(chunk_key) AS chunk_key FROM c GROUP BY name),
-extra AS (SELECT w.query_id, f.chunk_key, row_number() OVER (
+firsts AS (SELECT repo_id, name, min(chunk_key) AS chunk_key FROM c GROUP BY ALL),
+extra AS (SELECT w.query_id, w.repo_id, f.chunk_key, row_number() OVER (
     PARTITION BY w.query_id ORDER BY w.at) AS n
-  FROM wanted w JOIN firsts f USING (name) QUALIFY n <= 3),
-expanded AS (SELECT e.query_id, e.chunk_key, e.n + (SELECT count(*) FROM top t
+  FROM wanted w JOIN firsts f USING (repo_id, name) QUALIFY n <= 3),
+expanded AS (SELECT e.query_id, e.repo_id, e.chunk_key, e.n + (SELECT count(*) FROM top t
     WHERE t.query_id = e.query_id) AS hit_rank, 0.005::DOUBLE AS rerank_score FROM extra e)"""
 
 
@@ -119,6 +120,38 @@ SELECT query_id, hit_rank, chunk_key, name, source, round(rrf_score, 9) AS rrf_s
 }
 ORACLE["RET_2_keyword_postings"] = ORACLE["RET_2_keyword_search"]
 
+# Two repositories with equal keys; every question is bound to one of them.
+SHARED = CHUNKS.replace("\nc AS (", "\nc0 AS (") + """,
+c AS (SELECT * REPLACE ('r' AS repo_id) FROM c0 UNION ALL
+  SELECT * REPLACE ('s' AS repo_id, docstring AS search_text) FROM c0)"""
+SCOPED_QUESTIONS = QUESTIONS.replace(
+    "embedding\n", "embedding,\n  CASE WHEN item_id % 2 = 0 THEN 'r' ELSE 's' END AS repo_id\n")
+SCOPED_VECTOR = """
+knn0 AS (SELECT q.query_id, c.chunk_key, round(list_distance(
+    CASE WHEN c.repo_id = 's' THEN list_transform(e.embedding, lambda x: -x)
+      ELSE e.embedding END::DOUBLE[], q.embedding::DOUBLE[]) ** 2, 9) AS distance
+  FROM embeddings e JOIN c ON c.doc_id = e.vec_id JOIN q ON q.repo_id = c.repo_id
+  WHERE q.embedding IS NOT NULL),
+knn AS (SELECT *, row_number() OVER (PARTITION BY query_id
+    ORDER BY distance, chunk_key) AS vrank FROM knn0 QUALIFY vrank <= 10)"""
+SCOPED_KEYWORD = KEYWORD.replace("SELECT query_id, token", "SELECT query_id, repo_id, token").replace(
+    "SELECT query_id, unnest", "SELECT query_id, repo_id, unnest").replace(
+    "a.query_id, c.chunk_key", "a.query_id, c.repo_id, c.chunk_key").replace(
+    "a.token) GROUP", "a.token) AND c.repo_id = a.repo_id GROUP")
+SCOPED_RERANKED = RERANKED.replace("JOIN c USING (chunk_key) JOIN q USING (query_id)",
+                                   "JOIN q USING (query_id) JOIN c ON c.chunk_key = f.chunk_key"
+                                   " AND c.repo_id = q.repo_id")
+ORACLE["RET_2_scoped"] = ORACLE["RET_2_postings_scoped"] = with_(
+    SHARED, SCOPED_QUESTIONS, SCOPED_KEYWORD) + """
+SELECT query_id, repo_id, chunk_key, matches, krank FROM kw"""
+ORACLE["RET_8_scoped"] = with_(SHARED, SCOPED_QUESTIONS, SCOPED_VECTOR, SCOPED_KEYWORD, FUSED,
+                               SCOPED_RERANKED, EXPANDED) + """
+SELECT query_id, hit_rank, repo_id, chunk_key, name, round(rrf_score, 9) AS rrf_score,
+  round(rerank_score, 9) AS rerank_score FROM (
+    SELECT query_id, hit_rank, repo_id, chunk_key, rrf_score, rerank_score FROM top
+    UNION ALL SELECT query_id, hit_rank, repo_id, chunk_key, 0.005, rerank_score FROM expanded)
+  JOIN c USING (repo_id, chunk_key)"""
+
 # --- call graph ------------------------------------------------------------
 
 PART_EDGES = """

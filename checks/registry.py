@@ -68,8 +68,8 @@ def RET_3_rrf(spark, sf) -> DataFrame:
 
 def _reranked(spark, sf):
     hits = V.chunks(spark, sf).select(
-        "chunk_key", "name", "file_path", "calls", "docstring").join(
-        _fused(spark, sf), "chunk_key")
+        "repo_id", "chunk_key", "name", "file_path", "calls", "docstring").join(
+        _fused(spark, sf), ["repo_id", "chunk_key"])
     return search.rerank(hits, V.queries(spark, sf))
 
 
@@ -112,6 +112,28 @@ def RET_8_hybrid_retrieve(spark, sf) -> DataFrame:
         _r9("rerank_score").alias("rerank_score"))
 
 
+@query
+def RET_2_scoped(spark, sf) -> DataFrame:
+    return search.keyword_topk(V.scoped_queries(spark, sf), V.shared_chunks(spark, sf)).select(
+        "query_id", "repo_id", "chunk_key", "matches", F.col("krank").cast("long").alias("krank"))
+
+
+@query
+def RET_2_postings_scoped(spark, sf) -> DataFrame:
+    return search.keyword_topk_postings(
+        V.scoped_queries(spark, sf), search.build_postings(V.shared_chunks(spark, sf))).select(
+        "query_id", "repo_id", "chunk_key", "matches", F.col("krank").cast("long").alias("krank"))
+
+
+@query
+def RET_8_scoped(spark, sf) -> DataFrame:
+    out = retrieve(V.scoped_queries(spark, sf), V.shared_chunks(spark, sf),
+                   V.shared_vectors(spark, sf))
+    return out.select(
+        "query_id", F.col("hit_rank").cast("long").alias("hit_rank"), "repo_id", "chunk_key",
+        "name", _r9("rrf_score").alias("rrf_score"), _r9("rerank_score").alias("rerank_score"))
+
+
 # --- call graph ------------------------------------------------------------
 
 def _long(*names):

@@ -51,10 +51,30 @@ def chunks(spark, sf) -> DataFrame:
 
 def vectors(spark, sf) -> DataFrame:
     """Chunk vectors: vec_id is the doc_id of the chunk it belongs to."""
-    keys = chunks(spark, sf).select("doc_id", "chunk_key")
+    keys = chunks(spark, sf).select("doc_id", "repo_id", "chunk_key")
     return (spread(table(spark, sf, "embeddings"))
             .join(keys, F.col("vec_id") == F.col("doc_id"))
-            .select("chunk_key", "embedding"))
+            .select("repo_id", "chunk_key", "embedding"))
+
+
+def shared_chunks(spark, sf) -> DataFrame:
+    """Two repositories with the same chunk keys; the second is searched by docstring."""
+    c = chunks(spark, sf)
+    return c.withColumn("repo_id", F.lit("r")).unionByName(
+        c.withColumns({"repo_id": F.lit("s"), "search_text": F.col("docstring")}))
+
+
+def shared_vectors(spark, sf) -> DataFrame:
+    """Vectors of both; those of the second point the other way."""
+    v = vectors(spark, sf)
+    return v.withColumn("repo_id", F.lit("r")).unionByName(v.withColumns({
+        "repo_id": F.lit("s"), "embedding": F.transform("embedding", lambda x: -x)}))
+
+
+def scoped_queries(spark, sf) -> DataFrame:
+    """Even questions ask the first repository, odd ones the second."""
+    return queries(spark, sf).withColumn(
+        "repo_id", F.when(F.col("query_id") % 2 == 0, "r").otherwise("s"))
 
 
 def queries(spark, sf) -> DataFrame:

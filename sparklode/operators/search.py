@@ -14,16 +14,22 @@ from pyspark.sql import DataFrame, Window, functions as F
 from sparklode import model as M
 from sparklode.functions import paths
 from sparklode.functions.text import question_tokens
-from sparklode.operators.topk import PartialTopN, question_blocks, rank_rows
+from sparklode.operators.topk import (
+    PartialTopN, joined_keys, question_blocks, rank_rows)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _partial_schema(queries: DataFrame, score: str) -> str:
+def keys_of(df: DataFrame) -> list[str]:
+    """What names a chunk: its key within its repository, if there are repositories."""
+    return [c for c in ("repo_id", "chunk_key") if c in df.columns]
+
+
+def _partial_schema(queries: DataFrame, keys: list[str], score: str) -> str:
     kind = queries.schema["query_id"].dataType.simpleString()
-    return f"query_id {kind}, chunk_key string, {score} double"
+    return f"query_id {kind}, " + "".join(f"{k} string, " for k in keys) + f"{score} double"
 
 
 def _repo_mask(q_repo, repos: pa.Array) -> np.ndarray:
@@ -33,30 +39,59 @@ def _repo_mask(q_repo, repos: pa.Array) -> np.ndarray:
     return wanted[:, codes.indices.to_numpy(zero_copy_only=False)]
 
 
+def _need_repos(queries: DataFrame, *tables: DataFrame) -> bool:
+    """Whether each question is bound to its own repository."""
+    scoped = "repo_id" in queries.columns
+    if scoped and any("repo_id" not in t.columns for t in tables):
+        raise ValueError("questions with a repo_id need chunks and vectors with one")
+    return scoped
+
+
 # --- vector search ---------------------------------------------------------
 
+def vector_errors(vectors: DataFrame, dim: int, metric: str = "l2") -> DataFrame:
+    """Vectors that no search can rank, with the reason: repo_id, chunk_key, error.
+
+    ``vector_topk`` leaves exactly these out; the index run reports them.
+    """
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    length = F.size(F.coalesce("embedding", F.array().cast("array<float>")))
+    reason = (F.when(F.col("embedding").isNull(), "no embedding")
+              .when(length != dim, F.concat(F.lit("length "), length.cast("string"),
+                                            F.lit(f", not {dim}")))
+              .when(bad, "NULL or NaN element"))
+    if metric == "cosine":
+        reason = reason.when(F.forall("embedding", lambda x: x == 0), "zero vector")
+    return vectors.select(*keys_of(vectors), reason.alias("error")).where("error IS NOT NULL")
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, n: int = M.RETRIEVE_N,
                 metric: str = "l2") -> DataFrame:
     """Exact n nearest chunks per question: squared L2, or cosine distance.
 
-    ``vectors``: chunk_key, embedding [, repo_id]. Result: query_id, chunk_key,
-    distance, vrank. Ties (distance to 9 places) go to the smaller key.
+    ``vectors``: chunk_key, embedding [, repo_id]. Result: query_id, [repo_id,]
+    chunk_key, distance, vrank. Ties (distance to 9 places) go to the smaller key.
+    Rows of ``vector_errors`` take no part; questions of unequal length are refused.
     """
-    parts = [_vector_block(b, vectors, n, metric)
-             for b in question_blocks(queries)]
-    return rank_rows(_union(parts), ["distance", "chunk_key"], n, "vrank")
+    _need_repos(queries, vectors)
+    keys = keys_of(vectors)
+    parts = [_vector_block(b, vectors, n, metric, keys) for b in question_blocks(queries)]
+    return rank_rows(_union(parts), ["distance", *reversed(keys)], n, "vrank")
 
 
-def _vector_block(block, vectors, n, metric):
+def _vector_block(block, vectors, n, metric, keys):
     scoped = "repo_id" in block.columns
     rows = block.select("query_id", "embedding",
                         *(["repo_id"] if scoped else [])).toArrow()
     ids = rows["query_id"].to_pylist()
     q_repo = rows["repo_id"].to_pylist() if scoped else None
-    q = np.asarray(rows["embedding"].to_pylist(), dtype=np.float64)
+    asked = rows["embedding"].to_pylist()
+    if len({len(v) for v in asked}) > 1:
+        raise ValueError("the questions' vectors differ in length")
+    q = np.asarray(asked, dtype=np.float64)
     if q.size == 0:
         q = np.zeros((len(ids), 0))
-    names = ["query_id", "chunk_key", "distance"]
+    names = ["query_id", *keys, "distance"]
     shared = block.sparkSession.sparkContext.broadcast((ids, q, q_repo))
 
     def scan(batches):
@@ -68,7 +103,7 @@ def _vector_block(block, vectors, n, metric):
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
-                flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
+                flat = b.column(len(keys)).flatten().to_numpy(zero_copy_only=False)
                 v = flat.astype(np.float64).reshape(-1, dim)
                 v_sq = (v * v).sum(axis=1)[None, :]
                 dot = q @ v.T
@@ -78,16 +113,22 @@ def _vector_block(block, vectors, n, metric):
                     d = 1.0 - dot / np.sqrt(q_sq * v_sq)
                 d = np.round(np.maximum(d, 0.0), 9) + 0.0
                 if q_repo is not None:
-                    d[~_repo_mask(q_repo, b.column(2))] = np.inf
-                keys = np.asarray(b.column(0).to_pylist(), dtype=object)
-                best.push(d, keys)
+                    d[~_repo_mask(q_repo, b.column(0))] = np.inf
+                best.push(d, joined_keys(b, len(keys)))
         if ids:
             yield best.table(ids, names)
 
-    fields = ["chunk_key", "embedding"] + (["repo_id"] if scoped else [])
-    usable = vectors.where(F.size("embedding") == q.shape[1])
-    return usable.select(*fields).mapInArrow(
-        scan, _partial_schema(block, "distance"))
+    return usable_vectors(vectors, q.shape[1], metric).select(*keys, "embedding").mapInArrow(
+        scan, _partial_schema(block, keys, "distance"))
+
+
+def usable_vectors(vectors: DataFrame, dim: int, metric: str = "l2") -> DataFrame:
+    """The vectors without the rows that ``vector_errors`` reports."""
+    fine = (F.size("embedding") == dim) & F.forall(
+        "embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    if metric == "cosine":
+        fine = fine & F.exists("embedding", lambda x: x != 0)
+    return vectors.where(fine)
 
 
 # --- keyword search --------------------------------------------------------
@@ -97,16 +138,18 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame,
     """Best n chunks per question by number of tokens contained as substrings.
 
     Tokens are lower case, documents are not; repeated tokens count again.
-    Result: query_id, chunk_key, matches, krank.
+    Result: query_id, [repo_id,] chunk_key, matches, krank.
     """
-    parts = [_keyword_block(b, chunks, n)
+    _need_repos(queries, chunks)
+    keys = keys_of(chunks)
+    parts = [_keyword_block(b, chunks, n, keys)
              for b in question_blocks(queries, "question")]
-    ranked = rank_rows(_union(parts), ["neg", "chunk_key"], n, "krank")
-    return ranked.select("query_id", "chunk_key",
+    ranked = rank_rows(_union(parts), ["neg", *reversed(keys)], n, "krank")
+    return ranked.select("query_id", *keys,
                          (-F.col("neg")).cast("long").alias("matches"), "krank")
 
 
-def _keyword_block(block, chunks, n):
+def _keyword_block(block, chunks, n, keys):
     scoped = "repo_id" in block.columns
     rows = block.select("query_id", question_tokens("question").alias("tokens"),
                         *(["repo_id"] if scoped else [])).toArrow()
@@ -120,7 +163,7 @@ def _keyword_block(block, chunks, n):
     tokens = list(uses)
     asked = [(np.array(list(per)), np.array(list(per.values()), np.int32)[:, None])
              for per in uses.values()]
-    names = ["query_id", "chunk_key", "neg"]
+    names = ["query_id", *keys, "neg"]
     shared = block.sparkSession.sparkContext.broadcast((ids, tokens, asked, q_repo))
 
     def scan(batches):
@@ -132,7 +175,7 @@ def _keyword_block(block, chunks, n):
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
                 found = np.zeros((len(tokens), b.num_rows), dtype=bool)
-                for j, text in enumerate(b.column(1).to_pylist()):
+                for j, text in enumerate(b.column(len(keys)).to_pylist()):
                     found[contained(text), j] = True
                 counts = np.zeros((len(ids), b.num_rows), dtype=np.int32)
                 for t in np.nonzero(found.any(axis=1))[0]:
@@ -140,23 +183,19 @@ def _keyword_block(block, chunks, n):
                     counts[qs] += times * found[t][None, :]
                 score = np.where(counts > 0, -counts.astype(np.float64), np.inf)
                 if q_repo is not None:
-                    score[~_repo_mask(q_repo, b.column(2))] = np.inf
-                keys = np.asarray(b.column(0).to_pylist(), dtype=object)
-                best.push(score, keys)
+                    score[~_repo_mask(q_repo, b.column(0))] = np.inf
+                best.push(score, joined_keys(b, len(keys)))
         if ids:
             yield best.table(ids, names)
 
-    fields = ["chunk_key", "search_text"] + (["repo_id"] if scoped else [])
     usable = chunks.where(F.col("search_text").isNotNull())
-    return usable.select(*fields).mapInArrow(scan, _partial_schema(block, "neg"))
+    return usable.select(*keys, "search_text").mapInArrow(
+        scan, _partial_schema(block, keys, "neg"))
 
 
 def _substring_finder(tokens: list[str]):
-    """text -> indexes of the tokens it contains, in one pass where possible."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: [i for i, t in enumerate(tokens) if t in text]
+    """text -> indexes of the tokens it contains, in one pass over the text."""
+    import ahocorasick
     if not tokens:
         return lambda text: []
     automaton = ahocorasick.Automaton()
@@ -166,13 +205,13 @@ def _substring_finder(tokens: list[str]):
     return lambda text: [i for _, i in automaton.iter(text)]
 
 
-SALTS, SHORT_WORD = 16, 4
+SALTS = 16
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
-    """Inverted index: one row per chunk and distinct word (word, chunk_key)."""
+    """Inverted index: one row per chunk and distinct word ([repo_id,] word, chunk_key)."""
     words = F.array_distinct(F.split("search_text", r"\s+"))
-    return (chunks.select(F.explode(words).alias("word"), "chunk_key")
+    return (chunks.select(F.explode(words).alias("word"), *keys_of(chunks))
             .where(F.length("word") >= 2))
 
 
@@ -182,14 +221,16 @@ def keyword_topk_postings(queries: DataFrame, postings: DataFrame,
 
     A token holds no white space, so it lies in a document iff it lies in one
     of its words. Tokens meet the vocabulary on their first three (or both)
-    characters, then (token, word) pairs meet the postings on the word. The
-    words of most documents are short ones: those are spread over ``SALTS``
-    tasks; a frequent long word is left to adaptive skew handling.
+    characters, then (token, word) pairs meet the postings on the word, and on the
+    repository if questions are bound to one. Any word may be a frequent one, so each
+    is spread over ``SALTS`` tasks.
     """
+    scope = ["repo_id"] if _need_repos(queries, postings) else []
+    keys = keys_of(postings)
     asked = (queries
-             .select("query_id", F.explode(question_tokens("question")).alias("token"))
-             .groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times")))
-    tokens = asked.select("token").distinct().withColumn(
+             .select("query_id", *scope, F.explode(question_tokens("question")).alias("token"))
+             .groupBy("query_id", *scope, "token").agg(F.count(F.lit(1)).alias("times")))
+    tokens = asked.select(*scope, "token").distinct().withColumn(
         "gram", F.substring("token", 1, 3))
     vocabulary = postings.select("word").distinct()
     starts = F.sequence(F.lit(1), F.length("word") - 1)
@@ -198,19 +239,15 @@ def keyword_topk_postings(queries: DataFrame, postings: DataFrame,
         F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(3)))))).alias("gram"))
     pairs = (tokens.join(grams, "gram")
              .where(F.col("word").contains(F.col("token")))
-             .select("token", "word"))
-    short = F.length("word") <= SHORT_WORD
-    salted = pairs.select("token", "word", F.explode(F.sequence(
-        F.lit(0), F.when(short, SALTS - 1).otherwise(0))).alias("salt"))
-    hits = (postings
-            .withColumn("salt", F.when(short, F.pmod(F.hash("chunk_key"), F.lit(SALTS)))
-                        .otherwise(0))
-            .join(salted, ["word", "salt"])
-            .select("token", "chunk_key").distinct())
-    counts = (hits.join(asked, "token").groupBy("query_id", "chunk_key")
+             .select(*scope, "token", "word"))
+    salted = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = (postings.withColumn("salt", F.pmod(F.hash(*keys), F.lit(SALTS)))
+            .join(salted, [*scope, "word", "salt"])
+            .select("token", *keys).distinct())
+    counts = (hits.join(asked, [*scope, "token"]).groupBy("query_id", *keys)
               .agg(F.sum("times").alias("matches")))
-    return rank_rows(counts, [F.desc("matches"), "chunk_key"], n, "krank").select(
-        "query_id", "chunk_key", "matches", "krank")
+    return rank_rows(counts, [F.desc("matches"), *reversed(keys)], n, "krank").select(
+        "query_id", *keys, "matches", "krank")
 
 
 # --- fusion and re-rank ----------------------------------------------------
@@ -218,24 +255,25 @@ def keyword_topk_postings(queries: DataFrame, postings: DataFrame,
 def rrf(ranked: list[tuple[DataFrame, str]], k: int = M.RRF_K) -> DataFrame:
     """Reciprocal Rank Fusion of any number of ranked lists.
 
-    ``ranked``: (DataFrame with query_id, chunk_key and a rank column, its name).
-    Result: query_id, chunk_key, rrf_score, ranks (one per list, NULL if absent).
+    ``ranked``: (DataFrame with query_id, [repo_id,] chunk_key and a rank column, its name).
+    Result: query_id, [repo_id,] chunk_key, rrf_score, ranks (one per list, NULL if absent).
     """
-    lists = [df.select("query_id", "chunk_key", F.col(rank).alias(f"rank_{i}"))
+    keys = keys_of(ranked[0][0])
+    lists = [df.select("query_id", *keys, F.col(rank).alias(f"rank_{i}"))
              for i, (df, rank) in enumerate(ranked)]
     # The lists are already hashed by query_id, which this join can use as it is.
-    merged = reduce(lambda a, b: a.join(b, ["query_id", "chunk_key"], "full"), lists)
+    merged = reduce(lambda a, b: a.join(b, ["query_id", *keys], "full"), lists)
     score = reduce(lambda a, b: a + b, [
         F.coalesce(1.0 / (k + F.col(f"rank_{i}")), F.lit(0.0))
         for i in range(len(ranked))])
     return merged.withColumn("rrf_score", score)
 
 
-def fused_order(lists: int = 2) -> list:
+def fused_order(lists: int = 2, keys=("chunk_key",)) -> list:
     """Score first, then the order of the earlier lists, then the key."""
     return ([F.desc("rrf_score")]
             + [F.asc_nulls_last(f"rank_{i}") for i in range(lists)]
-            + [F.asc("chunk_key")])
+            + [F.asc(k) for k in reversed(keys)])
 
 
 def rerank_score(question="question", base=None):
@@ -265,10 +303,11 @@ def rerank(hits: DataFrame, queries: DataFrame, lists: int = 2) -> DataFrame:
     Hits without a fused score (a single-list search) start from 1 - distance.
     """
     base = None
-    ties = fused_order(lists)
+    keys = keys_of(hits)
+    ties = fused_order(lists, keys)
     if "rrf_score" not in hits.columns:
         base = 1.0 - F.coalesce("distance", F.lit(0.5))
-        ties = [F.asc("chunk_key")]
+        ties = [F.asc(k) for k in reversed(keys)]
     scored = (hits.join(queries.select("query_id", "question"), "query_id")
               .withColumn("rerank_score", rerank_score(base=base)))
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), *ties)
@@ -304,39 +343,44 @@ def expand_calls(top: DataFrame, chunks: DataFrame,
                  limit: int = M.EXPAND_N) -> DataFrame:
     """Appends up to ``limit`` chunks called by the hits, at a low fixed score.
 
-    ``top``: query_id, hit_rank, chunk_key, name, calls, rrf_score,
-    rerank_score [, repo_id]. Per question the few hits travel as one row, so
-    the plan is a single chain: hits -> called names -> lookup -> hits.
+    ``top``: query_id, hit_rank, [repo_id,] chunk_key, name, calls, rrf_score,
+    rerank_score. A call is looked up in the repository of the hit that makes it. Per
+    question the few hits travel as one row, so the plan is a single chain: hits ->
+    called names -> lookup -> hits.
     """
-    scope = ["repo_id"] if "repo_id" in top.columns else []
-    hit = F.struct("hit_rank", "chunk_key", "name", "calls", "rrf_score",
-                   "rerank_score")
-    per_query = top.groupBy("query_id", *scope).agg(
+    keys = keys_of(top)
+    repo = keys[:-1]
+    hit = F.struct("hit_rank", *keys, "name", "calls", "rrf_score", "rerank_score")
+    per_query = top.groupBy("query_id").agg(
         F.array_sort(F.collect_list(hit)).alias("hits"))
-    known = F.transform("hits", lambda h: h["name"])
-    called = F.flatten(F.transform("hits", lambda h: F.coalesce(
-        h["calls"], F.array().cast("array<string>"))))
+
+    def named(h, name):
+        return F.struct(*[h[c].alias(c) for c in repo], name.alias("name"))
+
+    known = F.transform("hits", lambda h: named(h, h["name"]))
+    called = F.flatten(F.transform("hits", lambda h: F.transform(F.coalesce(
+        h["calls"], F.array().cast("array<string>")), lambda c: named(h, c))))
     # array_except keeps the first occurrence, in hit then call order.
     wanted = (per_query
               .withColumn("called", F.array_except(called, known))
-              .select("query_id", *scope, "hits",
-                      F.posexplode_outer("called").alias("pos", "name")))
+              .select("query_id", "hits", F.posexplode_outer("called").alias("pos", "want"))
+              .select("query_id", "hits", "pos", "want.*"))
     found = (lookup_names(wanted, chunks)
              .groupBy("query_id")
              .agg(F.any_value("hits").alias("hits"),
                   F.array_sort(F.collect_list(F.when(
                       F.col("chunk_key").isNotNull(),
-                      F.struct("pos", "chunk_key")))).alias("extra")))
+                      F.struct("pos", *keys)))).alias("extra")))
     extra = F.transform(
         F.slice("extra", 1, limit),
         lambda e, i: F.struct(
             (F.size("hits") + i + 1).cast("int").alias("hit_rank"),
-            e["chunk_key"].alias("chunk_key"),
+            *[e[k].alias(k) for k in keys],
             F.lit(M.EXPANSION_SCORE).alias("rrf_score"),
             F.lit(M.EXPANSION_SCORE).alias("rerank_score"),
             F.lit(True).alias("is_expansion")))
     kept = F.transform("hits", lambda h: F.struct(
-        h["hit_rank"].alias("hit_rank"), h["chunk_key"].alias("chunk_key"),
+        h["hit_rank"].alias("hit_rank"), *[h[k].alias(k) for k in keys],
         h["rrf_score"].alias("rrf_score"),
         h["rerank_score"].alias("rerank_score"),
         F.lit(False).alias("is_expansion")))

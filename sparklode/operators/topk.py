@@ -64,13 +64,21 @@ class PartialTopN:
             self.best[q] = (s[order], k[order])
 
     def table(self, query_ids, names) -> pa.RecordBatch:
+        """``names``: query id, the columns that the keys were joined from, score."""
         sizes = [len(s) for s, _ in self.best]
         ids = [i for i, m in zip(query_ids, sizes) for _ in range(m)]
         scores = [x for s, _ in self.best for x in s]
-        keys = [x for _, k in self.best for x in k]
+        keys = [x.split("\0", len(names) - 3) for _, k in self.best for x in k]
+        columns = [[k[i] for k in keys] for i in range(len(names) - 2)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(keys), pa.array(scores, pa.float64())],
-            names=names)
+            [pa.array(ids), *(pa.array(c, pa.string()) for c in reversed(columns)),
+             pa.array(scores, pa.float64())], names=names)
+
+
+def joined_keys(batch, columns: int) -> np.ndarray:
+    """The first columns of a batch as one string per row, the last of them in front."""
+    parts = [batch.column(i).to_pylist() for i in reversed(range(columns))]
+    return np.asarray(["\0".join(p) for p in zip(*parts)], dtype=object)
 
 
 def rank_rows(df: DataFrame, by: list, n: int | None, rank: str,

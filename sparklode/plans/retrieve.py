@@ -14,7 +14,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame,
              expand: int = M.EXPAND_N) -> DataFrame:
     """Ranked chunks for every question: k fused hits plus up to ``expand`` calls.
 
-    ``queries``: query_id, question, embedding [, repo_id].
+    ``queries``: query_id, question, embedding [, repo_id]. A chunk is named by
+    (repo_id, chunk_key); a question with a repo_id gets chunks of that repository only.
     """
     parts = [_block(b, chunks, vectors, n, k, expand)
              for b in question_blocks(queries, "question")]
@@ -22,19 +23,20 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame,
 
 
 def _block(queries, chunks, vectors, n, k, expand):
-    scope = ["repo_id"] if "repo_id" in queries.columns else []
+    keys = search.keys_of(chunks)
+    if keys != search.keys_of(vectors):
+        raise ValueError("chunks and vectors must both have a repo_id, or neither")
     fused = search.rrf([
         (search.vector_topk(queries.where(F.col("embedding").isNotNull()),
                             vectors, n), "vrank"),
         (search.keyword_topk(queries, chunks, n), "krank")])
     # A block holds at most BLOCK_ROWS questions and 2n fused hits for each, so
     # both broadcasts are bounded; they keep chunk text out of any shuffle.
-    facts = chunks.select("chunk_key", "name", "file_path", "calls", "docstring",
-                          *scope)
-    hits = facts.join(F.broadcast(fused), "chunk_key")
+    facts = chunks.select(*keys, "name", "file_path", "calls", "docstring")
+    hits = facts.join(F.broadcast(fused), keys)
     top = search.topk_cut(search.rerank(hits, queries), k)
     ranked = search.expand_calls(top, chunks, expand)
-    shown = chunks.select("chunk_key", "file_path", "file_rel_path", "name",
+    shown = chunks.select(*keys, "file_path", "file_rel_path", "name",
                           "node_type", "parent_class", "start_line", "end_line",
                           "calls", "docstring", "source", "is_truncated")
-    return shown.join(F.broadcast(ranked), "chunk_key")
+    return shown.join(F.broadcast(ranked), keys)
