@@ -9,8 +9,11 @@ meet in a shuffle, and every candidate is verified on the sets themselves.
 
 Equal sets are one class from the start. Where a key has many classes, they are first
 compared with the smallest one only; what is connected then needs no more comparison among
-itself, and only pairs across components follow. So a group of near copies costs its size,
-not its square, and no link between different components is missed.
+itself. Only sets that still share a key with another component go on. Their sketches are cut
+again, into twice as many parts, so linked sets agree in more than half of them; ordered by
+frequency, their rarest parts must meet (prefix filter), so what many of them have in common
+makes no candidates. A group of near copies costs its size, not its square, and no link
+between different components is missed.
 """
 
 from bisect import bisect_right
@@ -19,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparklode.llm.common import drop, mix, slices, store, table, text_buffer
 from sparklode.llm.components import connected_components
@@ -45,29 +48,40 @@ class Bands:
             self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * BAND)))
         return bisect_right(self.starts, size) - 1
 
-    def parts(self, band: int) -> int:
-        """Number of parts; 0 if linked sets of this band are equal."""
-        largest = self.starts[band + 1] - 1
-        differ = largest * (100 - self.percent) // self.percent
-        return -(-(differ + 1) // (self.slack + 1)) if differ else 0
+    def differ(self, band: int) -> int:
+        """In how many shingles linked sets may differ, the smaller one being of this band."""
+        return (self.starts[band + 1] - 1) * (100 - self.percent) // self.percent
+
+    def bands(self, size: int):
+        """Bands of the smallest partner up to the own one, without those of equal sets."""
+        last = self.band(size)
+        first = self.band(-(-size * self.percent // 100))
+        return [b for b in range(first, last + 1) if self.differ(b)]
+
+    @staticmethod
+    def _marks(hashes: np.ndarray, words: int, band: int) -> np.ndarray:
+        """The words of the parity sketch, each hashed with its place and band."""
+        sketch = np.zeros(words, np.uint64)
+        np.bitwise_xor.at(sketch, ((hashes >> np.uint64(6)) % np.uint64(words)).astype(
+            np.int64), np.uint64(1) << (hashes & np.uint64(63)))
+        place = np.arange(words, dtype=np.uint64) + np.uint64(band << 40)
+        return mix(sketch + mix(place + np.uint64(1)))
+
+    def fine(self, hashes: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(band, prefix length, marks) with twice as many parts as may differ.
+
+        Of 2 (D + 1) marks linked sets share D + 2 or more, so the rarest D + 1 meet.
+        """
+        return [(band, self.differ(band) + 1, self._marks(
+            hashes, 2 * (self.differ(band) + 1), band)) for band in self.bands(len(hashes))]
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
-        size = len(hashes)
-        if not size:
+        if not len(hashes):
             return np.zeros(0, np.uint64)
         found = []
-        last = self.band(size)
-        first = self.band(-(-size * self.percent // 100))
-        for band in range(first, last + 1):
-            parts = self.parts(band)
-            if not parts:
-                continue
-            words = parts * self.pieces
-            sketch = np.zeros(words, np.uint64)
-            np.bitwise_xor.at(sketch, ((hashes >> np.uint64(6)) % np.uint64(words)).astype(
-                np.int64), np.uint64(1) << (hashes & np.uint64(63)))
-            place = np.arange(words, dtype=np.uint64) + np.uint64(band << 40)
-            marks = mix(sketch + mix(place + np.uint64(1))).reshape(parts, self.pieces)
+        for band in self.bands(len(hashes)):
+            parts = -(-(self.differ(band) + 1) // (self.slack + 1))
+            marks = self._marks(hashes, parts * self.pieces, band).reshape(parts, self.pieces)
             number = np.arange(len(self.kept), dtype=np.uint64)
             found.append(mix(marks[:, self.kept].sum(axis=2, dtype=np.uint64)
                              + number).ravel())
@@ -119,13 +133,8 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, words: int, text: str) -> DataFr
             .dropDuplicates(["node"]))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
-              percent: int, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets meet the threshold."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = store(_sets_of(nodes.join(classes.select("node", "doc_id", "set_id"), "node"),
-                          docs, words, text))
-
     def run(batches):
         for b in batches:
             left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
@@ -140,34 +149,62 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
             .select("a", "b", "x", "y"))
-    links = store(both.mapInArrow(run, "a long, b long"))
-    drop(sets)
-    return links
+    return store(both.mapInArrow(run, "a long, b long"))
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one key that lie in different components and are not compared yet."""
+def _fine_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """node, band, keep (how many of the rarest keys count) and the finer keys."""
+    def run(batches):
+        bands = Bands(percent)
+        for b in batches:
+            rows = [(node, band, keep, marks.view(np.int64))
+                    for node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+                    for band, keep, marks in bands.fine(np.frombuffer(raw, np.uint64))]
+            node, band, keep, marks = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node, pa.int64()), pa.array(band, pa.int64()),
+                 pa.array(keep, pa.int64()), pa.array(list(marks), pa.list_(pa.int64()))],
+                names=["node", "band", "keep", "keys"])
+
+    return sets.select("node", "hashes").mapInArrow(
+        run, "node long, band long, keep long, keys array<long>")
+
+
+def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) in different components that no star has compared."""
     placed = members.join(labels, "node", "left").select(
-        "key", "node", "n", "low", F.coalesce("component", "node").alias("component"))
+        "key", "node", "n", F.coalesce("component", "node").alias("component"))
     placed = store(placed)
-    per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    several = placed.groupBy("key").agg(F.min("component").alias("x"),
+                                        F.max("component").alias("y")).where("x < y")
+    unsettled = store(placed.join(several.select("key"), "key", "left_semi")
+                      .select("node", "n", "component").distinct())
+    drop(placed)
+    fine = _fine_keys(sets.join(unsettled.select("node"), "node", "left_semi"), percent)
+    fine = store(fine.select("node", "band", "keep", F.explode("keys").alias("key")))
+    common = fine.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy("node", "band").orderBy("c", "key")
+    rare = (fine.join(common, "key").withColumn("place", F.row_number().over(order))
+            .where("place <= keep").select("key", "node").join(unsettled, "node"))
+    rare = store(rare)
+    per = rare.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = per.groupBy("key").agg(F.max_by("component", F.struct("c", "component"))
                                    .alias("main"), F.count(F.lit(1)).alias("k"))
-    mixed = store(placed.join(mixed.where("k > 1").drop("k"), "key"))
-    drop(placed)
-    one = mixed.select("key", "low", "main",
+    mixed = store(rare.join(mixed.where("k > 1").drop("k"), "key"))
+    drop(rare)
+    drop(fine)
+    one = mixed.select("key", "main",
                        *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component")])
     two = mixed.where("component != main").select(
         "key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
+    near = (f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
     def pairs(left, different):
-        return left.join(two, "key").where(different).where(
-            "node_a != low AND node_b != low").select(
-            F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"),
-            F.least("n_a", "n_b").alias("small"), F.greatest("n_a", "n_b").alias("large"))
+        return left.join(two, (left["key"] == two["key"]) & F.expr(near) & different).select(
+            F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
     return pairs(one.where("component_a = main"), F.lit(True)).unionByName(
-        pairs(one.where("component_a != main"), F.expr("component_a < component_b")))
+        pairs(one.where("component_a != main"), F.expr("component_a < component_b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
@@ -191,17 +228,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
         F.min("node").alias("low"), F.max("node").alias("high"),
         F.count(F.lit(1)).alias("c")).where("low < high"))
     members = store(keyed.join(shared.where("c > 2").select("key", "low"), "key"))
-    near = f"100 * small >= {percent} * large"
-
     # Sizes of a two-member key are not at hand; the members of larger keys have them.
     stars = members.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     pairs = store(shared.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
                   .unionByName(stars).distinct())
-    sized = _sized(pairs, classes).where(near).select("a", "b")
-    links = _verified(store(sized), classes, docs, words, percent, text)
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(
+        pairs.select(F.col("b").alias("node"))).distinct()
+    sets = store(_sets_of(nodes.join(classes.select("node", "doc_id", "set_id"), "node"),
+                          docs, words, text))
+    sized = _sized(pairs, classes).where(f"100 * small >= {percent} * large").select("a", "b")
+    links = _verified(sized, sets, percent)
     labels = store(connected_components(links))
-    more = store(_across(members, labels).where(near).select("a", "b").distinct())
-    more = _verified(more, classes, docs, words, percent, text)
+    more = _verified(store(_across(members, labels, sets, percent)), sets, percent)
     both = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")),
                       "a", "left").join(
@@ -217,7 +255,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     final = store(known.join(smallest, "component", "left").select(
         "set_id", F.coalesce("component", "node").alias("group_id"),
         F.coalesce("smallest", "first").alias("component_id")))
-    for done in (members, shared, classes):
+    for done in (members, shared, classes, sets, pairs):
         drop(done)
     return (rows.select("doc_id", "tag", "n_shingles", "set_id").join(final, "set_id", "left")
             .select("doc_id", "n_shingles",
