@@ -323,8 +323,7 @@ FROM nodes""",
 SELECT repo_id, symbol, parent, child, mark > 0 AS already_visited, pos FROM te""",
     "GRF_9_backward_trace": with_(CHUNKS, EDGES) + """
 SELECT c.repo_id, e.dst_name AS symbol, c.chunk_key, c.name, c.file_rel_path, c.start_line
-FROM e JOIN c USING (repo_id, chunk_key)
-WHERE EXISTS (SELECT 1 FROM c d WHERE d.repo_id = e.repo_id AND d.name = e.dst_name)""",
+FROM e JOIN c USING (repo_id, chunk_key)""",
     "GRF_10_trace_tree": rec(CHUNKS, trace_sql(NAMES), TREE) + "\nSELECT * FROM tree",
     "GRF_11_trace_bundle": rec(CHUNKS, EDGES, trace_sql(CALLED), TREE) + """
 , back AS (SELECT repo_id, dst_name AS symbol, count(*) AS n_callers FROM e GROUP BY ALL),
@@ -516,6 +515,15 @@ SELECT repo_id, file_path, replace(status, 'un', '') AS status FROM ch""",
 SELECT repo_id, file_path, sha256 FROM oh ANTI JOIN stale USING (repo_id, file_path)
 UNION ALL SELECT repo_id, file_path, sha256 FROM ch WHERE status <> 'unchanged'""",
     "INC_4_orphans": with_(FILES) + "\nSELECT * FROM gone",
+    "INC_4_orphans_partial_listing": with_(FILES) + """
+SELECT repo_id, file_path FROM oh WHERE repo_id = 'en' AND file_path NOT IN (
+  SELECT file_path FROM fl WHERE repo_id = 'en')""",
+    "INC_4_orphans_named_repository": with_(FILES) + """
+SELECT repo_id, file_path FROM oh WHERE repo_id = 'en'""",
+    "INC_6_unreadable": with_(FILES) + """
+SELECT repo_id, file_path, file_path || ': ' || CASE WHEN length % 4 = 0
+  THEN 'cannot be read (OSError)' ELSE 'content is missing' END AS error
+FROM ch WHERE length % 2 = 0""",
     "INC_5_index_stats": with_(FILES) + """
 , a AS (SELECT repo_id, count(*) AS total_files, count_if(status <> 'unchanged') AS indexed,
     count_if(status = 'unchanged') AS skipped FROM ch GROUP BY ALL),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from checks import views as V
 from sparklode.functions import paths, text as X
-from sparklode.functions.storage import graph_facts, materialize, shared_dir, spread
+from sparklode.functions.storage import graph_facts, materialize, shared_dir
 from sparklode.operators import graph, incremental as inc, report, search, trace
 from sparklode.operators.segment import chunk_files, segment_documents
 from sparklode.operators.segment_python import python_definitions
@@ -226,8 +226,9 @@ def GRF_8_forward_trace_edges(spark, sf) -> DataFrame:
 @query
 def GRF_9_backward_trace(spark, sf) -> DataFrame:
     c = graph_facts(V.chunks(spark, sf))
-    symbols = c.select("repo_id", F.col("name").alias("symbol")).distinct()
-    return graph.callers(symbols, graph.call_edges(c), c).select(
+    e = graph.call_edges(c)
+    symbols = e.select("repo_id", F.col("dst_name").alias("symbol")).distinct()
+    return graph.callers(symbols, e, c).select(
         "repo_id", "symbol", "chunk_key", "name", "file_rel_path", *_long("start_line"))
 
 
@@ -456,6 +457,29 @@ def INC_4_orphans(spark, sf) -> DataFrame:
     return _gone(spark, sf)
 
 
+@query
+def INC_4_orphans_partial_listing(spark, sf) -> DataFrame:
+    """Only the English files are listed: files of other repositories are no orphans."""
+    return inc.orphans(V.old_hashes(spark, sf), V.files(spark, sf).where("repo_id = 'en'"))
+
+
+@query
+def INC_4_orphans_named_repository(spark, sf) -> DataFrame:
+    """The English repository was listed and has no files any more."""
+    repos = V.files(spark, sf).where("repo_id = 'en'").select("repo_id")
+    return inc.orphans(V.old_hashes(spark, sf), V.files(spark, sf).where("repo_id = 'de'"), repos)
+
+
+@query
+def INC_6_unreadable(spark, sf) -> DataFrame:
+    """Contents of even length are missing, every other of these with the scan's reason."""
+    even = F.col("length") % 2 == 0
+    f = V.files(spark, sf).withColumns({
+        "content": F.when(~even, F.col("content")),
+        "error": F.when(F.col("length") % 4 == 0, "cannot be read (OSError)")})
+    return inc.errors(inc.detect_changes(f, V.old_hashes(spark, sf)))
+
+
 @query
 def INC_5_index_stats(spark, sf) -> DataFrame:
     changes = _changes(spark, sf)
@@ -504,7 +528,7 @@ def SNK_1_chunk_snapshot(spark, sf) -> DataFrame:
     base = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
     snapshots.publish(spark, base, snapshots.write_snapshot(kept.unionByName(new), base))
     return snapshots.current_snapshot(spark, base).select(
-        F.col("repo_id").cast("string").alias("repo_id"), "file_path", *_long("start_line"))
+        "repo_id", "file_path", *_long("start_line"))
 
 
 # --- segmentation ----------------------------------------------------------
@@ -565,7 +589,7 @@ def CHK_7_token_cap(spark, sf) -> DataFrame:
 
 @query
 def CHK_8_document_segments(spark, sf) -> DataFrame:
-    return segment_documents(spread(V.table(spark, sf, "documents"))).select(
+    return segment_documents(V.spread(V.table(spark, sf, "documents"))).select(
         "doc_id", "source", *_long("segment", "start_line", "end_line", "token_count"))
 
 

@@ -1,19 +1,21 @@
-"""Where intermediate tables go, and the size check behind every broadcast."""
+"""Where intermediate tables go."""
 
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A side is broadcast by hand only up to this many rows (callers keep rows
-# narrow); beyond it the operator takes its other, shuffled or blocked, way.
-BROADCAST_ROWS = 50_000
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only when none is named."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``.
+
+    In local mode, where all threads see one disk, a temporary folder will do; a
+    cluster without a named folder is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sparklode-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -28,6 +30,9 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparklode/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # Later plans may read the table at any time; it goes with the application.
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,18 +45,3 @@ def graph_facts(chunks: DataFrame) -> DataFrame:
     return materialize(chunks.select(
         "repo_id", "chunk_key", "file_path", "file_rel_path", "node_type", "name",
         "start_line", "end_line", "calls"))
-
-
-SMALL_ROWS = 200_000
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spreads a small stored table over all cores before heavy per-row work.
-
-    A table of few rows often is one file and so one task. Counting a stored
-    table reads footers only; a large one is left in its own partitions, since
-    shuffling a corpus would cost more than it gives.
-    """
-    if df.count() > SMALL_ROWS:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

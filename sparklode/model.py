@@ -14,6 +14,9 @@ FILES = T.StructType([
     T.StructField("content", T.BinaryType()),
 ])
 
+# What a scan gives: error says why a content is missing.
+SCANNED_FILES = T.StructType([*FILES.fields, T.StructField("error", T.StringType())])
+
 CHUNKS = T.StructType([
     T.StructField("repo_id", T.StringType()),
     T.StructField("chunk_key", T.StringType()),

@@ -6,7 +6,6 @@ the changed files are known.
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sparklode import model as M
@@ -23,25 +22,37 @@ def detect_changes(files: DataFrame, hashes: DataFrame,
     """repo_id, file_path, sha256, status, is_readable.
 
     ``status`` is new, changed or unchanged; with ``force`` a known file counts
-    as changed. Content that is no valid UTF-8 is not readable.
+    as changed. A file that could not be read (NULL content, an ``error`` of the
+    scan) or is no valid UTF-8 is listed, but not readable.
     """
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    if "error" in files.columns:
+        valid = valid & F.col("error").isNull()
     now = content_hash(files).select(
-        *KEYS, "sha256", F.is_valid_utf8(F.col("content").cast("string")).alias("is_readable"))
+        *KEYS, "sha256", F.coalesce(valid, F.lit(False)).alias("is_readable"),
+        (F.col("error") if "error" in files.columns else F.lit(None).cast("string")).alias("why"),
+        F.col("content").isNull().alias("is_missing"))
     old = hashes.select(*KEYS, F.col("sha256").alias("old_sha256"))
-    same = (F.col("sha256") == F.col("old_sha256")) & F.lit(not force)
+    same = F.coalesce((F.col("sha256") == F.col("old_sha256")) & F.lit(not force), F.lit(False))
     status = (F.when(F.col("old_sha256").isNull(), "new")
               .when(same, "unchanged").otherwise("changed"))
     return now.join(old, KEYS, "left").select(
-        *KEYS, "sha256", status.alias("status"), "is_readable")
+        *KEYS, "sha256", status.alias("status"), "is_readable", "why", "is_missing")
 
 
 def to_index(changes: DataFrame) -> DataFrame:
     return changes.where((F.col("status") != "unchanged") & F.col("is_readable"))
 
 
-def orphans(hashes: DataFrame, files: DataFrame) -> DataFrame:
-    """Stored paths that are no longer listed."""
-    return hashes.join(files.select(*KEYS), KEYS, "left_anti").select(*KEYS)
+def orphans(hashes: DataFrame, files: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Stored paths of listed repositories that are no longer listed.
+
+    ``repos``: repo_id of the repositories that were listed; without it, those with
+    a file. A repository that has lost all its files must be named there.
+    """
+    listed = (files if repos is None else repos).select("repo_id").distinct()
+    return (hashes.join(listed, "repo_id", "left_semi")
+            .join(files.select(*KEYS), KEYS, "left_anti").select(*KEYS))
 
 
 def kept_chunks(chunks: DataFrame, changes: DataFrame, gone: DataFrame) -> DataFrame:
@@ -62,8 +73,9 @@ def new_hashes(hashes: DataFrame, changes: DataFrame, gone: DataFrame) -> DataFr
 
 def errors(changes: DataFrame) -> DataFrame:
     bad = changes.where((F.col("status") != "unchanged") & ~F.col("is_readable"))
-    return bad.select(*KEYS, F.concat("file_path", F.lit(": content is not UTF-8"))
-                      .alias("error"))
+    reason = F.coalesce("why", F.when(F.col("is_missing"), "content is missing")
+                        .otherwise("content is not UTF-8"))
+    return bad.select(*KEYS, F.concat("file_path", F.lit(": "), reason).alias("error"))
 
 
 def index_stats(changes: DataFrame, new_chunks: DataFrame,
@@ -85,15 +97,17 @@ def index_stats(changes: DataFrame, new_chunks: DataFrame,
 
 def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
           batch: int = M.EMBED_BATCH) -> DataFrame:
-    """chunk_key, embedding: texts go to ``embedder`` in batches, order kept."""
+    """[repo_id, file_path,] chunk_key, embedding: texts go to ``embedder`` in batches,
+    order kept."""
+    keys = [c for c in (*KEYS, "chunk_key") if c in chunks.columns]
+
     def run(frames):
         for pdf in frames:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at:at + batch]
-                yield pd.DataFrame({"chunk_key": part["chunk_key"],
-                                    "embedding": embedder(part["search_text"].tolist())})
-    return chunks.select("chunk_key", "search_text").mapInPandas(
-        run, "chunk_key string, embedding array<float>")
+                yield part[keys].assign(embedding=embedder(part["search_text"].tolist()))
+    return chunks.select(*keys, "search_text").mapInPandas(
+        run, "".join(f"{k} string, " for k in keys) + "embedding array<float>")
 
 
 def embed_hashing(chunks: DataFrame, dims: int = 256) -> DataFrame:
@@ -104,6 +118,7 @@ def embed_hashing(chunks: DataFrame, dims: int = 256) -> DataFrame:
                            pattern=r"\w+", gaps=False)
     counts = HashingTF(numFeatures=dims, inputCol="words", outputCol="counts")
     unit = Normalizer(inputCol="counts", outputCol="unit")
+    keys = [c for c in (*KEYS, "chunk_key") if c in chunks.columns]
     out = unit.transform(counts.transform(words.transform(
-        chunks.select("chunk_key", "search_text"))))
-    return out.select("chunk_key", vector_to_array("unit", "float32").alias("embedding"))
+        chunks.select(*keys, "search_text"))))
+    return out.select(*keys, vector_to_array("unit", "float32").alias("embedding"))

@@ -4,7 +4,9 @@
 ``__init__.py``; so the tree is listed here. Only the upper ``depth`` levels
 are listed when the scan is planned; each directory found there becomes a
 partition that walks the rest and reads file bytes on an executor. Ignored
-directories are pruned on the way down. Paths may be local (a folder every
+directories are pruned on the way down, links to directories are not followed. A
+file that cannot be read comes as a row with NULL content and an ``error``, so it is
+not taken for a deleted one; a folder that cannot be listed fails the scan. Paths may be local (a folder every
 executor sees) or any URI that pyarrow's file systems know.
 
     spark.dataSource.register(CorpusSource)
@@ -15,6 +17,8 @@ Options: path, repo_id (default: last path component), depth (1), content
 max_bytes (0 = no limit).
 """
 
+import os
+
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sparklode import model as M
@@ -31,7 +35,7 @@ class CorpusSource(DataSource):
         return "corpus"
 
     def schema(self):
-        return M.FILES
+        return M.SCANNED_FILES
 
     def reader(self, schema):
         return _CorpusReader(dict(self.options))
@@ -57,8 +61,10 @@ class _CorpusReader(DataSourceReader):
     def _list(self, store, folder: str):
         """(kept sub-folders, kept files) of one folder, sorted."""
         from pyarrow import fs
-        found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        found = store.get_file_info(fs.FileSelector(folder))
+        local = isinstance(store, fs.LocalFileSystem)
         dirs = [f.path for f in found if f.type == fs.FileType.Directory
+                and not (local and os.path.islink(f.path))
                 and f.base_name not in M.IGNORED_DIRS and not f.base_name.startswith(".")
                 and not (self.skip_tests and f.base_name.lower() in M.TEST_DIRS)]
         files = [f for f in found if f.type == fs.FileType.File and self._keep(f)]
@@ -94,15 +100,18 @@ class _CorpusReader(DataSourceReader):
                 todo += dirs
             for f in files:
                 rel = f.path[len(root):].lstrip("/")
+                data = error = None
                 try:
-                    data = store.open_input_stream(f.path).read() if self.content else None
-                except OSError:
-                    continue   # vanished or unreadable between listing and reading
-                yield (self.repo, f"{self.root}/{rel}", rel, f.size, data)
+                    if self.content:
+                        with store.open_input_stream(f.path) as stream:
+                            data = stream.read()
+                except OSError as e:
+                    error = f"cannot be read ({type(e).__name__})"
+                yield (self.repo, f"{self.root}/{rel}", rel, f.size, data, error)
 
 
 def scan_corpus(spark, path: str, **options):
-    """DataFrame of the files under ``path`` (schema ``model.FILES``)."""
+    """DataFrame of the files under ``path`` (schema ``model.SCANNED_FILES``)."""
     spark.dataSource.register(CorpusSource)
     reader = spark.read.format("corpus").option("path", path)
     for k, v in options.items():

@@ -1,28 +1,36 @@
 """Versioned chunk snapshots: written whole, then switched to."""
 
+import json
 import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 class NoSnapshot(LookupError):
     """Nothing was published under this path yet."""
 
-SKEW_ROWS_PER_FILE = 1_000_000
+
+SKEW_ROWS_PER_FILE, FILES_PER_PARTITION = 1_000_000, 16
 
 
 def write_snapshot(df: DataFrame, base: str, partition: str = "repo_id") -> str:
     """Writes a new version under ``base`` and returns its path.
 
     Nothing of an earlier version is touched, so readers keep a whole index
-    until ``publish``. Files are cut by row count, so one large repository is
-    written by many tasks and into many files.
+    until ``publish``. A repository is dealt to ``FILES_PER_PARTITION`` tasks at most,
+    so a large one is written by several and a small one does not get a file of
+    every task. The schema is stored beside the data.
     """
+    spark = df.sparkSession
     path = f"{base}/v{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
-    (df.write.partitionBy(partition)
+    rest = [c for c in df.columns if c != partition]
+    part = F.pmod(F.hash(*rest), F.lit(FILES_PER_PARTITION)) if rest else F.lit(0)
+    (df.repartition(F.col(partition), part).write.partitionBy(partition)
      .option("maxRecordsPerFile", SKEW_ROWS_PER_FILE).parquet(path))
+    spark.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1).write.parquet(
+        f"{path}-schema")
     return path
 
 
@@ -39,4 +47,6 @@ def current_snapshot(spark: SparkSession, base: str) -> DataFrame:
     except AnalysisException as e:
         raise NoSnapshot(base) from e
     path = log.orderBy(F.desc("at"), F.desc("path")).first()["path"]
-    return spark.read.parquet(path)
+    schema = spark.read.parquet(f"{path}-schema").first()["schema"]
+    # Without it the type of the partition column would be guessed from its values.
+    return spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(path)

@@ -36,7 +36,8 @@ def start_ingest(files: DataFrame, base: str, checkpoint: str, exclude_tests: bo
         # Files that are not in this batch stay; withdrawn ones become orphans.
         present = batch.where("content IS NOT NULL")
         touched = hashes.join(batch.select(*inc.KEYS), inc.KEYS, "left_semi")
-        run = build_index(present, chunks, touched, exclude_tests=exclude_tests)
+        run = build_index(present, chunks, touched, exclude_tests=exclude_tests,
+                          repos=batch)
         untouched = hashes.join(batch.select(*inc.KEYS), inc.KEYS, "left_anti")
         new_hashes = untouched.unionByName(run.hashes)
         paths = [snapshots.write_snapshot(run.chunks, chunks_at),

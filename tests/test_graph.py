@@ -1,7 +1,6 @@
-"""Call-graph operators on small graphs; traces against a plain queue search."""
+"""Call-graph operators on small graphs; traces against their definition."""
 
 import random
-from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,32 +67,38 @@ def test_selection_equals_plain_greedy(spark):
     assert got == want
 
 
-def queue_search(by_name, symbol, max_depth, max_nodes):
-    """Reference behaviour: one queue, marks for repeated names, a node limit."""
-    nodes, cut, queue = {}, False, deque([(symbol, 0, None)])
-    while queue:
-        name, depth, parent = queue.popleft()
-        if name in nodes:
-            nodes[parent]["marks"].append(name)
-            continue
-        if len(nodes) >= max_nodes:
-            cut = True
-            break
-        calls = by_name.get(name)
-        nodes[name] = {"depth": depth, "parent": parent, "kids": [], "marks": []}
-        if parent is not None:
-            nodes[parent]["kids"].append(name)
-        if calls is not None and depth < max_depth:
-            for c in calls:
-                if c in nodes:
-                    nodes[name]["marks"].append(c)
-                else:
-                    queue.append((c, depth + 1, name))
-    return nodes, cut
+def by_definition(by_name, symbol, max_depth, max_nodes):
+    """Visited nodes with (depth, parent), repeated calls, and whether nodes were left out.
+
+    A node's place is its smallest (depth, call positions on the way from the root); the
+    first ``max_nodes`` places are visited. A call of a visited node is a repeated one if
+    its target has another parent or an earlier place, unless the call's own place comes
+    after the first node left out.
+    """
+    place, parent, level = {symbol: (0, ())}, {symbol: None}, [symbol]
+    for depth in range(1, max_depth + 1):
+        steps = sorted(((depth, place[u][1] + (i,)), u, v) for u in level
+                       for i, v in enumerate(by_name.get(u, ())) if v not in place)
+        first = {}
+        for at, u, v in steps:
+            first.setdefault(v, (at, u))
+        for v, (at, u) in first.items():
+            place[v], parent[v] = at, u
+        level = list(first)
+    order = sorted(place, key=place.get)
+    seen, left = order[:max_nodes], order[max_nodes:]
+    end = place[left[0]] if left else (max_depth + 1, ())
+    repeated = set()
+    for u in seen:
+        for i, v in enumerate(by_name.get(u, ()) if place[u][0] < max_depth else ()):
+            at = (place[u][0] + 1, place[u][1] + (i,))
+            if v in seen and (place[v] <= place[u] or (parent[v] != u and at < end)):
+                repeated.add((u, v))
+    return [(n, place[n][0], parent[n]) for n in seen], repeated, bool(left)
 
 
 @pytest.mark.parametrize("max_depth, max_nodes", [(3, 20), (2, 5), (4, 9)])
-def test_traces_equal_queue_search(spark, max_depth, max_nodes):
+def test_traces_follow_the_definition(spark, max_depth, max_nodes):
     rng = random.Random(max_nodes)
     rows, want = [], {}
     for g in range(40):
@@ -101,7 +106,7 @@ def test_traces_equal_queue_search(spark, max_depth, max_nodes):
         by_name = {n: rng.sample(names + ["ext"], rng.randrange(0, min(6, len(names)))) for n in names}
         rows += [(f"g{g}", n, "a.py", c) for n, c in by_name.items()]
         for n in names:
-            want[f"g{g}", n] = queue_search(by_name, n, max_depth, max_nodes)
+            want[f"g{g}", n] = by_definition(by_name, n, max_depth, max_nodes)
     c = table(spark, rows)
     state = trace.forward_state(c.select("repo_id", F.col("name").alias("symbol")), c,
                                 max_depth, max_nodes)
@@ -111,9 +116,9 @@ def test_traces_equal_queue_search(spark, max_depth, max_nodes):
     for r in trace.trace_edges(state).where("already_visited").collect():
         marks.setdefault((r["repo_id"], r["symbol"]), set()).add((r["parent"], r["child"]))
     cut = {(r["repo_id"], r["symbol"]): r["is_truncated"] for r in trace.trace_summary(state).collect()}
-    for key, (tree, stopped) in want.items():
-        assert nodes[key] == [(n, v["depth"], v["parent"]) for n, v in tree.items()]
-        assert marks.get(key, set()) == {(n, m) for n, v in tree.items() for m in v["marks"]}
+    for key, (tree, repeated, stopped) in want.items():
+        assert nodes[key] == tree
+        assert marks.get(key, set()) == repeated
         assert cut[key] == stopped
 
 

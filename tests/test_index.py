@@ -99,6 +99,58 @@ def test_embedding_batches_keep_order(spark):
     assert len(out) == 50 and all(float(r["chunk_key"]) == r["embedding"][0] for r in out)
 
 
+def test_links_and_unreadable_files(spark, tmp_path, monkeypatch):
+    root = tmp_path / "tree"
+    (root / "pkg").mkdir(parents=True)
+    for name in ("a.py", "pkg/b.py", "pkg/c.py"):
+        (root / name).write_text("def f(): pass\n")
+    (root / "pkg" / "up").symlink_to(root)
+    (root / "gone.py").symlink_to(root / "nowhere")
+    rows = scan_corpus(spark, str(root), repo_id="r").collect()
+    assert sorted(r["file_rel_path"] for r in rows if r["error"] is None) == [
+        "a.py", "pkg/b.py", "pkg/c.py"]
+    first = build_index(scan_corpus(spark, str(root), repo_id="r"))
+    broken = scan_corpus(spark, str(root), repo_id="r").withColumns({
+        "content": F.when(F.col("file_rel_path") != "a.py", F.col("content")),
+        "error": F.when(F.col("file_rel_path") == "a.py", "cannot be read (OSError)")})
+    run = build_index(broken, first.chunks, first.hashes)
+    assert [r["error"] for r in run.errors.collect()] == [
+        f"{root}/a.py: cannot be read (OSError)"]
+    assert run.chunks.count() == 3 and stats(run)["cleaned"] == 0
+
+
+def test_vectors_follow_the_chunks(spark):
+    def embed(chunks):
+        return inc.embed(chunks, lambda texts: [[float(len(t))] for t in texts])
+    first = build_index(files(spark, a="def f(): pass\n", b="def b(): pass\n"), embed=embed)
+    run = build_index(files(spark, a="def longer_name(): pass\n"), first.chunks, first.hashes,
+                      embed=embed, vectors=first.vectors)
+    keys = [(r.repo_id, r.chunk_key) for r in run.chunks.collect()]
+    assert [(r.repo_id, r.chunk_key) for r in run.vectors.collect()] == keys and len(keys) == 1
+
+
+def test_other_repositories_stay(spark):
+    one = files(spark, a="def f(): pass\n")
+    two = one.withColumn("repo_id", F.lit("s"))
+    first = build_index(one.unionByName(two))
+    run = build_index(one, first.chunks, first.hashes)
+    assert run.hashes.count() == 2 and run.chunks.count() == 2
+    named = spark.createDataFrame([("r",), ("s",)], "repo_id string")
+    run = build_index(one, first.chunks, first.hashes, repos=named)
+    assert [r.repo_id for r in run.chunks.collect()] == ["r"]
+
+
+def test_snapshot_keeps_types_and_few_files(spark, tmp_path):
+    base = str(tmp_path / "typed")
+    df = spark.range(1000).select(F.lit("007").alias("repo_id"), "id").repartition(40)
+    path = snapshots.write_snapshot(df, base)
+    snapshots.publish(spark, base, path)
+    got = snapshots.current_snapshot(spark, base)
+    assert got.schema["repo_id"].dataType == df.schema["repo_id"].dataType
+    assert got.select("repo_id").distinct().first()[0] == "007" and got.count() == 1000
+    assert len(spark.read.parquet(path).inputFiles()) <= snapshots.FILES_PER_PARTITION
+
+
 def test_snapshots(spark, tmp_path):
     base = str(tmp_path / "snap")
     with pytest.raises(snapshots.NoSnapshot):

@@ -125,3 +125,29 @@ def test_empty_tables(spark, chunks, vectors):
     q = ask(spark, "walk")
     assert retrieve(q.limit(0), chunks, vectors).count() == 0
     assert retrieve(q, chunks.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_equal_keys_in_two_repositories(spark, chunks, vectors):
+    both = chunks.withColumn("repo_id", F.lit("s")).unionByName(chunks.withColumn("repo_id", F.lit("r")))
+    v = vectors.withColumn("repo_id", F.lit("s")).unionByName(vectors.withColumn("repo_id", F.lit("r")))
+    q = ask(spark, "walk repo").withColumn("repo_id", F.lit("s"))
+    out = retrieve(q, both, v).orderBy("hit_rank").collect()
+    assert {r["repo_id"] for r in out} == {"s"}
+    assert [r["hit_rank"] for r in out] == list(range(1, len(out) + 1))
+    found = search.keyword_topk_postings(q, search.build_postings(both))
+    assert {r["repo_id"] for r in found.collect()} == {"s"}
+    free = retrieve(ask(spark, "walk repo"), both, v)
+    assert free.groupBy("repo_id", "chunk_key").count().where("count > 1").count() == 0
+
+
+def test_unusable_vectors_are_reported(spark):
+    v = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", [None, 1.0]), ("c", [1.0]), ("d", [float("nan"), 0.0]),
+         ("e", [0.0, 0.0]), ("f", None)], "chunk_key string, embedding array<float>")
+    bad = {r["chunk_key"]: r["error"] for r in search.vector_errors(v, 2, "cosine").collect()}
+    assert set(bad) == {"b", "c", "d", "e", "f"} and bad["c"] == "length 1, not 2"
+    assert keys(search.vector_topk(ask(spark, "x"), v, metric="cosine"), "vrank") == ["a"]
+    assert keys(search.vector_topk(ask(spark, "x"), v), "vrank") == ["a", "e"]
+    uneven = ask(spark, "x").unionByName(ask(spark, "y", vec=(1.0,)))
+    with pytest.raises(ValueError, match="differ in length"):
+        search.vector_topk(uneven, v)
