@@ -5,12 +5,12 @@ in an item is its BM25 impact as a share of the item's total, so a passage with
 of an item scores 1 on it. Passages are runs of two cells of ``step`` words, one from every
 cell on; no item is longer than a cell, so a copy of it lies in some passage.
 
-As in WAND an item cannot reach the threshold on the words with the smallest weights alone:
-its other words are essential, and only passages with an essential word of some item are
-looked at. For them the largest weights per block of items bound the score; blocks below
-the threshold are skipped, the items of the others are scored in full. Every item at or
-above the threshold is then verified: enough word trigrams of both its question (first two
-thirds) and its answer (the rest) must occur in the passage.
+As in WAND, words that many items share are not essential: no item can reach the threshold on
+them alone, so their lists are not read to bound a score; per block of items they add at most
+a known share. For every passage the largest weights per block of its other words bound the
+scores; blocks below the threshold are skipped, the items of the others are scored in full.
+Every item at or above the threshold is then verified: enough word trigrams of both its
+question (first two thirds) and its answer (the rest) must occur in the passage.
 """
 
 import math
@@ -23,7 +23,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparklode.llm.common import encoded, octets, slices, table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-K1, B, BLOCK, LEAST_STEP = 1.2, 0.75, 16, 64
+K1, B, BLOCK, LEAST_STEP = 1.2, 0.75, 4, 64
+# What the words that are not essential may come to in any item, as a share of the threshold.
+COMMON = 0.6
+_CELLS = 1 << 21
 THRESHOLD, OVERLAP, GRAM = 0.5, 0.5, 3
 # Broadcast bound: benchmarks beyond it are split into several indexes of this many bytes.
 INDEX_BYTES = 16 << 20
@@ -62,18 +65,12 @@ class ItemIndex:
             rarity = {w: math.log(1 + (len(lists) - n + 0.5) / (n + 0.5))
                       for w, n in seen.items()}
         self.terms = {w: i for i, w in enumerate(sorted(rarity))}
-        rows, essential = [], []
+        rows = []
         for i, (words, count) in enumerate(zip(lists, counts)):
             weight = {w: rarity[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / average))
                       for w, n in count.items()}
             total = sum(weight.values())
-            rest = 0.0
-            for w in sorted(weight, key=lambda w: (weight[w], w)):
-                share = weight[w] / total
-                rows.append((self.terms[w], i, share))
-                rest += share
-                if rest >= threshold - 1e-9:
-                    essential.append((self.terms[w], i))
+            rows += [(self.terms[w], i, x / total) for w, x in weight.items()]
         rows.sort()
         term = np.array([r[0] for r in rows], np.int64)
         self.item = np.array([r[1] for r in rows], np.int64)
@@ -85,27 +82,56 @@ class ItemIndex:
         self.block_max = np.maximum.reduceat(self.share, heads) if len(rows) else self.share
         self.block_at = np.searchsorted(term[heads] if len(rows) else term,
                                         np.arange(len(self.terms) + 1))
-        self.essential = np.zeros(len(self.terms) + 1, bool)   # the last one: no term
-        self.essential[[t for t, _ in essential]] = True
-        self.essential_blocks: dict[int, set[int]] = {}
-        for t, i in essential:
-            self.essential_blocks.setdefault(t, set()).add(i // BLOCK)
+        self.blocks = len(self.ids) // BLOCK + 1
+        self._split_off_common()
+
+    def _split_off_common(self):
+        """Takes the most frequent terms from the essential ones, as long as they may go."""
+        self.essential = np.ones(len(self.terms) + 1, bool)
+        self.essential[-1] = False   # the last one: no term
+        shares = np.zeros(len(self.ids))
+        sizes = np.diff(self.at)
+        for t in np.argsort(-sizes, kind="stable").tolist():
+            part = slice(self.at[t], self.at[t + 1])
+            shares[self.item[part]] += self.share[part]
+            if shares.size and shares.max() > COMMON * self.threshold:
+                shares[self.item[part]] -= self.share[part]
+                break
+            self.essential[t] = False
+        self.common = np.zeros(self.blocks)   # the most that they add per block
+        np.maximum.at(self.common, np.arange(len(self.ids)) // BLOCK, shares)
 
     def _lists(self, at, terms):
-        """Positions of the lists of all given terms."""
-        return np.concatenate([np.arange(at[t], at[t + 1]) for t in terms]) if len(
-            terms) else np.zeros(0, np.int64)
+        """Positions of the lists of all given terms, and the number of each list."""
+        size = at[terms + 1] - at[terms]
+        owner = np.repeat(np.arange(len(terms)), size)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        return at[terms][owner] + within, owner
 
-    def search(self, terms: np.ndarray, blocks: set[int]):
+    def possible(self, passage: np.ndarray, terms: np.ndarray):
+        """(passage, blocks) where an item may reach the threshold.
+
+        The arguments are the distinct pairs of passage and essential term, by passage.
+        """
+        step = max(1, _CELLS // self.blocks)
+        start = 0
+        while start < len(passage):
+            first = passage[start]
+            end = int(np.searchsorted(passage, first + step))
+            at, owner = self._lists(self.block_at, terms[start:end])
+            cell = (passage[start:end][owner] - first) * self.blocks + self.block[at]
+            most = np.bincount(cell, self.block_max[at])
+            most = most + self.common[np.arange(len(most)) % self.blocks]
+            found = np.flatnonzero(most >= self.threshold - 1e-9)
+            found = found[np.isin(found, cell)]
+            for p in np.unique(found // self.blocks):
+                yield int(first + p), found[found // self.blocks == p] % self.blocks
+            start = end
+
+    def search(self, terms: np.ndarray, blocks) -> list[tuple[int, float]]:
         """(item, score) of all items of the blocks at or above the threshold."""
-        bound = self._lists(self.block_at, terms)
-        most = np.bincount(self.block[bound], self.block_max[bound],
-                           len(self.ids) // BLOCK + 1)
-        alive = [b for b in blocks if most[b] >= self.threshold - 1e-9]
-        if not alive:
-            return []
-        full = self._lists(self.at, terms)
-        full = full[np.isin(self.item[full] // BLOCK, alive)]
+        full, _ = self._lists(self.at, terms)
+        full = full[np.isin(self.item[full] // BLOCK, blocks)]
         score = np.bincount(self.item[full], self.share[full], len(self.ids))
         return [(i, float(score[i])) for i in np.flatnonzero(score >= self.threshold - 1e-9)]
 
@@ -120,13 +146,13 @@ class ItemIndex:
         hits = np.flatnonzero(self.essential[ids])
         if not len(hits):
             return []
-        wanted: dict[int, set[int]] = {}
+        # A word lies in the passage that starts with its cell and in the one before.
         last = max((len(words) - 1) // self.step - 1, 0)
-        for t, cell in set(zip(ids[hits].tolist(), (hits // self.step).tolist())):
-            for passage in {max(cell - 1, 0), min(cell, last)}:
-                wanted.setdefault(passage, set()).update(self.essential_blocks[t])
+        cell = hits // self.step
+        pairs = np.unique(np.r_[np.minimum(cell, last), np.maximum(cell - 1, 0)] * none
+                          + np.r_[ids[hits], ids[hits]])
         best: dict[int, tuple] = {}
-        for passage, blocks in sorted(wanted.items()):
+        for passage, blocks in self.possible(pairs // none, pairs % none):
             start = passage * self.step
             terms = np.unique(ids[start:start + 2 * self.step])
             grams = None
