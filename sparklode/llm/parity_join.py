@@ -1,24 +1,25 @@
 """N-gram Jaccard join by parity sketches.
 
-Every shingle flips one bit of a sketch, so the Hamming distance of two sketches is at most
-the size of the symmetric difference of the sets. Two sets that link differ in at most D
-shingles, D given by the size of the smaller one. The sketch of a size band is cut into so
-many parts that one of them differs in at most ``slack`` bits; that part is cut into
-``pieces`` words, of which all but ``slack`` must be equal. So linked sets share a key, keys
-meet in a shuffle, and every candidate is verified on the sets themselves.
+Shingles are dealt to parts by their hash, and each part holds the XOR of the hashes it got: a
+shingle that only one of two sets has changes one part, so sets that differ in D shingles
+differ in at most D parts. D follows from the smaller size and the threshold. In a size band
+with bound D a sketch has 2 (D + 1) parts; linked sets agree in D + 2 of them or more. In any
+fixed order of all parts, the first D + 1 of both must then meet (pigeonhole with a prefix):
+the order takes parts with many shingles first, since they say most. Such parts are the keys
+that meet in a shuffle. A candidate pair must have sizes that can link, and bit sketches
+(every shingle flips one of ``BITS`` bits) of a Hamming distance of at most D, since that
+bounds the symmetric difference from below; then it is verified on the sets themselves.
 
 Equal sets are one class from the start. Where a key has many classes, they are first
 compared with the smallest one only; what is connected then needs no more comparison among
-itself. Only sets that still share a key with another component go on. Their sketches are cut
-again, into twice as many parts, so linked sets agree in more than half of them; ordered by
-frequency, their rarest parts must meet (prefix filter), so what many of them have in common
-makes no candidates. A group of near copies costs its size, not its square, and no link
-between different components is missed.
+itself. Only sets that still share a key with another component go on; their parts are put
+in the order of frequency, so what many of them have in common makes no candidates. A group
+of near copies costs its size, not its square, and no link between different components is
+missed.
 """
 
 from bisect import bisect_right
 from hashlib import blake2b
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,10 @@ from sparklode.llm.common import drop, mix, slices, store, table, text_buffer
 from sparklode.llm.components import connected_components
 from sparklode.llm.shingles import shingle_sets
 
-BAND = 1.2   # ratio of the largest to the smallest size of a band
+BAND = 1.5   # ratio of the largest to the smallest size of a band
+BITS = 1024
+# Representatives of candidates are sent to the texts up to this size, else both are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 class Bands:
@@ -38,10 +42,6 @@ class Bands:
         if not 50 <= percent <= 100:
             raise ValueError("the threshold must lie between 50 and 100 percent")
         self.percent, self.starts = percent, [1]
-        # With few shingles per part one equal word says little: then parts tolerate a bit.
-        self.slack, self.pieces = (0, 1) if percent >= 90 else (1, 4)
-        self.kept = np.array(list(combinations(range(self.pieces),
-                                               self.pieces - self.slack)))
 
     def band(self, size: int) -> int:
         while self.starts[-1] <= size:
@@ -58,40 +58,34 @@ class Bands:
         first = self.band(-(-size * self.percent // 100))
         return [b for b in range(first, last + 1) if self.differ(b)]
 
-    @staticmethod
-    def _marks(hashes: np.ndarray, words: int, band: int) -> np.ndarray:
-        """The words of the parity sketch, each hashed with its place and band."""
-        sketch = np.zeros(words, np.uint64)
-        np.bitwise_xor.at(sketch, ((hashes >> np.uint64(6)) % np.uint64(words)).astype(
-            np.int64), np.uint64(1) << (hashes & np.uint64(63)))
-        place = np.arange(words, dtype=np.uint64) + np.uint64(band << 40)
-        return mix(sketch + mix(place + np.uint64(1)))
-
-    def fine(self, hashes: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(band, prefix length, marks) with twice as many parts as may differ.
-
-        Of 2 (D + 1) marks linked sets share D + 2 or more, so the rarest D + 1 meet.
-        """
-        return [(band, self.differ(band) + 1, self._marks(
-            hashes, 2 * (self.differ(band) + 1), band)) for band in self.bands(len(hashes))]
+    def marks(self, hashes: np.ndarray):
+        """(band, D + 1, all parts as hashes with their places, shingles per part)."""
+        for band in self.bands(len(hashes)):
+            most = self.differ(band) + 1
+            part = ((hashes >> np.uint64(8)) % np.uint64(2 * most)).astype(np.int64)
+            sketch = np.zeros(2 * most, np.uint64)
+            np.bitwise_xor.at(sketch, part, hashes)
+            place = np.arange(2 * most, dtype=np.uint64) + np.uint64(band << 40)
+            yield band, most, mix(sketch + mix(place + np.uint64(1))), np.bincount(
+                part, minlength=2 * most)
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(hashes):
-            return np.zeros(0, np.uint64)
-        found = []
-        for band in self.bands(len(hashes)):
-            parts = -(-(self.differ(band) + 1) // (self.slack + 1))
-            marks = self._marks(hashes, parts * self.pieces, band).reshape(parts, self.pieces)
-            number = np.arange(len(self.kept), dtype=np.uint64)
-            found.append(mix(marks[:, self.kept].sum(axis=2, dtype=np.uint64)
-                             + number).ravel())
+        """The first D + 1 parts of each band in the order of (shingles, hash)."""
+        found = [marks[np.lexsort((marks, -count))[:most]]
+                 for _, most, marks, count in self.marks(hashes)]
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def bit_sketch(hashes: np.ndarray) -> np.ndarray:
+    """BITS parities as 64-bit words."""
+    odd = np.bincount((hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _features(docs: DataFrame, words: int, percent: int, text: str) -> DataFrame:
-    """doc_id, tag, n_shingles, set_id (NULL for the empty set) and keys per row.
+    """doc_id, tag, n_shingles, set_id (NULL for the empty set), keys and sketch per row.
 
-    Within a slice only the first of equal sets carries the keys.
+    Within a slice only the first of equal sets carries keys and sketch.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -101,18 +95,29 @@ def _features(docs: DataFrame, words: int, percent: int, text: str) -> DataFrame
             sets = shingle_sets(*text_buffer(b.column(2)), words)
             ids = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                    for s in sets]
-            seen, keys = set(), []
+            seen, keys, sketches = set(), [], []
             for i, s in zip(ids, sets):
-                keys.append(None if i is None or i in seen
-                            else bands.keys(s).view(np.int64))
+                fresh = i is not None and i not in seen
+                keys.append(bands.keys(s).view(np.int64) if fresh else None)
+                sketches.append(bit_sketch(s) if fresh else None)
                 seen.add(i)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "tag", "n_shingles", "set_id", "keys"])
+                 pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(sketches, pa.list_(pa.int64()))],
+                names=["doc_id", "tag", "n_shingles", "set_id", "keys", "sketch"])
 
     return docs.select("doc_id", F.xxhash64(text).alias("tag"), text).mapInArrow(
-        run, f"doc_id {kind}, tag long, n_shingles long, set_id binary, keys array<long>")
+        run, f"doc_id {kind}, tag long, n_shingles long, set_id binary, keys array<long>, "
+             "sketch array<long>")
+
+
+def stored_bytes(stored: DataFrame) -> int:
+    """Bytes of a stored table, from its files."""
+    spark = stored.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(
+        path).getLength()
 
 
 def _sets_of(nodes: DataFrame, docs: DataFrame, words: int, text: str) -> DataFrame:
@@ -126,6 +131,8 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, words: int, text: str) -> DataFr
                 [b.column(0), pa.array(sets, pa.binary())],
                 names=["node", "hashes"]).filter(pa.array(same, pa.bool_()))
 
+    if stored_bytes(nodes) <= BROADCAST_BYTES:
+        nodes = F.broadcast(nodes)
     # A row without an id can stand for its class too, so the join takes NULL as equal.
     texts = (docs.select(F.col("doc_id").alias("id"), F.col(text).alias("t"))
              .join(nodes, F.col("id").eqNullSafe(F.col("doc_id"))))
@@ -152,14 +159,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return store(both.mapInArrow(run, "a long, b long"))
 
 
-def _fine_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """node, band, keep (how many of the rarest keys count) and the finer keys."""
+def _all_parts(sets: DataFrame, percent: int) -> DataFrame:
+    """node, band, keep (how many of the rarest parts count) and all parts."""
     def run(batches):
         bands = Bands(percent)
         for b in batches:
-            rows = [(node, band, keep, marks.view(np.int64))
+            rows = [(node, band, most, marks.view(np.int64))
                     for node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                    for band, keep, marks in bands.fine(np.frombuffer(raw, np.uint64))]
+                    for band, most, marks, _ in bands.marks(np.frombuffer(raw, np.uint64))]
             node, band, keep, marks = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(node, pa.int64()), pa.array(band, pa.int64()),
@@ -180,7 +187,7 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     unsettled = store(placed.join(several.select("key"), "key", "left_semi")
                       .select("node", "n", "component").distinct())
     drop(placed)
-    fine = _fine_keys(sets.join(unsettled.select("node"), "node", "left_semi"), percent)
+    fine = _all_parts(sets.join(unsettled.select("node"), "node", "left_semi"), percent)
     fine = store(fine.select("node", "band", "keep", F.explode("keys").alias("key")))
     common = fine.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy("node", "band").orderBy("c", "key")
@@ -221,25 +228,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     rows = store(_features(docs, words, percent, text))
     classes = store(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"),
-        F.first("keys", ignorenulls=True).alias("keys"))
+        F.first("keys", ignorenulls=True).alias("keys"),
+        F.first("sketch", ignorenulls=True).alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id()))
     keyed = classes.select(F.explode("keys").alias("key"), "node", "n")
     shared = store(keyed.groupBy("key").agg(
         F.min("node").alias("low"), F.max("node").alias("high"),
         F.count(F.lit(1)).alias("c")).where("low < high"))
     members = store(keyed.join(shared.where("c > 2").select("key", "low"), "key"))
-    # Sizes of a two-member key are not at hand; the members of larger keys have them.
     stars = members.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    pairs = store(shared.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-                  .unionByName(stars).distinct())
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(
-        pairs.select(F.col("b").alias("node"))).distinct()
-    sets = store(_sets_of(nodes.join(classes.select("node", "doc_id", "set_id"), "node"),
-                          docs, words, text))
-    sized = _sized(pairs, classes).where(f"100 * small >= {percent} * large").select("a", "b")
-    links = _verified(sized, sets, percent)
+    pairs = (shared.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+             .unionByName(stars).distinct())
+    pairs = store(_possible(pairs, classes, percent))
+    # Members of large keys may be compared again, so their sets are wanted too.
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(
+        members.select("node")).distinct()
+    nodes = store(nodes.join(classes.select("node", "doc_id", "set_id"), "node"))
+    sets = store(_sets_of(nodes, docs, words, text))
+    links = _verified(pairs, sets, percent)
     labels = store(connected_components(links))
-    more = _verified(store(_across(members, labels, sets, percent)), sets, percent)
+    more = store(_possible(_across(members, labels, sets, percent), classes, percent))
+    more = _verified(more, sets, percent)
     both = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")),
                       "a", "left").join(
@@ -282,12 +291,18 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
             .dropDuplicates(["__id", "__tag"]).select(*docs.columns))
 
 
-def _sized(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    sizes = classes.select("node", "n")
-    return (pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
-            .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-            .select("a", "b", F.least("n_a", "n_b").alias("small"),
-                    F.greatest("n_a", "n_b").alias("large")))
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and bit sketches allow a link."""
+    facts = classes.select("node", "n", "sketch")
+    near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    # |A xor B| <= (100 - p) / p |smaller set|
+    differ = (f"{percent} * aggregate(zip_with(s_a, s_b, (x, y) -> bit_count(x ^ y)), 0, "
+              f"(t, x) -> t + x) <= {100 - percent} * least(n_a, n_b)")
+    return (pairs.join(facts.select(*[F.col(c).alias(x) for c, x in zip(
+                facts.columns, ("a", "n_a", "s_a"))]), "a")
+            .join(facts.select(*[F.col(c).alias(x) for c, x in zip(
+                facts.columns, ("b", "n_b", "s_b"))]), "b")
+            .where(near).where(differ).select("a", "b"))
 
 
 def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
