@@ -177,7 +177,19 @@ def _all_parts(sets: DataFrame, percent: int) -> DataFrame:
         run, "node long, band long, keep long, keys array<long>")
 
 
-def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _can_link(percent: int) -> str:
+    """Whether sizes n_a, n_b and bit sketches sketch_a, sketch_b allow a link.
+
+    A similarity of p percent or more is the same as a symmetric difference of at most
+    (100 - p) / (100 + p) of both sizes together, which the sketches bound from below.
+    """
+    return (f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {100 + percent} * "
+            "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, "
+            f"(t, x) -> t + x) <= {100 - percent} * (n_a + n_b)")
+
+
+def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, classes: DataFrame,
+            percent: int) -> DataFrame:
     """Candidates (a, b) in different components that no star has compared."""
     placed = members.join(labels, "node", "left").select(
         "key", "node", "n", F.coalesce("component", "node").alias("component"))
@@ -192,7 +204,8 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     common = fine.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy("node", "band").orderBy("c", "key")
     rare = (fine.join(common, "key").withColumn("place", F.row_number().over(order))
-            .where("place <= keep").select("key", "node").join(unsettled, "node"))
+            .where("place <= keep").select("key", "node").join(
+                unsettled.join(classes.select("node", "sketch"), "node"), "node"))
     rare = store(rare)
     per = rare.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = per.groupBy("key").agg(F.max_by("component", F.struct("c", "component"))
@@ -200,11 +213,11 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     mixed = store(rare.join(mixed.where("k > 1").drop("k"), "key"))
     drop(rare)
     drop(fine)
-    one = mixed.select("key", "main",
-                       *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component")])
+    facts = ("node", "n", "component", "sketch")
+    one = mixed.select("key", "main", *[F.col(c).alias(f"{c}_a") for c in facts])
     two = mixed.where("component != main").select(
-        "key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
-    near = (f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        "key", *[F.col(c).alias(f"{c}_b") for c in facts])
+    near = _can_link(percent)
 
     def pairs(left, different):
         return left.join(two, (left["key"] == two["key"]) & F.expr(near) & different).select(
@@ -247,7 +260,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     sets = store(_sets_of(nodes, docs, words, text))
     links = _verified(pairs, sets, percent)
     labels = store(connected_components(links))
-    more = store(_possible(_across(members, labels, sets, percent), classes, percent))
+    more = store(_across(members, labels, sets, classes, percent))
     more = _verified(more, sets, percent)
     both = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")),
@@ -294,15 +307,11 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and bit sketches allow a link."""
     facts = classes.select("node", "n", "sketch")
-    near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    # |A xor B| <= (100 - p) / p |smaller set|
-    differ = (f"{percent} * aggregate(zip_with(s_a, s_b, (x, y) -> bit_count(x ^ y)), 0, "
-              f"(t, x) -> t + x) <= {100 - percent} * least(n_a, n_b)")
     return (pairs.join(facts.select(*[F.col(c).alias(x) for c, x in zip(
-                facts.columns, ("a", "n_a", "s_a"))]), "a")
+                facts.columns, ("a", "n_a", "sketch_a"))]), "a")
             .join(facts.select(*[F.col(c).alias(x) for c, x in zip(
-                facts.columns, ("b", "n_b", "s_b"))]), "b")
-            .where(near).where(differ).select("a", "b"))
+                facts.columns, ("b", "n_b", "sketch_b"))]), "b")
+            .where(_can_link(percent)).select("a", "b"))
 
 
 def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
