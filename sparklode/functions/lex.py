@@ -2,37 +2,61 @@
 
 A masked text has the line and character positions of the original. Comments
 become blanks; a string becomes one OPEN mark followed by INSIDE marks (line
-ends stay), so a line that begins inside a string begins with INSIDE.
+ends stay), so a line that begins inside a string begins with INSIDE. Expressions
+in template and f-strings stay readable if they hold balanced brackets and no
+string of their own.
 """
 
 from pyspark.sql import Column, functions as F
 
 OPEN, INSIDE = "\u0002", "\u0001"
 
+def nested(left: str, right: str, depth: int, also: str = "") -> str:
+    """Pattern of text between two brackets, nested up to ``depth`` times."""
+    plain = rf"[^{left}{right}{also}]++"
+    pattern = rf"{left}(?:{plain})*+{right}"
+    for _ in range(depth - 1):
+        pattern = rf"{left}(?:{plain}|{pattern})*+{right}"
+    return pattern
+
+
+# What may stand in ${...} or {...} of a string without being masked.
+_CODE = rf"(?:[^{{}}()\[\]\"'`\n]++|{nested(r'\(', r'\)', 4, chr(34) + chr(39) + '`{}' + chr(92) + 'n')})++"
+
 # Possessive quantifiers keep long strings from deep regex recursion.
 _PREFIX = r"(?:[rRbBuUfF]{1,2})"
 _PY = (rf"(?:\b{_PREFIX})?(?:\"\"\"[\s\S]*?(?:(?<!\\)\"\"\"|\z)"
        r"|'''[\s\S]*?(?:(?<!\\)'''|\z)"
        r"|\"(?:[^\"\\\n]++|\\[\s\S])*+\"?|'(?:[^'\\\n]++|\\[\s\S])*+'?)"
        rf"|#[^\n]*+|(?:[^\"'#\w]|(?!{_PREFIX}[\"'])\w++)++|[\s\S]")
-_JS = (r"\"(?:[^\"\\\n]++|\\[\s\S])*+\"?|'(?:[^'\\\n]++|\\[\s\S])*+'?"
+_JS = (r"(?<=[A-Za-z])'(?=[A-Za-z])|(?<=[a-z]:)//|\"(?:[^\"\\\n]++|\\[\s\S])*+\"?|'(?:[^'\\\n]++|\\[\s\S])*+'?"
        r"|`(?:[^`\\]++|\\[\s\S])*+`?|//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)"
        r"|(?<=[(,=:\[!&|?{};\n][ \t]{0,8})/(?:[^/\\\n\[]++|\\.|\[[^\]\n]*+\])++/[a-z]*+"
        r"|[^\"'`/]++|[\s\S]")
 
 
-def _mask(text, token_regex: str, comment: str, string: str) -> Column:
+def _mask(text, token_regex: str, comment: str, string: str, filled: str,
+          hole: str) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(f"({token_regex})"), F.lit(1))
     return F.array_join(F.transform(tokens, lambda t: F.when(
         F.left(t, F.lit(2)).rlike(comment), F.regexp_replace(t, r"[^\n]", " ")).when(
         F.left(t, F.lit(3)).rlike(string), F.concat(
-            F.lit(OPEN), F.regexp_replace(F.substr(t, F.lit(2)), r"[^\n]", INSIDE))
+            F.lit(OPEN), F.when(
+                F.left(t, F.lit(3)).rlike(filled) & t.rlike(hole), F.array_join(F.transform(
+                    F.regexp_extract_all(F.substr(t, F.lit(2)), F.lit(rf"({hole}|[\s\S])"), F.lit(1)),
+                    lambda p: F.when(F.length(p) > 2, F.concat(
+                        F.regexp_replace(F.regexp_extract(p, r"\A\$?\{", 0), ".", INSIDE),
+                        F.regexp_extract(p, r"\A\$?\{([\s\S]*)\}\z", 1), F.lit(INSIDE))).otherwise(
+                        F.regexp_replace(p, r"[^\n]", INSIDE))), "")).otherwise(
+                F.regexp_replace(F.substr(t, F.lit(2)), r"[^\n]", INSIDE)))
     ).otherwise(t)), "")
 
 
 def mask_python(text) -> Column:
-    return _mask(text, _PY, r"\A#", r"\A(?:[rRbBuUfF]{1,2})?[\"']")
+    return _mask(text, _PY, r"\A#", r"\A(?:[rRbBuUfF]{1,2})?[\"']",
+                 r"\A[rR]?[fF]", rf"(?<!\{{)\{{{_CODE}\}}")
 
 
 def mask_js(text) -> Column:
-    return _mask(text, _JS, r"\A/[/*]", r"\A(?:[\"'`]|/[^\s=])")
+    return _mask(text, _JS, r"\A/[/*]", r"\A(?:[\"'`]|/[^\s=])", r"\A`",
+                 rf"\$\{{{_CODE}\}}")

@@ -1,6 +1,6 @@
 """File and document segmentation into chunks of at most 300 tokens."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sparklode import model as M
 from sparklode.functions import paths
@@ -46,8 +46,9 @@ def segment_documents(docs: DataFrame, cap: int = M.CHUNK_TOKEN_CAP) -> DataFram
 
     ``docs``: doc_id, text. Lines (long ones cut into pieces) of at most cap/2
     tokens are numbered by the tokens before them; pieces in the same half-cap
-    step form a segment, so none exceeds the cap. Runs inside the row: no
-    shuffle. Result: doc_id, segment, start_line, end_line, token_count, source.
+    step form a segment, so none exceeds the cap. The running sum and the grouping
+    share one shuffle by document and are linear in its length. Result: doc_id,
+    segment, start_line, end_line, token_count, source.
     """
     half = cap // 2
     piece = rf"(?:\s*(?:{X.TOKEN})){{1,{half}}}\s*"
@@ -55,22 +56,18 @@ def segment_documents(docs: DataFrame, cap: int = M.CHUNK_TOKEN_CAP) -> DataFram
         F.regexp_extract_all(line, F.lit(f"({piece})"), F.lit(1)),
         lambda p: F.struct((i + 1).alias("line"), p.alias("text"),
                            X.token_count(p).alias("n")))))
-    d = docs.select("doc_id", pieces.alias("p"))
-    # (tokens so far, step of each piece)
-    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("steps"))
-    steps = F.aggregate("p", start, lambda acc, p: F.struct(
-        (acc["total"] + p["n"]).alias("total"),
-        F.array_append(acc["steps"], F.floor(acc["total"] / half).cast("int")).alias("steps")),
-        lambda acc: acc["steps"])
-    d = d.withColumn("steps", steps)
-    rows = d.select("doc_id", F.explode(F.transform(
-        F.array_distinct("steps"), lambda s: F.struct(
-            s.alias("segment"),
-            F.slice("p", F.array_position("steps", s),
-                    F.size(F.filter("steps", lambda x: x == s))).alias("part")))).alias("s"))
-    part = F.col("s.part")
-    return rows.select(
-        "doc_id", "s.segment", F.get(part, F.lit(0))["line"].alias("start_line"),
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    rows = numbered.select("doc_id", "row",
+                           F.posexplode(pieces).alias("i", "p")).select("doc_id", "row", "i", "p.*")
+    before = (Window.partitionBy("row").orderBy("i")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    step = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / half).cast("int")
+    parts = rows.withColumn("segment", step).groupBy("row", "segment").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.array_sort(F.collect_list(F.struct("i", "line", "text", "n"))).alias("part"))
+    part = F.col("part")
+    return parts.select(
+        "doc_id", "segment", F.get(part, F.lit(0))["line"].alias("start_line"),
         F.element_at(part, -1)["line"].alias("end_line"),
         F.aggregate(part, F.lit(0), lambda a, p: a + p["n"]).alias("token_count"),
         F.array_join(F.transform(part, lambda p, i: F.concat(F.when(

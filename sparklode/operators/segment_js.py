@@ -14,8 +14,10 @@ from sparklode.functions import lex
 from sparklode.operators.nesting import KEYS, resolve_nesting
 
 _NAME = r"[\p{L}_$][\w$]*+"
-_PARAMS = (r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)")
-_TYPE = r"(?:\s*:[^={};]*+)?"
+_PARAMS = lex.nested(r"\(", r"\)", 12)
+_OBJECT = lex.nested(r"\{", r"\}", 4)
+# A type may be or hold an object type; what follows it decides where it ends.
+_TYPE = rf"(?:\s*:(?:[^={{}};]++(?:{_OBJECT}[^={{}};]*+)?|\s*{_OBJECT}[^={{}};]*+))?"
 _ARROW = rf"(?:async\s+)?(?:<[^>(]*+>\s*)?(?:{_PARAMS}{_TYPE}|{_NAME})\s*=>\s*"
 _FUNCTION = rf"(?:async\s+)?function\b\s*\*?\s*(?:{_NAME})?\s*(?:<[^>(]*+>)?\s*{_PARAMS}{_TYPE}\s*(?=\{{)"
 _BEFORE_NAME = r"(?:(?:const|let|var)\s+)?"
@@ -25,7 +27,8 @@ _MODIFIERS = r"(?:(?:static|async|get|set|public|private|protected|readonly|over
 _RESERVED = (r"(?:if|for|while|switch|catch|with|function|return|else|do|try|new|await"
              r"|super|typeof|delete|void|throw|case|in|of|instanceof|yield|import)\b")
 _METHOD = rf"{_MODIFIERS}#?(?!{_RESERVED}){_NAME}\s*(?:<[^>(]*+>)?\s*{_PARAMS}{_TYPE}\s*(?=\{{)"
-_CLASS = rf"class\s+(?!extends\b){_NAME}[^{{}}();]*+(?=\{{)"
+_ANGLES = rf"<(?:[^<>{{}}]++|{_OBJECT}|<(?:[^<>{{}}]++|{_OBJECT})*+>)*+>"
+_CLASS = rf"class\s+(?!extends\b){_NAME}(?:[^{{}}();<]++|{_ANGLES}|{_PARAMS})*+(?=\{{)"
 _HEAD = rf"(?<![\w$.#])(?:{_CLASS}|{_ASSIGNED}(?:{_FUNCTION}|{_ARROW})|{_FUNCTION}|{_ARROW}|{_METHOD})|{_ARROW}"
 _BREAK = r"(?<![-+*/&|=?:,<>]|[-+*/&|=?:,<>] )\n(?!\s*(?:[.?:&|+*/)\]}=,<>-]|\z))"
 _REST = rf"(?:{_NAME}|\d[\w$]*+|[^\w$(){{}}\[\];,\n]|\n)"
@@ -34,11 +37,11 @@ _MARK = (rf"{_HEAD}|[(){{}}\[\];,]|{_BREAK}|(?:(?!{_HEAD}|{_BREAK}){_REST})++|[\
 _BLOCK_MARK = rf"{_HEAD}|[(){{}}\[\]]|(?:(?!{_HEAD})(?:{_REST}|[;,]))++|[\s\S]"
 _PLAIN_ARROW = r"=>\s*(?!\{)\S"
 _HEAD_TEXT = rf"\A(?:class\s+{_NAME}[\s\S]|[\s\S]*=>\s*\z|[\s\S]*{_PARAMS}{_TYPE}\s*\z)"
-_CALL = rf"(?<![\w$])(?<!\bnew )(?<!\bfunction )(?!{_RESERVED}|async\b)({_NAME})\s*(?:<[\w\s,.\[\]|]*+>)?\((?![^()]*+\)\s*\{{)"
+_CALL = rf"(?<![\w$#])(?<!\bnew )(?<!\bfunction )(?!{_RESERVED}|async\b)(#?{_NAME})\s*(?:<[\w\s,.\[\]|]*+>)?\((?![^()]*+\)\s*\{{)"
 
 
 def js_definitions(files: DataFrame) -> DataFrame:
-    """repo_id, file_path, first, last (0-based offsets), is_function, name, parent."""
+    """repo_id, file_path, first, last (0-based offsets), line, is_function, name, parent."""
     f = files.select(*KEYS, lex.mask_js("text").alias("masked"))
     marks = F.when(F.col("masked").rlike(_PLAIN_ARROW), F.regexp_extract_all(
         "masked", F.lit(f"({_MARK})"), F.lit(1))).otherwise(F.regexp_extract_all(
@@ -46,7 +49,8 @@ def js_definitions(files: DataFrame) -> DataFrame:
     t = f.select(*KEYS, F.length("masked").alias("size"),
                  F.posexplode(marks).alias("i", "t"))
     # Only headers and single marks keep their text in the shuffle.
-    t = t.select(*KEYS, "size", "i", F.length("t").alias("n"), F.when(
+    t = t.select(*KEYS, "size", "i", F.length("t").alias("n"),
+                 F.regexp_count("t", F.lit("\n")).alias("breaks"), F.when(
         (F.length("t") == 1) | F.col("t").rlike(_HEAD_TEXT), F.col("t")).alias("t"))
     w = Window.partitionBy(*KEYS).orderBy("i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -57,6 +61,7 @@ def js_definitions(files: DataFrame) -> DataFrame:
     t = t.select(
         *KEYS, "i", "size", "t", head.alias("is_head"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"),
+        F.coalesce(F.sum("breaks").over(before), F.lit(0)).alias("breaks"),
         F.coalesce(F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(before),
                    F.lit(0)).alias("depth"),
         F.lead("t").over(w).alias("next"))
@@ -73,8 +78,8 @@ def js_definitions(files: DataFrame) -> DataFrame:
         F.when(~F.col("is_head") & (F.col("t") == "}"),
                row((F.col("depth") - 1).alias("level"), (F.col("at") + 1).cast("int").alias("block"),
                    lv.alias("stop")))), lambda r: r.isNotNull())
-    e = t.select(*KEYS, "i", "size", "is_head", "at", "depth", "t", "next",
-                 F.inline(rows))
+    e = t.select(*KEYS, "i", "size", "is_head", "at", "breaks", "depth", "t",
+                 "next", F.inline(rows))
     later = (Window.partitionBy(*KEYS, "level").orderBy(F.desc("i"), F.desc("is_head"))
              .rowsBetween(Window.unboundedPreceding, -1))
     e = e.select("*", F.last("block", ignorenulls=True).over(later).alias("block_end"),
@@ -97,6 +102,8 @@ def js_definitions(files: DataFrame) -> DataFrame:
             .otherwise(""))
     defs = h.select(
         *KEYS, (F.col("at") + assigned).cast("int").alias("first"),
+        (F.col("breaks") + 1 + F.regexp_count(F.left("t", assigned), F.lit("\n")))
+        .cast("int").alias("line"),
         (end - 1).cast("int").alias("last"), (kind != "class").alias("is_function"),
         name.alias("name"), F.col("depth").cast("int").alias("depth"), kind.alias("kind"),
         ((kind == "assigned") & ~F.col("t").rlike(r"\A(?:const|let|var)\s")).alias("bare"),
@@ -110,20 +117,17 @@ def js_definitions(files: DataFrame) -> DataFrame:
 def js_chunks(files: DataFrame) -> DataFrame:
     """Chunk columns before the token cap; see ``segment.chunk_files``."""
     found = js_definitions(files).groupBy(*KEYS).agg(F.array_sort(F.collect_list(
-        F.struct("first", "last", "kind", "name",
-                 F.col("parent.name").alias("parent")))).alias("defs"))
+        F.struct("first", "last", "kind", "name", F.col("parent.name").alias("parent"),
+                 "line"))).alias("defs"))
     f = files.select(*KEYS, "file_rel_path", "text",
                      lex.mask_js("text").alias("masked")).join(found, KEYS)
 
-    def line_of(offset):
-        return F.regexp_count(F.substr("text", F.lit(1), offset), F.lit("\n")) + 1
-
     f = f.select(*KEYS, "file_rel_path", "text", "masked", F.transform("defs", lambda d: F.struct(
         d["first"].alias("first"),
         F.length(F.regexp_replace(F.substr("text", d["first"] + 1, d["last"] - d["first"] + 1),
                                   r"\s+\z", "")).alias("size"),
         d["kind"].alias("kind"), d["name"].alias("name"), d["parent"].alias("parent"),
-        line_of(d["first"]).alias("line"))).alias("defs"))
+        d["line"].alias("line"))).alias("defs"))
     f = f.withColumn("starts", F.transform("defs", lambda d: d["line"]))
     rows = f.select(*KEYS, "file_rel_path", F.inline(F.transform("defs", lambda d, i: F.struct(
         d["kind"].alias("kind"), d["name"].alias("name"), d["parent"].alias("parent_class"),

@@ -17,10 +17,12 @@ from sparklode.operators.nesting import KEYS, resolve_nesting
 
 _ID = r"[\p{L}_][\p{L}\p{N}_]*+"
 _DEF = rf"^\s*(?:async\s+)?(def|class)\s+({_ID})"
-_CALL = rf"(?<![\p{{L}}\p{{N}}_])(?<!\bdef )(?<!\bclass )({_ID})\s*+\("
+# match (x): and case (x): open a block, they call nothing.
+_CALL = (rf"(?m)(?<![\p{{L}}\p{{N}}_])(?<!\bdef )(?<!\bclass )"
+         rf"(?!(?:match|case)\s*+\([^\n]*:[ \t]*$)({_ID})\s*+\(")
 _HEADER = (rf"\A\s*(?:async\s+)?(?:def|class)\s+{_ID}\s*"
            r"(?:\[[^\]]*+\])?\s*"
-           r"(?:\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\))?"
+           rf"(?:{lex.nested(chr(92) + '(', chr(92) + ')', 12)})?"
            r"\s*(?:->[^:]*+)?:\s*")
 _DOC = rf"\A{lex.OPEN}[{lex.INSIDE}\n]*(?=[ \t]*(?:\n|;|\z))"
 # Words that may stand before "(" without being called.
@@ -71,8 +73,13 @@ def python_definitions(files: DataFrame) -> DataFrame:
 
     w = Window.partitionBy(*KEYS).orderBy("line_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
+    # No bracket can be open at an unindented definition: one that is was never closed.
+    line = line.withColumn("part", F.sum(F.when(
+        (F.col("kind") != "") & (F.col("indent") == 0) & ~F.col("inside"), 1).otherwise(0)).over(w))
+    in_part = (Window.partitionBy(*KEYS, "part").orderBy("line_no")
+               .rowsBetween(Window.unboundedPreceding, -1))
     stmt = line.select(
-        "*", F.coalesce(F.sum("delta").over(before), F.lit(0)).alias("open"),
+        "*", F.coalesce(F.sum("delta").over(in_part), F.lit(0)).alias("open"),
         F.lag(F.when(F.col("goes_on"), F.col("line_no"))).over(w).alias("goes_on_at"))
     stmt = stmt.where(~F.col("inside") & (F.col("open") <= 0) & ~F.coalesce(
         F.col("goes_on_at") == F.col("line_no") - 1, F.lit(False)))

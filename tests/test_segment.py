@@ -46,6 +46,19 @@ SNIPPETS = {
                 "  return <div>{s}</div>;\n}\n",
     "typed.ts": "export class Svc {\n  private load(id: number): Promise<void> {\n    return get(id);\n  }\n}\n"
                 "export const pick = (a: string): string => {\n  return cut(a);\n};\n",
+    "soft.py": "def f(x):\n    match (x):\n        case (1):\n            one(x)\n    match(x)\n",
+    "fstring.py": "def f(x):\n    return f\"{helper(x)} {{no(x)}} {x!r}\" + 'text(x)'\n",
+    "unclosed.py": "def a():\n    x = foo(1,\n\ndef b():\n    go()\n\nclass C:\n    def m(self): pass\n",
+    "deep.py": "def f(a=g(h(i(j(k(l(1))))))):\n    'Doc.'\n    return run(a)\n",
+    "objtype.ts": "function f(a: string): { ok: boolean } {\n  return go(a);\n}\n"
+                  "const g = (a): { ok: { x: number } } => {\n  run(a);\n};\n"
+                  "function p(): Promise<{a: string}> {\n  return q();\n}\n",
+    "mixin.ts": "class A extends mixin(Base) {\n  m() { a(); }\n}\n"
+                "class D extends Comp<{a: string}> {\n  n() { b(); }\n}\n",
+    "deep.js": "function f(a = g(h(i(j(k(1)))))) {\n  return m(a);\n}\n",
+    "text.jsx": "function V(p) {\n  return <ul>{p.ok && <p>Don't</p>}<li>http://a.b</li></ul>;\n}\n"
+                "function W() {\n  w();\n}\n",
+    "tmpl.js": "class T {\n  #p() { return 1; }\n  q(x) {\n    return `v ${load(x)} ${no\n}` + this.#p();\n  }\n}\n",
     "notes.md": "def f():\n    pass\n",
 }
 
@@ -153,3 +166,45 @@ def test_tsx_and_ts(chunks):
 
 def test_search_text(chunks):
     assert chunks["one.js"][0]["search_text"].startswith("file: one.js\n\nclass: Foo\n\n")
+
+
+def test_soft_keywords_and_f_strings(chunks):
+    assert chunks["soft.py"][0]["calls"] == ["match", "one"]
+    assert chunks["fstring.py"][0]["calls"] == ["helper"]
+
+
+def test_python_recovers_after_an_unclosed_bracket(chunks):
+    assert names(chunks["unclosed.py"]) == ["a", "b", "C", "m"]
+    assert chunks["deep.py"][0]["docstring"] == "Doc."
+
+
+def test_ts_object_types(chunks):
+    assert [(r["name"], r["start_line"], r["end_line"], r["calls"]) for r in chunks["objtype.ts"]] == [
+        ("f", 1, 3, ["go"]), ("g", 4, 6, ["run"]), ("p", 7, 9, ["q"])]
+
+
+def test_ts_heritage_expressions(chunks):
+    assert [(r["name"], r["parent_class"], r["start_line"], r["end_line"]) for r in chunks["mixin.ts"]] == [
+        ("A", None, 1, 3), ("m", "A", 2, 2), ("D", None, 4, 6), ("n", "D", 5, 5)]
+
+
+def test_js_deep_parameters_text_and_templates(chunks):
+    (f,) = chunks["deep.js"]
+    assert f["name"] == "f" and f["end_line"] == 3 and "m" in f["calls"]
+    assert [(r["name"], r["start_line"], r["end_line"]) for r in chunks["text.jsx"]] == [
+        ("V", 1, 3), ("W", 4, 6)]
+    q = [r for r in chunks["tmpl.js"] if r["name"] == "q"][0]
+    assert q["calls"] == ["load", "#p"]
+
+
+def test_long_documents_are_segmented_in_linear_time(spark):
+    import time
+    from sparklode.operators.segment import segment_documents
+
+    def seconds(lines):
+        docs = spark.createDataFrame([(1, "one two three\n" * lines)], "doc_id long, text string")
+        start = time.time()
+        assert segment_documents(docs).selectExpr("sum(token_count)").first()[0] == 3 * lines
+        return time.time() - start
+    seconds(1000)
+    assert seconds(64_000) < 8 * max(seconds(16_000), 0.7)
