@@ -13,7 +13,8 @@ bounds the symmetric difference from below; then it is verified on the sets them
 Equal sets are one class from the start. Where a key has many classes, they are first
 compared with the smallest one only; what is connected then needs no more comparison among
 itself. Only sets that still share a key with another component go on; their parts are put
-in the order of frequency, so what many of them have in common makes no candidates. A group
+in the order of frequency, so what many of them have in common makes no candidates, and the
+smallest set of each part is tried first again. A group
 of near copies costs its size, not its square, and no link between different components is
 missed.
 """
@@ -188,45 +189,80 @@ def _can_link(percent: int) -> str:
             f"(t, x) -> t + x) <= {100 - percent} * (n_a + n_b)")
 
 
-def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, classes: DataFrame,
-            percent: int) -> DataFrame:
-    """Candidates (a, b) in different components that no star has compared."""
-    placed = members.join(labels, "node", "left").select(
-        "key", "node", "n", F.coalesce("component", "node").alias("component"))
-    placed = store(placed)
+def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+
+
+def _rare_parts(members: DataFrame, labels: DataFrame, sets: DataFrame, classes: DataFrame,
+                percent: int) -> DataFrame:
+    """key, node, n and sketch: the rarest D + 1 parts of the sets that are not settled.
+
+    Unsettled is what still shares a key with another component.
+    """
+    placed = store(_placed(members.select("key", "node", "n"), labels))
     several = placed.groupBy("key").agg(F.min("component").alias("x"),
                                         F.max("component").alias("y")).where("x < y")
     unsettled = store(placed.join(several.select("key"), "key", "left_semi")
-                      .select("node", "n", "component").distinct())
+                      .select("node", "n").distinct())
     drop(placed)
-    fine = _all_parts(sets.join(unsettled.select("node"), "node", "left_semi"), percent)
-    fine = store(fine.select("node", "band", "keep", F.explode("keys").alias("key")))
-    common = fine.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    parts = _all_parts(sets.join(unsettled.select("node"), "node", "left_semi"), percent)
+    parts = store(parts.select("node", "band", "keep", F.explode("keys").alias("key")))
+    common = parts.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy("node", "band").orderBy("c", "key")
-    rare = (fine.join(common, "key").withColumn("place", F.row_number().over(order))
-            .where("place <= keep").select("key", "node").join(
-                unsettled.join(classes.select("node", "sketch"), "node"), "node"))
-    rare = store(rare)
-    per = rare.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    rare = store(parts.join(common, "key").withColumn("place", F.row_number().over(order))
+                 .where("place <= keep AND c > 1").select("key", "node").join(
+                     unsettled.join(classes.select("node", "sketch"), "node"), "node"))
+    drop(parts)
+    return rare
+
+
+def _stars(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of each key's smallest set with those in other components."""
+    placed = _placed(rare, labels)
+    low = placed.groupBy("key").agg(F.min("node").alias("node"))
+    low = low.join(placed, ["key", "node"]).select(
+        "key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "sketch")])
+    rest = placed.select(
+        "key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "sketch")])
+    return low.join(rest, (low["key"] == rest["key"]) & F.expr("component_a != component_b")
+                    & F.expr(_can_link(percent))).select(
+        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")
+        ).distinct()
+
+
+def _across(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of one key in different components."""
+    placed = _placed(rare, labels)
+    per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = per.groupBy("key").agg(F.max_by("component", F.struct("c", "component"))
                                    .alias("main"), F.count(F.lit(1)).alias("k"))
-    mixed = store(rare.join(mixed.where("k > 1").drop("k"), "key"))
-    drop(rare)
-    drop(fine)
+    mixed = store(placed.join(mixed.where("k > 1").drop("k"), "key"))
     facts = ("node", "n", "component", "sketch")
     one = mixed.select("key", "main", *[F.col(c).alias(f"{c}_a") for c in facts])
     two = mixed.where("component != main").select(
         "key", *[F.col(c).alias(f"{c}_b") for c in facts])
-    near = _can_link(percent)
 
     def pairs(left, different):
-        return left.join(two, (left["key"] == two["key"]) & F.expr(near) & different).select(
+        return left.join(two, (left["key"] == two["key"]) & F.expr(_can_link(percent))
+                         & different).select(
             F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
     return pairs(one.where("component_a = main"), F.lit(True)).unionByName(
         pairs(one.where("component_a != main"), F.expr("component_a < component_b"))).distinct()
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links."""
+    ends = links
+    for end in ("a", "b"):
+        ends = _placed(ends.withColumnRenamed(end, "node"), labels).drop("node") \
+            .withColumnRenamed("component", end)
+    return store(connected_components(labels.select(
+        F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
+            ends.select("a", "b"))))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
                     text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, tag and group_id of every row.
@@ -260,15 +296,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     sets = store(_sets_of(nodes, docs, words, text))
     links = _verified(pairs, sets, percent)
     labels = store(connected_components(links))
-    more = store(_across(members, labels, sets, classes, percent))
-    more = _verified(more, sets, percent)
-    both = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")),
-                      "a", "left").join(
-        labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
-    joined = both.unionByName(found.select(F.coalesce("x", "a").alias("a"),
-                                           F.coalesce("y", "b").alias("b")))
-    labels = connected_components(joined)
+    rare = _rare_parts(members, labels, sets, classes, percent)
+    for candidates in (_stars, _across):
+        more = store(candidates(rare, labels, percent))
+        labels = _merged(labels, _verified(more, sets, percent))
 
     known = classes.select("set_id", "node", F.col("doc_id").alias("first")).join(
         labels, "node", "left")
@@ -277,7 +308,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     final = store(known.join(smallest, "component", "left").select(
         "set_id", F.coalesce("component", "node").alias("group_id"),
         F.coalesce("smallest", "first").alias("component_id")))
-    for done in (members, shared, classes, sets, pairs):
+    for done in (members, shared, classes, sets, pairs, rare):
         drop(done)
     return (rows.select("doc_id", "tag", "n_shingles", "set_id").join(final, "set_id", "left")
             .select("doc_id", "n_shingles",
