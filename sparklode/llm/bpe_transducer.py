@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparklode.llm.common import encoded, slices, table
 from sparklode.llm.pretokens import splitter
 
-MAX_STATES, MAX_PLACES, MAX_WORDS = 200_000, 400_000, 500_000
+MAX_STATES, MAX_PLACES, MAX_WORDS = 80_000, 160_000, 200_000
 _NEVER = 1 << 62
 
 

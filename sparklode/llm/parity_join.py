@@ -12,9 +12,8 @@ bounds the symmetric difference from below; then it is verified on the sets them
 
 Equal sets are one class from the start. Where a key has many classes, they are first
 compared with the smallest one only; what is connected then needs no more comparison among
-itself. Only sets that still share a key with another component go on; their parts are put
-in the order of frequency, so what many of them have in common makes no candidates, and the
-smallest set of each part is tried first again. A group
+itself. Only keys that several components still share go on, and only pairs across components
+that sizes and bit sketches allow leave the join, each at the first key it has in common. A group
 of near copies costs its size, not its square, and no link between different components is
 missed.
 """
@@ -24,14 +23,14 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparklode.llm.common import drop, mix, slices, store, table, text_buffer
 from sparklode.llm.components import connected_components
 from sparklode.llm.shingles import shingle_sets
 
 BAND = 1.5   # ratio of the largest to the smallest size of a band
-BITS = 1024
+BITS, EARLY = 1024, 32
 # Representatives of candidates are sent to the texts up to this size, else both are shuffled.
 BROADCAST_BYTES = 16 << 20
 
@@ -160,24 +159,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return store(both.mapInArrow(run, "a long, b long"))
 
 
-def _all_parts(sets: DataFrame, percent: int) -> DataFrame:
-    """node, band, keep (how many of the rarest parts count) and all parts."""
-    def run(batches):
-        bands = Bands(percent)
-        for b in batches:
-            rows = [(node, band, most, marks.view(np.int64))
-                    for node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                    for band, most, marks, _ in bands.marks(np.frombuffer(raw, np.uint64))]
-            node, band, keep, marks = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.int64()), pa.array(band, pa.int64()),
-                 pa.array(keep, pa.int64()), pa.array(list(marks), pa.list_(pa.int64()))],
-                names=["node", "band", "keep", "keys"])
-
-    return sets.select("node", "hashes").mapInArrow(
-        run, "node long, band long, keep long, keys array<long>")
-
-
 def _can_link(percent: int) -> str:
     """Whether sizes n_a, n_b and bit sketches sketch_a, sketch_b allow a link.
 
@@ -194,58 +175,42 @@ def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "node"))
 
 
-def _rare_parts(members: DataFrame, labels: DataFrame, sets: DataFrame, classes: DataFrame,
-                percent: int) -> DataFrame:
-    """key, node, n and sketch: the rarest D + 1 parts of the sets that are not settled.
+def _open_keys(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, node, n, sketch and early of the keys that several components still share.
 
-    Unsettled is what still shares a key with another component.
+    ``early``: up to EARLY smaller keys of the node; two nodes that share one of them are
+    a pair there already.
     """
     placed = store(_placed(members.select("key", "node", "n"), labels))
     several = placed.groupBy("key").agg(F.min("component").alias("x"),
                                         F.max("component").alias("y")).where("x < y")
-    unsettled = store(placed.join(several.select("key"), "key", "left_semi")
-                      .select("node", "n").distinct())
+    shared = store(placed.join(several.select("key"), "key", "left_semi")
+                   .select("key", "node", "n"))
     drop(placed)
-    parts = _all_parts(sets.join(unsettled.select("node"), "node", "left_semi"), percent)
-    parts = store(parts.select("node", "band", "keep", F.explode("keys").alias("key")))
-    common = parts.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy("node", "band").orderBy("c", "key")
-    rare = store(parts.join(common, "key").withColumn("place", F.row_number().over(order))
-                 .where("place <= keep AND c > 1").select("key", "node").join(
-                     unsettled.join(classes.select("node", "sketch"), "node"), "node"))
-    drop(parts)
-    return rare
-
-
-def _stars(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) of each key's smallest set with those in other components."""
-    placed = _placed(rare, labels)
-    low = placed.groupBy("key").agg(F.min("node").alias("node"))
-    low = low.join(placed, ["key", "node"]).select(
-        "key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "sketch")])
-    rest = placed.select(
-        "key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "sketch")])
-    return low.join(rest, (low["key"] == rest["key"]) & F.expr("component_a != component_b")
-                    & F.expr(_can_link(percent))).select(
-        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")
-        ).distinct()
-
-
-def _across(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    first = shared.groupBy("node").agg(   # no more keys than the set has shingles
+        F.slice(F.array_sort(F.collect_list("key")), 1, EARLY).alias("first"))
+    keys = shared.join(first, "node").join(classes.select("node", "sketch"), "node")
+    found = store(keys.select("key", "node", "n", "sketch", F.filter(
+        "first", lambda x: x < F.col("key")).alias("early")))
+    drop(shared)
+    return found
+
+
+def _across(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) of one key in different components."""
-    placed = _placed(rare, labels)
+    placed = _placed(shared, labels)
     per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = per.groupBy("key").agg(F.max_by("component", F.struct("c", "component"))
                                    .alias("main"), F.count(F.lit(1)).alias("k"))
     mixed = store(placed.join(mixed.where("k > 1").drop("k"), "key"))
-    facts = ("node", "n", "component", "sketch")
+    facts = ("node", "n", "component", "sketch", "early")
     one = mixed.select("key", "main", *[F.col(c).alias(f"{c}_a") for c in facts])
     two = mixed.where("component != main").select(
         "key", *[F.col(c).alias(f"{c}_b") for c in facts])
 
     def pairs(left, different):
         return left.join(two, (left["key"] == two["key"]) & F.expr(_can_link(percent))
-                         & different).select(
+                         & ~F.arrays_overlap("early_a", "early_b") & different).select(
             F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
     return pairs(one.where("component_a = main"), F.lit(True)).unionByName(
@@ -296,10 +261,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     sets = store(_sets_of(nodes, docs, words, text))
     links = _verified(pairs, sets, percent)
     labels = store(connected_components(links))
-    rare = _rare_parts(members, labels, sets, classes, percent)
-    for candidates in (_stars, _across):
-        more = store(candidates(rare, labels, percent))
-        labels = _merged(labels, _verified(more, sets, percent))
+    opened = _open_keys(members, labels, classes)
+    more = store(_across(opened, labels, percent))
+    labels = _merged(labels, _verified(more, sets, percent))
 
     known = classes.select("set_id", "node", F.col("doc_id").alias("first")).join(
         labels, "node", "left")
@@ -308,7 +272,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     final = store(known.join(smallest, "component", "left").select(
         "set_id", F.coalesce("component", "node").alias("group_id"),
         F.coalesce("smallest", "first").alias("component_id")))
-    for done in (members, shared, classes, sets, pairs, rare):
+    for done in (members, shared, classes, sets, pairs, opened):
         drop(done)
     return (rows.select("doc_id", "tag", "n_shingles", "set_id").join(final, "set_id", "left")
             .select("doc_id", "n_shingles",

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparklode.llm.common import encoded, octets, slices, table
 from sparklode.llm.pretokens import splitter
 
-MAX_WORDS, LONG = 500_000, 2_000
+MAX_WORDS, LONG = 300_000, 2_000
 _NONE = np.int64(1 << 40)
 
 
