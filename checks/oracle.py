@@ -326,12 +326,13 @@ SELECT c.repo_id, e.dst_name AS symbol, c.chunk_key, c.name, c.file_rel_path, c.
 FROM e JOIN c USING (repo_id, chunk_key)""",
     "GRF_10_trace_tree": rec(CHUNKS, trace_sql(NAMES), TREE) + "\nSELECT * FROM tree",
     "GRF_11_trace_bundle": rec(CHUNKS, EDGES, trace_sql(CALLED), TREE) + """
-, back AS (SELECT repo_id, dst_name AS symbol, count(*) AS n_callers FROM e GROUP BY ALL),
+, back AS (SELECT repo_id, dst_name AS symbol, count(*) AS n_callers,
+    array_to_string(list(src_name ORDER BY chunk_key)[1:5], ',') AS callers FROM e GROUP BY ALL),
 vis AS (SELECT repo_id, symbol, count(*) AS visited_count FROM nodes GROUP BY ALL)
 SELECT s.repo_id, s.symbol, coalesce(visited_count, 0) AS visited_count,
   stop.at IS NOT NULL AS is_truncated, tree IS NULL AS not_found,
   coalesce(tree, 'Symbol ''' || s.symbol || ''' not found in index.') AS tree,
-  CASE WHEN tree IS NULL THEN 0 ELSE n_callers END AS n_callers,
+  CASE WHEN tree IS NULL THEN 0 ELSE n_callers END AS n_callers, callers,
   CASE WHEN tree IS NULL THEN '''' || s.symbol || ''' was not found in the index.' END AS error
 FROM sym s LEFT JOIN tree USING (repo_id, symbol) LEFT JOIN vis USING (repo_id, symbol)
 LEFT JOIN stop USING (repo_id, symbol) LEFT JOIN back USING (repo_id, symbol)""",

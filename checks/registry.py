@@ -14,6 +14,7 @@ from sparklode.plans.index import build_index
 from sparklode.plans.retrieve import retrieve
 from sparklode.sources import snapshots
 from sparklode.sources.corpus import scan_corpus
+from sparklode.sources.metadata import scan_metadata
 
 QUERIES: dict = {}
 
@@ -245,6 +246,7 @@ def GRF_11_trace_bundle(spark, sf) -> DataFrame:
     symbols = e.select("repo_id", F.col("dst_name").alias("symbol")).distinct()
     return trace.run_trace(symbols, c, e).select(
         "repo_id", "symbol", "tree", "is_truncated", "not_found", "n_callers", "error",
+        F.concat_ws(",", F.transform("callers", lambda c: c["name"])).alias("callers"),
         *_long("visited_count"))
 
 
@@ -425,8 +427,7 @@ def SRC_2_content_hash(spark, sf) -> DataFrame:
 @query
 def SRC_3_metadata_scan(spark, sf) -> DataFrame:
     """Metadata columns of the chunks under a path scope; no vectors, no text."""
-    c = V.chunks(spark, sf)
-    return c.where(paths.under_prefix(F.col("file_rel_path"), "src1")).select(
+    return scan_metadata(V.chunks(spark, sf), "src1").select(
         "chunk_key", "file_rel_path", "node_type", "name", "parent_class",
         F.size("calls").cast("long").alias("n_calls"), *_long("start_line", "end_line"))
 

@@ -14,6 +14,7 @@ from sparklode import model as M
 from sparklode.functions import paths
 from sparklode.functions.storage import materialize
 from sparklode.operators.graph import callers, first_chunks
+from sparklode.operators.topk import rank_rows
 
 _NODE = ("struct<ord:int,name:string,depth:int,parent:int,pos:int,found:boolean,"
          "place:string,calls:array<string>>")
@@ -239,7 +240,11 @@ def trace_tree(state: DataFrame) -> DataFrame:
 def run_trace(symbols: DataFrame, chunks: DataFrame, edges: DataFrame,
               max_depth: int = M.TRACE_DEPTH, max_nodes: int = M.TRACE_NODES,
               include_backward: bool = True) -> DataFrame:
-    """Bundle per symbol: tree, visited_count, is_truncated, callers, error."""
+    """Bundle per symbol: tree, visited_count, is_truncated, n_callers, callers, error.
+
+    ``callers`` holds the first ``M.TRACE_CALLERS`` chunks (by key) that call the symbol;
+    ``graph.callers`` gives all of them as rows.
+    """
     state = forward_state(symbols, chunks, max_depth, max_nodes)
     trees = (trace_tree(state)
              .unionByName(state.where("not_found").select(
@@ -248,11 +253,19 @@ def run_trace(symbols: DataFrame, chunks: DataFrame, edges: DataFrame,
     out = trace_summary(state).join(trees, ["repo_id", "symbol"])
     if include_backward:
         back = callers(symbols, edges, chunks)
-        out = out.join(back.groupBy("repo_id", "symbol")
-                       .agg(F.count(F.lit(1)).alias("n_callers")),
-                       ["repo_id", "symbol"], "left")
+        caller = F.struct("chunk_key", "name", "file_rel_path", "start_line")
+        first = rank_rows(back, ["chunk_key"], M.TRACE_CALLERS, "r",
+                          within=("repo_id", "symbol"))
+        out = (out.join(back.groupBy("repo_id", "symbol")
+                        .agg(F.count(F.lit(1)).alias("n_callers")),
+                        ["repo_id", "symbol"], "left")
+               .join(first.groupBy("repo_id", "symbol").agg(
+                   F.array_sort(F.collect_list(caller)).alias("callers")),
+                   ["repo_id", "symbol"], "left"))
     else:
-        out = out.withColumn("n_callers", F.lit(0).cast("long"))
+        out = out.withColumns({"n_callers": F.lit(0).cast("long"), "callers": F.lit(None).cast(
+            "array<struct<chunk_key: string, name: string, file_rel_path: string, "
+            "start_line: int>>")})
     n_callers = F.when(F.col("not_found"), 0).otherwise(
         F.coalesce("n_callers", F.lit(0)))
     return out.withColumn("n_callers", n_callers).withColumn(
