@@ -13,9 +13,9 @@ bounds the symmetric difference from below; then it is verified on the sets them
 Equal sets are one class from the start. Where a key has many classes, they are first
 compared with the smallest one only; what is connected then needs no more comparison among
 itself. Only keys that several components still share go on, and only pairs across components
-that sizes and bit sketches allow leave the join, each at the first key it has in common. A group
-of near copies costs its size, not its square, and no link between different components is
-missed.
+that sizes and bit sketches allow leave the join, each at the first key it has in common. So
+connected sets cost their number, not its square; sets of different components that share a
+key are compared by sketch inside the join. No link between different components is missed.
 """
 
 from bisect import bisect_right
