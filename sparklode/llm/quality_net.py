@@ -18,6 +18,7 @@ from sparklode.llm.common import octets, slices, table, text_buffer
 
 WIDTH, FILTERS, EMBED, BLOCK = 5, 24, 8, 128
 SAMPLE_ROWS, SAMPLE_BYTES = 2_500, 16 << 20
+LONG = 64
 EPOCHS, BATCH, RATE, SEED, SHORTENED = 12, 16, 0.01, 7, 0.15
 CUT = 0.3
 _STEP_BLOCKS = 256
@@ -165,28 +166,38 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
         size: int = SAMPLE_BYTES) -> ByteNet:
     """Trains on at most ``rows`` labelled, not held-out rows of ``size`` bytes together.
 
-    The rows are the first ones in the order of a hash of doc_id, whole texts always. Rows
-    without a label or doc_id are not used.
+    The rows are the first ones in the order of a hash of doc_id, whole texts always. One
+    that does not fit any more is left out by itself; texts of more than a 1/``LONG`` of
+    ``size`` come after all others, so a few long ones do not take the place of many. Rows
+    without a label or doc_id are not used. Fails if no labelled row fits.
     """
     marked = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()
                            & ~held_out("doc_id"))
               .select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
               .limit(rows))
     # At most ``rows`` short rows, so they can go to every task.
-    texts = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
-    sized = (texts.select("doc_id", octets().alias("n"))
-             .orderBy(F.xxhash64("doc_id"), "doc_id", "n").limit(rows).collect())
-    chosen, total = set(), 0
-    for r in sized:
-        total += r.n
-        if total > size:
-            break
-        chosen.add(r.doc_id)
+    texts = (docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+             .withColumn("tag", F.xxhash64("text")))
+    # Equal rows are one with a number, so what comes to the driver is bounded.
+    key = ["doc_id", "quality", "tag"]
+    order = [F.xxhash64("doc_id"), *key]
+    sized = (texts.select(*key, octets().alias("n")).groupBy(*key, "n")
+             .agg(F.count(F.lit(1)).alias("times")).orderBy(*order).limit(rows).collect())
+    chosen, left, room = {}, size, rows
+    for r in sorted(sized, key=lambda r: r.n * LONG > size):   # stable: hash order stays
+        times = min(r.times, left // max(r.n, 1), room)
+        if times:
+            chosen[r.doc_id, r.quality, r.tag] = times
+            left, room = left - times * r.n, room - times
     if not chosen:
+        if sized:
+            raise ValueError(f"none of {len(sized)} labelled texts fits into {size} bytes")
         return ByteNet().train([], [])
-    found = (texts.where(F.col("doc_id").isin(list(chosen)))
-             .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text"))
-             .limit(rows).collect())
+    ids = list({i for i, _, _ in chosen})
+    found = (texts.where(F.col("doc_id").isin(ids)
+                         & F.col("tag").isin(list({t for _, _, t in chosen})))
+             .dropDuplicates(key).orderBy(*order).collect())
+    found = [r for r in found for _ in range(chosen.get((r.doc_id, r.quality, r.tag), 0))]
     return ByteNet().train([(r.text or "").encode() for r in found],
                            [r.quality for r in found])
 

@@ -11,7 +11,7 @@ import corpus_pipeline
 from sparklode.llm import quality_rules
 from sparklode.llm.decontaminate import ItemIndex, item_indexes, scan_leaks
 from sparklode.llm.license_scan import PHRASES, TEMPLATES, scan_licenses, words_of
-from sparklode.llm.quality_net import ByteNet, held_out, score_quality
+from sparklode.llm.quality_net import ByteNet, fit, held_out, score_quality
 from sparklode.llm.sharding import shard_documents
 from sparklode.llm.url_rules import RULES, RuleTrie, judge_urls, split_url
 from llm_helpers import CLASHING, ID_TEXT, sorted_rows, words
@@ -150,6 +150,25 @@ def test_network_learns_and_covers_whole_texts(spark, odd_docs, odd_rows, no_doc
     assert all(m.h == (zlib.crc32(str(m.doc_id).encode()) % 5 == 0) for m in marks)
 
 
+def test_a_long_text_does_not_end_the_sample(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(ByteNet, "train", lambda net, texts, labels: taken.append(
+        (texts, labels)) or net)
+    ids = [r.id for r in spark.range(40).where(~held_out("id")).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, "x" * (5000 if i == ids[0] else 500 if i == ids[1] else 10), None, None, None)
+            for i in ids]
+    docs = spark.createDataFrame(rows + rows[-1:], ID_TEXT)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    fit(docs, labels, size=1000)   # the first text never fits, the second one comes last
+    fit(docs, labels, size=40)
+    assert sorted(map(len, taken[0][0])) == [10] * (len(ids) - 1) + [500]
+    assert taken[0][1].count(1) == sum(i % 2 for i in ids[1:] + ids[-1:])
+    assert list(map(len, taken[1][0])) == [10] * 4
+    assert taken[1][1] == [i % 2 for i in ids[2:6]]
+    with pytest.raises(ValueError):
+        fit(docs, labels, size=9)
+
+
 def test_gradients_are_those_of_the_loss():
     net = ByteNet(3)
     texts = [b"abcab" * 60, b"xyz" * 10, b""]
