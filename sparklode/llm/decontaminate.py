@@ -10,7 +10,9 @@ them alone, so their lists are not read to bound a score; per block of items the
 a known share. For every passage the largest weights per block of its other words bound the
 scores; blocks below the threshold are skipped, the items of the others are scored in full.
 Every item at or above the threshold is then verified: enough word trigrams of both its
-question (first two thirds) and its answer (the rest) must occur in the passage.
+question (first two thirds) and its answer (the rest) must occur in the passage. Of a part
+of less than 8 words, of which one other word may leave too few trigrams, enough words in
+order within a run one word longer do as well.
 """
 
 import math
@@ -28,6 +30,8 @@ K1, B, BLOCK, LEAST_STEP = 1.2, 0.75, 4, 64
 COMMON = 0.6
 _CELLS = 1 << 21
 THRESHOLD, OVERLAP, GRAM = 0.5, 0.5, 3
+# From so many words on, one other word leaves half of the trigrams at least.
+SHORT = 3 * GRAM - 1
 # Broadcast bound: benchmarks beyond it are split into several indexes of this many bytes.
 INDEX_BYTES = 16 << 20
 
@@ -37,13 +41,32 @@ def _grams(words) -> set:
     return set(zip(*(words[i:] for i in range(size)))) if size else set()
 
 
+def _in_order(part: list, words: list) -> float:
+    """Most words of ``part`` in its order within len(part) + 1 words, as a share of it."""
+    places: dict[bytes, int] = {}
+    for i, w in enumerate(part):
+        places[w] = places.get(w, 0) | 1 << i
+    full, most = (1 << len(part)) - 1, 0
+    for start, first in enumerate(words):
+        if first not in places:
+            continue
+        free = full   # a zero bit: one more word in order up to this place
+        for w in words[start:start + len(part) + 1]:
+            new = free & places.get(w, 0)
+            free = (free + new | free - new) & full
+        most = max(most, len(part) - free.bit_count())
+        if most == len(part):
+            break
+    return most / len(part)
+
+
 class ItemIndex:
     """Inverted index of items with weights, block maxima and essential words."""
 
     def __init__(self, items: list[tuple], rarity=None, average: float | None = None,
                  threshold: float = THRESHOLD):
         """``items``: (item_id, text). ``rarity``: word -> idf; else from these items."""
-        self.ids, lists, self.question, self.answer = [], [], [], []
+        self.ids, lists, self.question, self.answer, self.short = [], [], [], [], []
         for item, text in items:
             words = WORD.findall((text or "").encode().lower())
             if not words:   # nothing to be found
@@ -53,6 +76,8 @@ class ItemIndex:
             lists.append(words)
             self.question.append(_grams(words[:cut]))
             self.answer.append(_grams(words[cut:]))
+            self.short.append([p if 0 < len(p) < SHORT else None
+                               for p in (words[:cut], words[cut:])])
         self.threshold = threshold
         self.step = max([LEAST_STEP, *map(len, lists)])
         average = average or sum(map(len, lists)) / max(len(lists), 1)
@@ -162,9 +187,11 @@ class ItemIndex:
                     grams = {n: set(zip(*(inside[k:] for k in range(n))))
                              for n in range(1, GRAM + 1)}
                 shares = []
-                for part in (self.question[i], self.answer[i]):
+                for part, short in zip((self.question[i], self.answer[i]), self.short[i]):
                     size = len(next(iter(part), ()))
-                    shares.append(len(part & grams[size]) / len(part) if part else 1.0)
+                    share = len(part & grams[size]) / len(part) if part else 1.0
+                    shares.append(max(share, _in_order(short, inside))
+                                  if short and share < 1 else share)
                 row = (self.ids[i], score, *shares, start)
                 if min(shares) >= overlap and (i not in best or row[2:4] > best[i][2:4]):
                     best[i] = row

@@ -236,6 +236,24 @@ def test_leaks_are_found_anywhere(spark, odd_docs, odd_rows, no_docs):
     assert scan_leaks(docs, bench.limit(0)).where(F.size("leaks") > 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [6, 9, 11, 15, 16, 20, 23, 24])
+def test_one_word_edits_of_short_items_are_found(size):
+    items = [(i, words(i, size)) for i in range(40)]
+    index = ItemIndex(items)
+    for i, text in items[:8]:
+        w = text.split()
+        for k in range(size):
+            for new in (["other"], [], [w[k], "other"]):
+                copy = " ".join(w[:k] + new + w[k + 1:])
+                raw = f"{words(700 + k, 40)} {copy} {words(800 + k, 90)}".encode()
+                assert i in {r[0] for r in index.leaks(raw)}, (i, k, new)
+    # Half of the question alone, or words in another order, are no copies.
+    for i, text in items[:8]:
+        w = text.split()
+        for other in (w[:len(w) // 2], w[::-1]):
+            assert not index.leaks(" ".join([words(900, 50), *other, words(901, 60)]).encode())
+
+
 # --- sharding -----------------------------------------------------------------------------
 
 def check_shards(got, rows, shards, slack):
