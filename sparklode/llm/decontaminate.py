@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparklode.llm.common import encoded, octets, slices, table
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 K1, B, BLOCK, LEAST_STEP = 1.2, 0.75, 4, 64
 # What the words that are not essential may come to in any item, as a share of the threshold.
@@ -64,8 +65,11 @@ class ItemIndex:
     """Inverted index of items with weights, block maxima and essential words."""
 
     def __init__(self, items: list[tuple], rarity=None, average: float | None = None,
-                 threshold: float = THRESHOLD):
-        """``items``: (item_id, text). ``rarity``: word -> idf; else from these items."""
+                 threshold: float = THRESHOLD, longest: int = 0):
+        """``items``: (item_id, text). ``rarity``: word -> idf; else from these items.
+
+        ``longest``: words of the longest item of all indexes, if there are more.
+        """
         self.ids, lists, self.question, self.answer, self.short = [], [], [], [], []
         for item, text in items:
             words = WORD.findall((text or "").encode().lower())
@@ -79,7 +83,7 @@ class ItemIndex:
             self.short.append([p if 0 < len(p) < SHORT else None
                                for p in (words[:cut], words[cut:])])
         self.threshold = threshold
-        self.step = max([LEAST_STEP, *map(len, lists)])
+        self.step = max([LEAST_STEP, longest, *map(len, lists)])
         average = average or sum(map(len, lists)) / max(len(lists), 1)
         counts = [{w: ws.count(w) for w in set(ws)} for ws in lists]
         if rarity is None:
@@ -198,40 +202,46 @@ class ItemIndex:
         return [best[i] for i in sorted(best)]
 
 
-def item_indexes(items: DataFrame, threshold: float = THRESHOLD,
-                 size: int = INDEX_BYTES) -> list[ItemIndex]:
-    """Indexes of at most about ``size`` bytes of items each, with common word rarities.
+def each_index(items: DataFrame, threshold: float = THRESHOLD, size: int = INDEX_BYTES):
+    """Yields indexes of at most about ``size`` bytes of items each, one at a time.
 
-    Rows without an id or words are no items; repeated items stay, and both are found.
+    Words, rarities, mean length and step are those of all items with words, so an item
+    has the same scores in one index as in many. Rows without an id or words are no items;
+    repeated items stay, and both are found.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"),
-                                 F.lit(1))
-    usable = items.where("item_id IS NOT NULL AND text IS NOT NULL")
-    total, count, average = usable.agg(
+    # As bytes.lower(): only A to Z have other letters.
+    words = F.regexp_extract_all(F.translate("text", UPPER, UPPER.lower()),
+                                 F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
+    usable = items.where("item_id IS NOT NULL AND text IS NOT NULL").where(F.size(words) > 0)
+    total, count, average, longest = usable.agg(
         F.coalesce(F.sum(octets()), F.lit(0)), F.count(F.lit(1)),
-        F.avg(F.size(words))).first()
+        F.avg(F.size(words)), F.max(F.size(words))).first()
     if total <= size:
         rows = usable.select("item_id", "text").orderBy("item_id", "text").collect()
-        return [ItemIndex([tuple(r) for r in rows], threshold=threshold)]
+        yield ItemIndex([tuple(r) for r in rows], threshold=threshold)
+        return
     parts = -(-total * 5 // (size * 4))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     seen = usable.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("n"))
-    made = []
     for p in range(parts):
         chosen = usable.where(part == p).select("item_id", "text")
         own = chosen.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
         rarity = {r.word.encode(): math.log(1 + (count - r.n + 0.5) / (r.n + 0.5))
                   for r in seen.join(own, "word").collect()}
         rows = [tuple(r) for r in chosen.orderBy("item_id", "text").collect()]
-        for word in {w for _, t in rows for w in WORD.findall(t.encode().lower())}:
-            rarity.setdefault(word, math.log(1 + count))   # lower-cased otherwise there
-        made.append(ItemIndex(rows, rarity, average, threshold))
-    return made
+        yield ItemIndex(rows, rarity, average, threshold, longest)
+
+
+def item_indexes(items: DataFrame, threshold: float = THRESHOLD,
+                 size: int = INDEX_BYTES) -> list[ItemIndex]:
+    """All of ``each_index``, for small tables."""
+    return list(each_index(items, threshold, size))
 
 
 def scan_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
-               overlap: float = OVERLAP, keep=("doc_id",), text: str = "text") -> DataFrame:
+               overlap: float = OVERLAP, keep=("doc_id",), text: str = "text",
+               size: int = INDEX_BYTES) -> DataFrame:
     """The ``keep`` columns and ``leaks`` of every row: an array, empty for clean texts.
 
     NULL and empty texts are clean. Repeated rows stay; other columns are not read.
@@ -264,8 +274,8 @@ def scan_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                     names=[*names, "t", "leaks"])
         return run
 
-    for index in item_indexes(items, threshold):
-        shared = spark.sparkContext.broadcast(index)
+    # One index at a time is in the driver's Python.
+    for shared in map(spark.sparkContext.broadcast, each_index(items, threshold, size)):
         out = out.mapInArrow(scanner(shared), f"{kinds}t string, leaks {leak}")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "leaks")
 

@@ -254,6 +254,22 @@ def test_one_word_edits_of_short_items_are_found(size):
             assert not index.leaks(" ".join([words(900, 50), *other, words(901, 60)]).encode())
 
 
+def test_one_index_and_many_give_equal_rows(spark):
+    items = [(i, "ÉTÉ Über A1 " + words(i, 20 + i % 3) + " ÉTÉ") for i in range(40)]
+    items += [(40, words(40, 200))] + [(50 + i, "... !") for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, words(500 + i, 70 + i) + " " + " ".join(t.split()[:14 + i % 10]) + " "
+             + words(600 + i, 300), None, None, None) for i, t in items[:41]]
+    docs = spark.createDataFrame(rows, ID_TEXT)
+    one, many = (scan_leaks(docs, bench, size=n).select("doc_id", F.inline("leaks")).collect()
+                 for n in (1 << 20, 2000))
+    assert len(item_indexes(bench, size=2000)) > 2
+
+    def rounded(found):
+        return sorted((r.doc_id, r.item_id, round(r.score, 9), *r[3:]) for r in found)
+    assert rounded(one) == rounded(many) and len(one) > 5
+
+
 # --- sharding -----------------------------------------------------------------------------
 
 def check_shards(got, rows, shards, slack):
