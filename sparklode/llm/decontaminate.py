@@ -1,14 +1,16 @@
-"""Benchmark decontamination: BM25 index of test items, block-max WAND, overlap check.
+"""Benchmark decontamination: BM25 index of test items, block-max MaxScore, overlap check.
 
 Items are the indexed documents, passages of the corpus the queries. The weight of a word
 in an item is its BM25 impact as a share of the item's total, so a passage with all words
 of an item scores 1 on it. Passages are runs of two cells of ``step`` words, one from every
 cell on; no item is longer than a cell, so a copy of it lies in some passage.
 
-As in WAND, words that many items share are not essential: no item can reach the threshold on
+As in MaxScore, words that many items share are not essential: no item can reach the threshold on
 them alone, so their lists are not read to bound a score; per block of items they add at most
 a known share. For every passage the largest weights per block of its other words bound the
 scores; blocks below the threshold are skipped, the items of the others are scored in full.
+There are no cursors and no pivot as in WAND: the threshold is fixed, so one sum over arrays
+bounds all passages and blocks at once, where moving a pivot would be a Python step each.
 Every item at or above the threshold is then verified: enough word trigrams of both its
 question (first two thirds) and its answer (the rest) must occur in the passage. Of a part
 of less than 8 words, of which one other word may leave too few trigrams, enough words in
