@@ -4,7 +4,9 @@ Rows are points: language, source, size and doc_id, each scaled to the same widt
 with k leaves is split along its widest dimension into halves of k // 2 and k - k // 2
 leaves, at the key below which that share of its bytes lies. The keys order the rows of a
 dimension completely (coordinate, text checksum, row), so even a value that all rows share
-can be split, and equal texts stay together but for the border. The border is found by
+can be split. Rows of one coordinate and equal text stay together but for the border; copies
+with other ids, languages or sources may part, as these come before the checksum.
+Of language and source only the first 6 bytes count so far. The border is found by
 refining histograms of ``BITS`` bits; only these, at most 2^BITS sums per node, reach the
 driver. The tree is applied as one expression, so documents are not shuffled.
 """
