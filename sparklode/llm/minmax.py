@@ -9,12 +9,14 @@ together, its variance is a little lower than that of as many single minima. A b
 keys that meet in a shuffle. A pair of similarity s has no band in common with a probability of
 (1 - s^4)^32: 6e-11 at 0.85, 5e-8 at 0.8. Four bits of each value make a sketch, and pairs
 are compared only where sizes allow a link and the sketches lie no further apart than ``SIGMAS``
-deviations above what the threshold lets expect (one in 10^11). Links are confirmed on full sets.
-
-Equal sets are one class from the start. Every class of a band is compared with the smallest class
-there; connected classes need no more comparison among themselves. Bands that still join
-several components are then compared across components, by sketch inside the join, so a large
-group of copies costs its number and not its square.
+deviations above what the threshold lets expect (one in 10^11), and where a parity of the sets
+does not rule the link out for certain. Links are confirmed on full sets.
+
+Equal sets are one class from the start. Every class of a band is compared with the one that
+shares most bands with others, which of a text and its copies is mostly the text; connected
+classes need no more comparison among themselves. Bands that still join several components are
+then compared across components, by sketch and parity inside the join, so a large group of
+copies costs its number and not its square.
 """
 
 from hashlib import blake2b
@@ -25,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparklode.llm.common import drop, mix, slices, store, table, text_buffer
 from sparklode.llm.components import connected_components
-from sparklode.llm.parity_join import _merged, _placed, _sets_of, _verified
+from sparklode.llm.parity_join import _merged, _placed, _sets_of, _verified, bit_sketch
 from sparklode.llm.shingles import shingle_sets
 
 PERMUTATIONS, ROWS, SIGMAS = 64, 4, 7
 VALUES, SKETCH_BITS = 2 * PERMUTATIONS, 4
 BANDS = VALUES // ROWS
+FACTS = ("n", "sketch", "parity")   # of a class, to tell whether a link is possible
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS, _SHIFTS = _SEEDS[:PERMUTATIONS] | np.uint64(1), _SEEDS[PERMUTATIONS:]
 
@@ -66,23 +69,27 @@ def bit_sketches(values: np.ndarray) -> np.ndarray:
 
 
 def _can_link(percent: int) -> str:
-    """Whether sizes n_a, n_b and sketches sketch_a, sketch_b allow a link.
+    """Whether sizes n, sketches and parities of a and b allow a link.
 
     Of the bits of values that do not agree half differ; the number of values that do not is
-    binomial.
+    binomial. The Hamming distance of the parities never exceeds the symmetric difference.
     """
+    def distance(column):
+        return (f"aggregate(zip_with({column}_a, {column}_b, (x, y) -> bit_count(x ^ y)), 0, "
+                "(t, x) -> t + x)")
+
     apart = 1 - percent / 100
     expected = VALUES * apart * SKETCH_BITS / 2
     deviation = (VALUES * apart * (SKETCH_BITS / 4 + SKETCH_BITS ** 2 / 4 * (1 - apart))) ** 0.5
-    return (f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND aggregate(zip_with("
-            "sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x) "
-            f"<= {int(expected + SIGMAS * deviation)}")
+    return (f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) "
+            f"AND {100 + percent} * {distance('parity')} <= {100 - percent} * (n_a + n_b) "
+            f"AND {distance('sketch')} <= {int(expected + SIGMAS * deviation)}")
 
 
 def _features(docs: DataFrame, words: int, text: str) -> DataFrame:
-    """doc_id, n_shingles, set_id (NULL for the empty set), keys and sketch per row.
+    """doc_id, n_shingles, set_id (NULL for the empty set), keys, sketch and parity per row.
 
-    Within a slice only the first of equal sets carries keys and sketch.
+    Within a slice only the first of equal sets carries the last three.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -95,27 +102,28 @@ def _features(docs: DataFrame, words: int, text: str) -> DataFrame:
             for row, i in enumerate(ids):
                 if i is not None:
                     fresh.setdefault(i, row)
-            keys, sketches = [None] * len(sets), [None] * len(sets)
+            keys, sketches, parities = ([None] * len(sets) for _ in range(3))
             if fresh:
                 values = signatures([sets[row] for row in fresh.values()])
                 for row, k, s in zip(fresh.values(), band_keys(values).view(np.int64),
                                      bit_sketches(values)):
-                    keys[row], sketches[row] = k, s
+                    keys[row], sketches[row], parities[row] = k, s, bit_sketch(sets[row])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                 pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_id", "keys", "sketch"])
+                 pa.array(sketches, pa.list_(pa.int64())),
+                 pa.array(parities, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "set_id", "keys", "sketch", "parity"])
 
     return docs.select("doc_id", text).mapInArrow(
         run, f"doc_id {kind}, n_shingles long, set_id binary, keys array<long>, "
-             "sketch array<long>")
+             "sketch array<long>, parity array<long>")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     for end in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"),
-                                          F.col("sketch").alias(f"sketch_{end}")), end)
+        pairs = pairs.join(classes.select(F.col("node").alias(end), *[
+            F.col(c).alias(f"{c}_{end}") for c in FACTS]), end)
     return pairs.where(_can_link(percent)).select("a", "b")
 
 
@@ -129,8 +137,8 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, percent:
     mixed = per.groupBy("key").agg(F.max_by("component", F.struct("c", "component"))
                                    .alias("main"), F.count(F.lit(1)).alias("k"))
     opened = store(placed.join(mixed.where("k > 1").drop("k"), "key")
-                   .join(classes.select("node", "n", "sketch"), "node"))
-    facts = ("node", "n", "component", "sketch")
+                   .join(classes.select("node", *FACTS), "node"))
+    facts = ("node", "component", *FACTS)
     one = opened.select("key", "main", *[F.col(c).alias(f"{c}_a") for c in facts])
     two = opened.where("component != main").select(
         "key", *[F.col(c).alias(f"{c}_b") for c in facts])
@@ -163,14 +171,19 @@ def minmax_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     classes = store(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"),
         F.first("keys", ignorenulls=True).alias("keys"),
-        F.first("sketch", ignorenulls=True).alias("sketch"))
+        F.first("sketch", ignorenulls=True).alias("sketch"),
+        F.first("parity", ignorenulls=True).alias("parity"))
         .withColumn("node", F.monotonically_increasing_id()))
     keyed = classes.select(F.explode("keys").alias("key"), "node")
     shared = store(keyed.groupBy("key").agg(
         F.min("node").alias("low"), F.max("node").alias("high"),
         F.count(F.lit(1)).alias("c")).where("low < high"))
-    members = store(keyed.join(shared.where("c > 2").select("key", "low"), "key"))
-    stars = members.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    members = store(keyed.join(shared.where("c > 2").select("key", "c"), "key"))
+    company = members.groupBy("node").agg(F.sum("c").alias("c"))
+    centers = members.drop("c").join(company, "node").groupBy("key").agg(
+        F.max_by("node", F.struct("c", "node")).alias("center"))
+    stars = members.join(centers, "key").where("node != center").select(
+        F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b"))
     pairs = store(_possible(
         shared.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
         .unionByName(stars).distinct(), classes, percent))
