@@ -3,8 +3,9 @@
 Counts per text come from one pass. Each ratio is then put into a sketch per (lang, source):
 a log-linear histogram with integer buckets, at most 1/16 wide relative to the value, so
 sketches merge by adding counts and do not depend on the partitioning. The fence of a group
-is its upper quartile plus a multiple of the spread between upper quartile and median, and
-not below a floor; a text that lies beyond a fence of its own group fails.
+is its upper decile plus a multiple of the spread between upper decile and median, which counts
+as ``LEAST`` buckets where the group has less; a text that lies beyond a fence of its own group
+fails. There are no fixed cutoffs: what one group calls too much is normal in another.
 """
 
 import re
@@ -19,9 +20,7 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(rb"[#*$%&|<>]")
 CONTINUATION = bytes(range(0x80, 0xC0))
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-# Ratio in thousandths -> its floor: what no group may call too much.
-RATIOS = {"symbols": 50, "dup_lines": 300, "repeats": 160, "word_chars_per_word": 12_000}
-SPREAD = 4
+SPREAD, LEAST = 2, 8
 
 
 def counts_of(raw: bytes) -> tuple[int, int, int, int, int]:
@@ -77,55 +76,50 @@ def bucket(value):
 
 
 def fences(counts: DataFrame, groups=("lang", "source"), spread: int = SPREAD,
-           floors=None) -> DataFrame:
+           least: int = LEAST) -> DataFrame:
     """Per group and ratio the bucket beyond which a text fails.
 
     The sketch is (group, ratio, bucket) -> number of texts, pre-aggregated per task; its
-    size is bounded by the groups. Quartiles are read off the running counts.
+    size is bounded by the groups. Quantiles are read off the running counts.
     """
-    floors = RATIOS if floors is None else floors
-    ratios = _ratios()
     pairs = F.array(*[F.struct(F.lit(n).alias("ratio"), bucket(v).alias("bucket"))
-                      for n, v in ratios.items() if n in floors])
+                      for n, v in _ratios().items()])
     sketch = (counts.select(*groups, F.inline(pairs))
               .groupBy(*groups, "ratio", "bucket").agg(F.count(F.lit(1)).alias("n")))
     by = Window.partitionBy(*groups, "ratio")
     running = (sketch
                .withColumn("upto", F.sum("n").over(by.orderBy("bucket")))
                .withColumn("all", F.sum("n").over(by)))
-    quartiles = running.groupBy(*groups, "ratio").agg(
+    quantiles = running.groupBy(*groups, "ratio").agg(
         F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("bucket"))).alias("mid"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bucket"))).alias("high"))
-    floor = F.coalesce(*[F.when(F.col("ratio") == n, bucket(F.lit(v).cast("long")))
-                         for n, v in floors.items()])
-    return quartiles.select(*groups, "ratio", F.greatest(
-        F.col("high") + spread * (F.col("high") - F.col("mid")), floor).alias("fence"))
+        F.min(F.when(F.col("upto") * 10 >= F.col("all") * 9, F.col("bucket"))).alias("high"))
+    return quantiles.select(*groups, "ratio", (F.col("high") + F.greatest(
+        spread * (F.col("high") - F.col("mid")), F.lit(least))).alias("fence"))
 
 
 def judge_quality(docs: DataFrame, keep=("doc_id",), groups=("lang", "source"),
-                  spread: int = SPREAD, floors=None) -> DataFrame:
+                  spread: int = SPREAD, least: int = LEAST) -> DataFrame:
     """Counts, base_failed and kept for every row.
 
     ``base_failed``: fewer than 10 words, or more than a fifth of them in repeated 5-word
     windows. ``kept``: not base_failed and no ratio beyond the fence of the row's group.
-    NULL is a group of its own; a NULL text has no words and fails. Repeated rows stay, an
+    NULL is a group of its own; a NULL or empty text has no words and fails. Whole texts are
+    counted, however long. Texts on the fence (ties) are kept. Repeated rows count and stay, an
     empty table gives an empty result, other columns are not read.
     """
-    floors = RATIOS if floors is None else floors
     names = [f"g{i}" for i in range(len(groups))]
     wanted = docs.select(*keep, *[F.col(g).alias(n) for g, n in zip(groups, names)], "text")
     counts = store(text_counts(wanted, [*keep, *names]))
-    pivoted = fences(counts, names, spread, floors).groupBy(*names).agg(*[
+    pivoted = fences(counts, names, spread, least).groupBy(*names).agg(*[
         F.min(F.when(F.col("ratio") == n, F.col("fence"))).alias(f"fence_{n}")
-        for n in floors])
+        for n in _ratios()])
     same = [F.col(f"c.{n}").eqNullSafe(F.col(f"f.{n}")) for n in names]
     joined = counts.alias("c").join(pivoted.alias("f"), same, "left")
     failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > "
                     f"{REPEAT_PERCENT} * n_words")
     beyond = F.lit(False)
     for name, value in _ratios().items():
-        if name in floors:
-            beyond = beyond | (bucket(value) > F.col(f"fence_{name}"))
+        beyond = beyond | (bucket(value) > F.col(f"fence_{name}"))
     return joined.select(*[f"c.{k}" for k in keep], *COUNTS,
                          failed.alias("base_failed"), (~failed & ~beyond).alias("kept"))
 
@@ -143,11 +137,6 @@ _SQL_RATIOS = {"symbols": "1000 * n_symbols // greatest(word_chars, 1)",
                "word_chars_per_word": "1000 * word_chars // greatest(n_words, 1)"}
 
 
-def _floor_bucket(value: int) -> int:
-    shift = max(value.bit_length() - 5, 0)
-    return shift * 16 + (value >> shift)
-
-
 OP6_SQL = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS n, doc_id, lang, source, coalesce(text, '') AS text,
@@ -175,12 +164,11 @@ buckets AS (
   FROM counts),
 fences AS (
   SELECT lang, source, {", ".join(
-    f"greatest(quantile_disc(b_{n}, 0.75) + {SPREAD} * (quantile_disc(b_{n}, 0.75)"
-    f" - quantile_disc(b_{n}, 0.5)), {_floor_bucket(f)}) AS f_{n}"
-    for n, f in RATIOS.items())}
+    f"quantile_disc(b_{n}, 0.9) + greatest({SPREAD} * (quantile_disc(b_{n}, 0.9)"
+    f" - quantile_disc(b_{n}, 0.5)), {LEAST}) AS f_{n}" for n in _SQL_RATIOS)}
   FROM buckets GROUP BY lang, source)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND {" AND ".join(f"b_{n} <= f_{n}" for n in RATIOS)} AS kept
+  NOT base_failed AND {" AND ".join(f"b_{n} <= f_{n}" for n in _SQL_RATIOS)} AS kept
 FROM buckets b JOIN fences f
   ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
 """
