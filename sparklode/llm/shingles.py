@@ -1,5 +1,7 @@
 """Distinct word shingles of whole texts as sorted 64-bit hashes, by array operations."""
 
+from hashlib import blake2b
+
 import numpy as np
 
 from sparklode.llm.common import mix
@@ -10,6 +12,8 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+# A hash modulo 2^64 gives long words of a certain make the same value whatever its base.
+LONG_WORD = 32
 _CODE = mix(np.arange(1, 257, dtype=np.uint64))
 _powers = {}
 
@@ -61,6 +65,9 @@ def shingle_sets(flat: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     lower = _LOWER[flat]
     starts, ends, owner = word_spans(lower, offsets)
     words = span_hashes(prefix_sums(lower), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        word = blake2b(lower[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        words[i] = int.from_bytes(word, "little")
     at = np.searchsorted(owner, np.arange(len(offsets)))
     factors = powers(size + 1, np.uint64(0xD6E8FEB86659FD93))[1:]
     count = max(len(words) - size + 1, 0)

@@ -41,6 +41,16 @@ def groups(rows, size, percent):
     return sorted([(r[0], len(s), ids.get(v)) for r, s, v in zip(rows, sets, label)], key=repr)
 
 
+def test_long_unlike_words_stay_apart(spark):
+    """Words that every polynomial modulo 2^64 confuses."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{one} x y", "en", "s", 1), (2, f"{two} x y", "en", "s", 1),
+            (3, f"{one} X y", "en", "s", 1)]
+    found = near_duplicates(spark.createDataFrame(rows, ID_TEXT), 3, 90)
+    assert sorted_rows(found, "doc_id", "component_id") == [(1, 1), (2, 2), (3, 1)]
+
+
 def near_rows():
     r = random.Random(3)
     rows, n = [], 0
