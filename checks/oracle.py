@@ -622,3 +622,19 @@ SELECT doc_id, rel FROM ps WHERE length <= 512000 AND suffix IN {_in(M.SOURCE_EX
   AND len(list_filter(dirs, lambda d: d IN {_in(M.IGNORED_DIRS)} OR starts_with(d, '.')
     OR lower(d) IN {_in(M.TEST_DIRS)})) = 0
   AND NOT starts_with(stem, 'test_') AND NOT suffix(stem, '_test')"""
+
+ORACLE["SNK_1_touched_buckets"] = with_(CHUNKS) + """
+, keyed AS (
+  SELECT c.*, ('0x' || left(sha256(repo_id || '/' || file_path || '/' || doc_id), 8))::BIGINT % 256
+    AS bucket, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 1) AS bad FROM c)
+SELECT bucket, count(*) AS n_files, sum(CASE WHEN bad THEN 0 ELSE length(source) END)::BIGINT AS chars,
+  bool_or(bad) AS written FROM keyed GROUP BY bucket"""
+
+ORACLE["INC_S_unreadable"] = """
+WITH f AS (
+  SELECT lang AS repo_id, '/' || lang || '/' || source || '/doc_' || doc_id || '.py' AS file_path,
+    doc_id, text, strlen(text) AS size FROM documents)
+SELECT repo_id, file_path, sha256(text) AS sha256, CASE WHEN quality = 0 THEN file_path || ': ' ||
+  CASE WHEN doc_id % 2 = 0 THEN 'cannot be read (OSError)' ELSE 'content is missing' END END AS error
+FROM f LEFT JOIN labels USING (doc_id)
+WHERE coalesce(toxic, 0) = 0 AND size <= 512000"""

@@ -12,9 +12,10 @@ from sparklode.operators.segment import chunk_files, segment_documents
 from sparklode.operators.segment_python import python_definitions
 from sparklode.plans.index import build_index
 from sparklode.plans.retrieve import retrieve
-from sparklode.sources import snapshots
+from sparklode.sources import buckets, snapshots
 from sparklode.sources.corpus import scan_corpus
 from sparklode.sources.metadata import scan_metadata
+from sparklode.streaming.ingest import ingest_batch
 
 QUERIES: dict = {}
 
@@ -532,6 +533,44 @@ def SNK_1_chunk_snapshot(spark, sf) -> DataFrame:
         "repo_id", "file_path", *_long("start_line"))
 
 
+def _new_folder(spark) -> str:
+    return f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+
+
+@query
+def SNK_1_touched_buckets(spark, sf) -> DataFrame:
+    """Bad documents get other chunks: which buckets are written anew, what all of them hold."""
+    c = V.chunks(spark, sf).withColumn("file_path", F.concat("file_path", F.lit("/"), "doc_id")
+                                       ).select("repo_id", "file_path", "doc_id", "source")
+    first = buckets.new_index(spark, _new_folder(spark), 64).replace({"chunks": (c, None)})
+    bad = V.table(spark, sf, "labels").where("quality = 0 AND toxic = 1")
+    stale = materialize(c.join(bad.select("doc_id"), "doc_id", "left_semi"))
+    touched = buckets.buckets_of(stale, first.buckets)
+    kept = first.read("chunks", touched).join(
+        bad.select("doc_id"), "doc_id", "left_anti").select(*c.columns)
+    fresh = stale.select("repo_id", "file_path", "doc_id", F.lit("").alias("source"))
+    second = first.replace({"chunks": (kept.unionByName(fresh), touched)})
+    was = {e["bucket"]: e["path"] for e in first.entries}
+    moved = [e["bucket"] for e in second.entries if e["path"] != was.get(e["bucket"])]
+    return (buckets.open_index(spark, first.base).read("chunks")
+            .groupBy(buckets.bucket_of(64).cast("long").alias("bucket"))
+            .agg(F.count(F.lit(1)).alias("n_files"),
+                 F.sum(F.length("source").cast("long")).alias("chars"))
+            .withColumn("written", F.col("bucket").isin(moved)))
+
+
+@query
+def INC_S_unreadable(spark, sf) -> DataFrame:
+    """A second batch cannot read poor documents and withdraws toxic ones."""
+    base, files = _new_folder(spark), V.files(spark, sf)
+    ingest_batch(files, base)
+    marked = files.join(V.table(spark, sf, "labels"), "doc_id").withColumns({
+        "content": F.lit(None).cast("binary"), "withdrawn": F.col("toxic") == 1,
+        "error": F.when(F.col("doc_id") % 2 == 0, "cannot be read (OSError)")})
+    store, _ = ingest_batch(marked.where("quality = 0 OR toxic = 1"), base)
+    return store.read("hashes").join(store.read("errors"), ["repo_id", "file_path"], "left")
+
+
 # --- segmentation ----------------------------------------------------------
 
 def _python(spark, sf):

@@ -19,6 +19,8 @@ class IndexResult:
     stats: DataFrame
     errors: DataFrame
     new_chunks: DataFrame
+    changes: DataFrame
+    gone: DataFrame
     vectors: DataFrame | None = None
 
 
@@ -61,4 +63,4 @@ def build_index(files: DataFrame, chunks: DataFrame | None = None,
         inc.kept_chunks(chunks, changes, gone).unionByName(new_chunks),
         inc.new_hashes(hashes, changes, gone),
         inc.index_stats(changes, new_chunks, gone), inc.errors(changes), new_chunks,
-        vectors)
+        changes, gone, vectors)

@@ -41,12 +41,17 @@ def publish(spark: SparkSession, base: str, path: str) -> None:
     ).coalesce(1).write.mode("append").parquet(f"{base}/versions_log")
 
 
-def current_snapshot(spark: SparkSession, base: str) -> DataFrame:
+def latest_version(spark: SparkSession, base: str) -> str:
+    """The path that was published last."""
     try:
         log = spark.read.parquet(f"{base}/versions_log")
     except AnalysisException as e:
         raise NoSnapshot(base) from e
-    path = log.orderBy(F.desc("at"), F.desc("path")).first()["path"]
+    return log.orderBy(F.desc("at"), F.desc("path")).first()["path"]
+
+
+def current_snapshot(spark: SparkSession, base: str) -> DataFrame:
+    path = latest_version(spark, base)
     schema = spark.read.parquet(f"{path}-schema").first()["schema"]
     # Without it the type of the partition column would be guessed from its values.
     return spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(path)

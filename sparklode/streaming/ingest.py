@@ -1,49 +1,45 @@
-"""Continuous indexing: a stream of file rows keeps chunk snapshots up to date."""
+"""Continuous indexing: a stream of file rows keeps a stored index up to date."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from sparklode import model as M
 from sparklode.functions.storage import materialize
 from sparklode.operators import incremental as inc
 from sparklode.operators.topk import rank_rows
-from sparklode.plans.index import build_index, empty_index
-from sparklode.sources import snapshots
+from sparklode.plans.upkeep import update_index
+from sparklode.sources.buckets import BUCKETS
 
 
-def start_ingest(files: DataFrame, base: str, checkpoint: str, exclude_tests: bool = True,
-                 **trigger):
-    """Starts a query that merges each micro-batch of ``files`` into the index.
-
-    ``files``: streaming repo_id, file_path, file_rel_path, length, content
-    [, version]. A batch that lists a file more than once keeps its highest
-    version. A NULL content withdraws the file. Every batch writes
-    whole new versions of chunks and hashes and publishes them last; a batch
-    replayed after a failure finds the same hashes and changes nothing.
+def ingest_batch(batch: DataFrame, base: str, exclude_tests: bool = True,
+                 buckets: int = BUCKETS):
+    """Merges the latest rows of files into the index under ``base``.
+
+    ``batch``: repo_id, file_path, file_rel_path, length, content [, error, version, withdrawn].
+    Of several rows of a file the one of highest version counts. A row withdraws its file if
+    ``withdrawn`` says so; without that column a NULL content does, unless ``error`` tells
+    why it is missing. Any other file without a readable content is an error row of the
+    index and keeps its chunks.
     """
-    chunks_at, hashes_at = f"{base}/chunks", f"{base}/hashes"
+    if "version" in batch.columns:
+        batch = rank_rows(batch, [F.desc("version")], 1, "r", within=inc.KEYS)
+    gone = F.col("content").isNull()
+    if "error" in batch.columns:
+        gone = gone & F.col("error").isNull()
+    if "withdrawn" in batch.columns:
+        gone = F.coalesce("withdrawn", F.lit(False))
+    batch = materialize(batch.withColumn("gone", gone))
+    return update_index(batch.where("NOT gone"), base, listing=False, buckets=buckets,
+                        exclude_tests=exclude_tests, withdrawn=batch.where("gone"))
+
 
+def start_ingest(files: DataFrame, base: str, checkpoint: str, exclude_tests: bool = True,
+                 buckets: int = BUCKETS, **trigger):
+    """Starts a query that merges each micro-batch of ``files`` (see ``ingest_batch``).
+
+    A batch reads the hashes of the buckets of its files and writes the buckets whose files
+    changed; a batch replayed after a failure finds the same hashes and writes nothing.
+    """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if "version" in batch.columns:
-            from pyspark.sql import functions as F
-            batch = rank_rows(batch, [F.desc("version")], 1, "r", within=inc.KEYS)
-        batch = materialize(batch)
-        try:
-            chunks = snapshots.current_snapshot(spark, chunks_at).select(*M.CHUNKS.names)
-            hashes = snapshots.current_snapshot(spark, hashes_at).select(*M.HASHES.names)
-        except snapshots.NoSnapshot:
-            chunks, hashes = empty_index(spark)
-        # Files that are not in this batch stay; withdrawn ones become orphans.
-        present = batch.where("content IS NOT NULL")
-        touched = hashes.join(batch.select(*inc.KEYS), inc.KEYS, "left_semi")
-        run = build_index(present, chunks, touched, exclude_tests=exclude_tests,
-                          repos=batch)
-        untouched = hashes.join(batch.select(*inc.KEYS), inc.KEYS, "left_anti")
-        new_hashes = untouched.unionByName(run.hashes)
-        paths = [snapshots.write_snapshot(run.chunks, chunks_at),
-                 snapshots.write_snapshot(new_hashes, hashes_at)]
-        snapshots.publish(spark, chunks_at, paths[0])
-        snapshots.publish(spark, hashes_at, paths[1])
+        ingest_batch(batch, base, exclude_tests, buckets)
 
     return (files.writeStream.foreachBatch(merge)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from sparklode import model as M
 from sparklode.operators import incremental as inc
 from sparklode.plans.index import build_index
+from sparklode.plans.upkeep import update_index
 from sparklode.sources import snapshots
+from sparklode.sources.buckets import buckets_of, open_index
 from sparklode.sources.corpus import scan_corpus
-from sparklode.streaming.ingest import start_ingest
+from sparklode.streaming.ingest import ingest_batch, start_ingest
 
 FILES = "repo_id string, file_path string, file_rel_path string, length long, content binary"
 
@@ -172,8 +174,88 @@ def test_stream(spark, tmp_path):
         q = start_ingest(spark.readStream.schema(schema).parquet(landing), base, str(tmp_path / "cp"))
         q.awaitTermination(120)
         assert q.exception() is None
-        return sorted(r["name"] for r in snapshots.current_snapshot(spark, f"{base}/chunks").collect())
+        return sorted(r["name"] for r in open_index(spark, base).read("chunks").collect())
 
     assert land(1, a="def a(): pass\n", b="def b(): pass\n") == ["a", "b"]
     assert land(2, a="def a2(): pass\n", c="def c(): pass\n") == ["a2", "b", "c"]
     assert land(3, b=None) == ["a2", "c"]
+
+
+def data_files(base):
+    """Every file of the stored parts with its modification time."""
+    return {str(p.relative_to(base)): p.stat().st_mtime_ns
+            for p in (base / "data").rglob("*.parquet")}
+
+
+def embed_sizes(chunks):
+    return inc.embed(chunks, lambda texts: [[float(len(t))] for t in texts])
+
+
+def test_one_changed_file_writes_one_bucket(spark, tmp_path):
+    texts = {f"f{i}": f"def g{i}(): pass\n" for i in range(60)}
+    first, _ = update_index(files(spark, **texts), str(tmp_path), embed=embed_sizes, buckets=16)
+    before = data_files(tmp_path)
+    # The changed file moves its definition; its neighbours in the bucket stay as they are.
+    texts["f7"] = "\n\ndef moved(): pass\n"
+    second, run = update_index(files(spark, **texts), str(tmp_path), embed=embed_sizes)
+    assert stats(run)["indexed"] == 1 and second.buckets == 16
+    now = data_files(tmp_path)
+    assert {p: now[p] for p in before} == before
+    (bucket,) = buckets_of(files(spark, f7="").select("repo_id", "file_path"), 16)
+    assert {"/".join(p.split("/")[2:4]) for p in now.keys() - before.keys()} == {
+        f"{part}/bucket={bucket}" for part in ("chunks", "hashes", "vectors")}
+    for part in ("chunks", "hashes", "vectors"):
+        old = {e["bucket"]: e["path"] for e in first.entries if e["part"] == part}
+        new = {e["bucket"]: e["path"] for e in second.entries if e["part"] == part}
+        assert {b for b in new if new[b] != old.get(b)} == {bucket}
+    stored = open_index(spark, str(tmp_path))
+    assert sorted(r.name for r in stored.read("chunks").collect()) == sorted(
+        [f"g{i}" for i in range(60) if i != 7] + ["moved"])
+    assert {r.chunk_key for r in stored.read("vectors").collect()} == {
+        r.chunk_key for r in stored.read("chunks").collect()}
+    # A reader that opened the first version goes on with it.
+    assert first.read("chunks").where("name = 'g7'").count() == 1
+    same, run = update_index(files(spark, **texts), str(tmp_path), embed=embed_sizes)
+    assert same.version == second.version and stats(run)["skipped"] == 60
+    del texts["f9"]
+    third, run = update_index(files(spark, **texts), str(tmp_path), embed=embed_sizes)
+    assert stats(run)["cleaned"] == 1 and third.read("hashes").count() == 59
+
+
+def test_a_run_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    from sparklode.sources import buckets
+    update_index(files(spark, a="def a(): pass\n"), str(tmp_path))
+    seen = open_index(spark, str(tmp_path)).version
+
+    def fail(*args):
+        raise OSError("lost")
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(buckets, "publish", fail)
+        update_index(files(spark, a="def b(): pass\n"), str(tmp_path))
+    stored = open_index(spark, str(tmp_path))
+    assert stored.version == seen and stored.read("chunks").first().name == "a"
+    update_index(files(spark, a="def b(): pass\n"), str(tmp_path))
+    assert open_index(spark, str(tmp_path)).read("chunks").first().name == "b"
+
+
+def test_unreadable_and_withdrawn_files_of_a_batch(spark, tmp_path):
+    kinds = FILES + ", error string, withdrawn boolean"
+
+    def batch(**rows):
+        return ingest_batch(spark.createDataFrame(
+            [("r", f"/r/{n}.py", f"{n}.py", 9, t and t.encode(), e, w)
+             for n, (t, e, w) in rows.items()], kinds), str(tmp_path))[0]
+
+    def state(stored):
+        return (sorted(r.name for r in stored.read("chunks").collect()),
+                sorted((r.file_path, r.error) for r in stored.read("errors").collect()),
+                stored.read("hashes").count())
+    a, b, c = ((f"def {n}(): pass\n", None, False) for n in "abc")
+    assert state(batch(a=a, b=b, c=c)) == (["a", "b", "c"], [], 3)
+    lost = "cannot be read (OSError)"
+    got = batch(a=(None, lost, False), b=(None, None, False), c=(None, None, True))
+    bad = [("/r/a.py", f"/r/a.py: {lost}"), ("/r/b.py", "/r/b.py: content is missing")]
+    assert state(got) == (["a", "b"], bad, 2)
+    assert state(batch(c=c)) == (["a", "b", "c"], bad, 3)    # others keep their errors
+    assert state(batch(a=a)) == (["a", "b", "c"], bad[1:], 3)
+    assert state(batch(b=(None, None, True))) == (["a", "c"], [], 2)
