@@ -625,7 +625,7 @@ SELECT doc_id, rel FROM ps WHERE length <= 512000 AND suffix IN {_in(M.SOURCE_EX
 
 ORACLE["SNK_1_touched_buckets"] = with_(CHUNKS) + """
 , keyed AS (
-  SELECT c.*, ('0x' || left(sha256(repo_id || '/' || file_path || '/' || doc_id), 8))::BIGINT % 256
+  SELECT c.*, ('0x' || left(sha256(repo_id || '/' || file_path || '/' || doc_id), 8))::BIGINT % 64
     AS bucket, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 1) AS bad FROM c)
 SELECT bucket, count(*) AS n_files, sum(CASE WHEN bad THEN 0 ELSE length(source) END)::BIGINT AS chars,
   bool_or(bad) AS written FROM keyed GROUP BY bucket"""

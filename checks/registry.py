@@ -8,7 +8,7 @@ from checks import views as V
 from sparklode.functions import paths, text as X
 from sparklode.functions.storage import graph_facts, materialize, shared_dir
 from sparklode.operators import graph, incremental as inc, report, search, trace
-from sparklode.operators.segment import chunk_files, segment_documents
+from sparklode.operators.segment import chunk_files, masked_files, segment_documents
 from sparklode.operators.segment_python import python_definitions
 from sparklode.plans.index import build_index
 from sparklode.plans.retrieve import retrieve
@@ -593,9 +593,7 @@ def CHK_1_python_definitions(spark, sf) -> DataFrame:
 
 @query
 def CHK_2_decorators(spark, sf) -> DataFrame:
-    f = V.python_files(spark, sf).select(
-        "repo_id", "file_path", F.col("content").cast("string").alias("text"))
-    return python_definitions(f).select(
+    return python_definitions(masked_files(V.python_files(spark, sf))).select(
         "file_path", "name", *_long("first", "def_line"))
 
 

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sparklode import model as M
-from sparklode.functions import paths
+from sparklode.functions import lex, paths
+from sparklode.functions.storage import materialize
 from sparklode.functions import text as X
 from sparklode.operators.segment_js import js_chunks
 from sparklode.operators.segment_python import python_chunks
@@ -14,16 +15,24 @@ def chunk_files(files: DataFrame, cap: int = M.CHUNK_TOKEN_CAP) -> DataFrame:
 
     ``files``: repo_id, file_path, file_rel_path, content. Unknown extensions
     give no rows. Source beyond ``cap`` tokens is cut; name, calls and
-    docstring come from the whole definition.
+    docstring come from the whole definition. Contents are read and masked once and
+    written to the shared folder: definitions are found in the masked texts alone, and
+    one join brings them back to their file.
     """
-    lang = paths.language("file_path")
-    f = files.select("repo_id", "file_path", "file_rel_path",
-                     F.col("content").cast("string").alias("text"), lang.alias("lang"))
+    f = materialize(masked_files(files))
     chunks = python_chunks(f.where(F.col("lang") == "python")).unionByName(
         js_chunks(f.where(F.col("lang").isin("javascript", "typescript", "tsx"))))
     return finish_chunks(chunks, cap)
 
 
+def masked_files(files: DataFrame) -> DataFrame:
+    """repo_id, file_path, file_rel_path, lang, text, masked of files in a known language."""
+    lang = paths.language("file_path")
+    return (files.select("repo_id", "file_path", "file_rel_path", lang.alias("lang"),
+                         F.col("content").cast("string").alias("text"))
+            .where(F.col("lang").isNotNull()).withColumn("masked", lex.mask()))
+
+
 def finish_chunks(chunks: DataFrame, cap: int = M.CHUNK_TOKEN_CAP) -> DataFrame:
     """Token cap, chunk key and search text."""
     key = paths.chunk_key("file_path", "start_line")

@@ -10,12 +10,22 @@ inside them.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparklode.functions import lex
+from sparklode.functions.lex import LOST_CALL
 from sparklode.operators.nesting import KEYS, resolve_nesting
 
+
+def nested(left: str, right: str, depth: int) -> str:
+    """Pattern of text between two brackets, nested up to ``depth`` times."""
+    plain = rf"[^{left}{right}]++"
+    pattern = rf"{left}(?:{plain})*+{right}"
+    for _ in range(depth - 1):
+        pattern = rf"{left}(?:{plain}|{pattern})*+{right}"
+    return pattern
+
+
 _NAME = r"[\p{L}_$][\w$]*+"
-_PARAMS = lex.nested(r"\(", r"\)", 12)
-_OBJECT = lex.nested(r"\{", r"\}", 4)
+_PARAMS = nested(r"\(", r"\)", 12)
+_OBJECT = nested(r"\{", r"\}", 4)
 # A type may be or hold an object type; what follows it decides where it ends.
 _TYPE = rf"(?:\s*:(?:[^={{}};]++(?:{_OBJECT}[^={{}};]*+)?|\s*{_OBJECT}[^={{}};]*+))?"
 _ARROW = rf"(?:async\s+)?(?:<[^>(]*+>\s*)?(?:{_PARAMS}{_TYPE}|{_NAME})\s*=>\s*"
@@ -37,12 +47,12 @@ _MARK = (rf"{_HEAD}|[(){{}}\[\];,]|{_BREAK}|(?:(?!{_HEAD}|{_BREAK}){_REST})++|[\
 _BLOCK_MARK = rf"{_HEAD}|[(){{}}\[\]]|(?:(?!{_HEAD})(?:{_REST}|[;,]))++|[\s\S]"
 _PLAIN_ARROW = r"=>\s*(?!\{)\S"
 _HEAD_TEXT = rf"\A(?:class\s+{_NAME}[\s\S]|[\s\S]*=>\s*\z|[\s\S]*{_PARAMS}{_TYPE}\s*\z)"
-_CALL = rf"(?<![\w$#])(?<!\bnew )(?<!\bfunction )(?!{_RESERVED}|async\b)(#?{_NAME})\s*(?:<[\w\s,.\[\]|]*+>)?\((?![^()]*+\)\s*\{{)"
+_CALL = rf"(?<![\w$#])(?<!\bnew )(?<!\bfunction )(?!{_RESERVED}|async\b)(#?{_NAME})\s*(?:<[\w\s,.\[\]|]*+>)?(?:\((?![^()]*+\)\s*\{{)|{LOST_CALL})"
 
 
 def js_definitions(files: DataFrame) -> DataFrame:
     """repo_id, file_path, first, last (0-based offsets), line, is_function, name, parent."""
-    f = files.select(*KEYS, lex.mask_js("text").alias("masked"))
+    f = files.select(*KEYS, "masked")
     marks = F.when(F.col("masked").rlike(_PLAIN_ARROW), F.regexp_extract_all(
         "masked", F.lit(f"({_MARK})"), F.lit(1))).otherwise(F.regexp_extract_all(
             "masked", F.lit(f"({_BLOCK_MARK})"), F.lit(1)))
@@ -119,8 +129,7 @@ def js_chunks(files: DataFrame) -> DataFrame:
     found = js_definitions(files).groupBy(*KEYS).agg(F.array_sort(F.collect_list(
         F.struct("first", "last", "kind", "name", F.col("parent.name").alias("parent"),
                  "line"))).alias("defs"))
-    f = files.select(*KEYS, "file_rel_path", "text",
-                     lex.mask_js("text").alias("masked")).join(found, KEYS)
+    f = files.select(*KEYS, "file_rel_path", "text", "masked").join(found, KEYS)
 
     f = f.select(*KEYS, "file_rel_path", "text", "masked", F.transform("defs", lambda d: F.struct(
         d["first"].alias("first"),

@@ -17,12 +17,14 @@ from sparklode.operators.nesting import KEYS, resolve_nesting
 
 _ID = r"[\p{L}_][\p{L}\p{N}_]*+"
 _DEF = rf"^\s*(?:async\s+)?(def|class)\s+({_ID})"
-# match (x): and case (x): open a block, they call nothing.
+_ROUND = rf"[({lex.LOST_CALL}]"
+# Statements match (x): and case (x): open a block, they call nothing.
 _CALL = (rf"(?m)(?<![\p{{L}}\p{{N}}_])(?<!\bdef )(?<!\bclass )"
-         rf"(?!(?:match|case)\s*+\([^\n]*:[ \t]*$)({_ID})\s*+\(")
+         rf"(?!(?:match|case)(?<=^[ \t]{{0,199}}(?:match|case))\s*+{_ROUND}[^\n]*:[ \t]*$)"
+         rf"({_ID})\s*+{_ROUND}")
 _HEADER = (rf"\A\s*(?:async\s+)?(?:def|class)\s+{_ID}\s*"
            r"(?:\[[^\]]*+\])?\s*"
-           rf"(?:{lex.nested(chr(92) + '(', chr(92) + ')', 12)})?"
+           r"(?:\([^()]*+\))?"
            r"\s*(?:->[^:]*+)?:\s*")
 _DOC = rf"\A{lex.OPEN}[{lex.INSIDE}\n]*(?=[ \t]*(?:\n|;|\z))"
 # Words that may stand before "(" without being called.
@@ -44,18 +46,15 @@ def _count(line: str, chars: str) -> Column:
 def python_definitions(files: DataFrame) -> DataFrame:
     """repo_id, file_path, first (with decorators), def_line, last, kind, name, parent.
 
-    ``files``: repo_id, file_path, text. Blank and comment lines may still follow
+    ``files``: repo_id, file_path, masked. Blank and comment lines may still follow
     the definition within ``last``.
     """
-    masked = lex.mask_python("text")
-    f = files.select(*KEYS, masked.alias("masked"))
+    f = files.select(*KEYS, "masked")
     levels = F.array_distinct(F.transform(F.regexp_extract_all(
         "masked", F.lit(r"(?m)^([ \t]*)(?:async[ \t]+)?(?:def|class)\s"), F.lit(1)), _width))
     f = f.select(*KEYS, F.split("masked", "\n").alias("lines"), levels.alias("levels"))
-    # Not a filter: it would be pushed below, and the text masked twice for it.
-    line = f.select(
-        *KEYS, "levels", F.size("lines").alias("n_lines"),
-        F.posexplode(F.when(F.size("levels") > 0, F.col("lines"))).alias("i", "line"))
+    line = f.where(F.size("levels") > 0).select(
+        *KEYS, "levels", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("i", "line"))
     line = line.select(
         *KEYS, "levels", "n_lines", "line", (F.col("i") + 1).alias("line_no"),
         _width(F.regexp_extract("line", r"^[ \t]*", 0)).alias("indent"),
@@ -73,13 +72,8 @@ def python_definitions(files: DataFrame) -> DataFrame:
 
     w = Window.partitionBy(*KEYS).orderBy("line_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    # No bracket can be open at an unindented definition: one that is was never closed.
-    line = line.withColumn("part", F.sum(F.when(
-        (F.col("kind") != "") & (F.col("indent") == 0) & ~F.col("inside"), 1).otherwise(0)).over(w))
-    in_part = (Window.partitionBy(*KEYS, "part").orderBy("line_no")
-               .rowsBetween(Window.unboundedPreceding, -1))
     stmt = line.select(
-        "*", F.coalesce(F.sum("delta").over(in_part), F.lit(0)).alias("open"),
+        "*", F.coalesce(F.sum("delta").over(before), F.lit(0)).alias("open"),
         F.lag(F.when(F.col("goes_on"), F.col("line_no"))).over(w).alias("goes_on_at"))
     stmt = stmt.where(~F.col("inside") & (F.col("open") <= 0) & ~F.coalesce(
         F.col("goes_on_at") == F.col("line_no") - 1, F.lit(False)))
@@ -106,7 +100,7 @@ def python_chunks(files: DataFrame) -> DataFrame:
                  F.col("parent.name").alias("parent")))).alias("defs"))
     # One row per file again: its lines are split once and cut per definition.
     f = files.select(*KEYS, "file_rel_path", F.split("text", "\n").alias("lines"),
-                     F.split(lex.mask_python("text"), "\n").alias("masked"))
+                     F.split("masked", "\n").alias("masked"))
 
     def cut(lines, a, b):
         return F.array_join(F.slice(lines, a, b - a + 1), "\n")

@@ -59,6 +59,19 @@ SNIPPETS = {
     "text.jsx": "function V(p) {\n  return <ul>{p.ok && <p>Don't</p>}<li>http://a.b</li></ul>;\n}\n"
                 "function W() {\n  w();\n}\n",
     "tmpl.js": "class T {\n  #p() { return 1; }\n  q(x) {\n    return `v ${load(x)} ${no\n}` + this.#p();\n  }\n}\n",
+    "fquote.py": "def f(d):\n    return f\"{d[\"k\"]} {helper(d, {'a': g(1)})} {x:>{w()}}\"\n",
+    "match.py": "def f(x):\n    if re.match('a', x):\n        pass\n    while case(x):\n        pass\n"
+                "def g(x):\n    return [c for c in match(x)]\n",
+    "lost.py": "class C:\n    def m(self):\n        x = foo(1,\n    def n(self):\n        'Doc.'\n"
+               "        return bar(x)\n",
+    "depth.py": "def f(a=" + "g(" * 40 + "1" + ")" * 40 + "):\n    'Doc.'\n    return run(a)\n",
+    "regex.js": "function a() {\n  return x => /[\"']/.test(x);\n}\nfunction b() {\n  if (q) /[(`]/.exec(c());\n"
+                "  return 1 / d() / 2;\n}\nconst e = a => /\\//g.test(a);\nfunction c() { d(); }\n",
+    "lost.js": "function a() {\n  foo(1;\n}\nfunction b() {\n  if (x) { y();\n}\nfunction c() { z(); }\n",
+    "tmpl2.js": "function t(x) {\n  return `v ${load(x, `in ${deep(\"}\")} `)} ${[1].map(y => { return up(y); })}`;\n}\n"
+                "function u() { w(); }\n",
+    "tag.jsx": "const V = (p) => {\n  const n = a < b;\n  return <F a=\"}\" on={() => go('}')}>it's (x) {p.ok ? <b/> : f(1)}"
+               "</F>;\n};\nfunction W() { w(); }\n",
     "notes.md": "def f():\n    pass\n",
 }
 
@@ -197,6 +210,68 @@ def test_js_deep_parameters_text_and_templates(chunks):
     assert q["calls"] == ["load", "#p"]
 
 
+def test_strings_in_f_strings(chunks):
+    assert chunks["fquote.py"][0]["calls"] == ["g", "helper", "w"]
+
+
+def test_calls_of_names_that_are_soft_keywords(chunks):
+    f, g = chunks["match.py"]
+    assert f["calls"] == ["case", "match"] and g["calls"] == ["match"]
+
+
+def test_python_methods_after_an_unclosed_bracket(chunks):
+    c, m, n = chunks["lost.py"]
+    assert (m["name"], m["calls"], m["end_line"]) == ("m", ["foo"], 3)
+    assert (n["name"], n["calls"], n["docstring"], n["parent_class"]) == ("n", ["bar"], "Doc.", "C")
+    assert chunks["depth.py"][0]["docstring"] == "Doc."
+
+
+def test_js_regex_literals(chunks):
+    assert [(r["name"], r["calls"]) for r in chunks["regex.js"]] == [
+        ("a", ["test"]), ("b", ["exec", "c", "d"]), ("e", ["test"]), ("c", ["d"])]
+
+
+def test_js_definitions_after_an_unclosed_bracket(chunks):
+    assert names(chunks["lost.js"])[-1] == "c" and "a" in names(chunks["lost.js"])
+    assert chunks["lost.js"][-1]["calls"] == ["z"]
+
+
+def test_js_templates_and_tags_at_any_depth(chunks):
+    t, u = chunks["tmpl2.js"]
+    assert t["calls"] == ["load", "deep", "map", "up"] and u["calls"] == ["w"]
+    v, w = chunks["tag.jsx"]
+    assert (v["name"], v["calls"], v["end_line"]) == ("V", ["go", "f"], 4)
+    assert (w["name"], w["calls"]) == ("W", ["w"])
+
+
+def test_masking_keeps_every_position():
+    import random
+    from sparklode.functions.lex import scan_js, scan_python
+    r = random.Random(2)
+    parts = ["f'", '"', "'", '"""', "`", "${", "{", "}", "(", ")", "[", "]", "<a>", "</a>", "<b", "/>",
+             "/", "//", "#", "\\", "\n", "return ", "x", " ", "é", ":", "=", "{{"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 40)))
+        for masked in (scan_python(text), scan_js(text, True), scan_js(text, False)):
+            assert len(masked) == len(text)
+            assert [i for i, c in enumerate(masked) if c == "\n"] == [
+                i for i, c in enumerate(text) if c == "\n"]
+            for o, c in ("()", "[]", "{}"):
+                assert masked.count(o) == masked.count(c)
+
+
+def test_masking_is_linear():
+    import time
+    from sparklode.functions.lex import scan_js, scan_python
+    for unit, scan in (("class A:\n    def f(self):\n        return g(x, f'{h(x)}')\n", scan_python),
+                       ("class T { f(a) { return `x ${go(a)}` + /a'b/.test(c); } }\n",
+                        lambda t: scan_js(t, True)), ("a = <b>{", lambda t: scan_js(t, True)),
+                       ("foo([", scan_python), ("f'{", scan_python)):
+        start = time.time()
+        scan(unit * (500 * 1024 // len(unit)))
+        assert time.time() - start < 10
+
+
 def test_long_documents_are_segmented_in_linear_time(spark):
     import time
     from sparklode.operators.segment import segment_documents
