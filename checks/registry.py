@@ -593,7 +593,9 @@ def CHK_1_python_definitions(spark, sf) -> DataFrame:
 
 @query
 def CHK_2_decorators(spark, sf) -> DataFrame:
-    return python_definitions(masked_files(V.python_files(spark, sf))).select(
+    files = materialize(masked_files(V.python_files(spark, sf)))
+    found = materialize(python_definitions(files))
+    return found.join(files.select("row", "file_path"), "row").select(
         "file_path", "name", *_long("first", "def_line"))
 
 
@@ -639,7 +641,8 @@ def CHK_9_chunk_keys(spark, sf) -> DataFrame:
 @query
 def IDX_build_index(spark, sf) -> DataFrame:
     """Whole index run: files whose text changed against a first version."""
-    now = V.python_files(spark, sf).unionByName(V.js_files(spark, sf))
+    # As a corpus is read: from storage, not made anew for every read.
+    now = materialize(V.python_files(spark, sf).unionByName(V.js_files(spark, sf)))
     known = now.join(V.old_hashes(spark, sf).select(
         F.replace("file_path", F.lit("/pages/p_"), F.lit("/old/p_")).alias("file_path")),
         "file_path", "left_semi").select(

@@ -2,13 +2,14 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-KEYS = ["repo_id", "file_path"]
+KEYS = ["row"]   # the number of a file, see segment.masked_files
+FILE = ["repo_id", "file_path", "file_rel_path"]
 
 
 def resolve_nesting(defs: DataFrame) -> DataFrame:
     """Drops definitions inside functions; adds the nearest enclosing class.
 
-    ``defs``: repo_id, file_path, first, last, is_function, name, depth ...
+    ``defs``: row (of the file), first, last, is_function, name, depth ...
     Each definition gives an opening and a closing event; running sums per file
     tell how many functions and classes are open. At class depth c, the class
     opened last at depth c-1 is the enclosing one. All windows are per file (a

@@ -26,11 +26,15 @@ def chunk_files(files: DataFrame, cap: int = M.CHUNK_TOKEN_CAP) -> DataFrame:
 
 
 def masked_files(files: DataFrame) -> DataFrame:
-    """repo_id, file_path, file_rel_path, lang, text, masked of files in a known language."""
+    """repo_id, file_path, file_rel_path, lang, text, masked of files in a known language.
+
+    ``row`` numbers the files, so that windows and joins compare one number; it holds
+    within one stored table only.
+    """
     lang = paths.language("file_path")
     return (files.select("repo_id", "file_path", "file_rel_path", lang.alias("lang"),
                          F.col("content").cast("string").alias("text"))
-            .where(F.col("lang").isNotNull()).withColumn("masked", lex.mask()))
+            .where(F.col("lang").isNotNull()).withColumns({"masked": lex.mask(), "row": F.monotonically_increasing_id()}))
 
 
 def finish_chunks(chunks: DataFrame, cap: int = M.CHUNK_TOKEN_CAP) -> DataFrame:

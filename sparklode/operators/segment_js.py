@@ -11,7 +11,7 @@ inside them.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparklode.functions.lex import LOST_CALL
-from sparklode.operators.nesting import KEYS, resolve_nesting
+from sparklode.operators.nesting import FILE, KEYS, resolve_nesting
 
 
 def nested(left: str, right: str, depth: int) -> str:
@@ -51,7 +51,7 @@ _CALL = rf"(?<![\w$#])(?<!\bnew )(?<!\bfunction )(?!{_RESERVED}|async\b)(#?{_NAM
 
 
 def js_definitions(files: DataFrame) -> DataFrame:
-    """repo_id, file_path, first, last (0-based offsets), line, is_function, name, parent."""
+    """row, first, last (0-based offsets), line, is_function, name, parent."""
     f = files.select(*KEYS, "masked")
     marks = F.when(F.col("masked").rlike(_PLAIN_ARROW), F.regexp_extract_all(
         "masked", F.lit(f"({_MARK})"), F.lit(1))).otherwise(F.regexp_extract_all(
@@ -129,16 +129,15 @@ def js_chunks(files: DataFrame) -> DataFrame:
     found = js_definitions(files).groupBy(*KEYS).agg(F.array_sort(F.collect_list(
         F.struct("first", "last", "kind", "name", F.col("parent.name").alias("parent"),
                  "line"))).alias("defs"))
-    f = files.select(*KEYS, "file_rel_path", "text", "masked").join(found, KEYS)
-
-    f = f.select(*KEYS, "file_rel_path", "text", "masked", F.transform("defs", lambda d: F.struct(
+    f = files.select(*KEYS, *FILE, "text", "masked").join(found, KEYS)
+    f = f.select(*FILE, "text", "masked", F.transform("defs", lambda d: F.struct(
         d["first"].alias("first"),
         F.length(F.regexp_replace(F.substr("text", d["first"] + 1, d["last"] - d["first"] + 1),
                                   r"\s+\z", "")).alias("size"),
         d["kind"].alias("kind"), d["name"].alias("name"), d["parent"].alias("parent"),
         d["line"].alias("line"))).alias("defs"))
     f = f.withColumn("starts", F.transform("defs", lambda d: d["line"]))
-    rows = f.select(*KEYS, "file_rel_path", F.inline(F.transform("defs", lambda d, i: F.struct(
+    rows = f.select(*FILE, F.inline(F.transform("defs", lambda d, i: F.struct(
         d["kind"].alias("kind"), d["name"].alias("name"), d["parent"].alias("parent_class"),
         d["line"].alias("start_line"),
         (i + 1 - F.array_position("starts", d["line"])).cast("int").alias("ordinal"),
@@ -146,7 +145,7 @@ def js_chunks(files: DataFrame) -> DataFrame:
         F.substr("masked", d["first"] + 1, d["size"]).alias("masked")))))
     is_class = F.col("kind") == "class"
     return rows.select(
-        *KEYS, "file_rel_path", F.when(is_class, "class").otherwise("function").alias("node_type"), "name",
+        *FILE, F.when(is_class, "class").otherwise("function").alias("node_type"), "name",
         "source", "start_line",
         (F.col("start_line") + F.regexp_count("source", F.lit("\n"))).alias("end_line"),
         "ordinal", F.when(is_class, F.array().cast("array<string>"))

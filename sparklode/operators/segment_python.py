@@ -13,7 +13,7 @@ no statements. Decorator lines directly above belong to the definition.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparklode.functions import lex
-from sparklode.operators.nesting import KEYS, resolve_nesting
+from sparklode.operators.nesting import FILE, KEYS, resolve_nesting
 
 _ID = r"[\p{L}_][\p{L}\p{N}_]*+"
 _DEF = rf"^\s*(?:async\s+)?(def|class)\s+({_ID})"
@@ -40,13 +40,13 @@ def _width(blanks) -> Column:
 
 
 def _count(line: str, chars: str) -> Column:
-    return F.length(F.regexp_replace(line, f"[^{chars}]", ""))
+    return F.length(line) - F.length(F.translate(line, chars, ""))
 
 
 def python_definitions(files: DataFrame) -> DataFrame:
-    """repo_id, file_path, first (with decorators), def_line, last, kind, name, parent.
+    """row, first (with decorators), def_line, last, kind, name, parent.
 
-    ``files``: repo_id, file_path, masked. Blank and comment lines may still follow
+    ``files``: row, masked. Blank and comment lines may still follow
     the definition within ``last``.
     """
     f = files.select(*KEYS, "masked")
@@ -57,12 +57,13 @@ def python_definitions(files: DataFrame) -> DataFrame:
         *KEYS, "levels", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("i", "line"))
     line = line.select(
         *KEYS, "levels", "n_lines", "line", (F.col("i") + 1).alias("line_no"),
-        _width(F.regexp_extract("line", r"^[ \t]*", 0)).alias("indent"),
-        (_count("line", r"(\[{") - _count("line", r")\]}")).alias("delta"),
-        F.col("line").rlike(r"\\\s*$").alias("goes_on"))
+        _width(F.left("line", F.length("line") - F.length(F.ltrim("line", F.lit(" \t")))))
+        .alias("indent"),
+        (_count("line", "([{") - _count("line", ")]}")).alias("delta"),
+        F.rtrim("line", F.lit(" \t\r")).endswith("\\").alias("goes_on"))
     line = line.where(
         (F.col("delta") != 0) | F.col("goes_on")
-        | ((F.col("indent") <= F.array_max("levels")) & F.col("line").rlike(r"\S")))
+        | ((F.col("indent") <= F.array_max("levels")) & (F.btrim("line", F.lit(" \t\r\f")) != "")))
     line = line.select(
         *KEYS, "levels", "n_lines", "line_no", "indent", "delta", "goes_on",
         F.col("line").startswith(lex.INSIDE).alias("inside"),
@@ -99,13 +100,13 @@ def python_chunks(files: DataFrame) -> DataFrame:
         F.struct("first", "def_line", "last", "kind", "name",
                  F.col("parent.name").alias("parent")))).alias("defs"))
     # One row per file again: its lines are split once and cut per definition.
-    f = files.select(*KEYS, "file_rel_path", F.split("text", "\n").alias("lines"),
+    f = files.select(*KEYS, *FILE, F.split("text", "\n").alias("lines"),
                      F.split("masked", "\n").alias("masked"))
 
     def cut(lines, a, b):
         return F.array_join(F.slice(lines, a, b - a + 1), "\n")
 
-    rows = f.join(found, KEYS).select(*KEYS, "file_rel_path", F.inline(F.transform("defs", lambda d: F.struct(
+    rows = f.join(found, KEYS).select(*FILE, F.inline(F.transform("defs", lambda d: F.struct(
         d["kind"].alias("kind"), d["name"].alias("name"), d["parent"].alias("parent_class"),
         d["first"].alias("start_line"), d["def_line"].alias("def_line"),
         cut("lines", d["first"], d["def_line"] - 1).alias("decorators"),
@@ -116,7 +117,7 @@ def python_chunks(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("raw", F.left("raw", F.length("masked")))
     whole = F.concat_ws("\n", F.nullif("decorators", F.lit("")), "raw")
     return rows.select(
-        *KEYS, "file_rel_path", F.when(F.col("kind") == "def", "function_definition")
+        *FILE, F.when(F.col("kind") == "def", "function_definition")
         .otherwise("class_definition").alias("node_type"),
         "name", F.regexp_replace(whole, r"\A[ \t]+", "").alias("source"), "start_line",
         (F.col("def_line") + F.regexp_count("masked", F.lit("\n"))).alias("end_line"),

@@ -17,6 +17,7 @@ BLOCK_ROWS = 2_048
 BLOCK_CHARS = 16 * 1024 * 1024
 # Cells of one (questions x rows) score matrix inside a task.
 _CELLS = 4_000_000
+_NULL = "!"   # NULL in joined keys; values begin with +
 
 
 def question_blocks(queries: DataFrame, text_col: str | None = None,
@@ -68,7 +69,8 @@ class PartialTopN:
         sizes = [len(s) for s, _ in self.best]
         ids = [i for i, m in zip(query_ids, sizes) for _ in range(m)]
         scores = [x for s, _ in self.best for x in s]
-        keys = [x.split("\0", len(names) - 3) for _, k in self.best for x in k]
+        keys = [[None if p == _NULL else p[1:] for p in x.split("\0", len(names) - 3)]
+                for _, k in self.best for x in k]
         columns = [[k[i] for k in keys] for i in range(len(names) - 2)]
         return pa.RecordBatch.from_arrays(
             [pa.array(ids), *(pa.array(c, pa.string()) for c in reversed(columns)),
@@ -76,8 +78,12 @@ class PartialTopN:
 
 
 def joined_keys(batch, columns: int) -> np.ndarray:
-    """The first columns of a batch as one string per row, the last of them in front."""
-    parts = [batch.column(i).to_pylist() for i in reversed(range(columns))]
+    """The first columns of a batch as one string per row, the last of them in front.
+
+    NULL comes before all values, as in Spark's order.
+    """
+    parts = [[_NULL if p is None else "+" + p for p in batch.column(i).to_pylist()]
+             for i in reversed(range(columns))]
     return np.asarray(["\0".join(p) for p in zip(*parts)], dtype=object)
 
 

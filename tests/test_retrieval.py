@@ -140,6 +140,15 @@ def test_equal_keys_in_two_repositories(spark, chunks, vectors):
     assert free.groupBy("repo_id", "chunk_key").count().where("count > 1").count() == 0
 
 
+def test_chunks_without_a_repository(spark, chunks, vectors):
+    nameless = spark.createDataFrame([chunk("a", "walk", "walk os", repo=None)], CHUNK)
+    more = spark.createDataFrame([("a", [1.0, 0.0], None)], vectors.schema)
+    got = search.vector_topk(ask(spark, "q"), vectors.unionByName(more), n=2).collect()
+    assert {(r.chunk_key, r.repo_id) for r in got} == {("a", "r"), ("a", None)}
+    got = search.keyword_topk(ask(spark, "os"), chunks.unionByName(nameless)).collect()
+    assert {(r.chunk_key, r.repo_id) for r in got} == {("a", "r"), ("a", None)}
+
+
 def test_unusable_vectors_are_reported(spark):
     v = spark.createDataFrame(
         [("a", [1.0, 0.0]), ("b", [None, 1.0]), ("c", [1.0]), ("d", [float("nan"), 0.0]),
