@@ -10,6 +10,7 @@ by the longest token. Subsets are built when first reached and forgotten when to
 """
 
 import base64
+import ctypes
 import gc
 import hashlib
 import struct
@@ -247,6 +248,15 @@ class Codec:
         return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))),
                              "<u4")
 
+    def forget(self):
+        """Empties what is built while encoding, and gives its memory back to the system.
+
+        Python workers outlive their task, and the next one may be of another kind.
+        """
+        self.words.clear()
+        self.transducer._forget()
+        ctypes.CDLL(None).malloc_trim(0)
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
 
@@ -290,6 +300,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep=
         try:
             yield from encode_batches(codec, batches)
         finally:
+            codec.forget()
             gc.enable()
 
     def encode_batches(codec, batches):
