@@ -1,10 +1,11 @@
 """Forward traces of the call graph for a whole table of root symbols.
 
 One row per root carries the bounded state of its search (at most
-``max_nodes`` nodes). A level is: explode the frontier, look the names up by an
-equi-join, gather per root, fold the called names into the state. So the plan
-is one chain of ``max_depth + 1`` lookups, with nothing computed twice; a name
-that many frontiers share is a skewed probe side, which adaptive execution
+``max_nodes`` nodes). A level takes from it a narrow table of the frontier, (root, order,
+name), looks the names up by an equi-join, gathers the hits per root and folds the
+called names into the state; visited nodes never leave their root. The state of a
+level is written to the shared folder: the next one reads it twice and makes it once.
+A name that many frontiers share is a skewed probe side, which adaptive execution
 splits.
 """
 
@@ -43,21 +44,20 @@ def _node(ord, name, depth, parent, pos, found=None, place=None, calls=None):
 
 def _look_up(state: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
     """Fills place and calls of the nodes at ``depth``."""
-    rest = F.filter("nodes", lambda n: n["depth"] < depth)
-    front = F.filter("nodes", lambda n: n["depth"] == depth)
-    rows = state.select("repo_id", "symbol", rest.alias("rest"), "stop",
-                        F.explode_outer(front).alias("n"))
-    joined = (rows.withColumn("name", F.col("n.name"))
-              .join(facts.withColumn("hit", F.lit(True)), ["repo_id", "name"], "left"))
-    n = F.col("n")
-    filled = _node(n["ord"], n["name"], n["depth"], n["parent"], n["pos"],
-                   F.coalesce("hit", F.lit(False)), F.col("place"), F.col("calls"))
-    return (joined.groupBy("repo_id", "symbol")
-            .agg(F.any_value("rest").alias("rest"), F.any_value("stop").alias("stop"),
-                 F.array_sort(F.collect_list(
-                     F.when(n.isNotNull(), filled))).alias("front"))
-            .select("repo_id", "symbol",
-                    F.concat("rest", "front").alias("nodes"), "stop"))
+    front = state.select("repo_id", "symbol", F.explode(F.filter(
+        "nodes", lambda n: n["depth"] == depth)).alias("n"))
+    hits = (front.select("repo_id", "symbol", "n.ord", "n.name")
+            .join(facts, ["repo_id", "name"]).groupBy("repo_id", "symbol")
+            .agg(F.map_from_entries(F.collect_list(F.struct(
+                "ord", F.struct("place", "calls")))).alias("hits")))
+
+    def filled(n):
+        hit = F.try_element_at("hits", n["ord"])
+        return F.when(n["depth"] == depth, _node(
+            n["ord"], n["name"], n["depth"], n["parent"], n["pos"], hit.isNotNull(),
+            hit["place"], hit["calls"])).otherwise(n)
+    return state.join(hits, ["repo_id", "symbol"], "left").select(
+        "repo_id", "symbol", F.transform("nodes", filled).alias("nodes"), "stop")
 
 
 def _advance(state: DataFrame, depth: int, max_nodes: int) -> DataFrame:
@@ -97,7 +97,7 @@ def forward_state(symbols: DataFrame, chunks: DataFrame,
     ``symbols``: repo_id, symbol. Result: repo_id, symbol, nodes (array),
     stop (struct, NULL unless the node limit was hit), not_found, max_depth.
     """
-    facts = _facts(chunks)
+    facts = materialize(_facts(chunks))
     state = symbols.select("repo_id", "symbol").distinct().select(
         "repo_id", "symbol",
         F.array(_node(0, F.col("symbol"), 0, None, None)).alias("nodes"),
@@ -105,7 +105,7 @@ def forward_state(symbols: DataFrame, chunks: DataFrame,
     for depth in range(max_depth + 1):
         state = _look_up(state, facts, depth)
         if depth < max_depth:
-            state = _advance(state, depth, max_nodes)
+            state = materialize(_advance(state, depth, max_nodes))
     root_found = F.get("nodes", F.lit(0))["found"]
     empty = F.array().cast(f"array<{_NODE}>")
     # Nodes, edges, tree and summary all read the state: written out once, it
