@@ -638,3 +638,7 @@ SELECT repo_id, file_path, sha256(text) AS sha256, CASE WHEN quality = 0 THEN fi
   CASE WHEN doc_id % 2 = 0 THEN 'cannot be read (OSError)' ELSE 'content is missing' END END AS error
 FROM f LEFT JOIN labels USING (doc_id)
 WHERE coalesce(toxic, 0) = 0 AND size <= 512000"""
+
+ORACLE["SRC_1_scan_contents"] = """
+SELECT lang || '/' || source || '/doc_' || doc_id || '.py' AS file_rel_path, strlen(text) AS length,
+  sha256(text) AS sha256 FROM documents WHERE strlen(text) <= 512000"""

@@ -657,6 +657,35 @@ def SRC_1_corpus_scan(spark, sf) -> DataFrame:
         "file_rel_path", "length")
 
 
+def _write_files(docs: DataFrame, base: str) -> None:
+    """Every document as a file <lang>/<source>/doc_<id>.py under ``base``, written by the tasks."""
+    def write(batches):
+        from pyarrow import RecordBatch, fs
+        store, root = fs.FileSystem.from_uri(base)
+        known = set()
+        for b in batches:
+            for r in b.to_pylist():
+                folder = f"{root}/{r['lang']}/{r['source']}"
+                if folder not in known:
+                    store.create_dir(folder, recursive=True)
+                    known.add(folder)
+                with store.open_output_stream(f"{folder}/doc_{r['doc_id']}.py") as f:
+                    f.write(r["text"].encode())
+            yield RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    docs.select("doc_id", "lang", "source", "text").mapInArrow(write, "n long").agg(
+        F.sum("n")).collect()
+
+
+@query
+def SRC_1_scan_contents(spark, sf) -> DataFrame:
+    """The documents written out as files, and every file found with its contents."""
+    base = _new_folder(spark)
+    _write_files(V.spread(V.table(spark, sf, "documents")), base)
+    return scan_corpus(spark, base).select("file_rel_path", "length", F.sha2("content", 256)
+                                           .alias("sha256"))
+
+
 @query
 def SRC_1_scan_and_filter(spark, sf) -> DataFrame:
     """All corpus filters over the listed paths."""
