@@ -2,10 +2,11 @@
 
 Shingles are dealt to parts by their hash, and each part holds the XOR of the hashes it got: a
 shingle that only one of two sets has changes one part, so sets that differ in D shingles
-differ in at most D parts. D follows from the smaller size and the threshold. In a size band
-with bound D a sketch has 2 (D + 1) parts; linked sets agree in D + 2 of them or more. In any
-fixed order of all parts, the first D + 1 of both must then meet (pigeonhole with a prefix):
-the order takes parts with many shingles first, since they say most. Such parts are the keys
+differ in at most D parts. In a size band a sketch has 2 (D + 1) parts, D being the most that
+linked sets can differ in when the smaller one is of this band. A set of known size can differ
+in d <= D only, so a linked one has all but d of its parts. In any fixed order of all parts, the
+first d + 1 of both must then meet (pigeonhole with a prefix): the order takes parts with many
+shingles first, since they say most. Such parts are the keys
 that meet in a shuffle. A candidate pair must have sizes that can link, and bit sketches
 (every shingle flips one of ``BITS`` bits) of a Hamming distance of at most D, since that
 bounds the symmetric difference from below; then it is verified on the sets themselves.
@@ -29,7 +30,7 @@ from sparklode.llm.common import drop, mix, slices, store, table, text_buffer
 from sparklode.llm.components import connected_components
 from sparklode.llm.shingles import shingle_sets
 
-BAND = 1.5   # ratio of the largest to the smallest size of a band
+BAND = 2.0   # ratio of the largest to the smallest size of a band
 BITS, EARLY = 1024, 32
 # Representatives of candidates are sent to the texts up to this size, else both are shuffled.
 BROADCAST_BYTES = 16 << 20
@@ -58,21 +59,27 @@ class Bands:
         first = self.band(-(-size * self.percent // 100))
         return [b for b in range(first, last + 1) if self.differ(b)]
 
-    def marks(self, hashes: np.ndarray):
-        """(band, D + 1, all parts as hashes with their places, shingles per part)."""
-        for band in self.bands(len(hashes)):
-            most = self.differ(band) + 1
-            part = ((hashes >> np.uint64(8)) % np.uint64(2 * most)).astype(np.int64)
-            sketch = np.zeros(2 * most, np.uint64)
-            np.bitwise_xor.at(sketch, part, hashes)
-            place = np.arange(2 * most, dtype=np.uint64) + np.uint64(band << 40)
-            yield band, most, mix(sketch + mix(place + np.uint64(1))), np.bincount(
-                part, minlength=2 * most)
+    def own(self, size: int, band: int) -> int:
+        """In how many shingles a set of this size may differ from linked ones of the band."""
+        if band == self.band(size):   # the partner may be larger, too
+            return size * (100 - self.percent) // self.percent
+        largest = self.starts[band + 1] - 1
+        return (100 - self.percent) * (size + largest) // (100 + self.percent)
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """The first D + 1 parts of each band in the order of (shingles, hash)."""
-        found = [marks[np.lexsort((marks, -count))[:most]]
-                 for _, most, marks, count in self.marks(hashes)]
+        """The first d + 1 parts of each band in the order of (shingles, hash)."""
+        found = []
+        for band in self.bands(len(hashes)):
+            most, parts = self.own(len(hashes), band) + 1, 2 * self.differ(band) + 2
+            if most == 1:   # only equal sets
+                continue
+            part = ((hashes >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+            sketch = np.zeros(parts, np.uint64)
+            np.bitwise_xor.at(sketch, part, hashes)
+            place = np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)
+            marks = mix(sketch + mix(place + np.uint64(1)))
+            count = np.bincount(part, minlength=parts)
+            found.append(marks[np.lexsort((marks, -count))[:most]])
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -83,7 +90,7 @@ def bit_sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _features(docs: DataFrame, words: int, percent: int, text: str) -> DataFrame:
-    """doc_id, tag, n_shingles, set_id (NULL for the empty set), keys and sketch per row.
+    """doc_id, tag, n_shingles, set_id (NULL for the empty set), keys, sketch, row number.
 
     Within a slice only the first of equal sets carries keys and sketch.
     """
@@ -109,7 +116,7 @@ def _features(docs: DataFrame, words: int, percent: int, text: str) -> DataFrame
 
     return docs.select("doc_id", F.xxhash64(text).alias("tag"), text).mapInArrow(
         run, f"doc_id {kind}, tag long, n_shingles long, set_id binary, keys array<long>, "
-             "sketch array<long>")
+             "sketch array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
 def stored_bytes(stored: DataFrame) -> int:
@@ -175,7 +182,7 @@ def _placed(rows: DataFrame, labels: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "node"))
 
 
-def _open_keys(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+def _open_keys(members: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
     """key, node, n, sketch and early of the keys that several components still share.
 
     ``early``: up to EARLY smaller keys of the node; two nodes that share one of them are
@@ -189,7 +196,7 @@ def _open_keys(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Dat
     drop(placed)
     first = shared.groupBy("node").agg(   # no more keys than the set has shingles
         F.slice(F.array_sort(F.collect_list("key")), 1, EARLY).alias("first"))
-    keys = shared.join(first, "node").join(classes.select("node", "sketch"), "node")
+    keys = shared.join(first, "node").join(facts.select("node", "sketch"), "node")
     found = store(keys.select("key", "node", "n", "sketch", F.filter(
         "first", lambda x: x < F.col("key")).alias("early")))
     drop(shared)
@@ -239,21 +246,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     sets). A NULL doc_id is never the smallest one while there is another. Other columns are
     not read; an empty table gives an empty result.
     """
-    rows = store(_features(docs, words, percent, text))
+    wide = store(_features(docs, words, percent, text))
+    rows = store(wide.drop("keys"))
+    # A class is named by the first of its rows that carry keys; the others' keys are not read.
     classes = store(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"),
-        F.first("keys", ignorenulls=True).alias("keys"),
-        F.first("sketch", ignorenulls=True).alias("sketch"))
-        .withColumn("node", F.monotonically_increasing_id()))
-    keyed = classes.select(F.explode("keys").alias("key"), "node", "n")
+        F.min("doc_id").alias("doc_id"),
+        F.min(F.when(F.isnotnull("sketch"), F.col("row"))).alias("node")))
+    facts = rows.where("sketch IS NOT NULL").select(
+        F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch", "set_id")
+    again = store(facts.select("set_id", F.col("node").alias("row")).join(
+        classes.select("set_id", "node"), "set_id").where("row != node").select("row"))
+    facts = facts.drop("set_id")
+    keyed = wide.where("keys IS NOT NULL").join(again, "row", "left_anti").select(
+        F.explode("keys").alias("key"), F.col("row").alias("node"),
+        F.col("n_shingles").alias("n"))
     shared = store(keyed.groupBy("key").agg(
         F.min("node").alias("low"), F.max("node").alias("high"),
         F.count(F.lit(1)).alias("c")).where("low < high"))
     members = store(keyed.join(shared.where("c > 2").select("key", "low"), "key"))
+    for done in (wide, again):
+        drop(done)
     stars = members.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     pairs = (shared.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
              .unionByName(stars).distinct())
-    pairs = store(_possible(pairs, classes, percent))
+    pairs = store(_possible(pairs, facts, percent))
     # Members of large keys may be compared again, so their sets are wanted too.
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(
         members.select("node")).distinct()
@@ -261,7 +277,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     sets = store(_sets_of(nodes, docs, words, text))
     links = _verified(pairs, sets, percent)
     labels = store(connected_components(links))
-    opened = _open_keys(members, labels, classes)
+    opened = _open_keys(members, labels, facts)
     more = store(_across(opened, labels, percent))
     labels = _merged(labels, _verified(more, sets, percent))
 
@@ -299,9 +315,8 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
             .dropDuplicates(["__id", "__tag"]).select(*docs.columns))
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and bit sketches allow a link."""
-    facts = classes.select("node", "n", "sketch")
     return (pairs.join(facts.select(*[F.col(c).alias(x) for c, x in zip(
                 facts.columns, ("a", "n_a", "sketch_a"))]), "a")
             .join(facts.select(*[F.col(c).alias(x) for c, x in zip(
