@@ -7,6 +7,9 @@ that is a token which may follow the previous one it may emit that token. Exactl
 is complete after every prefix. The subset construction keeps, per open path, the tokens
 not yet emitted; what all open paths share is emitted at once, so the lookahead is bounded
 by the longest token. Subsets are built when first reached and forgotten when too many.
+
+All tables are flat: one dict of trie edges, one of the steps of numbered subsets, one of
+verdicts on token pairs. A state of the first transducer is one number made of both parts.
 """
 
 import base64
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparklode.llm.common import encoded, slices, table
 from sparklode.llm.pretokens import splitter
 
-MAX_STATES, MAX_PLACES, MAX_WORDS = 80_000, 160_000, 200_000
+MAX_STATES, MAX_PAIRS, MAX_WORDS = 200_000, 500_000, 150_000
 _NEVER = 1 << 62
 
 
@@ -45,11 +48,6 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> tuple[list[bytes], b
     return parts, left
 
 
-class _State(dict):
-    """byte -> (next state, emitted ids); ``paths`` are (place, pending ids), oldest first."""
-    __slots__ = ("paths",)
-
-
 class Transducer:
     """``encode(piece)`` gives the token ids of one pre-token."""
 
@@ -60,7 +58,8 @@ class Transducer:
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.parts: dict[int, tuple[int, int]] = {}
         self.whole: dict[bytes, int] = {}   # tokens that merging does not reach
-        self.children: list[dict[int, int]] = [{}]
+        self.edges: dict[int, int] = {}     # node << 8 | byte -> child
+        self.inner = [False]                # whether a node has children
         self.token_at: list[int | None] = [None]
         for token, rank in ranks.items():
             parts, left = merge_by_rank(token, ranks)
@@ -75,51 +74,30 @@ class Transducer:
                 self.parts[rank] = pair
             node = 0
             for byte in token:
-                node = self.children[node].setdefault(byte, len(self.children))
-                if node == len(self.children):
-                    self.children.append({})
+                edge, self.inner[node] = node << 8 | byte, True
+                node = self.edges.setdefault(edge, len(self.inner))
+                if node == len(self.inner):
+                    self.inner.append(False)
                     self.token_at.append(None)
             self.token_at[node] = rank
+        # A place is (previous token + 1) << width | node.
+        self.width = len(self.inner).bit_length()
+        self.pairs: dict[int, bool] = {}    # place before a token, its node -> may follow
         self._forget()
 
     def _forget(self):
-        for state in getattr(self, "states", {}).values():
-            state.clear()   # no cycles are left behind
-        self.states: dict[tuple, _State] = {}
-        self.moves: list[dict[int, tuple[int, int]]] = []
-        self.places: list[tuple[int, int]] = []       # (previous token, trie node)
-        self.place_of: dict[tuple[int, int], int] = {}
-        self.start = self._state(((self._place(-1, 0), ()),))
-
-    def _place(self, previous: int, node: int) -> int:
-        place = self.place_of.get((previous, node))
-        if place is None:
-            place = self.place_of[previous, node] = len(self.places)
-            self.places.append((previous, node))
-            self.moves.append({})
-        return place
-
-    def _state(self, paths) -> _State:
-        state = self.states.get(paths)
+        self.steps: dict[int, tuple[int, tuple]] = {}   # state << 8 | byte -> next, emitted
+        self.paths: list[tuple] = []    # per state (place, pending ids), oldest first
+        self.state_of: dict[tuple, int] = {}
+        self._state(((0, ()),))
+
+    def _state(self, paths: tuple) -> int:
+        state = self.state_of.get(paths)
         if state is None:
-            state = self.states[paths] = _State()
-            state.paths = paths
+            state = self.state_of[paths] = len(self.paths)
+            self.paths.append(paths)
         return state
 
-    def _move(self, place: int, byte: int) -> tuple[int, int]:
-        """(place further down or -1, place after the token that ends here or -1)."""
-        previous, node = self.places[place]
-        down = done = -1
-        child = self.children[node].get(byte)
-        if child is not None:
-            if self.children[child]:
-                down = self._place(previous, child)
-            token = self.token_at[child]
-            if token is not None and (previous < 0 or self.may_follow(previous, token)):
-                done = self._place(token, 0)
-        self.moves[place][byte] = down, done
-        return down, done
-
     def may_follow(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border between the two tokens.
 
@@ -143,44 +121,65 @@ class Transducer:
                 b, b_until = self.parts[b][0], b
         return ok
 
-    def _step(self, state: _State, byte: int):
+    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
+        """The state after one more byte, and the ids that all its paths share."""
+        edges, token_at, inner, pairs = self.edges, self.token_at, self.inner, self.pairs
+        width = self.width
+        node_bits = (1 << width) - 1
         paths, last = [], None
-        for place, out in state.paths:
-            move = self.moves[place].get(byte) or self._move(place, byte)
-            if move[0] >= 0:
-                paths.append((move[0], out))
-            if move[1] >= 0:
-                last = move[1], out + (self.places[move[1]][0],)
+        for place, out in self.paths[state]:
+            node = place & node_bits
+            child = edges.get(node << 8 | byte)
+            if child is None:
+                continue
+            further = place - node + child
+            if inner[child]:
+                paths.append((further, out))
+            token = token_at[child]
+            if token is not None:
+                # Of all paths only one ends in a whole token that may follow.
+                follows = pairs.get(further)
+                if follows is None:
+                    previous = place >> width
+                    follows = pairs[further] = (
+                        not previous or self.may_follow(previous - 1, token))
+                if follows:
+                    last = token + 1 << width, out + (token,)
         if last is None:
             raise ValueError("no encoding; the ranks are not those of a BPE")
         paths.append(last)
         shared = paths[0][1]
-        for _, out in paths:
-            while shared != out[:len(shared)]:
-                shared = shared[:-1]
         if shared:
-            cut = len(shared)
-            paths = [(place, out[cut:]) for place, out in paths]
-        known = state[byte] = self._state(tuple(paths)), shared
+            for _, out in paths:
+                while shared != out[:len(shared)]:
+                    shared = shared[:-1]
+            if shared:
+                cut = len(shared)
+                paths = [(place, out[cut:]) for place, out in paths]
+        known = self.steps[state << 8 | byte] = self._state(tuple(paths)), shared
         return known
 
     def encode(self, piece: bytes) -> list[int]:
         rank = self.whole.get(piece)
         if rank is not None:
             return [rank]
-        if len(self.states) > MAX_STATES or len(self.places) > MAX_PLACES:
+        if len(self.pairs) > MAX_PAIRS:
+            self.pairs.clear()
+        if len(self.paths) > MAX_STATES:
             self._forget()
-        state, ids = self.start, []
+        state, ids, steps = 0, [], self.steps
         for byte in piece:
-            known = state.get(byte)
+            known = steps.get(state << 8 | byte)
             if known is None:
-                if len(self.states) > 2 * MAX_STATES:   # within one long piece
-                    self.states.clear()
+                if len(self.paths) > 2 * MAX_STATES:   # within one long piece
+                    here = self.paths[state]
+                    self._forget()
+                    state, steps = self._state(here), self.steps
                 known = self._step(state, byte)
             state, emitted = known
             if emitted:
                 ids += emitted
-        ids += state.paths[-1][1]   # the path that is complete here
+        ids += self.paths[state][-1][1]   # the path that is complete here
         return ids
 
 
@@ -234,17 +233,25 @@ class Codec:
         codec = self
 
         class Words(dict):
+            """Packed ids of short pre-tokens; what was in use lately outlives a clearing."""
+            before: dict[str, bytes] = {}
+
             def __missing__(self, piece):
-                ids = codec.transducer.encode(piece.encode())
-                packed = struct.pack(f"<{len(ids)}I", *ids)
+                packed = self.before.get(piece)
+                if packed is None:
+                    ids = codec.transducer.encode(piece.encode())
+                    packed = struct.pack(f"<{len(ids)}I", *ids)
                 if len(piece) <= 64:
                     self[piece] = packed
                 return packed
+        self.new_words = Words
         self.words = Words()
 
     def encode(self, text: str) -> np.ndarray:
         if len(self.words) > MAX_WORDS:
-            self.words.clear()
+            before = dict(self.words)
+            self.words = self.new_words()
+            self.words.before = before
         return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))),
                              "<u4")
 
@@ -253,7 +260,8 @@ class Codec:
 
         Python workers outlive their task, and the next one may be of another kind.
         """
-        self.words.clear()
+        self.words = self.new_words()
+        self.transducer.pairs.clear()
         self.transducer._forget()
         ctypes.CDLL(None).malloc_trim(0)
 
