@@ -13,7 +13,6 @@ verdicts on token pairs. A state of the first transducer is one number made of b
 """
 
 import base64
-import ctypes
 import gc
 import hashlib
 import struct
@@ -23,7 +22,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparklode.llm.common import encoded, slices, table
+from sparklode.llm.common import encoded, slices, table, tidy
 from sparklode.llm.pretokens import splitter
 
 MAX_STATES, MAX_PAIRS, MAX_WORDS = 200_000, 500_000, 150_000
@@ -255,16 +254,6 @@ class Codec:
         return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))),
                              "<u4")
 
-    def forget(self):
-        """Empties what is built while encoding, and gives its memory back to the system.
-
-        Python workers outlive their task, and the next one may be of another kind.
-        """
-        self.words = self.new_words()
-        self.transducer.pairs.clear()
-        self.transducer._forget()
-        ctypes.CDLL(None).malloc_trim(0)
-
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
 
@@ -304,11 +293,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep=
 
     def run(batches):
         codec = codec_of(vocabulary)
-        gc.disable()   # the automaton is large, and _forget unties it
+        gc.disable()   # the automaton is large and has no cycles
         try:
             yield from encode_batches(codec, batches)
         finally:
-            codec.forget()
+            _CODECS.clear()   # loaded again by the next task, in a second
             gc.enable()
 
     def encode_batches(codec, batches):
@@ -335,7 +324,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep=
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(len(keep))] + arrays, names=names)
 
-    return docs.select(*keep, F.col(text).alias("whole text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("whole text")).mapInArrow(tidy(run), schema)
 
 
 def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Helpers of the pipeline operators: shared tables, bounded slices of Arrow batches."""
 
+import ctypes
+import gc
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +76,22 @@ def slices(batches, column: int, limit: int = SLICE_BYTES):
             start = end
 
 
+def tidy(run):
+    """A function for mapInArrow that gives its memory back to the system at its end.
+
+    Python workers outlive their task, and the next one may be of another kind.
+    """
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+    return whole
+
+
 def encoded(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8 bytes; NULL is empty."""
     flat, at = text_buffer(column)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparklode.llm.common import encoded, octets, slices, table
+from sparklode.llm.common import encoded, octets, slices, table, tidy
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -278,7 +278,7 @@ def scan_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
     # One index at a time is in the driver's Python.
     for shared in map(spark.sparkContext.broadcast, each_index(items, threshold, size)):
-        out = out.mapInArrow(scanner(shared), f"{kinds}t string, leaks {leak}")
+        out = out.mapInArrow(tidy(scanner(shared)), f"{kinds}t string, leaks {leak}")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "leaks")
 
 

@@ -26,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparklode.llm.common import drop, mix, slices, store, table, text_buffer
+from sparklode.llm.common import drop, mix, slices, store, table, text_buffer, tidy
 from sparklode.llm.components import connected_components
 from sparklode.llm.shingles import shingle_sets
 
 BAND = 2.0   # ratio of the largest to the smallest size of a band
 BITS, EARLY = 1024, 32
+SLICE = 1 << 20   # bytes of text hashed at once
 # Representatives of candidates are sent to the texts up to this size, else both are shuffled.
 BROADCAST_BYTES = 16 << 20
 
@@ -98,7 +99,7 @@ def _features(docs: DataFrame, words: int, percent: int, text: str) -> DataFrame
 
     def run(batches):
         bands = Bands(percent)
-        for b in slices(batches, 2):
+        for b in slices(batches, 2, SLICE):
             sets = shingle_sets(*text_buffer(b.column(2)), words)
             ids = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                    for s in sets]
@@ -115,7 +116,7 @@ def _features(docs: DataFrame, words: int, percent: int, text: str) -> DataFrame
                 names=["doc_id", "tag", "n_shingles", "set_id", "keys", "sketch"])
 
     return docs.select("doc_id", F.xxhash64(text).alias("tag"), text).mapInArrow(
-        run, f"doc_id {kind}, tag long, n_shingles long, set_id binary, keys array<long>, "
+        tidy(run), f"doc_id {kind}, tag long, n_shingles long, set_id binary, keys array<long>, "
              "sketch array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
@@ -130,7 +131,7 @@ def stored_bytes(stored: DataFrame) -> int:
 def _sets_of(nodes: DataFrame, docs: DataFrame, words: int, text: str) -> DataFrame:
     """node and its sorted hashes, from the text of one document of the class."""
     def run(batches):
-        for b in slices(batches, 2):
+        for b in slices(batches, 2, SLICE):
             sets = [s.tobytes() for s in shingle_sets(*text_buffer(b.column(2)), words)]
             want = b.column(1).to_pylist()
             same = [blake2b(s, digest_size=16).digest() == w for s, w in zip(sets, want)]
@@ -143,7 +144,7 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, words: int, text: str) -> DataFr
     # A row without an id can stand for its class too, so the join takes NULL as equal.
     texts = (docs.select(F.col("doc_id").alias("id"), F.col(text).alias("t"))
              .join(nodes, F.col("id").eqNullSafe(F.col("doc_id"))))
-    return (texts.select("node", "set_id", "t").mapInArrow(run, "node long, hashes binary")
+    return (texts.select("node", "set_id", "t").mapInArrow(tidy(run), "node long, hashes binary")
             .dropDuplicates(["node"]))
 
 
@@ -163,7 +164,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
             .select("a", "b", "x", "y"))
-    return store(both.mapInArrow(run, "a long, b long"))
+    return store(both.mapInArrow(tidy(run), "a long, b long"))
 
 
 def _can_link(percent: int) -> str:

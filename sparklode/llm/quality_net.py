@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparklode.llm.common import octets, slices, table, text_buffer
+from sparklode.llm.common import octets, slices, table, text_buffer, tidy
 
 WIDTH, FILTERS, EMBED, BLOCK = 5, 24, 8, 128
 SAMPLE_ROWS, SAMPLE_BYTES = 2_500, 16 << 20
@@ -223,7 +223,7 @@ def score_quality(docs: DataFrame, net: ByteNet, cut: float = CUT,
                 names=[*keep, "score", "predicted"])
 
     return docs.select(*keep, F.col("text").alias("whole text")).mapInArrow(
-        run, kinds + "score double, predicted int")
+        tidy(run), kinds + "score double, predicted int")
 
 
 def op7_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparklode.llm.common import encoded, mix, slices, store, table, text_buffer
+from sparklode.llm.common import encoded, mix, slices, store, table, text_buffer, tidy
 from sparklode.llm.shingles import powers, prefix_sums, _P_INVERSE
 
 LENGTH, PIECE = 100, 20
@@ -138,7 +138,7 @@ def _run_rows(texts: DataFrame, length: int, piece: int) -> DataFrame:
                     (np.zeros(keep.sum(), np.int64), mcount))],
                     names=["ah", "ch", "d", "place", "n"])
 
-    return texts.mapInArrow(run, _ROW)
+    return texts.mapInArrow(tidy(run), _ROW)
 
 
 def _walk(rows: DataFrame, payload: bool = False) -> DataFrame:
@@ -206,7 +206,7 @@ def _walk(rows: DataFrame, payload: bool = False) -> DataFrame:
                              bytes_.take(pa.array(pick)) if payload else None))
             last = ah[-1], ch[-1], fd[-1], fs[-1]
 
-    return ready.mapInArrow(run, _FOUND + (", bytes binary" if payload else ""))
+    return ready.mapInArrow(tidy(run), _FOUND + (", bytes binary" if payload else ""))
 
 
 # --- the bytes of runs --------------------------------------------------------
@@ -232,7 +232,7 @@ def _gather(found: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                         names=["ah", "d", "place", "n", "bytes"])
 
     return (texts.join(wanted, ["d", "tag"]).select("d", "tag", "text", "runs")
-            .mapInArrow(run, "ah long, d long, place long, n long, bytes binary"))
+            .mapInArrow(tidy(run), "ah long, d long, place long, n long, bytes binary"))
 
 
 def _narrower(runs: DataFrame, width: int, length: int, piece: int) -> DataFrame:
@@ -268,7 +268,7 @@ def _narrower(runs: DataFrame, width: int, length: int, piece: int) -> DataFrame
                  pa.array(columns[5], pa.binary())],
                 names=["ah", "ch", "d", "place", "n", "bytes"])
 
-    return runs.mapInArrow(run, _ROW + ", bytes binary")
+    return runs.mapInArrow(tidy(run), _ROW + ", bytes binary")
 
 
 # --- blocks --------------------------------------------------------------------
@@ -409,7 +409,7 @@ def _blocks(runs: DataFrame, length: int) -> DataFrame:
         if parts:
             yield solve(parts)
 
-    return ready.mapInArrow(run, "d long, place long, n long")
+    return ready.mapInArrow(tidy(run), "d long, place long, n long")
 
 
 # --- the operator ---------------------------------------------------------------
@@ -513,7 +513,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep=("doc_id",),
                 + (["cut_text"] if cut_text else []))
 
     return (texts.join(ranges, ["d", "tag"], "left").select(*names, "text", "ranges")
-            .mapInArrow(run, kinds + "n_bytes long, n_removed long, n_spans long, "
+            .mapInArrow(tidy(run), kinds + "n_bytes long, n_removed long, n_spans long, "
                         "kept_sha256 string" + (", cut_text string" if cut_text else "")))
 
 

@@ -24,7 +24,7 @@ def powers(size: int, base=_P) -> np.ndarray:
         known = np.full(size + (1 << 16), base, np.uint64)
         known[0] = 1
         known = np.cumprod(known, dtype=np.uint64)
-        if size <= 1 << 24:
+        if size <= 1 << 21:
             _powers[base] = known
     return known
 
