@@ -252,10 +252,12 @@ def scan_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     leak = (f"array<struct<item_id: {kind}, score: double, question_share: double, "
             "answer_share: double, first_word: long>>")
     spark, keep = docs.sparkSession, list(keep)
-    names = [f"k{i}" for i in range(len(keep))]
+    # A text that is kept is sent to the tasks once, as t.
+    named = {c: "t" if c == text else f"k{i}" for i, c in enumerate(keep)}
+    names = [n for n in named.values() if n != "t"]
     kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, "
-                    for n, c in zip(names, keep))
-    out = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)],
+                    for c, n in named.items() if n != "t")
+    out = docs.select(*[F.col(c).alias(n) for c, n in named.items() if n != "t"],
                       F.col(text).alias("t"), F.array().cast(leak).alias("leaks"))
     item_type = pa.int64() if kind in ("bigint", "long") else pa.int32() if kind == "int" \
         else pa.string()
@@ -279,7 +281,7 @@ def scan_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     # One index at a time is in the driver's Python.
     for shared in map(spark.sparkContext.broadcast, each_index(items, threshold, size)):
         out = out.mapInArrow(tidy(scanner(shared)), f"{kinds}t string, leaks {leak}")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "leaks")
+    return out.select(*[F.col(named[c]).alias(c) for c in keep], "leaks")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

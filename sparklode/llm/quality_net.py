@@ -34,8 +34,9 @@ class Padded:
         self.first = np.r_[0, np.cumsum(self.blocks)]
         total = int(self.first[-1]) * BLOCK
         self.bytes = np.zeros(total + WIDTH, np.uint8)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        self.bytes[np.arange(len(flat)) + (self.first[:-1] * BLOCK - offsets[:-1])[owner]] = flat
+        for at, start, end in zip((self.first[:-1] * BLOCK).tolist(), offsets[:-1].tolist(),
+                                  offsets[1:].tolist()):
+            self.bytes[at:at + end - start] = flat[start:end]
         self.stop = self.first[1:] * BLOCK   # ends of the padded texts
 
 
@@ -212,17 +213,20 @@ def score_quality(docs: DataFrame, net: ByteNet, cut: float = CUT,
     shared = docs.sparkSession.sparkContext.broadcast(net)   # a fixed number of weights
     keep = list(keep)
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    # A text that is kept is sent to the tasks once.
+    at = keep.index("text") if "text" in keep else len(keep)
+    extra = [] if "text" in keep else [F.col("text").alias("whole text")]
 
     def run(batches):
-        for b in slices(batches, len(keep), 1 << 20):
-            scores = shared.value.scores(*text_buffer(b.column(len(keep))))
+        for b in slices(batches, at, 1 << 20):
+            scores = shared.value.scores(*text_buffer(b.column(at)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(len(keep))]
                 + [pa.array(scores, pa.float64()),
                    pa.array((scores >= cut).astype(np.int32), pa.int32())],
                 names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").alias("whole text")).mapInArrow(
+    return docs.select(*keep, *extra).mapInArrow(
         tidy(run), kinds + "score double, predicted int")
 
 
