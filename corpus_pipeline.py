@@ -33,7 +33,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Characters are kept whole. A NULL text becomes an empty one and stays.
     """
-    cut = remove_repeats(docs, keep=COLUMNS, cut_text=True)
+    cut = remove_repeats(docs, keep=[c for c in COLUMNS if c != "text"], cut_text=True)
     return cut.where("n_bytes = 0 OR cut_text != ''").select(
         "doc_id", F.col("cut_text").alias("text"), "lang", "source",
         F.when(F.col("n_removed") > 0, F.char_length("cut_text").cast("long"))
