@@ -22,7 +22,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparklode.llm.common import encoded, slices, table, tidy
+from sparklode.llm.common import encoded, kept, slices, table, tidy
 from sparklode.llm.pretokens import splitter
 
 MAX_STATES, MAX_PAIRS, MAX_WORDS = 200_000, 500_000, 150_000
@@ -264,15 +264,13 @@ class Codec:
         return "".join(parts) + stream.close()
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec_of(path: str) -> Codec:
-    """One codec per Python worker and vocabulary."""
-    if path not in _CODECS:
-        _CODECS.clear()
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    """One codec per Python worker; it stays until a task of another kind begins."""
+    codecs = kept("codec")
+    if path not in codecs:
+        codecs.clear()
+        codecs[path] = Codec(path)
+    return codecs[path]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep=("doc_id",),
@@ -297,7 +295,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep=
         try:
             yield from encode_batches(codec, batches)
         finally:
-            _CODECS.clear()   # loaded again by the next task, in a second
             gc.enable()
 
     def encode_batches(codec, batches):
@@ -324,7 +321,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep=
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(len(keep))] + arrays, names=names)
 
-    return docs.select(*keep, F.col(text).alias("whole text")).mapInArrow(tidy(run), schema)
+    return docs.select(*keep, F.col(text).alias("whole text")).mapInArrow(
+        tidy(run, "codec"), schema)
 
 
 def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,19 +76,47 @@ def slices(batches, column: int, limit: int = SLICE_BYTES):
             start = end
 
 
-def tidy(run):
-    """A function for mapInArrow that gives its memory back to the system at its end.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    """What tasks of one kind keep in a Python worker for the next one of their kind.
+
+    To be reached by this function only: a task takes a copy of any other module's dict that
+    it names, and emptying the copy frees nothing.
+    """
+    return _KEPT.setdefault(kind, {})
+
+
+def begin(kind: str | None) -> None:
+    """Frees what tasks of other kinds have kept in this worker."""
+    others = [k for k in _KEPT if k != kind]
+    for k in others:
+        del _KEPT[k]
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Unused memory goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run, kind: str | None = None):
+    """A function for mapInArrow that frees what other kinds of tasks have kept, and at its end
+    gives its own memory back but for what it keeps under ``kind``.
 
     Python workers outlive their task, and the next one may be of another kind.
     """
     @wraps(run)
     def whole(batches):
+        begin(kind)
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            ctypes.CDLL(None).malloc_trim(0)
+            give_back()
     return whole
 
 

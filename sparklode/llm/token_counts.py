@@ -14,7 +14,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparklode.llm.common import encoded, octets, slices, table
+from sparklode.llm.common import encoded, kept, octets, slices, table, tidy
 from sparklode.llm.pretokens import splitter
 
 MAX_WORDS, LONG = 300_000, 2_000
@@ -169,14 +169,12 @@ class Counter:
         return counts
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter_of(path: str) -> Counter:
-    if path not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
+    counters = kept("counter")
+    if path not in counters:
+        counters.clear()
+        counters[path] = Counter(path)
+    return counters[path]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, text: str = "text",
@@ -201,7 +199,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, text: str =
                 names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(*keep, octets(text).alias("n_bytes"), text).mapInArrow(
-        run, kinds + "n_bytes long, n_tokens long, over_limit boolean")
+        tidy(run, "counter"), kinds + "n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,3 +107,22 @@ def test_odd_documents_count(odd_docs, odd_rows, no_docs):
     assert sorted_rows(count_tokens(odd_docs, FILE), "doc_id", "n_bytes", "n_tokens",
                        "over_limit") == sorted(want, key=repr)
     assert count_tokens(no_docs, FILE).count() == 0
+
+
+def test_kept_memory_goes_when_another_kind_of_task_begins():
+    """Functions reach a worker pickled, as here: a module's dict named by one is a copy there."""
+    from pyspark import cloudpickle
+    from sparklode.llm import common
+
+    def sent(kind):
+        def run(batches):
+            common.kept(kind or "none")["used"] = True
+            yield from batches
+        return cloudpickle.loads(cloudpickle.dumps(common.tidy(run, kind)))
+
+    common._KEPT.clear()
+    assert list(sent("codec")([1])) == [1] and set(common._KEPT) == {"codec"}
+    assert list(sent("codec")([1])) == [1] and set(common._KEPT) == {"codec"}
+    assert list(sent("counter")([1])) == [1] and set(common._KEPT) == {"counter"}
+    common.begin(None)
+    assert not common._KEPT
