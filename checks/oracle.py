@@ -119,6 +119,7 @@ SELECT query_id, hit_rank, chunk_key, name, source, round(rrf_score, 9) AS rrf_s
   JOIN c USING (chunk_key)""",
 }
 ORACLE["RET_2_keyword_postings"] = ORACLE["RET_2_keyword_search"]
+ORACLE["RET_2_stored_postings"] = ORACLE["RET_2_keyword_search"]
 
 # Two repositories with equal keys; every question is bound to one of them.
 SHARED = CHUNKS.replace("\nc AS (", "\nc0 AS (") + """,

@@ -8,6 +8,7 @@ from checks import views as V
 from sparklode.functions import paths, text as X
 from sparklode.functions.storage import graph_facts, materialize, shared_dir
 from sparklode.operators import graph, incremental as inc, report, search, trace
+from sparklode.operators.postings import build_segments, keyword_topk_segments
 from sparklode.operators.segment import chunk_files, masked_files, segment_documents
 from sparklode.operators.segment_python import python_definitions
 from sparklode.plans.index import build_index
@@ -52,6 +53,23 @@ def RET_2_keyword_postings(spark, sf) -> DataFrame:
         "query_id", "chunk_key", "matches", F.col("krank").cast("long").alias("krank"))
 
 
+@query
+def RET_2_stored_postings(spark, sf) -> DataFrame:
+    """Segments of a first version without the texts of poor documents, then brought up to date."""
+    now = materialize(V.chunks(spark, sf).select(
+        "repo_id", "file_path", "chunk_key", "search_text", "doc_id"))
+    poor = now.join(V.table(spark, sf, "labels").where("quality = 0"), "doc_id", "left_semi")
+    before = now.join(poor, "doc_id", "left_anti").unionByName(
+        poor.withColumn("search_text", F.lit("withdrawn")))
+    store = buckets.new_index(spark, _new_folder(spark), 64)
+    store = store.replace({"postings": (build_segments(before, 64), None)})
+    touched = buckets.buckets_of(poor, 64)
+    after = now.where(buckets.bucket_of(64).isin(touched))
+    store = store.replace({"postings": (build_segments(after, 64), touched)})
+    return keyword_topk_segments(V.queries(spark, sf), store.read("postings")).select(
+        "query_id", "chunk_key", "matches", F.col("krank").cast("long").alias("krank"))
+
+
 def _fused(spark, sf):
     q = V.queries(spark, sf)
     return search.rrf([

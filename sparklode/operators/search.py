@@ -32,11 +32,14 @@ def _partial_schema(queries: DataFrame, keys: list[str], score: str) -> str:
     return f"query_id {kind}, " + "".join(f"{k} string, " for k in keys) + f"{score} double"
 
 
-def _repo_mask(q_repo, repos: pa.Array) -> np.ndarray:
+def repo_mask(q_repo, repos: pa.Array) -> np.ndarray:
+    """Questions x rows: whether a row is of the question's repository; NULL is of none."""
     codes = repos.dictionary_encode()
-    names = np.asarray(codes.dictionary.to_pylist(), dtype=object)
+    names = np.asarray(codes.dictionary.to_pylist() + [None], dtype=object)
     wanted = np.asarray(q_repo, dtype=object)[:, None] == names[None, :]
-    return wanted[:, codes.indices.to_numpy(zero_copy_only=False)]
+    wanted[:, -1] = False
+    at = codes.indices.fill_null(len(names) - 1)
+    return wanted[:, at.to_numpy(zero_copy_only=False)]
 
 
 def _need_repos(queries: DataFrame, *tables: DataFrame) -> bool:
@@ -113,7 +116,7 @@ def _vector_block(block, vectors, n, metric, keys):
                     d = 1.0 - dot / np.sqrt(q_sq * v_sq)
                 d = np.round(np.maximum(d, 0.0), 9) + 0.0
                 if q_repo is not None:
-                    d[~_repo_mask(q_repo, b.column(0))] = np.inf
+                    d[~repo_mask(q_repo, b.column(0))] = np.inf
                 best.push(d, joined_keys(b, len(keys)))
         if ids:
             yield best.table(ids, names)
@@ -157,7 +160,7 @@ def _keyword_block(block, chunks, n, keys):
     q_repo = rows["repo_id"].to_pylist() if scoped else None
     uses: dict[str, dict[int, int]] = {}
     for q, tokens in enumerate(rows["tokens"].to_pylist()):
-        for t in tokens:
+        for t in tokens or []:
             per = uses.setdefault(t, {})
             per[q] = per.get(q, 0) + 1
     tokens = list(uses)
@@ -183,7 +186,7 @@ def _keyword_block(block, chunks, n, keys):
                     counts[qs] += times * found[t][None, :]
                 score = np.where(counts > 0, -counts.astype(np.float64), np.inf)
                 if q_repo is not None:
-                    score[~_repo_mask(q_repo, b.column(0))] = np.inf
+                    score[~repo_mask(q_repo, b.column(0))] = np.inf
                 best.push(score, joined_keys(b, len(keys)))
         if ids:
             yield best.table(ids, names)

@@ -47,10 +47,10 @@ class PartialTopN:
     def rows_per_step(self) -> int:
         return max(256, _CELLS // max(1, len(self.best)))
 
-    def push(self, scores: np.ndarray, keys: np.ndarray) -> None:
-        """``scores``: questions x rows, inf where a row does not qualify."""
+    def push(self, scores: np.ndarray, keys: np.ndarray, questions=None) -> None:
+        """``scores``: questions (all, or those given) x rows, inf where a row does not qualify."""
         n = self.n
-        for q, row in enumerate(scores):
+        for q, row in zip(range(len(scores)) if questions is None else questions, scores):
             if len(row) > n:
                 cut = np.partition(row, n - 1)[n - 1]
                 pick = np.nonzero((row <= cut) & np.isfinite(row))[0]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from sparklode.functions.storage import materialize
 from sparklode.operators import incremental as inc
+from sparklode.operators.postings import build_segments
 from sparklode.plans.index import IndexResult, build_index
 from sparklode.sources.buckets import BUCKETS, StoredIndex, buckets_of, new_index, open_index
 from sparklode.sources.snapshots import NoSnapshot
@@ -14,15 +15,16 @@ from sparklode.sources.snapshots import NoSnapshot
 def update_index(files: DataFrame, base: str, listing: bool = True, force: bool = False,
                  exclude_tests: bool = True, repos: DataFrame | None = None,
                  embed: Callable[[DataFrame], DataFrame] | None = None,
-                 withdrawn: DataFrame | None = None, buckets: int = BUCKETS
-                 ) -> tuple[StoredIndex, IndexResult]:
+                 withdrawn: DataFrame | None = None, buckets: int = BUCKETS,
+                 postings: bool = False) -> tuple[StoredIndex, IndexResult]:
     """Brings the index under ``base`` up to ``files`` and gives its new version.
 
     With ``listing`` the files are all of their repositories (or of ``repos``), and stored ones
     that are missing go. Without it only the given files are looked at, with the hashes of their
     buckets, and the (repo_id, file_path) of ``withdrawn`` go. Chunks, hashes and vectors of
-    touched buckets are written anew and all switched to at once; untouched buckets are neither
-    read nor written. ``errors`` holds the files that this run could not index. A run without
+    touched buckets are written anew and all switched to at once, with ``postings`` also the
+    segments of keyword search, which an index that has them keeps up in every run; untouched
+    buckets are neither read nor written. ``errors`` holds the files that this run could not index. A run without
     changes and errors writes nothing.
     """
     spark = files.sparkSession
@@ -55,7 +57,15 @@ def update_index(files: DataFrame, base: str, listing: bool = True, force: bool
         parts = {"chunks": after("chunks", run.new_chunks), "hashes": after("hashes", done)}
         if embed is not None:
             parts["vectors"] = after("vectors", materialize(run.vectors))
-        parts = {part: (rows, touched) for part, rows in parts.items()}
+        indexed = any(e["part"] == "postings" for e in store.entries)
+        if postings or indexed:
+            parts["chunks"] = now = materialize(parts["chunks"])
+            if store.entries and not indexed:   # asked for now: all buckets get segments
+                rest = sorted(set(range(store.buckets)) - set(touched))
+                now = now.unionByName(store.read("chunks", rest).select(*now.columns))
+            parts["postings"] = build_segments(now, store.buckets)
+        parts = {part: (rows, None if part == "postings" and not indexed else touched)
+                 for part, rows in parts.items()}
     # Errors of files that this run did not look at stay.
     failed, seen = materialize(run.errors), run.changes.select(*inc.KEYS).unionByName(run.gone)
     known = store.read("errors")

@@ -77,10 +77,11 @@ class StoredIndex:
         version = f"v{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
         entries = [e for e in self.entries if e["part"] not in parts]
         for part, (rows, touched) in parts.items():
-            path, schema = f"{self.base}/data/{version}/{part}", rows.schema
+            path, schema = f"{self.base}/data/{version}/{part}", rows.drop("bucket").schema
             written = set(range(self.buckets) if touched is None else touched)
-            dealt = rows.withColumn("bucket", bucket_of(self.buckets)).where(
-                F.col("bucket").isin(sorted(written)))
+            dealt = rows if "bucket" in rows.columns else rows.withColumn(
+                "bucket", bucket_of(self.buckets))
+            dealt = dealt.where(F.col("bucket").isin(sorted(written)))
             (dealt.repartition(max(1, len(written)), "bucket").write.partitionBy("bucket")
              .option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path))
             counts = self.spark.read.schema(T.StructType([

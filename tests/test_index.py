@@ -259,3 +259,33 @@ def test_unreadable_and_withdrawn_files_of_a_batch(spark, tmp_path):
     assert state(batch(c=c)) == (["a", "b", "c"], bad, 3)    # others keep their errors
     assert state(batch(a=a)) == (["a", "b", "c"], bad[1:], 3)
     assert state(batch(b=(None, None, True))) == (["a", "c"], [], 2)
+
+
+def test_stored_postings_follow_the_chunks(spark, tmp_path):
+    from sparklode.operators.postings import keyword_topk_segments
+    from sparklode.operators.search import keyword_topk
+    asked = spark.createDataFrame([(1, "moved g7 pass"), (2, "def g1"), (3, "g9")],
+                                  "query_id long, question string")
+
+    def agrees(store):
+        rows = [sorted(map(repr, found.select("query_id", "repo_id", "chunk_key", "matches", "krank")
+                           .collect())) for found in (
+            keyword_topk_segments(asked, store.read("postings")),
+            keyword_topk(asked, store.read("chunks")))]
+        return rows[0] == rows[1] and len(rows[0]) > 0
+
+    texts = {f"f{i}": f"def g{i}(): pass\n" for i in range(40)}
+    update_index(files(spark, **texts), str(tmp_path), buckets=16)
+    texts["f7"] = "def moved(): pass\n"
+    first, _ = update_index(files(spark, **texts), str(tmp_path), postings=True)
+    assert agrees(first)   # asked for later: segments of all buckets
+    texts["f9"] = "def other(): pass\n"
+    second, _ = update_index(files(spark, **texts), str(tmp_path))
+    assert agrees(second)  # kept up without being asked for again
+    old, new = ({e["bucket"]: e["path"] for e in s.entries if e["part"] == "postings"}
+                for s in (first, second))
+    (bucket,) = buckets_of(files(spark, f9="").select("repo_id", "file_path"), 16)
+    assert {b for b in new if new[b] != old.get(b)} == {bucket}
+    del texts["f1"]
+    third, _ = update_index(files(spark, **texts), str(tmp_path))
+    assert agrees(third)

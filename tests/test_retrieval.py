@@ -160,3 +160,34 @@ def test_unusable_vectors_are_reported(spark):
     uneven = ask(spark, "x").unionByName(ask(spark, "y", vec=(1.0,)))
     with pytest.raises(ValueError, match="differ in length"):
         search.vector_topk(uneven, v)
+
+
+@pytest.mark.parametrize("size", [1, 64])
+def test_segments_give_the_same_as_a_scan(spark, monkeypatch, size):
+    import random
+    from sparklode.operators import postings
+    monkeypatch.setattr(postings, "SEGMENT_CHUNKS", size)
+    monkeypatch.setattr(postings, "SEGMENT_CHARS", 100_000)
+    r = random.Random(size)
+    parts = ["ab", "abc", "bcd", "é", "zz", "x", "Ab", " q", "repo", "walk"]
+
+    def text():
+        return r.choice(" \n\t").join("".join(r.choices(parts, k=r.randint(1, 3)))
+                                      for _ in range(r.randint(0, 12)))
+    rows = [(r.choice(["r", "s", None]), f"/f{i % 9}", f"k{i:03}", r.choice([None, text(), text()]))
+            for i in range(150)]
+    rows += [("r", "/f", "k000", text()), ("s", "/f", "long", "ab " * 100_000)]
+    table = spark.createDataFrame(
+        rows, "repo_id string, file_path string, chunk_key string, search_text string")
+    asked = spark.createDataFrame(
+        [(i, r.choice(["r", "s"]), text()) for i in range(30)] + [(98, "r", ""), (99, "s", None)],
+        "query_id long, repo_id string, question string")
+    segments = postings.build_segments(table, 4)
+    for questions in (asked.drop("repo_id"), asked):
+        for n in (1, 5, 200):
+            want = search.keyword_topk(questions, table, n)
+            found = postings.keyword_topk_segments(questions, segments, n).select(*want.columns)
+            assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    none = postings.keyword_topk_segments(asked, postings.build_segments(table.where("false"), 4))
+    assert none.count() == 0
+    assert postings.keyword_topk_segments(asked.where("false"), segments).count() == 0
