@@ -22,6 +22,7 @@ from sparklode.sources.buckets import bucket_of
 # Bounds of one segment; a chunk beyond the second one has a segment of its own.
 SEGMENT_CHUNKS = 1_024
 SEGMENT_CHARS = 4 * 1024 * 1024
+_PLACES = 1 << 20
 SEGMENT = ("bucket int, repos array<string>, keys array<string>, words array<string>, "
            "ends array<int>, places array<int>")
 _SPACE = re.compile(r"\s+", re.ASCII)   # the white space that parts the tokens of a question
@@ -151,10 +152,20 @@ def _found(automaton, words, ends, places, chunks) -> dict[int, np.ndarray]:
     starts = np.cumsum([0] + [len(w) + 1 for w in words])
     hits = np.array(list(automaton.iter("\n".join(words))), np.int64).reshape(-1, 2)
     word = np.searchsorted(starts, hits[:, 0], "right") - 1
-    begin, found = np.r_[0, ends], {}
-    for token in np.unique(hits[:, 1]).tolist():
-        inside = np.zeros(chunks, bool)
-        for w in np.unique(word[hits[:, 1] == token]).tolist():
-            inside[places[begin[w]:begin[w + 1]]] = True
-        found[token] = np.flatnonzero(inside)
-    return found
+    token, word = np.divmod(np.unique(hits[:, 1] * len(starts) + word), len(starts))
+    begin = np.r_[0, ends][word]
+    sizes = ends[word] - begin if len(word) else begin
+    total, pairs, at = np.cumsum(sizes), [], 0
+    while at < len(word):   # a bounded number of places at once
+        before = total[at] - sizes[at]
+        end = max(at + 1, int(np.searchsorted(total, before + _PLACES, "right")))
+        size = sizes[at:end]
+        place = np.arange(total[end - 1] - before) + np.repeat(
+            begin[at:end] - (total[at:end] - size - before), size)
+        pairs.append(np.unique(np.repeat(token[at:end], size) * chunks + places[place]))
+        at = end
+    if not pairs:
+        return {}
+    token, chunk = np.divmod(np.unique(np.concatenate(pairs)), chunks)
+    tokens, first = np.unique(token, return_index=True)
+    return dict(zip(tokens.tolist(), np.split(chunk, first[1:])))
