@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from sparklode import model as M
 from sparklode.functions import paths
 from sparklode.functions.text import question_tokens
+from sparklode.operators.postings import keyword_topk_lists
 from sparklode.operators.topk import (
-    PartialTopN, joined_keys, question_blocks, rank_rows)
+    PartialTopN, joined_keys, question_blocks, rank_rows, repo_mask)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -32,16 +33,6 @@ def _partial_schema(queries: DataFrame, keys: list[str], score: str) -> str:
     return f"query_id {kind}, " + "".join(f"{k} string, " for k in keys) + f"{score} double"
 
 
-def repo_mask(q_repo, repos: pa.Array) -> np.ndarray:
-    """Questions x rows: whether a row is of the question's repository; NULL is of none."""
-    codes = repos.dictionary_encode()
-    names = np.asarray(codes.dictionary.to_pylist() + [None], dtype=object)
-    wanted = np.asarray(q_repo, dtype=object)[:, None] == names[None, :]
-    wanted[:, -1] = False
-    at = codes.indices.fill_null(len(names) - 1)
-    return wanted[:, at.to_numpy(zero_copy_only=False)]
-
-
 def _need_repos(queries: DataFrame, *tables: DataFrame) -> bool:
     """Whether each question is bound to its own repository."""
     scoped = "repo_id" in queries.columns
@@ -208,9 +199,6 @@ def _substring_finder(tokens: list[str]):
     return lambda text: [i for _, i in automaton.iter(text)]
 
 
-SALTS = 16
-
-
 def build_postings(chunks: DataFrame) -> DataFrame:
     """Inverted index: one row per chunk and distinct word ([repo_id,] word, chunk_key)."""
     words = F.array_distinct(F.split("search_text", r"\s+"))
@@ -220,37 +208,21 @@ def build_postings(chunks: DataFrame) -> DataFrame:
 
 def keyword_topk_postings(queries: DataFrame, postings: DataFrame,
                           n: int = M.RETRIEVE_N) -> DataFrame:
-    """Same result as ``keyword_topk`` from an inverted index, equi-joins only.
-
-    A token holds no white space, so it lies in a document iff it lies in one
-    of its words. Tokens meet the vocabulary on their first three (or both)
-    characters, then (token, word) pairs meet the postings on the word, and on the
-    repository if questions are bound to one. Any word may be a frequent one, so each
-    is spread over ``SALTS`` tasks.
+    """Same result as ``keyword_topk`` from an inverted index of any order.
+
+    A token holds no white space, so it lies in a document iff it lies in one of its words.
+    The postings are dealt by chunk, in one shuffle of words: a task has all words of its
+    chunks, looks each distinct one up once per ``SEGMENT_CHUNKS`` chunks, counts there, and
+    shuffles its n best rows alone. No word and no pair of a chunk with a token or a question
+    leaves its task, so neither a frequent word nor many questions make a large table.
+    Rows of one chunk key are one chunk, rows of one question id one question.
     """
     scope = ["repo_id"] if _need_repos(queries, postings) else []
     keys = keys_of(postings)
-    asked = (queries
-             .select("query_id", *scope, F.explode(question_tokens("question")).alias("token"))
-             .groupBy("query_id", *scope, "token").agg(F.count(F.lit(1)).alias("times")))
-    tokens = asked.select(*scope, "token").distinct().withColumn(
-        "gram", F.substring("token", 1, 3))
-    vocabulary = postings.select("word").distinct()
-    starts = F.sequence(F.lit(1), F.length("word") - 1)
-    grams = vocabulary.select("word", F.explode(F.array_distinct(F.concat(
-        F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(2))),
-        F.transform(starts, lambda i: F.substring(F.col("word"), i, F.lit(3)))))).alias("gram"))
-    pairs = (tokens.join(grams, "gram")
-             .where(F.col("word").contains(F.col("token")))
-             .select(*scope, "token", "word"))
-    salted = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = (postings.withColumn("salt", F.pmod(F.hash(*keys), F.lit(SALTS)))
-            .join(salted, [*scope, "word", "salt"])
-            .select("token", *keys).distinct())
-    counts = (hits.join(asked, [*scope, "token"]).groupBy("query_id", *keys)
-              .agg(F.sum("times").alias("matches")))
-    return rank_rows(counts, [F.desc("matches"), *reversed(keys)], n, "krank").select(
-        "query_id", *keys, "matches", "krank")
+    asked = queries.groupBy("query_id", *scope).agg(
+        F.array_join(F.collect_list("question"), " ").alias("question"))
+    lists = postings.groupBy(*keys).agg(F.collect_list("word").alias("words"))
+    return keyword_topk_lists(asked, lists, n).select("query_id", *keys, "matches", "krank")
 
 
 # --- fusion and re-rank ----------------------------------------------------

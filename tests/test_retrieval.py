@@ -191,3 +191,17 @@ def test_segments_give_the_same_as_a_scan(spark, monkeypatch, size):
     none = postings.keyword_topk_segments(asked, postings.build_segments(table.where("false"), 4))
     assert none.count() == 0
     assert postings.keyword_topk_segments(asked.where("false"), segments).count() == 0
+
+
+def test_postings_shuffle_no_pairs(spark, chunks):
+    """Postings in any order and the same question twice; only words and best rows are shuffled."""
+    q = ask(spark, "walk repo", "os in")
+    postings = search.build_postings(chunks).orderBy("word", "chunk_key")
+    twice = postings.unionByName(postings).repartition(3)
+    want = search.keyword_topk(q, chunks).select("query_id", "chunk_key", "matches", "krank")
+    got = search.keyword_topk_postings(q, twice).select(*want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    both = search.keyword_topk_postings(q.unionByName(q), postings)
+    assert {r.matches for r in both.collect()} == {2 * r.matches for r in want.collect()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
