@@ -283,3 +283,18 @@ def test_long_documents_are_segmented_in_linear_time(spark):
         return time.time() - start
     seconds(1000)
     assert seconds(64_000) < 8 * max(seconds(16_000), 0.7)
+
+
+def test_masking_holds_a_part_of_a_batch():
+    """Beside the Arrow columns a task has the strings of a few texts, not of the whole batch."""
+    import tracemalloc
+    import pyarrow as pa
+    from sparklode.functions import lex
+    texts = pa.array([f"x = '{'a' * 12_000}'\n"] * 1_000 + [None])   # 12 MB
+    langs = pa.array(["python"] * 1_001)
+    tracemalloc.start()
+    (masked,) = lex._mask.func(iter([(texts, langs)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert masked[0].as_py() == lex.scan_python(texts[0].as_py()) and masked[1_000].as_py() is None
+    assert masked[999] == masked[0] and peak < 6_000_000
