@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 BLOCK_ROWS = 2_048
 BLOCK_CHARS = 16 * 1024 * 1024
 # Cells of one (questions x rows) score matrix inside a task.
-_CELLS = 4_000_000
+_CELLS = 1_000_000
 _NULL = "!"   # NULL in joined keys; values begin with +
 
 

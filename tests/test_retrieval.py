@@ -205,3 +205,9 @@ def test_postings_shuffle_no_pairs(spark, chunks):
     assert {r.matches for r in both.collect()} == {2 * r.matches for r in want.collect()}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("questions", [1, 200, 1_000])
+def test_scores_of_a_step_take_few_megabytes(questions):
+    from sparklode.operators.topk import PartialTopN
+    assert PartialTopN(questions, 20).rows_per_step() * questions * 8 <= 8 << 20
