@@ -208,24 +208,28 @@ def old_chunks(spark, sf) -> DataFrame:
 def _code_lines(spark, sf):
     """Documents with their lines reduced to ASCII words, and call names from them."""
     d = spread(table(spark, sf, "documents"))
+    # \p{Alnum} is [A-Za-z0-9]; with the ranges written out the threads of a JVM hinder each
+    # other at every character (8 threads: 30 times as long).
     clean = F.transform(F.split("text", "\n"), lambda x: F.trim(
-        F.regexp_replace(x, r"[^A-Za-z0-9 ]+", " ")))
+        F.regexp_replace(x, r"[^\p{Alnum} ]+", " ")))
     return d.select("doc_id", "lang", "source", clean.alias("lines"))
 
 
 def _called(line, last: bool):
-    words = F.regexp_extract_all(line, F.lit(r"([A-Za-z]{3,})"), F.lit(1))
-    return F.concat(F.lit("w_"), F.coalesce(
-        F.get(words, F.size(words) - 1 if last else F.lit(0)), F.lit("none")))
+    """The first or last run of three letters or more in a line of blanks, letters and digits."""
+    before = r"\A.*(?<![A-Za-z])" if last else ""
+    word = F.regexp_extract(line, before + r"([A-Za-z]{3,})", 1)
+    return F.concat(F.lit("w_"), F.coalesce(F.nullif(word, F.lit("")), F.lit("none")))
 
 
 def python_files(spark, sf) -> DataFrame:
     """Each document as a Python class with one decorated method per line."""
     d = _code_lines(spark, sf)
     methods = F.transform("lines", lambda x, i: F.concat(
-        F.format_string("    @mark(%d)\n    def fn_%d(self, a=\"def no():\"):\n        '''", i, i),
+        F.lit("    @mark("), i.cast("string"), F.lit(")\n    def fn_"), i.cast("string"),
+        F.lit("(self, a=\"def no():\"):\n        '''"),
         x, F.lit("'''\n        "), _called(x, False), F.lit("("), _called(x, True),
-        F.format_string("())\n        return x  # call_%d()\n", i)))
+        F.lit("())\n        return x  # call_"), i.cast("string"), F.lit("()\n")))
     text = F.concat(F.format_string("class Doc_%d:\n    \"\"\"", "doc_id"),
                     F.get("lines", F.lit(0)), F.lit("\"\"\"\n"), F.array_join(methods, "\n"))
     return _as_files(d, text, ".py")
@@ -235,7 +239,7 @@ def js_files(spark, sf) -> DataFrame:
     """Each document as a class with one method per line, an arrow, a callback."""
     d = _code_lines(spark, sf)
     methods = F.transform("lines", lambda x, i: F.concat(
-        F.format_string("  fn_%d(a, b) {\n    return ", i), _called(x, False), F.lit("("),
+        F.lit("  fn_"), i.cast("string"), F.lit("(a, b) {\n    return "), _called(x, False), F.lit("("),
         _called(x, True), F.lit("(`x ${a} }`));\n  }\n")))
     text = F.concat(
         F.format_string("// header \"class Fake {\"\nexport class Doc_%d extends Base {\n", "doc_id"),

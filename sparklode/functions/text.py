@@ -41,6 +41,15 @@ def token_count(text) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)))
 
 
+def rstrip(text) -> Column:
+    """Text without the blanks (``\\s``) at its end."""
+    return F.rtrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def line_breaks(text) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def first_tokens(text, n: int = M.CHUNK_TOKEN_CAP) -> Column:
     """Text up to the end of its n-th token."""
     return F.regexp_extract(text, rf"^(?:\s*(?:{TOKEN})){{0,{n}}}", 0)

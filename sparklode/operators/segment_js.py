@@ -10,6 +10,7 @@ inside them.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparklode.functions import text as X
 from sparklode.functions.lex import LOST_CALL
 from sparklode.operators.nesting import FILE, KEYS, resolve_nesting
 
@@ -42,9 +43,12 @@ _CLASS = rf"class\s+(?!extends\b){_NAME}(?:[^{{}}();<]++|{_ANGLES}|{_PARAMS})*+(
 _HEAD = rf"(?<![\w$.#])(?:{_CLASS}|{_ASSIGNED}(?:{_FUNCTION}|{_ARROW})|{_FUNCTION}|{_ARROW}|{_METHOD})|{_ARROW}"
 _BREAK = r"(?<![-+*/&|=?:,<>]|[-+*/&|=?:,<>] )\n(?!\s*(?:[.?:&|+*/)\]}=,<>-]|\z))"
 _REST = rf"(?:{_NAME}|\d[\w$]*+|[^\w$(){{}}\[\];,\n]|\n)"
-_MARK = (rf"{_HEAD}|[(){{}}\[\];,]|{_BREAK}|(?:(?!{_HEAD}|{_BREAK}){_REST})++|[\s\S]")
+# Round brackets in which nothing begins end nothing outside either: they are one mark.
+_GROUP = rf"\((?:(?!{_HEAD})(?:{_REST}|[;,]))*+\)"
+_GROUP = rf"\((?:(?!{_HEAD})(?:{_REST}|[;,]|{_GROUP}))*+\)"
+_MARK = (rf"{_HEAD}|{_GROUP}|[(){{}}\[\];,]|{_BREAK}|(?:(?!{_HEAD}|{_BREAK}){_REST})++|[\s\S]")
 # Without arrows that return a plain expression, separators end nothing.
-_BLOCK_MARK = rf"{_HEAD}|[(){{}}\[\]]|(?:(?!{_HEAD})(?:{_REST}|[;,]))++|[\s\S]"
+_BLOCK_MARK = rf"{_HEAD}|{_GROUP}|[(){{}}\[\]]|(?:(?!{_HEAD})(?:{_REST}|[;,]))++|[\s\S]"
 _PLAIN_ARROW = r"=>\s*(?!\{)\S"
 _HEAD_TEXT = rf"\A(?:class\s+{_NAME}[\s\S]|[\s\S]*=>\s*\z|[\s\S]*{_PARAMS}{_TYPE}\s*\z)"
 _CALL = rf"(?<![\w$#])(?<!\bnew )(?<!\bfunction )(?!{_RESERVED}|async\b)(#?{_NAME})\s*(?:<[\w\s,.\[\]|]*+>)?(?:\((?![^()]*+\)\s*\{{)|{LOST_CALL})"
@@ -58,10 +62,14 @@ def js_definitions(files: DataFrame) -> DataFrame:
             "masked", F.lit(f"({_BLOCK_MARK})"), F.lit(1)))
     t = f.select(*KEYS, F.length("masked").alias("size"),
                  F.posexplode(marks).alias("i", "t"))
-    # Only headers and single marks keep their text in the shuffle.
-    t = t.select(*KEYS, "size", "i", F.length("t").alias("n"),
-                 F.regexp_count("t", F.lit("\n")).alias("breaks"), F.when(
-        (F.length("t") == 1) | F.col("t").rlike(_HEAD_TEXT), F.col("t")).alias("t"))
+    # Only headers and single marks keep their text in the shuffle. Of the others only groups
+    # hold a bracket; a header that begins with one is an arrow.
+    text = F.col("t")
+    head = F.when(text.startswith("("), text.contains("=>") & text.rlike(r"=>\s*\z")).otherwise(
+        (text.contains("(") | text.contains("=>") | text.startswith("class"))
+        & text.rlike(_HEAD_TEXT))
+    t = t.select(*KEYS, "size", "i", F.length("t").alias("n"), X.line_breaks("t").alias("breaks"),
+                 F.when((F.length("t") == 1) | head, text).alias("t"))
     w = Window.partitionBy(*KEYS).orderBy("i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     one = F.col("n") == 1
@@ -132,8 +140,7 @@ def js_chunks(files: DataFrame) -> DataFrame:
     f = files.select(*KEYS, *FILE, "text", "masked").join(found, KEYS)
     f = f.select(*FILE, "text", "masked", F.transform("defs", lambda d: F.struct(
         d["first"].alias("first"),
-        F.length(F.regexp_replace(F.substr("text", d["first"] + 1, d["last"] - d["first"] + 1),
-                                  r"\s+\z", "")).alias("size"),
+        (d["last"] - d["first"] + 1).alias("size"),
         d["kind"].alias("kind"), d["name"].alias("name"), d["parent"].alias("parent"),
         d["line"].alias("line"))).alias("defs"))
     f = f.withColumn("starts", F.transform("defs", lambda d: d["line"]))
@@ -143,11 +150,13 @@ def js_chunks(files: DataFrame) -> DataFrame:
         (i + 1 - F.array_position("starts", d["line"])).cast("int").alias("ordinal"),
         F.substr("text", d["first"] + 1, d["size"]).alias("source"),
         F.substr("masked", d["first"] + 1, d["size"]).alias("masked")))))
+    rows = rows.withColumn("source", X.rstrip("source")).withColumn(
+        "masked", F.left("masked", F.length("source")))
     is_class = F.col("kind") == "class"
     return rows.select(
         *FILE, F.when(is_class, "class").otherwise("function").alias("node_type"), "name",
         "source", "start_line",
-        (F.col("start_line") + F.regexp_count("source", F.lit("\n"))).alias("end_line"),
+        (F.col("start_line") + X.line_breaks("source")).alias("end_line"),
         "ordinal", F.when(is_class, F.array().cast("array<string>"))
         .otherwise(js_calls("masked")).alias("calls"),
         F.lit("").alias("docstring"), "parent_class")

@@ -13,13 +13,15 @@ no statements. Decorator lines directly above belong to the definition.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparklode.functions import lex
+from sparklode.functions import text as X
 from sparklode.operators.nesting import FILE, KEYS, resolve_nesting
 
 _ID = r"[\p{L}_][\p{L}\p{N}_]*+"
 _DEF = rf"^\s*(?:async\s+)?(def|class)\s+({_ID})"
 _ROUND = rf"[({lex.LOST_CALL}]"
 # Statements match (x): and case (x): open a block, they call nothing.
-_CALL = (rf"(?m)(?<![\p{{L}}\p{{N}}_])(?<!\bdef )(?<!\bclass )"
+# The name and its bracket come first: few places have to be looked at behind.
+_CALL = (rf"(?m)(?<![\p{{L}}\p{{N}}_])(?={_ID}\s*+{_ROUND})(?<!\bdef )(?<!\bclass )"
          rf"(?!(?:match|case)(?<=^[ \t]{{0,199}}(?:match|case))\s*+{_ROUND}[^\n]*:[ \t]*$)"
          rf"({_ID})\s*+{_ROUND}")
 _HEADER = (rf"\A\s*(?:async\s+)?(?:def|class)\s+{_ID}\s*"
@@ -39,8 +41,11 @@ def _width(blanks) -> Column:
     return F.length(F.replace(blanks, F.lit("\t"), F.lit(" " * 8)))
 
 
-def _count(line: str, chars: str) -> Column:
-    return F.length(line) - F.length(F.translate(line, chars, ""))
+def _delta(line: str) -> Column:
+    """Brackets that a masked line opens beyond those it closes: brackets never nest there
+    (see ``lex``), so the first and the last one of a line tell."""
+    opens = F.col(line).rlike(r"[(\[{][^()\[\]{}]*+\z").cast("int")
+    return opens - F.col(line).rlike(r"\A[^()\[\]{}]*+[)\]}]").cast("int")
 
 
 def python_definitions(files: DataFrame) -> DataFrame:
@@ -59,7 +64,7 @@ def python_definitions(files: DataFrame) -> DataFrame:
         *KEYS, "levels", "n_lines", "line", (F.col("i") + 1).alias("line_no"),
         _width(F.left("line", F.length("line") - F.length(F.ltrim("line", F.lit(" \t")))))
         .alias("indent"),
-        (_count("line", "([{") - _count("line", ")]}")).alias("delta"),
+        _delta("line").alias("delta"),
         F.rtrim("line", F.lit(" \t\r")).endswith("\\").alias("goes_on"))
     line = line.where(
         (F.col("delta") != 0) | F.col("goes_on")
@@ -111,16 +116,16 @@ def python_chunks(files: DataFrame) -> DataFrame:
         d["first"].alias("start_line"), d["def_line"].alias("def_line"),
         cut("lines", d["first"], d["def_line"] - 1).alias("decorators"),
         cut("lines", d["def_line"], d["last"]).alias("raw"),
-        F.regexp_replace(cut("masked", d["def_line"], d["last"]), r"\s+\z", "")
-        .alias("masked")))))
+        cut("masked", d["def_line"], d["last"]).alias("masked")))))
     # Trailing blanks and comments are no part of a definition.
-    rows = rows.withColumn("raw", F.left("raw", F.length("masked")))
+    rows = rows.withColumn("masked", X.rstrip("masked")).withColumn(
+        "raw", F.left("raw", F.length("masked")))
     whole = F.concat_ws("\n", F.nullif("decorators", F.lit("")), "raw")
     return rows.select(
         *FILE, F.when(F.col("kind") == "def", "function_definition")
         .otherwise("class_definition").alias("node_type"),
         "name", F.regexp_replace(whole, r"\A[ \t]+", "").alias("source"), "start_line",
-        (F.col("def_line") + F.regexp_count("masked", F.lit("\n"))).alias("end_line"),
+        (F.col("def_line") + X.line_breaks("masked")).alias("end_line"),
         F.lit(0).alias("ordinal"), python_calls("masked").alias("calls"),
         docstring("raw", "masked").alias("docstring"), "parent_class")
 

@@ -298,3 +298,55 @@ def test_masking_holds_a_part_of_a_batch():
     tracemalloc.stop()
     assert masked[0].as_py() == lex.scan_python(texts[0].as_py()) and masked[1_000].as_py() is None
     assert masked[999] == masked[0] and peak < 6_000_000
+
+
+def test_brackets_in_which_nothing_begins_are_one_mark(spark):
+    """Calls with their arguments make one row of the table of marks, not one per bracket."""
+    from sparklode.operators import segment_js as J
+    text = "function f(a) {\n  return g(h(a, b), [1](i(2)));\n}\n"
+    one = spark.createDataFrame([(text,)], "masked string")
+    for pattern in (J._MARK, J._BLOCK_MARK):
+        (marks,) = one.select(F.regexp_extract_all("masked", F.lit(f"({pattern})"), F.lit(1))).first()
+        assert "".join(marks) == text and marks[:2] == ["function f(a) ", "{"]
+        assert "(h(a, b), [1](i(2)))" not in marks and "(h(a, b), " not in marks
+    plain = text.replace("[1](i(2))", "i(2)")
+    for pattern in (J._MARK, J._BLOCK_MARK):
+        (marks,) = spark.createDataFrame([(plain,)], "masked string").select(
+            F.regexp_extract_all("masked", F.lit(f"({pattern})"), F.lit(1))).first()
+        assert "".join(marks) == plain and "(h(a, b), i(2))" in marks
+
+
+def test_groups_end_no_definition(spark):
+    """What is folded into one mark changes no end, level or line."""
+    files = spark.createDataFrame([("r", f"/r/{n}", n, t.encode()) for n, t in {
+        "a.js": "class K {\n  m(a) {\n    go(a,\n      up(a), x);\n    return at(() => { in_(a); });\n  }\n}\n"
+                "const f = (a) => call(a, b(1), c(2)), g = y => (y, z(y));\nfunction h() { (w)(w(), 1); }\n",
+        "b.js": "function p(a = (1, 2)) {\n  if (q(a)) { r((a), s(a)); }\n}\nfunction t() {}\n"}.items()],
+        "repo_id string, file_path string, file_rel_path string, content binary")
+    got = {(r["name"], r["parent_class"], r["start_line"], r["end_line"], tuple(r["calls"]))
+           for r in chunk_files(files).collect()}
+    assert got == {("K", None, 1, 7, ()), ("m", "K", 2, 6, ("go", "up", "at", "in_")),
+                   ("f", None, 8, 8, ("call", "b", "c")), ("g", None, 8, 8, ("z",)), ("h", None, 9, 9, ("w",)),
+                   ("p", None, 1, 3, ("q", "r", "s")), ("t", None, 4, 4, ())}
+
+
+def test_test_sources_are_made_quickly(spark, tmp_path):
+    """Cleaning texts in several threads takes no more than a small multiple of searching them."""
+    import time
+    from checks import views as V
+    d = spark.createDataFrame([(i, "größe été 12-ab\n" * 125_000, "de", "s") for i in range(8)],
+                              "doc_id long, text string, lang string, source string")
+    d.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def seconds(df):
+        times = []
+        for _ in range(2):
+            start = time.time()
+            df.write.format("noop").mode("overwrite").save()
+            times.append(time.time() - start)
+        return min(times)
+    words = spark.read.parquet(f"{tmp_path}/documents.parquet").select(
+        F.regexp_extract_all("text", F.lit(r"(\p{Alnum}+)"), F.lit(1)))
+    lines = V._code_lines(spark, str(tmp_path)).select("lines")
+    assert lines.first()[0][0] == "gr e  t  12 ab"
+    assert seconds(lines) < 4 * max(seconds(words), 0.3)
