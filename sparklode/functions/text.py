@@ -38,7 +38,7 @@ def confidence(score, high: float = M.CONFIDENCE_HIGH,
 
 
 def token_count(text) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)))
+    return F.regexp_count(text, F.lit(TOKEN))
 
 
 def rstrip(text) -> Column:
