@@ -32,11 +32,10 @@ def resolve_nesting(defs: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(is_function, 0).otherwise(step)).over(before),
                    F.lit(0)).alias("classes"))
     kept = open_.where((F.col("e.closes") == 0) & (F.col("functions") == 0))
-    roles = kept.select(*KEYS, "d", F.explode(F.filter(F.array(
-        F.struct(F.col("classes").alias("level"), F.lit(False).alias("encloses")),
-        F.when(~is_function, F.struct((F.col("classes") + 1).alias("level"),
-                                      F.lit(True).alias("encloses")))),
-        lambda r: r.isNotNull())).alias("r"))
+    inside = F.struct(F.col("classes").alias("level"), F.lit(False).alias("encloses"))
+    around = F.struct((F.col("classes") + 1).alias("level"), F.lit(True).alias("encloses"))
+    roles = kept.select(*KEYS, "d", F.explode(F.when(is_function, F.array(inside)).otherwise(
+        F.array(inside, around))).alias("r"))
     above = (Window.partitionBy(*KEYS, "r.level").orderBy("d.first", "r.encloses")
              .rowsBetween(Window.unboundedPreceding, -1))
     parent = F.last(F.when(F.col("r.encloses"), F.struct("d.name", "d.depth")),

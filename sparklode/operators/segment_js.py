@@ -56,7 +56,10 @@ _CALL = rf"(?<![\w$#])(?<!\bnew )(?<!\bfunction )(?!{_RESERVED}|async\b)(#?{_NAM
 
 def js_definitions(files: DataFrame) -> DataFrame:
     """row, first, last (0-based offsets), line, is_function, name, parent."""
-    f = files.select(*KEYS, "masked")
+    # Texts are dealt before their many marks are made, so no mark is shuffled; with a number, as
+    # the bytes of masked texts, which Spark would join partitions by, say little of the marks.
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = files.select(*KEYS, "masked").repartition(n, *KEYS)
     marks = F.when(F.col("masked").rlike(_PLAIN_ARROW), F.regexp_extract_all(
         "masked", F.lit(f"({_MARK})"), F.lit(1))).otherwise(F.regexp_extract_all(
             "masked", F.lit(f"({_BLOCK_MARK})"), F.lit(1)))
@@ -87,15 +90,11 @@ def js_definitions(files: DataFrame) -> DataFrame:
 
     row = F.struct
     lv = F.lit(None).cast("int")
-    closing = F.col("t").isin("}", ")", "]")
-    rows = F.filter(F.array(
-        F.when(F.col("is_head"), row(F.col("depth").alias("level"), lv.alias("block"),
-                                     lv.alias("stop"))),
-        F.when(~F.col("is_head"), row(F.col("depth").alias("level"), lv.alias("block"),
-                                      F.col("at").cast("int").alias("stop"))),
-        F.when(~F.col("is_head") & (F.col("t") == "}"),
-               row((F.col("depth") - 1).alias("level"), (F.col("at") + 1).cast("int").alias("block"),
-                   lv.alias("stop")))), lambda r: r.isNotNull())
+    own = row(F.col("depth").alias("level"), lv.alias("block"),
+              F.when(~F.col("is_head"), F.col("at").cast("int")).alias("stop"))
+    outer = row((F.col("depth") - 1).alias("level"), (F.col("at") + 1).cast("int").alias("block"),
+                lv.alias("stop"))
+    rows = F.when(F.col("t") == "}", F.array(own, outer)).otherwise(F.array(own))
     e = t.select(*KEYS, "i", "size", "is_head", "at", "breaks", "depth", "t",
                  "next", F.inline(rows))
     later = (Window.partitionBy(*KEYS, "level").orderBy(F.desc("i"), F.desc("is_head"))
@@ -134,7 +133,7 @@ def js_definitions(files: DataFrame) -> DataFrame:
 
 def js_chunks(files: DataFrame) -> DataFrame:
     """Chunk columns before the token cap; see ``segment.chunk_files``."""
-    found = js_definitions(files).groupBy(*KEYS).agg(F.array_sort(F.collect_list(
+    found = js_definitions(files).groupBy(*KEYS).agg(F.sort_array(F.collect_list(
         F.struct("first", "last", "kind", "name", F.col("parent.name").alias("parent"),
                  "line"))).alias("defs"))
     f = files.select(*KEYS, *FILE, "text", "masked").join(found, KEYS)

@@ -90,7 +90,7 @@ def python_definitions(files: DataFrame) -> DataFrame:
 
     per_level = stmt.select(
         *KEYS, "line_no", "indent", "kind", "name", "first", "n_lines",
-        F.explode(F.filter("levels", lambda k: k >= F.col("indent"))).alias("level"))
+        F.explode("levels").alias("level")).where(F.col("level") >= F.col("indent"))
     ends = per_level.withColumn("last", F.coalesce(F.lead("line_no").over(
         Window.partitionBy(*KEYS, "level").orderBy("line_no")) - 1, "n_lines"))
     defs = ends.where((F.col("kind") != "") & (F.col("level") == F.col("indent"))).select(
@@ -101,7 +101,7 @@ def python_definitions(files: DataFrame) -> DataFrame:
 
 def python_chunks(files: DataFrame) -> DataFrame:
     """Chunk columns before the token cap; see ``segment.chunk_files``."""
-    found = python_definitions(files).groupBy(*KEYS).agg(F.array_sort(F.collect_list(
+    found = python_definitions(files).groupBy(*KEYS).agg(F.sort_array(F.collect_list(
         F.struct("first", "def_line", "last", "kind", "name",
                  F.col("parent.name").alias("parent")))).alias("defs"))
     # One row per file again: its lines are split once and cut per definition.

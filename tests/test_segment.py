@@ -350,3 +350,14 @@ def test_test_sources_are_made_quickly(spark, tmp_path):
     lines = V._code_lines(spark, str(tmp_path)).select("lines")
     assert lines.first()[0][0] == "gr e  t  12 ab"
     assert seconds(lines) < 4 * max(seconds(words), 0.3)
+
+
+def test_marks_are_not_shuffled(spark):
+    """JavaScript texts are dealt by file; the rows made from them stay where they are."""
+    from sparklode.operators import segment_js as J
+    files = spark.createDataFrame([(1, "function f() {}\n")], "row long, masked string")
+    plan = J.js_definitions(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [row" in plan
+    physical = J.js_definitions(files)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange ") == 1 and physical.index("Generate posexplode") < physical.index("Exchange ")
+    assert [r["name"] for r in J.js_definitions(files).collect()] == ["f"]
