@@ -13,13 +13,44 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparklode.functions.storage import shared_dir
 
 SLICE_BYTES = 4 << 20
+FILE_BYTES = 8 << 20
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder."""
+def _merges(spark: SparkSession) -> bool:
+    """Whether Spark merges small partitions behind a shuffle."""
+    return "false" not in (spark.conf.get("spark.sql.adaptive.enabled").lower(),
+                           spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled").lower())
+
+
+def text_bytes(df: DataFrame, column: str = "text") -> int | None:
+    """Bytes of all texts; None where Spark merges partitions, since nobody asks then."""
+    return None if _merges(df.sparkSession) else df.agg(F.sum(octets(column))).first()[0] or 0
+
+
+def spread(df: DataFrame, size: int | None) -> DataFrame:
+    """``df`` in about as many partitions as ``size`` bytes need, if shuffles leave many more.
+
+    Spark merges small partitions behind a shuffle unless the session forbids it; then a table
+    of a few KB is written as one file for each of them. The files are dealt after the work,
+    which keeps all its tasks. On a local disk without Hadoop's native library every file
+    starts several child processes of the executor's JVM, each with all its memory for a moment.
+    """
+    if size is None or _merges(df.sparkSession):
+        return df
+    conf = df.sparkSession.conf
+    files = max(1, -(-size // FILE_BYTES))
+    few = 2 * files <= int(conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(files) if few else df
+
+
+def store(df: DataFrame, size: int | None = None) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared folder.
+
+    ``size``: about how many bytes it has at most, if that is known; see ``spread``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spread(df, size).write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)
@@ -27,6 +58,14 @@ def store(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored_bytes(stored: DataFrame) -> int:
+    """Bytes of a stored table, from its files."""
+    spark = stored.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(
+        path).getLength()
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table of ``store`` that no later plan reads any more."""
     spark = df.sparkSession

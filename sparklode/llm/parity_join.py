@@ -26,7 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparklode.llm.common import drop, mix, slices, store, table, text_buffer, tidy
+from sparklode.llm.common import (
+    drop, mix, slices, spread, store, stored_bytes, table, text_buffer, text_bytes, tidy)
 from sparklode.llm.components import connected_components
 from sparklode.llm.shingles import shingle_sets
 
@@ -120,14 +121,6 @@ def _features(docs: DataFrame, words: int, percent: int, text: str) -> DataFrame
              "sketch array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
-def stored_bytes(stored: DataFrame) -> int:
-    """Bytes of a stored table, from its files."""
-    spark = stored.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(
-        path).getLength()
-
-
 def _sets_of(nodes: DataFrame, docs: DataFrame, words: int, text: str) -> DataFrame:
     """node and its sorted hashes, from the text of one document of the class."""
     def run(batches):
@@ -164,7 +157,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
             .select("a", "b", "x", "y"))
-    return store(both.mapInArrow(tidy(run), "a long, b long"))
+    return store(both.mapInArrow(tidy(run), "a long, b long"), stored_bytes(pairs))
 
 
 def _can_link(percent: int) -> str:
@@ -189,17 +182,18 @@ def _open_keys(members: DataFrame, labels: DataFrame, facts: DataFrame) -> DataF
     ``early``: up to EARLY smaller keys of the node; two nodes that share one of them are
     a pair there already.
     """
-    placed = store(_placed(members.select("key", "node", "n"), labels))
+    size = stored_bytes(members)
+    placed = store(_placed(members.select("key", "node", "n"), labels), size)
     several = placed.groupBy("key").agg(F.min("component").alias("x"),
                                         F.max("component").alias("y")).where("x < y")
     shared = store(placed.join(several.select("key"), "key", "left_semi")
-                   .select("key", "node", "n"))
+                   .select("key", "node", "n"), size)
     drop(placed)
     first = shared.groupBy("node").agg(   # no more keys than the set has shingles
         F.slice(F.array_sort(F.collect_list("key")), 1, EARLY).alias("first"))
     keys = shared.join(first, "node").join(facts.select("node", "sketch"), "node")
     found = store(keys.select("key", "node", "n", "sketch", F.filter(
-        "first", lambda x: x < F.col("key")).alias("early")))
+        "first", lambda x: x < F.col("key")).alias("early")), 4 * size)
     drop(shared)
     return found
 
@@ -210,7 +204,8 @@ def _across(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = per.groupBy("key").agg(F.max_by("component", F.struct("c", "component"))
                                    .alias("main"), F.count(F.lit(1)).alias("k"))
-    mixed = store(placed.join(mixed.where("k > 1").drop("k"), "key"))
+    mixed = store(placed.join(mixed.where("k > 1").drop("k"), "key"),
+                  stored_bytes(shared))
     facts = ("node", "n", "component", "sketch", "early")
     one = mixed.select("key", "main", *[F.col(c).alias(f"{c}_a") for c in facts])
     two = mixed.where("component != main").select(
@@ -233,11 +228,11 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
             .withColumnRenamed("component", end)
     return store(connected_components(labels.select(
         F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
-            ends.select("a", "b"))))
+            ends.select("a", "b")), size=stored_bytes(labels)), stored_bytes(labels))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
-                    text: str = "text") -> DataFrame:
+                    text: str = "text", size: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, tag and group_id of every row.
 
     Sets of distinct ``words``-word shingles of the lower-cased text link at a Jaccard
@@ -245,41 +240,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     and texts without words are empty sets and link with nothing. Repeated rows are equal
     sets. ``tag`` is xxhash64 of the text, ``group_id`` numbers the components (NULL for empty
     sets). A NULL doc_id is never the smallest one while there is another. Other columns are
-    not read; an empty table gives an empty result.
+    not read; an empty table gives an empty result. ``size``: about the bytes of the texts, if
+    known.
     """
-    wide = store(_features(docs, words, percent, text))
-    rows = store(wide.drop("keys"))
+    wide = store(_features(docs, words, percent, text), size)
+    hashed = stored_bytes(wide)
+    rows = store(wide.drop("keys"), hashed)
     # A class is named by the first of its rows that carry keys; the others' keys are not read.
     classes = store(rows.where("set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("doc_id"),
-        F.min(F.when(F.isnotnull("sketch"), F.col("row"))).alias("node")))
+        F.min(F.when(F.isnotnull("sketch"), F.col("row"))).alias("node")), stored_bytes(rows))
     facts = rows.where("sketch IS NOT NULL").select(
         F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch", "set_id")
     again = store(facts.select("set_id", F.col("node").alias("row")).join(
-        classes.select("set_id", "node"), "set_id").where("row != node").select("row"))
+        classes.select("set_id", "node"), "set_id").where("row != node").select("row"),
+        stored_bytes(classes))
     facts = facts.drop("set_id")
     keyed = wide.where("keys IS NOT NULL").join(again, "row", "left_anti").select(
         F.explode("keys").alias("key"), F.col("row").alias("node"),
         F.col("n_shingles").alias("n"))
     shared = store(keyed.groupBy("key").agg(
         F.min("node").alias("low"), F.max("node").alias("high"),
-        F.count(F.lit(1)).alias("c")).where("low < high"))
-    members = store(keyed.join(shared.where("c > 2").select("key", "low"), "key"))
+        F.count(F.lit(1)).alias("c")).where("low < high"), hashed)
+    members = store(keyed.join(shared.where("c > 2").select("key", "low"), "key"),
+                    hashed)
+    held = stored_bytes(shared) + stored_bytes(members)
     for done in (wide, again):
         drop(done)
     stars = members.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     pairs = (shared.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
              .unionByName(stars).distinct())
-    pairs = store(_possible(pairs, facts, percent))
+    pairs = store(_possible(pairs, facts, percent), held)
     # Members of large keys may be compared again, so their sets are wanted too.
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(
         members.select("node")).distinct()
-    nodes = store(nodes.join(classes.select("node", "doc_id", "set_id"), "node"))
-    sets = store(_sets_of(nodes, docs, words, text))
+    nodes = store(nodes.join(classes.select("node", "doc_id", "set_id"), "node"),
+                  stored_bytes(classes))
+    sets = store(_sets_of(nodes, docs, words, text), hashed)
     links = _verified(pairs, sets, percent)
-    labels = store(connected_components(links))
+    labels = store(connected_components(links, size=stored_bytes(links)), stored_bytes(links))
     opened = _open_keys(members, labels, facts)
-    more = store(_across(opened, labels, percent))
+    more = store(_across(opened, labels, percent), stored_bytes(opened))
     labels = _merged(labels, _verified(more, sets, percent))
 
     known = classes.select("set_id", "node", F.col("doc_id").alias("first")).join(
@@ -288,7 +289,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
         F.min("first").alias("smallest"))
     final = store(known.join(smallest, "component", "left").select(
         "set_id", F.coalesce("component", "node").alias("group_id"),
-        F.coalesce("smallest", "first").alias("component_id")))
+        F.coalesce("smallest", "first").alias("component_id")), stored_bytes(classes))
     for done in (members, shared, classes, sets, pairs, opened):
         drop(done)
     return (rows.select("doc_id", "tag", "n_shingles", "set_id").join(final, "set_id", "left")
@@ -303,7 +304,8 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     A row without doc_id stays only if its component has none with one. Rows with equal id
     and text are one document. Texts without words stay.
     """
-    found = near_duplicates(docs, words, percent)
+    size = text_bytes(docs)
+    found = near_duplicates(docs, words, percent, size=size)
     low = F.lit(-(1 << 63))
     chosen = (found.where("group_id IS NOT NULL").groupBy("group_id")
               .agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "tag")).alias("r"))
@@ -312,8 +314,8 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
               .select(F.coalesce("doc_id", low).alias("__id"), F.col("tag").alias("__tag")))
     keyed = docs.select("*", F.coalesce("doc_id", low).alias("__id"),
                         F.xxhash64("text").alias("__tag"))
-    return (keyed.join(chosen.distinct(), ["__id", "__tag"], "left_semi")
-            .dropDuplicates(["__id", "__tag"]).select(*docs.columns))
+    return spread(keyed.join(chosen.distinct(), ["__id", "__tag"], "left_semi")
+                  .dropDuplicates(["__id", "__tag"]).select(*docs.columns), size)
 
 
 def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:

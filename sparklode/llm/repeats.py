@@ -21,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparklode.llm.common import encoded, mix, slices, store, table, text_buffer, tidy
+from sparklode.llm.common import (
+    encoded, mix, slices, spread, store, stored_bytes, table, text_buffer, text_bytes, tidy)
 from sparklode.llm.shingles import powers, prefix_sums, _P_INVERSE
 
 LENGTH, PIECE = 100, 20
@@ -422,25 +423,25 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, piece: int = PIECE,
-                    max_group: int = MAX_GROUP) -> DataFrame:
+                    max_group: int = MAX_GROUP, size: int | None = None) -> DataFrame:
     """d, tag and the ranges (start, n) of windows that also start earlier.
 
-    ``texts`` has d, tag and text.
+    ``texts`` has d, tag and text; ``size``: about its bytes, if known.
     """
     if not 0 < piece < length < 120 + piece:
         raise ValueError("a run must have less than 256 windows, an anchor fit a window")
     texts = texts.select("d", "tag", "text")
-    found = store(_walk(_run_rows(texts, length, piece)))
+    found = store(_walk(_run_rows(texts, length, piece)), size)
     known = [found.where("kind = 1").select("d", "place", "n")]
-    runs = store(_gather(found, texts, length))
+    runs = store(_gather(found, texts, length), size)
     for width in WIDTHS:
         sizes = runs.groupBy("ah").agg(F.count(F.lit(1)).alias("c"))
-        hot = store(sizes.where(F.col("c") > max_group).select("ah"))
+        hot = store(sizes.where(F.col("c") > max_group).select("ah"), stored_bytes(found))
         if hot.isEmpty():
             break
         known.append(_blocks(runs.join(hot, "ah", "left_anti"), length))
         narrow = store(_walk(_narrower(runs.join(hot, "ah", "left_semi"), width, length, piece),
-                             payload=True))
+                             payload=True), size)
         known.append(narrow.where("kind = 1").select("d", "place", "n"))
         runs = narrow.where("kind = 2").select("ah", "d", "place", "n", "bytes")
     known.append(_blocks(runs, length))
@@ -486,7 +487,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep=("doc_id",),
     names = [f"k{i}" for i in range(len(keep))]
     texts = _keyed(docs.select("doc_id", text, *[F.col(c).alias(n) for c, n in
                                                  zip(keep, names)]), text)
-    ranges = repeated_ranges(texts, length, max_group=max_group)
+    size = text_bytes(docs, text)
+    ranges = repeated_ranges(texts, length, max_group=max_group, size=size)
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     k = len(keep)
 
@@ -512,9 +514,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep=("doc_id",),
                 names=keep + ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 + (["cut_text"] if cut_text else []))
 
-    return (texts.join(ranges, ["d", "tag"], "left").select(*names, "text", "ranges")
-            .mapInArrow(tidy(run), kinds + "n_bytes long, n_removed long, n_spans long, "
-                        "kept_sha256 string" + (", cut_text string" if cut_text else "")))
+    cut = (texts.join(ranges, ["d", "tag"], "left").select(*names, "text", "ranges")
+           .mapInArrow(tidy(run), kinds + "n_bytes long, n_removed long, n_spans long, "
+                       "kept_sha256 string" + (", cut_text string" if cut_text else "")))
+    return spread(cut, size)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Near copies, repeated bytes and components against brute force."""
 
+import glob
 import hashlib
 import random
 import re
@@ -91,6 +92,34 @@ def test_one_of_each_group_stays(spark, odd_docs, odd_rows):
     assert odd.count(None) == 1   # the row without text
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Where Spark does not merge partitions, a small table is not a file for each of them."""
+    from sparklode.functions.storage import shared_dir
+    from sparklode.llm import components, parity_join
+
+    rows = [(r[0], r[1], "en", "web", 0) for r in near_rows() + passages()]
+    docs = spark.createDataFrame(rows, ID_TEXT).repartition(3)
+    whole = {f: sorted_rows(f(docs), "doc_id") for f in (one_of_each_group, remove_repeats)}
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",
+                                           "spark.sql.adaptive.coalescePartitions.enabled")}
+    for module in (components, parity_join):
+        monkeypatch.setattr(module, "drop", lambda df: None)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for f, want in whole.items():
+            before = set(glob.glob(f"{shared_dir(spark)}/llm/*"))
+            found = f(docs)
+            assert found.rdd.getNumPartitions() == 1
+            assert sorted_rows(found, "doc_id") == want
+            tables = set(glob.glob(f"{shared_dir(spark)}/llm/*")) - before
+            assert tables
+            assert max(len(glob.glob(f"{t}/part-*")) for t in tables) == 1
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_a_shared_key_is_certain():
     """Linked sets always share a key, for every size and threshold."""
     r = np.random.default_rng(1)
